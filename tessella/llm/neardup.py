@@ -9,8 +9,10 @@ A list may hold a third of all documents, so no list is expanded into all its pa
   1. exact copies fold into one node, named by a 128-bit digest of the set;
   2. in each list, nodes link to one member (a star) and what is confirmed is joined into components; a second
      round draws other members. Lists whose nodes are then all in one component are skipped;
-  3. what is left, pairs of nodes of different components in one list, is counted over the lists, and pairs
-     with enough collisions are confirmed. Nothing is capped.
+  3. nodes of lists that still hold several components are compared on their sets' rarest shingles: two sets that
+     reach the threshold share one of a short prefix of either, rarest first, and what follows their first shared
+     one must suffice for the overlap. Groups that share a passage but are unlike otherwise have prefixes of their
+     own and give no pairs. Nothing is capped.
 
 Defined results: no words or null text: an empty set, linked with nothing, its own component. Fewer words than a
 shingle: the whole sequence is one shingle. Repeated rows and ids: each row gets the component of its text. A null
@@ -162,6 +164,31 @@ def _colliding(pairs: DataFrame, nodes: DataFrame, need: int) -> DataFrame:
     return pairs.join(v, "v").join(u, "u").where(same >= need).select("u", "v")
 
 
+def _by_rare_shingles(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (u, v) of nodes of different roots that may reach the threshold, from (node, root, members).
+
+    Also the postings, to be discarded. A posting counts what of its set is left from it on. In each list the most
+    frequent root's members are not compared with one another.
+    """
+    need = lambda a, b: F.ceil(percent * (a + b) / F.lit(100 + percent))  # noqa: E731  the overlap that sizes a and b call for
+    slim = sets.select(F.xxhash64("node").alias("k"), F.xxhash64("root").alias("r"), F.size("members").alias("size"), F.explode("members").alias("shingle"))
+    shared = slim.groupBy("shingle").agg(F.count("*").alias("df"), F.min("size").alias("least")).where("df > 1")
+    own = slim.join(shared, "shingle", "left").groupBy("k", "r", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "shingle", "least"))).alias("all"))
+    most = F.col("size") - F.ceil(percent * F.col("size") / F.lit(100)) + 1
+    rows = own.select("k", "r", "size", F.posexplode(F.slice("all", F.lit(1), most.cast("int"))).alias("pos", "s")).where("s.df > 1")
+    rows = rows.select("k", "r", (F.col("size") - F.col("pos")).alias("left"), "size", F.col("s.shingle").alias("shingle"), F.col("s.least").alias("least"))
+    rows = materialize(rows.where(F.col("left") >= need(F.col("size"), F.greatest("least", F.ceil(percent * F.col("size") / F.lit(100))))).drop("least"))
+    main = rows.groupBy("shingle", "r").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("r", F.struct("n", "r")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    b = rows.join(main, "shingle")
+    a, b = (b.select("shingle", "main", *(F.col(c).alias(f"{c}_{x}") for c in ("k", "r", "left", "size"))) for x in "ab")
+    pairs = a.where("r_a <> main").join(b.drop("main"), "shingle").where("r_a <> r_b AND (r_b = main OR k_a < k_b)")
+    pairs = pairs.where(F.least("left_a", "left_b") >= need(F.col("size_a"), F.col("size_b"))).where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
+    pairs = pairs.select(F.least("k_a", "k_b").alias("x"), F.greatest("k_a", "k_b").alias("y")).distinct()
+    name = sets.select("node", F.xxhash64("node").alias("k"))
+    pairs = pairs.join(name.toDF("u", "x"), "x").join(name.toDF("v", "y"), "y").select("u", "v")
+    return materialize(pairs), rows
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: id, text_hash, n_shingles, component_id (smallest id reachable), representative.
 
@@ -176,37 +203,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     posted = nodes.select("node", "size", F.posexplode(F.slice("signature", 1, prefix)).alias("at", "value"))
     lists = posted.groupBy("at", "value").agg(F.count("*").alias("n")).where("n > 1")
-    postings = materialize(posted.join(lists, ["at", "value"]).drop("n"))
-
-    edges, comp = None, None
-    spent = []
+    here = materialize(posted.join(lists, ["at", "value"]).select("node", "size", "at", "value", F.col("node").alias("root")))
+    edges = None
     for turn in range(3):
-        here = postings if comp is None else postings.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        if comp is not None:
-            open_lists = here.groupBy("at", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("at", "value")
-            here = materialize(here.join(open_lists, ["at", "value"]))
-            spent.append(here)
+        if turn:
+            comp = components(edges)
+            joined = here.drop("root").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            still = joined.groupBy("at", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("at", "value")
+            old, here = here, materialize(joined.join(still, ["at", "value"]))
+            discard(old)
+        spent = []
         if turn < 2:
-            drawn = F.xxhash64("node", F.lit(turn))
-            heads = here.groupBy("at", "value").agg(F.max(F.struct(drawn.alias("k"), "node", "size", *([] if comp is None else ["root"]))).alias("h")).select("at", "value", F.col("h.node").alias("head"), F.col("h.size").alias("head_size"), *([] if comp is None else [F.col("h.root").alias("head_root")]))
-            pairs = here.join(heads, ["at", "value"]).where("node <> head")
-            if comp is not None:
-                pairs = pairs.where("root <> head_root")
+            drawn = F.xxhash64("node", "at", "value", F.lit(turn))
+            heads = here.groupBy("at", "value").agg(F.max(F.struct(drawn.alias("k"), "node", "size", "root")).alias("h")).select("at", "value", F.col("h.node").alias("head"), F.col("h.size").alias("head_size"), F.col("h.root").alias("head_root"))
+            pairs = here.join(heads, ["at", "value"]).where("root <> head_root")
             pairs = pairs.where(100 * F.least("size", "head_size") >= percent * F.greatest("size", "head_size")).select(F.least("node", "head").alias("u"), F.greatest("node", "head").alias("v")).distinct()
+            pairs = materialize(_colliding(pairs, nodes, need))
+            used = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
         else:
-            a, b = (here.select("at", "value", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "root"))) for s in "ab")
-            pairs = a.join(b, ["at", "value"]).where("node_a < node_b AND root_a <> root_b").where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
-            pairs = pairs.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct()
-        pairs = materialize(_colliding(pairs, nodes, need))
-        used = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-        sets = _sets(docs, id_col, text_col, nodes.drop("signature", "size").join(used, "node", "left_semi"), ngram)
-        sets = materialize(sets)
+            used = here.select("node", "root").distinct()
+        wanted = nodes.drop("signature", "size").join(used.select("node"), "node", "left_semi")
+        sets = materialize(_sets(docs, id_col, text_col, wanted, ngram))
+        if turn == 2:
+            found, rows = _by_rare_shingles(sets.join(used, "node"), percent)
+            pairs = materialize(_colliding(found, nodes, need))
+            spent += [found, rows]
         good = _confirm(pairs, sets, percent)
-        old, edges = edges, materialize(good if edges is None else edges.unionByName(good))
-        comp = components(edges)
+        old, edges = edges, materialize(good if edges is None else comp.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(good))
         for x in (pairs, sets, *spent, *([old] if old is not None else [])):
             discard(x)
-        spent = []
+    comp = components(edges)
+    discard(here)
 
     named = nodes.select("node", "of_rep", "of_hash").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min(F.struct(F.col("of_rep").isNull().alias("none"), "of_rep", "of_hash")).alias("r"))
