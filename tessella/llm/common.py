@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,3 +94,35 @@ def _arrow(kind: str) -> pa.DataType:
     if kind.startswith("array<"):
         return pa.list_(_arrow(kind[6:-1]))
     return {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}[kind]
+
+
+class WordRows:
+    """Rows of numbers for words, made once per task for each new word; forgets all beyond `most` words."""
+
+    def __init__(self, make: Callable[[list[bytes]], np.ndarray], most: int = 150_000) -> None:
+        self.make, self.most, self.rows = make, most, None
+        self.at: dict[bytes, int] = {}
+
+    def indexes(self, docs: list[list[bytes]]) -> list[np.ndarray]:
+        """For each document, the row of each word in self.rows (good until the next call)."""
+        if len(self.at) > self.most:
+            self.at, self.rows = {}, None
+        at, new, out = self.at, [], []
+        for words in docs:
+            for w in set(words).difference(at):
+                at[w] = len(at)
+                new.append(w)
+            out.append(np.fromiter(map(at.__getitem__, words), np.int32, len(words)))
+        if new or self.rows is None:
+            made = self.make(new)
+            self.rows = made if self.rows is None else np.concatenate([self.rows, made])
+        return out
+
+
+def bounded_sample(rows: DataFrame, id_col: str, by: str, values: list, most: int) -> DataFrame:
+    """(id, by) of at most `most` rows for each value, drawn by a hash of the id: each a top-k of narrow rows."""
+    parts = [rows.where(F.col(by) == v).where(F.col(id_col).isNotNull()).select(id_col, by).orderBy(F.xxhash64(F.lit(11), id_col), id_col).limit(most) for v in values]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import mixing
+from tessella.llm import langid, mixing, toxicity
+from tessella.llm.common import crc_fold
+from tessella.llm.decontamination import contained_items
+from tessella.llm.licenses import scan_licenses
 from tessella.llm.mixing import mix
 from tessella.llm.neardup import near_duplicates
 from tessella.llm.quality import score_quality
@@ -31,8 +34,33 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def _held_out(folds: int, fold: int):
+    return F.coalesce(crc_fold("doc_id", folds) == fold, F.lit(False)).alias("held_out")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = toxicity.learn(docs, labels, crc_fold("doc_id", 5) != 0)
+    scored = toxicity.score_toxicity(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", _held_out(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, pieces = _read(spark, sf_dir, "documents"), langid.vocabulary()
+    model = langid.learn(docs, crc_fold("doc_id", 4) != 2, pieces)
+    return langid.predict_language(docs, model, pieces, keep=["doc_id"]).select("doc_id", _held_out(4, 2), "lang_pred", "score")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_read(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_minhash_near_dedup, op5_benchmark_decontamination, op6_toxicity, op8_language_id, op9_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
