@@ -11,9 +11,12 @@ from tessella.llm import langid, mixing, toxicity
 from tessella.llm.common import crc_fold
 from tessella.llm.decontamination import contained_items
 from tessella.llm.licenses import scan_licenses
+from tessella.llm.lm_scoring import score_cross_entropy
 from tessella.llm.mixing import mix
 from tessella.llm.neardup import near_duplicates
 from tessella.llm.quality import score_quality
+from tessella.llm.quotes import link_quotes
+from tessella.llm.tokens import count_tokens, read_ranks
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,6 +37,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op4_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotes(_read(spark, sf_dir, "conversations"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -49,6 +56,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    return score_cross_entropy(docs, labels.where("quality = 1"), keep=["doc_id"])
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, pieces = _read(spark, sf_dir, "documents"), langid.vocabulary()
     model = langid.learn(docs, crc_fold("doc_id", 4) != 2, pieces)
@@ -59,8 +71,16 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_read(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op10_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_read(spark, sf_dir, "documents"), read_ranks())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_minhash_near_dedup, op5_benchmark_decontamination, op6_toxicity, op8_language_id, op9_license_scan)}
+    every = (
+        op1_mix_sources, op2_quality_rules, op3_minhash_near_dedup, op4_quotation_linking, op5_benchmark_decontamination, op6_toxicity,
+        op7_cross_entropy_difference, op8_language_id, op9_license_scan, op10_token_attribution,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
