@@ -7,9 +7,9 @@ COORDINATES - matches + 1 posting lists (the prefix). Links are confirmed on the
 
 A list may hold a third of all documents, so no list is expanded into all its pairs:
   1. exact copies fold into one node, named by a 128-bit digest of the set;
-  2. in each list, nodes link to one member (a star) and what is confirmed is joined into components; a second
-     round draws other members. Lists whose nodes are then all in one component are skipped;
-  3. nodes of lists that still hold several components are compared on their sets' rarest shingles: two sets that
+  2. in each list, nodes link to one member (a star), a different one in each list. Lists whose nodes these links
+     have joined are skipped;
+  3. nodes of lists that still hold several groups are compared on their sets' rarest shingles: two sets that
      reach the threshold share one of a short prefix of either, rarest first, and what follows their first shared
      one must suffice for the overlap. Groups that share a passage but are unlike otherwise have prefixes of their
      own and give no pairs. Nothing is capped.
@@ -27,7 +27,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessella.llm.common import chunks, discard, map_texts, materialize, texts
@@ -106,25 +106,33 @@ def matches(percent: int) -> int:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of undirected edges (u, v): rounds of large and small stars, checkpointed.
+    """(node, root) for the nodes of undirected edges (u, v): rounds of large and small stars, each written out.
 
-    Only minima per node are grouped, so a hub's neighbours are never gathered in one place.
+    Only minima per node are grouped, so a hub's neighbours are never gathered in one place. A round that changes
+    nothing is the last.
     """
-    now, seen = materialize(edges.where("u <> v").distinct()), None
+    now, seen = materialize(edges.where("u <> v")), None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = both.join(low, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        after = materialize(small.where("u <> v").distinct())
-        total = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        total = Observation()
+        kept = small.select("e.*").where("u <> v").distinct().observe(total, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        after = materialize(kept)
         discard(now)
         now = after
-        if total == seen:
+        if total.get == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = total
+        seen = total.get
+
+
+def _near_roots(edges: DataFrame) -> DataFrame:
+    """(node, root) where root is the least node within two links: enough to know most members of one component."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    one = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.join(one.toDF("v", "m"), "v").groupBy("u").agg(F.min("m").alias("root")).withColumnRenamed("u", "node")
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, n: int) -> DataFrame:
@@ -157,6 +165,14 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "v").join(left, "u").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
 
 
+def _links(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, pairs: DataFrame, ngram: int, percent: int) -> DataFrame:
+    used = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sets = materialize(_sets(docs, id_col, text_col, nodes.drop("signature", "size").join(used, "node", "left_semi"), ngram))
+    good = materialize(_confirm(pairs, sets, percent))
+    discard(sets)
+    return good
+
+
 def _colliding(pairs: DataFrame, nodes: DataFrame, need: int) -> DataFrame:
     """The pairs whose whole signatures, the lists after the prefix included, agree in enough coordinates."""
     u, v = (nodes.select(F.col("node").alias(x), F.col("signature").alias(f"{x}_at")) for x in "uv")
@@ -203,37 +219,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     posted = nodes.select("node", "size", F.posexplode(F.slice("signature", 1, prefix)).alias("at", "value"))
     lists = posted.groupBy("at", "value").agg(F.count("*").alias("n")).where("n > 1")
-    here = materialize(posted.join(lists, ["at", "value"]).select("node", "size", "at", "value", F.col("node").alias("root")))
-    edges = None
-    for turn in range(3):
-        if turn:
-            comp = components(edges)
-            joined = here.drop("root").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            still = joined.groupBy("at", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("at", "value")
-            old, here = here, materialize(joined.join(still, ["at", "value"]))
-            discard(old)
-        spent = []
-        if turn < 2:
-            drawn = F.xxhash64("node", "at", "value", F.lit(turn))
-            heads = here.groupBy("at", "value").agg(F.max(F.struct(drawn.alias("k"), "node", "size", "root")).alias("h")).select("at", "value", F.col("h.node").alias("head"), F.col("h.size").alias("head_size"), F.col("h.root").alias("head_root"))
-            pairs = here.join(heads, ["at", "value"]).where("root <> head_root")
-            pairs = pairs.where(100 * F.least("size", "head_size") >= percent * F.greatest("size", "head_size")).select(F.least("node", "head").alias("u"), F.greatest("node", "head").alias("v")).distinct()
-            pairs = materialize(_colliding(pairs, nodes, need))
-            used = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-        else:
-            used = here.select("node", "root").distinct()
-        wanted = nodes.drop("signature", "size").join(used.select("node"), "node", "left_semi")
-        sets = materialize(_sets(docs, id_col, text_col, wanted, ngram))
-        if turn == 2:
-            found, rows = _by_rare_shingles(sets.join(used, "node"), percent)
-            pairs = materialize(_colliding(found, nodes, need))
-            spent += [found, rows]
-        good = _confirm(pairs, sets, percent)
-        old, edges = edges, materialize(good if edges is None else comp.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(good))
-        for x in (pairs, sets, *spent, *([old] if old is not None else [])):
-            discard(x)
-    comp = components(edges)
-    discard(here)
+    here = materialize(posted.join(lists, ["at", "value"]).drop("n"))
+    drawn = F.xxhash64("node", "at", "value")
+    heads = here.groupBy("at", "value").agg(F.max(F.struct(drawn.alias("k"), "node", "size")).alias("h")).select("at", "value", F.col("h.node").alias("head"), F.col("h.size").alias("head_size"))
+    pairs = here.join(heads, ["at", "value"]).where("node <> head").where(100 * F.least("size", "head_size") >= percent * F.greatest("size", "head_size"))
+    pairs = materialize(_colliding(pairs.select(F.least("node", "head").alias("u"), F.greatest("node", "head").alias("v")).distinct(), nodes, need))
+    linked = _links(docs, id_col, text_col, nodes, pairs, ngram, percent)
+
+    near = here.join(materialize(_near_roots(linked)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    still = near.groupBy("at", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("at", "value")
+    rest = materialize(near.join(still, ["at", "value"]).select("node", "root").distinct())
+    sets = materialize(_sets(docs, id_col, text_col, nodes.drop("signature", "size").join(rest.select("node"), "node", "left_semi"), ngram).join(rest, "node"))
+    found, rows = _by_rare_shingles(sets, percent)
+    more = materialize(_confirm(materialize(_colliding(found, nodes, need)), sets, percent))
+    for x in (here, pairs, rest, sets, found, rows):
+        discard(x)
+    comp = components(linked.unionByName(more))
 
     named = nodes.select("node", "of_rep", "of_hash").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min(F.struct(F.col("of_rep").isNull().alias("none"), "of_rep", "of_hash")).alias("r"))
