@@ -53,12 +53,15 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3,
     return s.withColumn("target", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("weight") * level)).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", quality: Column | None = None, weights: Sequence[int] = (1, 2, 3), most: int = 3, share: float = 1.0) -> DataFrame:
-    """docs with __size, __source_size, __target, __copies (times that the mix takes the row) and __taken (words)."""
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size: Column | None = None, quality: Column | None = None, weights: Sequence[int] = (1, 2, 3), most: int = 3, share: float = 1.0) -> DataFrame:
+    """docs with __size, __source_size, __target, __copies (times that the mix takes the row) and __taken (words).
+
+    size and quality are computed from the text unless given.
+    """
     text = F.col(text_col).cast("string")
     key = -F.log(unit_hash(SEED, id_col)) / (symbol_quality(text) if quality is None else quality)
-    held = docs.withColumns({"__size": word_count(text), "__key": key}).withColumn("__bucket", F.floor(BUCKETS * (1 - F.exp(-F.col("__key")))).cast("int"))
-    rows = held.select(F.col(source_col).alias("source"), F.col("__size").alias("size"), F.col("__key").alias("key"), F.col("__bucket").alias("bucket"))
+    held = docs.withColumns({"__size": word_count(text) if size is None else size, "__key": key}).withColumn("__bucket", F.floor(BUCKETS * (1 - F.exp(-F.col("__key")))).cast("int"))
+    rows = materialize(held.select(F.col(source_col).alias("source"), F.col("__size").alias("size"), F.col("__key").alias("key"), F.col("__bucket").alias("bucket")))
     sums = materialize(rows.groupBy("source", "bucket").agg(F.sum("size").alias("size")))
     goal = targets(sums.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most, share)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import langid, mixing, toxicity
-from tessella.llm.common import crc_fold
+from tessella.llm.common import crc_fold, materialize, word_count
 from tessella.llm.decontamination import contained_items
 from tessella.llm.licenses import scan_licenses
 from tessella.llm.lm_scoring import score_cross_entropy
-from tessella.llm.mixing import mix
+from tessella.llm.mixing import mix, symbol_quality
 from tessella.llm.neardup import near_duplicates
 from tessella.llm.quality import score_quality
 from tessella.llm.quotes import link_quotes
@@ -24,7 +24,9 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(_read(spark, sf_dir, "documents"))
+    docs = _read(spark, sf_dir, "documents")
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), symbol_quality(F.col("text")).alias("quality")))
+    out = mix(sized.withColumn("text", F.lit(None).cast("string")), size=F.col("size"), quality=F.col("quality"))
     return out.select("doc_id", *(F.col(f"__{c}").alias(c) for c in ("size", "source_size", "target", "taken")))
 
 
