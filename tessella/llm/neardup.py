@@ -129,10 +129,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _near_roots(edges: DataFrame) -> DataFrame:
-    """(node, root) where root is the least node within two links: enough to know most members of one component."""
+    """(node, root) where root is the least node within two links, taken from the root found three times over.
+
+    Nodes with one root are of one component; most of a component's nodes have one.
+    """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     one = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(one.toDF("v", "m"), "v").groupBy("u").agg(F.min("m").alias("root")).withColumnRenamed("u", "node")
+    two = materialize(both.join(one.toDF("v", "m"), "v").groupBy("u").agg(F.min("m").alias("root")).withColumnRenamed("u", "node"))
+    out = two
+    for _ in range(2):
+        out = out.join(two.toDF("root", "further"), "root").select("node", F.col("further").alias("root"))
+    return out
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, n: int) -> DataFrame:
@@ -231,7 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = materialize(near.join(still, ["at", "value"]).select("node", "root").distinct())
     sets = materialize(_sets(docs, id_col, text_col, nodes.drop("signature", "size").join(rest.select("node"), "node", "left_semi"), ngram).join(rest, "node"))
     found, rows = _by_rare_shingles(sets, percent)
-    more = materialize(_confirm(materialize(_colliding(found, nodes, need)), sets, percent))
+    more = materialize(_confirm(found, sets.drop("root"), percent))
     for x in (here, pairs, rest, sets, found, rows):
         discard(x)
     comp = components(linked.unionByName(more))
