@@ -175,3 +175,54 @@ def resolve(href: Column, base: Column) -> Column:
         return pd.Series([None if x is None else urljoin(y or "", x) for x, y in zip(h, b, strict=True)])
 
     return join(href, base)
+
+
+# The attributes a page's state names.
+STATE_ATTRS = ("id", "class", "href", "type", "name", "value", "placeholder", "aria-label", "title", "src", "alt", "role")
+
+
+def page_state(nodes: DataFrame, pages: DataFrame, doc: str, url_col: str = "url") -> DataFrame:
+    """(doc, state): a page's URL, title and numbered interactive elements as text; attributes in order of name."""
+    found = interactive(nodes, doc)
+    said = text_of(nodes, found, doc)
+    parts = []
+    for name in sorted(STATE_ATTRS):
+        a = attribute(name)
+        shown = F.when(F.char_length(a) > 50, F.concat(F.substring(a, 1, 50), F.lit("…"))).otherwise(a) if name == "class" else a
+        parts.append(F.when(a.isNotNull(), F.concat(F.lit(f' {name}="'), shown, F.lit('"'))).otherwise(""))
+    text = F.substring(F.trim(F.regexp_replace("text_content", r"^\s+|\s+$", "")), 1, 100)
+    text = F.when(F.char_length(text) > 80, F.concat(F.substring(text, 1, 80), F.lit("…"))).otherwise(text)
+    head = F.concat(F.lit("["), F.col("idx"), F.lit("] <"), F.col("tag"), *parts)
+    line = F.when(text == "", F.concat(head, F.lit(" />\n"))).otherwise(F.concat(head, F.lit(">"), text, F.lit("</"), F.col("tag"), F.lit(">\n")))
+    lines = found.join(said, [doc, "node_id"]).select(doc, "idx", line.alias("line"))
+    body = lines.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "line"))), lambda x: x["line"]), "").alias("__lines"))
+    titles = text_of(nodes, first_of(nodes.where(element("title")), doc), doc).select(doc, F.trim("text_content").alias("__title"))
+    out = pages.select(doc, F.col(url_col).alias("__url")).join(titles, doc, "left").join(body, doc, "left")
+    none = lambda c: F.coalesce(c, F.lit(""))
+    return out.select(doc, F.concat(F.lit("url="), none("__url"), F.lit("\ntitle="), none("__title"), F.lit("\n\n"), none("__lines")).alias("state"))
+
+
+def form_query(nodes: DataFrame, doc: str) -> DataFrame:
+    """(doc, form, action, query): what submitting each form without a pressed button would send.
+
+    Named fields that are not disabled, in document order; boxes only if checked; buttons, files and resets never. A
+    select sends its selected option, else its first.
+    """
+    forms = nodes.where(element("form")).select(doc, F.col("node_id").alias("form"), F.col("subtree_end").alias("form_end"), attribute("action").alias("action"))
+    kind = F.lower(F.coalesce(attribute("type"), F.lit("")))
+    sends = element() & F.col("tag").isin("input", "select", "textarea") & (F.coalesce(attribute("name"), F.lit("")) != "") & ~attr_is("disabled") & ~kind.isin("file", "reset", "button", "submit") & (~kind.isin("checkbox", "radio") | checked())
+    fields = nodes.where(sends)
+    said = text_of(nodes, fields.where("tag = 'textarea'"), doc)
+    chosen = nodes.where(element("option")).select(F.col(doc).alias("__doc"), F.col("node_id").alias("__at"), F.col("subtree_end").alias("__end"), attr_is("selected").alias("__selected"), attribute("value").alias("__value"))
+    picks = fields.where("tag = 'select'").select(doc, "node_id", "subtree_end").join(chosen, (F.col(doc) == F.col("__doc")) & (F.col("__at") > F.col("node_id")) & (F.col("__at") <= F.col("subtree_end")))
+    picks = picks.groupBy(doc, "node_id").agg(F.min_by(F.struct("__at", "__end", "__value"), F.struct(~F.col("__selected"), "__at")).alias("o")).select(doc, "node_id", "o.*")
+    option = text_of(nodes, picks.select(doc, F.col("__at").alias("node_id"), F.col("__end").alias("subtree_end")), doc).toDF(doc, "__at", "__said")
+    picks = picks.join(option, [doc, "__at"], "left").select(doc, "node_id", F.coalesce("__value", "__said", F.lit("")).alias("picked"))
+    rows = fields.join(said, [doc, "node_id"], "left").join(picks, [doc, "node_id"], "left")
+    box = F.when(kind.isin("checkbox", "radio"), F.coalesce(attribute("value"), F.lit("on"))).otherwise(F.coalesce(attribute("value"), F.lit("")))
+    value = F.when(F.col("tag") == "select", F.coalesce("picked", F.lit(""))).when(F.col("tag") == "textarea", F.coalesce("text_content", F.lit(""))).otherwise(box)
+    coded = lambda c: F.url_encode(c)
+    pairs = rows.select(F.col(doc).alias("__doc"), F.col("node_id").alias("__at"), F.concat(coded(attribute("name")), F.lit("="), coded(value)).alias("__pair"))
+    held = forms.join(pairs, (F.col(doc) == F.col("__doc")) & (F.col("__at") > F.col("form")) & (F.col("__at") <= F.col("form_end")), "left")
+    order = F.array_sort(F.collect_list(F.when(F.col("__at").isNotNull(), F.struct("__at", "__pair"))))
+    return held.groupBy(doc, "form", "action").agg(F.array_join(F.transform(order, lambda x: x["__pair"]), "&").alias("query"))

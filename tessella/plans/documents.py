@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators import dom
+from tessella.functions import charset, urls
+from tessella.operators import dom, serp
 from tessella.plans.web import C, _pages, query
 
 _ID = "page_id"
@@ -141,3 +142,54 @@ def rendered_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _nodes(spark, sf_dir)
     body = dom.text_of(nodes, nodes.where(dom.element("body")), _ID, drop=("script", "style", "noscript"))
     return body.select(_ID, collapse_lines(C("text_content")).alias("text"))
+
+
+_STATE_LINES = "string_agg('[' || (i - 1) || '] <a href=\"' || href || '\">' || CASE WHEN length(said) > 80 THEN substr(said, 1, 80) || '…' ELSE said END || '</a>' || chr(10), '' ORDER BY i)"
+
+
+@query(f"""SELECT p.page_id, 'url=' || url || chr(10) || 'title=' || trim(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')) || chr(10) || chr(10) || coalesce(lines, '') AS state
+FROM pages p LEFT JOIN (SELECT page_id, {_STATE_LINES} AS lines FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">(.*?)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)">(.*?)</a>', 2)) AS said,
+generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)">(.*?)</a>', 1), 1) AS i FROM pages) GROUP BY page_id) l ON p.page_id = l.page_id""")
+def page_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dom.page_state(_nodes(spark, sf_dir), _pages(spark, sf_dir), _ID)
+
+
+_FORM = "concat('<form action=\"/s\"><input name=q value=\"a b', cast(page_id AS VARCHAR(20)), '\"><input name=off value=x disabled><input type=checkbox name=c', CASE WHEN page_id % 2 = 0 THEN ' checked' ELSE '' END, '><select name=s><option value=1>one<option', CASE WHEN page_id % 3 = 0 THEN ' selected' ELSE '' END, '>two</select><textarea name=t>x&amp;y</textarea><input type=submit name=go value=Go></form>')"
+
+
+@query("SELECT page_id, '/s' AS action, 'q=a+b' || page_id || CASE WHEN page_id % 2 = 0 THEN '&c=on' ELSE '' END || CASE WHEN page_id % 3 = 0 THEN '&s=two' ELSE '&s=1' END || '&t=x%26y' AS query FROM pages")
+def form_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _pages(spark, sf_dir).selectExpr(_ID, f"{_FORM} AS html")
+    return dom.form_query(dom.parse_dom(pages, _ID, "html"), _ID).drop("form")
+
+
+_SERP = "concat('<ol id=\"b_results\"><li class=\"b_algo\"><h2><a href=\"', url, '\">T0</a></h2><p>S0</p></li><li class=\"b_ad\"><a href=\"/ad\">ad</a></li><li class=\"b_algo\"><p>no link</p></li><li class=\"b_algo\"><h2><a href=\"https://x.example/', cast(page_id AS VARCHAR(20)), '\">T2</a></h2></li></ol>')"
+
+
+@query("""SELECT page_id, pos, (3 - pos)::DOUBLE AS score, title, url, snippet FROM (SELECT page_id, 0 AS pos, 'T0' AS title, url, 'S0' AS snippet FROM pages UNION ALL SELECT page_id, 2, 'T2', 'https://x.example/' || page_id, '' FROM pages)""")
+def serp_bing_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _pages(spark, sf_dir).selectExpr(_ID, f"{_SERP} AS html")
+    return serp.bing(pages, _ID).drop("engine")
+
+
+_HEADER = "CASE page_id % 4 WHEN 0 THEN 'text/html; charset=gb2312' WHEN 1 THEN 'text/html' WHEN 2 THEN 'text/html; charset=nonsense' END"
+
+
+@query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'gbk' WHEN page_id % 3 = 0 THEN 'shift_jis' ELSE 'utf-8' END AS encoding, CASE WHEN page_id % 4 = 0 THEN 'header' ELSE 'meta' END AS provenance FROM pages")
+def charset_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _pages(spark, sf_dir).selectExpr(_ID, f"{_HEADER} AS header", "CASE WHEN page_id % 3 = 0 THEN replace(html, 'charset=\"utf-8\"', 'charset=\"x-sjis\"') ELSE html END AS html")
+    return rows.select(_ID, charset.detect(C("header"), F.to_binary("html", F.lit("utf-8"))).alias("d")).select(_ID, "d.*")
+
+
+@query("""SELECT page_id, regexp_extract(url, '^([a-z]+):', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), ''), '/') AS path,
+regexp_extract(url, '\\?([^#]*)', 1) AS query, regexp_extract(url, '^[a-z]+://[^/?#]+') AS origin FROM pages""")
+def url_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = C("url")
+    return _pages(spark, sf_dir).select(_ID, urls.scheme(u).alias("scheme"), urls.host(u).alias("host"), urls.path(u).alias("path"), urls.part(u, 5).alias("query"), urls.origin(u).alias("origin"))
+
+
+@query()
+def css_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _nodes(spark, sf_dir)
+    title = dom.first_of(nodes.where(dom.element("h1") | dom.has_id("activity-name") | dom.has_class("article-title")), _ID)
+    return dom.text_of(nodes, title, _ID).select(_ID, F.nullif(F.trim("text_content"), F.lit("")).alias("rendered_title"))
