@@ -200,8 +200,8 @@ def learn(docs: DataFrame, usable: Column, pieces: list[bytes], id_col: str = "d
         return None
     drawn = bounded_sample(rows, id_col, lang_col, sorted(names), sample).select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"))
     held = rows.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text")).join(F.broadcast(drawn.distinct()), ["__id", "__lang"])
-    found = held.select("__id", "__lang", "__text").collect()
-    return fit([(r[2], r[1]) for r in sorted(found, key=lambda r: (r[0], r[1], r[2] or ""))], pieces)
+    found = held.groupBy("__id", "__lang").agg(F.min("__text")).collect()  # one text of an id, however often it repeats
+    return fit([(r[2], r[1]) for r in sorted(found, key=lambda r: (r[0], r[1]))], pieces)
 
 
 def predict_language(docs: DataFrame, model, pieces: list[bytes], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

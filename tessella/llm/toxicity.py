@@ -262,8 +262,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     """Fits on at most sample documents of each label among the usable rows of labels."""
     drawn = bounded_sample(labels.where(usable), id_col, label_col, [0, 1], sample)
     held = docs.select(F.col(id_col), F.col(text_col).alias("__text")).join(F.broadcast(drawn), id_col)
-    rows = held.select(id_col, "__text", F.col(label_col).alias("__y")).collect()
-    return fit((r[1], r[2]) for r in sorted(rows, key=lambda r: (r[0], r[2], r[1] or ""))[: 4 * sample])
+    rows = held.groupBy(id_col, label_col).agg(F.min("__text")).collect()  # one text of an id, however often it repeats
+    return fit((r[2], r[1]) for r in sorted(rows, key=lambda r: (r[0], r[1])))
 
 
 def score_toxicity(docs: DataFrame, model: tuple | None, text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
