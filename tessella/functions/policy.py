@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ipaddress
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BooleanType
 
-from tessella.functions.classify import has_any
+from tessella.functions.classify import has_any, is_antispider
 from tessella.functions.urls import host, origin, scheme
 
 
@@ -70,3 +75,40 @@ def client_hints(agent: Column) -> tuple[Column, Column]:
     has = lambda *marks: has_any(agent, marks)
     platform = F.when(has("Macintosh", "Mac OS X"), "macOS").when(has("Windows"), "Windows").when(has("iPhone", "Android"), "Android").otherwise("Linux")
     return F.when(version == "", "145").otherwise(version), platform
+
+
+def cross_scheme_to_file(source: Column, target: Column) -> Column:
+    """Whether a page that is no file opens one."""
+    return F.startswith(F.lower(target), F.lit("file:")) & ~F.coalesce(F.startswith(F.lower(source), F.lit("file:")), F.lit(False))
+
+
+def redirected_method(status: Column, method: Column) -> Column:
+    """301, 302 and 303 turn a request into GET; others keep its method."""
+    return F.when(status.isin(301, 302, 303), "GET").otherwise(method)
+
+
+def redirects_blocked(redirects: Column) -> Column:
+    """Whether any URL of a redirect chain is a challenge's."""
+    return F.exists(F.coalesce(redirects, F.array().cast("array<string>")), is_antispider)
+
+
+@pandas_udf(BooleanType())
+def forbidden_ipv6(address: pd.Series) -> pd.Series:
+    """Loopback, unspecified, unique local and link-local IPv6, and mapped IPv4 that is forbidden; null for other text."""
+
+    def one(text: str) -> bool | None:
+        try:
+            ip = ipaddress.IPv6Address(text.strip("[]"))
+        except ValueError:
+            return None
+        v4 = ip.ipv4_mapped
+        if v4 is not None:
+            return v4.is_loopback or v4.is_private or v4.is_link_local or v4.is_unspecified or str(v4) == "255.255.255.255"
+        return ip.is_loopback or ip.is_unspecified or ip.is_link_local or ip in ipaddress.IPv6Network("fc00::/7")
+
+    return address.map(one, na_action="ignore").astype("boolean")
+
+
+def cache_key(*fields: Column) -> Column:
+    """A digest of a request's fields, nulls apart from empty text."""
+    return F.sha2(F.concat_ws("|", *(F.coalesce(F.concat(F.lit("="), f.cast("string")), F.lit("-")) for f in fields)), 256)

@@ -64,6 +64,16 @@ def test_policies(spark):
     assert (one(spark, version), one(spark, platform)) == ("131", "macOS")
 
 
+def test_more_policies(spark):
+    rows = spark.createDataFrame([("::1",), ("::",), ("fe80::1",), ("fd00::2",), ("::ffff:10.0.0.1",), ("2606:4700::1111",), ("x",)], "a string").coalesce(1)
+    assert [r[0] for r in rows.select(policy.forbidden_ipv6("a")).collect()] == [True, True, True, True, True, False, None]
+    assert one(spark, policy.redirected_method(F.col("s"), F.lit("POST")), s=303) == "GET"
+    assert one(spark, policy.redirected_method(F.col("s"), F.lit("POST")), s=307) == "POST"
+    assert one(spark, policy.cross_scheme_to_file(F.lit("https://x"), F.col("t")), t="FILE:///etc") is True
+    assert one(spark, policy.redirects_blocked(F.array(F.lit("https://x/"), F.col("u"))), u="https://y/antispider") is True
+    assert one(spark, policy.cache_key(F.lit(None), F.col("a")), a="") != one(spark, policy.cache_key(F.lit(""), F.col("a").cast("int")), a=None)
+
+
 def test_merge_sums_scores_and_takes_the_longest_title(spark):
     raw = spark.createDataFrame([(1, 0, "bing", "Foo", "https://example.com/a", "s", 5.0), (1, 1, "baidu", "Foo Bar", "https://www.example.com/a/", "s", 3.0), (1, 2, "baidu", "", "https://x.example/", "", 1.0)], "q int, seq long, engine string, title string, url string, snippet string, score double")
     rows = search.merge_results(raw, ["q"]).orderBy("rank").collect()
