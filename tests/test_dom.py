@@ -64,3 +64,29 @@ def test_selectors(spark):
     assert dom.first_of(nodes.where(dom.element("p")), "page_id").where("page_id = 1").count() == 1
     ranked = dom.with_type_rank(nodes, "page_id").where("page_id = 1 AND tag = 'p' AND NOT in_template").orderBy("node_id").collect()
     assert [(r.type_idx, r.n_elements) for r in ranked] == [(0, 5), (1, 5), (0, 2)]
+
+
+def test_resources(spark):
+    from tessella.operators import resources as res
+
+    source = "<head><base href='/dir/'><link rel=StyleSheet href=a.css><link rel='x stylesheet' href=b.css><link rel=stylesheet href='file:///c.css'></head><img src=i.png><img src=i.png><img src='data:x'><script>run()</script><script type=text/template>no</script><script src=s.js defer></script><script> </script><a href=x>l</a>"
+    pages = spark.createDataFrame([(1, "https://e.com/p", source), (2, "https://e.com/q", "<p>x")], "page_id long, url string, html string")
+    chunks = spark.createDataFrame([(1, 1, source[50:]), (1, 0, source[:50]), (2, 0, "<p>x")], "page_id long, n int, part string")
+    assert {r.page_id: r.html for r in res.join_chunks(chunks, "page_id", "n", "part").collect()} == {1: source, 2: "<p>x"}
+    nodes = dom.parse_dom(pages, "page_id", "html").cache()
+    bases = res.base_urls(nodes, pages, "page_id")
+    assert {r.page_id: r.base_url for r in bases.collect()} == {1: "https://e.com/dir/", 2: "https://e.com/q"}
+    assert [(r["rank"], r.resource_url) for r in res.sub_resources(nodes, bases, "page_id").orderBy("rank").collect()] == [(1, "https://e.com/dir/i.png"), (2, "https://e.com/dir/b.css")]
+    assert [r.resource_url for r in res.stylesheets(nodes, bases, "page_id").collect()] == ["https://e.com/dir/a.css"]
+    assert sorted((r.phase, r.src, r.body) for r in res.scripts(nodes, "page_id").collect()) == [(0, None, "run()"), (1, "s.js", "")]
+    assert res.links(nodes).count() == 1
+
+
+def test_state_and_forms(spark):
+    source = "<title> T </title><form action=/go><input name=a value='x y'><input type=radio name=r value=1><input type=radio name=r value=2 checked><select name=s><option>o1<option value=v2 selected>o2</select><textarea name=t>m&amp;n</textarea><button name=b>B</button></form><a class='" + "c" * 60 + "' href=/h>" + "w" * 90 + "</a>"
+    pages = spark.createDataFrame([(1, "http://u", source)], "page_id long, url string, html string")
+    nodes = dom.parse_dom(pages, "page_id", "html")
+    assert [(r.action, r.query) for r in dom.form_query(nodes, "page_id").collect()] == [("/go", "a=x+y&r=2&s=v2&t=m%26n")]
+    lines = dom.page_state(nodes, pages, "page_id").first().state.split("\n")
+    assert lines[:4] == ["url=http://u", "title=T", "", '[0] <input name="a" value="x y" />']
+    assert lines[-2] == f'[6] <a class="{"c" * 50}…" href="/h">{"w" * 80}…</a>'
