@@ -12,7 +12,8 @@ A list may hold a third of all documents, so no list is expanded into all its pa
   3. nodes of lists that still hold several groups are compared on their sets' rarest shingles: two sets that
      reach the threshold share one of a short prefix of either, rarest first, and what follows their first shared
      one must suffice for the overlap. Groups that share a passage but are unlike otherwise have prefixes of their
-     own and give no pairs. Nothing is capped.
+     own and give no pairs. Each posting carries parity bits of its set; two sets differ in at least as many
+     shingles as their bits do, so copies edited too far apart meet in no row. Nothing is capped.
 
 Defined results: no words or null text: an empty set, linked with nothing, its own component. Fewer words than a
 shingle: the whole sequence is one shingle. Repeated rows and ids: each row gets the component of its text. A null
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from tessella.llm.common import chunks, discard, map_texts, materialize, texts
 
 ROWS, COORDINATES, MISS = 4, 28, 1e-6
+#: 64-bit words of a set's parity bits.
+PARITY = 8
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -96,6 +99,12 @@ def _signer(n: int) -> Callable:
     return start
 
 
+def parity_bits(found: np.ndarray) -> np.ndarray:
+    """Bit k is set if an odd number of the set's hashes end in k: xor of two counts no more than the sets differ in."""
+    odd = np.bincount((found & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def matches(percent: int) -> int:
     """The most coordinates that a pair at the threshold shares but for a chance under MISS."""
     p = (percent / 100) ** ROWS
@@ -143,16 +152,17 @@ def _near_roots(edges: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, n: int) -> DataFrame:
-    """(node, members) of the given nodes, made again from one document of each."""
+    """(node, members, parity) of the given nodes, made again from one document of each."""
     rows = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text")).join(nodes, F.col("rep").eqNullSafe(F.col("of_rep")) & (F.col("text_hash") == F.col("of_hash"))).select("node", "text")
 
     def run(batches):
         hashes = WordHashes()
         for batch in chunks(batches):
-            sets = [shingle_set(t, n, hashes).view(np.int64) for t in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "members"])
+            sets = [shingle_set(t, n, hashes) for t in texts(batch.column(1))]
+            columns = [pa.array([f(x) for x in sets], pa.list_(pa.int64())) for f in (lambda x: x.view(np.int64), parity_bits)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["node", "members", "parity"])
 
-    return rows.dropDuplicates(["node"]).mapInArrow(run, "node binary, members array<bigint>")
+    return rows.dropDuplicates(["node"]).mapInArrow(run, "node binary, members array<bigint>, parity array<bigint>")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -188,7 +198,7 @@ def _colliding(pairs: DataFrame, nodes: DataFrame, need: int) -> DataFrame:
 
 
 def _by_rare_shingles(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (u, v) of nodes of different roots that may reach the threshold, from (node, root, members).
+    """Pairs (u, v) of nodes of different roots that may reach the threshold, from (node, root, members, parity).
 
     Also the postings, to be discarded. A posting counts what of its set is left from it on. In each list the most
     frequent root's members are not compared with one another.
@@ -200,12 +210,16 @@ def _by_rare_shingles(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFra
     most = F.col("size") - F.ceil(percent * F.col("size") / F.lit(100)) + 1
     rows = own.select("k", "r", "size", F.posexplode(F.slice("all", F.lit(1), most.cast("int"))).alias("pos", "s")).where("s.df > 1")
     rows = rows.select("k", "r", (F.col("size") - F.col("pos")).alias("left"), "size", F.col("s.shingle").alias("shingle"), F.col("s.least").alias("least"))
-    rows = materialize(rows.where(F.col("left") >= need(F.col("size"), F.greatest("least", F.ceil(percent * F.col("size") / F.lit(100))))).drop("least"))
+    rows = rows.where(F.col("left") >= need(F.col("size"), F.greatest("least", F.ceil(percent * F.col("size") / F.lit(100))))).drop("least")
+    bits = [f"bits_{i}" for i in range(PARITY)]
+    rows = materialize(rows.join(sets.select(F.xxhash64("node").alias("k"), *(F.col("parity")[i].alias(x) for i, x in enumerate(bits))), "k"))
     main = rows.groupBy("shingle", "r").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("r", F.struct("n", "r")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
     b = rows.join(main, "shingle")
-    a, b = (b.select("shingle", "main", *(F.col(c).alias(f"{c}_{x}") for c in ("k", "r", "left", "size"))) for x in "ab")
+    a, b = (b.select("shingle", "main", *(F.col(c).alias(f"{c}_{x}") for c in ("k", "r", "left", "size", *bits))) for x in "ab")
     pairs = a.where("r_a <> main").join(b.drop("main"), "shingle").where("r_a <> r_b AND (r_b = main OR k_a < k_b)")
-    pairs = pairs.where(F.least("left_a", "left_b") >= need(F.col("size_a"), F.col("size_b"))).where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
+    overlap = need(F.col("size_a"), F.col("size_b"))
+    apart = sum((F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in bits), F.lit(0))
+    pairs = pairs.where(F.least("left_a", "left_b") >= overlap).where(apart <= F.col("size_a") + F.col("size_b") - 2 * overlap).where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
     pairs = pairs.select(F.least("k_a", "k_b").alias("x"), F.greatest("k_a", "k_b").alias("y")).distinct()
     name = sets.select("node", F.xxhash64("node").alias("k"))
     pairs = pairs.join(name.toDF("u", "x"), "x").join(name.toDF("v", "y"), "y").select("u", "v")

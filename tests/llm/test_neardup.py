@@ -1,9 +1,10 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
-from tessella.llm.neardup import drop_near_duplicates, near_duplicates
+from tessella.llm.neardup import drop_near_duplicates, near_duplicates, parity_bits
 
 SCHEMA = "doc_id long, text string, lang string, root string"
 
@@ -49,3 +50,13 @@ def test_ids_may_be_null_or_repeat_and_tables_empty(spark):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(7, text), (8, None), (None, None), (9, "x y z q r s")], key=str)
     assert drop_near_duplicates(docs.limit(0)).count() == 0
     assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_parity_bits_never_count_more_than_the_sets_differ_in():
+    rng = np.random.default_rng(4)
+    for size, moved in ((0, 3), (40, 0), (40, 9), (300, 30), (20_000, 15_000)):
+        a = np.unique(rng.integers(0, 2**63, size, np.uint64))
+        b = np.unique(np.concatenate([a[moved:], rng.integers(0, 2**63, moved, np.uint64)]))
+        bits = sum(int(x).bit_count() for x in (parity_bits(a) ^ parity_bits(b)).view(np.uint64))
+        assert bits <= len(np.setxor1d(a, b))
+        assert bits or not moved
