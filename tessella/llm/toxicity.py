@@ -15,9 +15,7 @@ Repeated ids are scored row by row; a null id is never learned from.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterable
-from math import log
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -47,22 +45,33 @@ def _grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([four[left >= 4], (four | joined[4 : 4 + n] << np.uint64(32))[left >= 5]]), np.concatenate([of[left >= 4], of[left >= 5]])
 
 
-def _evidence(found: list[set], label: np.ndarray) -> dict:
-    """Log-odds of a feature's presence in toxic against clean documents, where they are significant."""
-    held = [Counter(), Counter()]
-    for features, y in zip(found, label, strict=True):
-        held[y].update(features)
-    n = [int((label == 0).sum()), int((label == 1).sum())]
-    out = {}
-    for f in held[1].keys() | held[0].keys():
-        a, b = held[1][f], held[0][f]
-        if a + b < 4:
-            continue
-        share = (a + b) / (n[0] + n[1])
-        cells = ((a, n[1] * share), (b, n[0] * share), (n[1] - a, n[1] * (1 - share)), (n[0] - b, n[0] * (1 - share)))
-        if 2 * sum(x * log(x / e) for x, e in cells if x) > SIGNIFICANT:
-            out[f] = max(-4.0, min(4.0, log((a + 0.5) / (n[1] + 1)) - log((b + 0.5) / (n[0] + 1))))
-    return out
+def _evidence(held: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Log-odds of a feature's presence in toxic against clean documents, where they are significant; else 0.
+
+    held counts the documents of either label that hold each feature, n the documents of either label.
+    """
+    (b, a), total = held, held.sum(0)
+    share = total / n.sum()
+    cells = ((a, n[1] * share), (b, n[0] * share), (n[1] - a, n[1] * (1 - share)), (n[0] - b, n[0] * (1 - share)))
+    ratio = 2 * sum(np.where(x > 0, x * np.log(np.maximum(x, 1) / np.maximum(e, 1e-300)), 0) for x, e in cells)
+    odds = np.log((a + 0.5) / (n[1] + 1)) - np.log((b + 0.5) / (n[0] + 1))
+    return np.where((total >= 4) & (ratio > SIGNIFICANT), np.clip(odds, -4, 4), 0.0)
+
+
+def _presence(docs: list[np.ndarray], label: np.ndarray, vocab: list[bytes]) -> tuple[dict, dict]:
+    """Evidence of words and of their sequences, from documents given as places in vocab."""
+    gram, of = _grams(vocab) if vocab else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    order = np.argsort(of, kind="stable")
+    names, gram = np.unique(gram[order], return_inverse=True)
+    start = np.searchsorted(of[order], np.arange(len(vocab) + 1))
+    by_word, by_gram = np.zeros((2, len(vocab)), np.int64), np.zeros((2, len(names)), np.int64)
+    for words, y in zip(map(np.unique, docs), label, strict=True):
+        by_word[y, words] += 1
+        if len(words):
+            by_gram[y, np.unique(np.concatenate([gram[start[w] : start[w + 1]] for w in words]))] += 1
+    n = np.bincount(label, minlength=2)
+    word, seq = _evidence(by_word, n), _evidence(by_gram, n)
+    return {vocab[i]: float(word[i]) for i in np.flatnonzero(word)}, {int(names[i]): float(seq[i]) for i in np.flatnonzero(seq)}
 
 
 def _inputs(evidence: tuple[dict, dict]) -> Callable[[list[bytes]], np.ndarray]:
@@ -181,24 +190,24 @@ class Network:
 
 def fit(rows: Iterable[tuple[str | None, int]], rounds: int = 3, steps: int = 150) -> tuple[tuple[dict, dict], dict] | None:
     """Evidence and the network's numbers from (text, label) rows; None without labels of both kinds."""
-    rows, copies = [(words_of((t or "").encode("utf-8", "ignore")), int(y)) for t, y in rows], set()
-    once = []
-    for words, y in rows:  # copies and near copies count once
+    places: dict[bytes, int] = {}
+    docs, labels, copies = [], [], set()
+    for t, y in rows:
+        words = words_of((t or "").encode("utf-8", "ignore"))
         first = min((zlib.crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=0)
-        if first not in copies:
+        if first not in copies:  # copies and near copies count once
             copies.add(first)
-            once.append((words, y))
-    rows = once
-    label = np.array([y for _, y in rows], np.int64)
-    if len(set(label.tolist())) < 2:
+            for w in words:
+                places.setdefault(w, len(places))
+            docs.append(np.fromiter(map(places.__getitem__, words), np.int32, len(words)))
+            labels.append(int(y))
+    label, vocab = np.array(labels, np.int64), list(places)
+    if len(set(labels)) < 2:
         return None
-    seen = [set(w) for w, _ in rows]
-    evidence = _evidence(seen, label), _evidence([set(np.unique(_grams(list(w))[0]).tolist()) if w else set() for w in seen], label)
-    table = WordRows(_inputs(evidence), most=10**9)
-    where = table.indexes([w for w, _ in rows])
-    x = np.concatenate([table.rows, np.zeros((1, INPUTS), np.float32)])
+    evidence = _presence(docs, label, vocab)
+    x = np.concatenate([_inputs(evidence)(vocab), np.zeros((1, INPUTS), np.float32)])
     ats, reals, of = [], [], []
-    for k, words in enumerate(where):
+    for k, words in enumerate(docs):
         at, real = _windows(len(words))
         ats.append(words[at] if len(words) else np.full_like(at, len(x) - 1))
         reals.append(real)
@@ -215,7 +224,7 @@ def fit(rows: Iterable[tuple[str | None, int]], rounds: int = 3, steps: int = 15
         net.train(x, at[pick], real[pick], label[of[pick]], steps, draw)
         gates = net.project(x)
         score = np.concatenate([net.forward(gates, at[i : i + 8192], real[i : i + 8192]) for i in range(0, len(at), 8192)])
-    top = np.full(len(rows), -np.inf)
+    top = np.full(len(docs), -np.inf)
     np.maximum.at(top, of, score)
     order = np.argsort(-top, kind="stable")
     hits = np.cumsum(label[order])
@@ -263,7 +272,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     drawn = bounded_sample(labels.where(usable), id_col, label_col, [0, 1], sample)
     held = docs.select(F.col(id_col), F.col(text_col).alias("__text")).join(F.broadcast(drawn), id_col)
     rows = held.groupBy(id_col, label_col).agg(F.min("__text")).collect()  # one text of an id, however often it repeats
-    return fit((r[2], r[1]) for r in sorted(rows, key=lambda r: (r[0], r[1])))
+    rows.sort(key=lambda r: (r[0], r[1]), reverse=True)
+    return fit((r[2], r[1]) for r in (rows.pop() for _ in range(len(rows))))
 
 
 def score_toxicity(docs: DataFrame, model: tuple | None, text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
