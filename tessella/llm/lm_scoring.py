@@ -1,12 +1,17 @@
 """Cross-entropy difference of a target and a background language model (Moore-Lewis selection).
 
-Both models are bigram models over one vocabulary: the WORDS most frequent words of all documents, and CLASSES classes
-by ending for every other word. Counts cover every document: words are counted in tasks, added up by a shuffle, and
-the most frequent kept; bigrams over the fixed vocabulary are counted alike, those of target documents apart. What
-comes to the driver is bounded by the square of the vocabulary. A document's score is its cross-entropy under the
-target model minus that under the background model, in nats a token: the lower, the more like the target.
+Both models are bigram models over one vocabulary: every word of the documents. Counts cover every document and every
+pair of neighbouring words. The WORDS most frequent words are the head: pairs inside it are counted in tasks into a
+table that is bounded by the square of the head, and broadcast. Every place of a word outside the head goes, with the
+words before and after it, to where all places of that word meet; there the word and its pairs are counted, and each
+document gets back a sum of logarithms. A word outside the head has less than a WORDS-th of all words, so no key of
+that shuffle is hot. Which words are the head changes no score. Outside it words are told apart by 62-bit hashes.
 
-Smoothing: P(b | a) = (n(ab) + K p(b)) / (n(a) + K), p(b) = (n(b) + 1/2) / (n + size / 2).
+A document's score is its cross-entropy under the target model minus that under the background model, in nats a
+token: the lower, the more like the target.
+
+Smoothing: P(b | a) = (n(ab) + K p(b)) / (n(a) + K), p(b) = (n(b) + 1/2) / (n + size / 2); size is the number of
+distinct words and CLASSES for words that no document has.
 
 Defined results: a document without words has no tokens and null entropies and score. Without target documents both
 entropies are there, the target's uniform. Repeated ids are scored row by row; a null id is never a target.
@@ -14,28 +19,29 @@ entropies are there, the target's uniform. Repeated ids are scored row by row; a
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import chunks, map_texts, texts
+from tessella.llm.common import chunks, discard, materialize, texts
 
 WORDS, CLASSES, K, HELD = 1024, 256, 50.0, 200_000
 #: So many target ids go to every executor; with more, ids and texts are shuffled to meet.
 SENT = 1_000_000
+_TAIL = 1 << 62
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.decode("utf-8", "ignore").lower().encode().split()
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text", words: int = WORDS) -> list[bytes]:
-    """The most frequent words of all documents; of equally frequent ones the first by bytes."""
+def vocabulary(docs: DataFrame, text_col: str = "text", words: int = WORDS) -> tuple[list[bytes], int]:
+    """The most frequent words of all documents, of equally frequent ones the first by bytes; how many words there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -48,47 +54,55 @@ def vocabulary(docs: DataFrame, text_col: str = "text", words: int = WORDS) -> l
                 seen.clear()
         yield give()
 
-    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in counted.orderBy(F.desc("n"), "word").limit(words).collect()]
+    counted = materialize(docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    head = [bytes(r.word) for r in counted.orderBy(F.desc("n"), "word").limit(words).collect()]
+    distinct = counted.count()
+    discard(counted)
+    return head, distinct
 
 
 class Coder:
-    """Numbers of words: their place in the vocabulary, or a class by the ending; size is the text's start."""
+    """Numbers of words: their place in the head, or _TAIL and a hash; for tables base stands for all others, start for the text's start."""
 
-    def __init__(self, vocab: list[bytes], classes: int = CLASSES) -> None:
-        self.size = len(vocab) + classes
-        self.base, self.classes = len(vocab), classes
-        self.at = {w: i for i, w in enumerate(vocab)}
+    def __init__(self, head: list[bytes]) -> None:
+        self.base, self.start = len(head), len(head) + 1
+        self.at = {w: i for i, w in enumerate(head)}
         self.known = len(self.at)
 
-    def pairs(self, text: bytes) -> np.ndarray:
-        """Previous and own number of each word as one number."""
+    def numbers(self, text: bytes) -> np.ndarray:
         at, out = self.at, []
         if len(at) > self.known + 400_000:
             self.at = at = dict(list(at.items())[: self.known])
         for w in words_of(text):
             k = at.get(w)
             if k is None:
-                k = at[w] = self.base + zlib.crc32(w[-2:]) % self.classes
+                k = at[w] = int.from_bytes(blake2b(w, digest_size=8).digest()) >> 2 | _TAIL
             out.append(k)
-        ids = np.array([self.size, *out], np.int64)
-        return ids[:-1] * self.size + ids[1:]
+        return np.array(out, np.int64)
+
+    def before(self, numbers: np.ndarray) -> np.ndarray:
+        return np.concatenate([[self.start], numbers[:-1]]) if len(numbers) else numbers
+
+    def pairs(self, previous: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Places in a table of (base + 2, base + 1)."""
+        return np.where(previous >= _TAIL, self.base, previous) * (self.base + 1) + np.where(own >= _TAIL, self.base, own)
 
 
-def count_pairs(docs: DataFrame, vocab: list[bytes], target: str, text_col: str = "text") -> dict[str, np.ndarray]:
-    """Bigram counts, (size + 1, size), of the target documents and of all."""
-    size = Coder(vocab).size
+def count_pairs(docs: DataFrame, head: list[bytes], target: str, text_col: str = "text") -> dict[str, np.ndarray]:
+    """Bigram counts, (base + 2, base + 1), of the target documents and of all; other words than the head's are one."""
+    shape = len(head) + 2, len(head) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, total = Coder(vocab), None
+        coder, total = Coder(head), None
         for batch in chunks(batches):
             if total is None:
-                total = np.zeros((2, (size + 1) * size), np.int32)
+                total = np.zeros((2, shape[0] * shape[1]), np.int64)
             for t, of_target in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                pair, n = np.unique(coder.pairs(t), return_counts=True)
-                total[1, pair] += n.astype(np.int32)
+                own = coder.numbers(t)
+                pair, n = np.unique(coder.pairs(coder.before(own), own), return_counts=True)
+                total[1, pair] += n
                 if of_target:
-                    total[0, pair] += n.astype(np.int32)
+                    total[0, pair] += n
         if total is not None:
             found = np.flatnonzero(total[1])
             for i in range(0, len(found), 100_000):
@@ -99,45 +113,178 @@ def count_pairs(docs: DataFrame, vocab: list[bytes], target: str, text_col: str
     found = rows.mapInArrow(run, "pair bigint, target bigint, every bigint").groupBy("pair").agg(F.sum("target").alias("target"), F.sum("every").alias("every")).toArrow()
     out = {}
     for name in ("target", "every"):
-        table = np.zeros((size + 1) * size)
+        table = np.zeros(shape[0] * shape[1])
         table[found["pair"].to_numpy()] = found[name].to_numpy()
-        out[name] = table.reshape(size + 1, size)
+        out[name] = table.reshape(shape)
     return out
 
 
-def losses(counts: np.ndarray) -> np.ndarray:
-    """-log P(b | a) in nats."""
-    single = counts.sum(0)
-    p = (single + 0.5) / (single.sum() + 0.5 * len(single))
-    return -np.log((counts + K * p) / (counts.sum(1, keepdims=True) + K)).astype(np.float32)
+def _known(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """What the head's counts tell of each pair's loss in nats, K p(b) of its words, and K p(b) / (n(b) + 1/2) of any word."""
+    single, total = counts.sum(0), counts.sum()
+    weight = K / (total + 0.5 * size)
+    prior = weight * (single + 0.5)
+    out = np.log(counts.sum(1, keepdims=True) + K) - np.log(counts + prior)
+    out[:, -1] = np.log(counts.sum(1) + K)
+    out[-2] = 0
+    return out.ravel(), prior, weight
+
+
+#: A word outside the head at one place of a document.
+_PLACE = np.dtype([("before", "<i8"), ("doc", "<i4"), ("after", "<i2")])
+_OUTSIDE, _END = -1, -2  # for after: a word outside the head, the text's end
+_ROW = "__key bigint, __first bigint, __places binary, n_tokens bigint, __t double, __e double"
+_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.float64()]
+
 
+def _runs(*sorted_: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    change = np.zeros(len(sorted_[0]), bool)
+    change[:1] = True
+    for x in sorted_:
+        change[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(change)
 
-def _scorer(vocab: list[bytes], target: np.ndarray, every: np.ndarray) -> Callable:
-    def start() -> Callable[[list[bytes]], dict]:
-        coder = Coder(vocab)
-        own, all_ = target.ravel(), every.ravel()
 
-        def work(batch: list[bytes]) -> dict:
-            out = {"n_tokens": [], "target_entropy": [], "background_entropy": [], "score": []}
-            for t in batch:
-                pair = coder.pairs(t)
-                a, b = (float(x[pair].mean(dtype=float)) if len(pair) else None for x in (own, all_))
-                for k, v in zip(out, (len(pair), a, b, None if a is None else a - b), strict=True):
-                    out[k].append(v)
-            return out
+def _rows(rows: DataFrame, kept: list[str], shared) -> DataFrame:
+    """A row for each document with what the head tells of it, and one for each word outside the head with its places."""
+    schema = rows.sparkSession.createDataFrame([], _ROW).schema
+    names = [*schema.names, *kept]
+    for f in rows.select(*(f"`{c}`" for c in kept)).schema if kept else []:
+        schema = schema.add(f)
 
-        return work
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        head, (of_target, *_), (of_every, *_) = shared.value
+        coder, seen, first = Coder(head), 0, TaskContext.get().partitionId() << 40
+        keys, places, kinds = [], [], []
+
+        def give() -> Iterator[pa.RecordBatch]:
+            key, place = np.concatenate(keys), np.concatenate(places)
+            order = np.argsort(key, kind="stable")
+            key, place = key[order], place[order]
+            starts = _runs(key)
+            for i in range(0, len(starts), 50_000):
+                part = np.append(starts[i : i + 50_000], starts[i + 50_000] if i + 50_000 < len(starts) else len(key))
+                n, bounds = len(part) - 1, ((part - part[0]) * _PLACE.itemsize).astype(np.int32)
+                blobs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(place[part[0] : part[-1]].tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(key[part[:-1]]), pa.array(np.full(n, first)), blobs, *(pa.nulls(n, k) for k in [*_KINDS[3:], *kinds])], names)
+            keys.clear()
+            places.clear()
 
-    return start
+        for batch in chunks(batches):
+            docs = [coder.numbers(t) for t in texts(batch.column(0))]
+            sizes = np.array([len(x) for x in docs])
+            own, before = np.concatenate(docs), np.concatenate([coder.before(x) for x in docs])
+            after = np.full(len(own), _END, np.int64)
+            after[:-1] = np.where(own[1:] >= _TAIL, _OUTSIDE, own[1:])
+            after[np.cumsum(sizes)[sizes > 0] - 1] = _END
+            of, pair, n = np.repeat(np.arange(len(docs)), sizes), coder.pairs(before, own), len(docs)
+            number = seen + np.arange(n)
+            sums = [np.bincount(of, x[pair], n).astype(float) for x in (of_target, of_every)]
+            kinds = [c.type for c in batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays([pa.array(-1 - first - number), pa.array(first + number), pa.nulls(n, pa.binary()), pa.array(sizes, pa.int64()), *map(pa.array, sums), *batch.columns[2:]], names)
+            seen += n
+            at = np.flatnonzero(own >= _TAIL)
+            place = np.empty(len(at), _PLACE)
+            # A document's number in its task, and whether it is a target.
+            place["before"], place["doc"], place["after"] = before[at], (number * 2 + np.array(batch.column(1).to_pylist()))[of[at]], after[at]
+            keys.append(own[at])
+            places.append(place)
+            if sum(map(len, keys)) > HELD * 5:
+                yield from give()
+        if keys:
+            yield from give()
+
+    return rows.mapInArrow(run, schema)
+
+
+def _word_losses(key: np.ndarray, place: np.ndarray, models: list) -> list[np.ndarray]:
+    """What each place of words outside the head adds to its document's loss; all places of a word are there."""
+    target = (place["doc"] & 1).astype(float)
+    word = np.zeros(len(key), np.int64)
+    word[_runs(key)[1:]] = 1
+    word = np.cumsum(word)
+    groups = []
+    for other in (place["before"], place["after"].astype(np.int64)):
+        order = np.lexsort((other, word))
+        group = np.zeros(len(key), np.int64)
+        group[_runs(word[order], other[order])[1:]] = 1
+        back = np.empty(len(key), np.int64)
+        back[order] = np.cumsum(group)
+        groups.append(back)
+    goes_on, to_head = place["after"] != _END, place["after"] >= 0
+    out = []
+    for (_, prior, weight), one in zip(models, (target, np.ones(len(key))), strict=True):
+        count = lambda group, x: np.bincount(group, x)[group]
+        loss = -np.log(count(groups[0], one) + weight * (count(word, one) + 0.5))  # noqa: B023
+        loss += np.where(goes_on, np.log(count(word, one * goes_on) + K), 0)
+        out.append(loss - np.where(to_head, np.log(count(groups[1], one) + prior[np.where(to_head, place["after"], 0)]), 0))
+    return out
+
+
+def _sums(rows: DataFrame, kept: list[str], shared) -> DataFrame:
+    """What documents' sums are made of: a row for each place, and one for each document; rows come sorted by key."""
+    schema = rows.select("__first", "n_tokens", "__t", "__e", *(f"`{c}`" for c in kept)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = shared.value[1:]
+        held, n, most, kinds = [], 0, HELD * 3, []
+
+        def give(keys: np.ndarray, firsts: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+            parts = _word_losses(np.repeat(keys, sizes), place, models)
+            made = [pa.array(np.repeat(firsts, sizes) + (place["doc"] >> 1)), pa.nulls(len(place), pa.int64()), *map(pa.array, parts), *(pa.nulls(len(place), k) for k in kinds)]
+            for i in range(0, len(place), 50_000):
+                yield pa.RecordBatch.from_arrays([c.slice(i, 50_000) for c in made], schema.names)
+
+        whole = lambda: [np.concatenate(x) for x in zip(*held, strict=True)]
+        for batch in batches:
+            kinds = [c.type for c in batch.columns[6:]]
+            blobs = batch.column(2)
+            docs = batch.filter(blobs.is_null())
+            if docs.num_rows:
+                yield pa.RecordBatch.from_arrays([docs.column(1), *docs.columns[3:]], schema.names)
+            words = batch.filter(blobs.is_valid())
+            if not words.num_rows:
+                continue
+            blobs = words.column(2).to_pylist()
+            place = np.frombuffer(b"".join(blobs), _PLACE)
+            held.append((words.column(0).to_numpy(), words.column(1).to_numpy(), np.array([len(x) for x in blobs]) // _PLACE.itemsize, place))
+            n += len(place)
+            if n > most:
+                keys, firsts, sizes, place = whole()
+                cut = int(np.searchsorted(keys, keys[-1]))
+                done = int(sizes[:cut].sum())
+                if cut:
+                    yield from give(keys[:cut], firsts[:cut], sizes[:cut], place[:done])
+                held = [(keys[cut:], firsts[cut:], sizes[cut:], place[done:])]
+                n -= done
+                most = max(HELD * 3, 2 * n)
+        if held:
+            yield from give(*whole())
+
+    return rows.mapInArrow(run, schema)
 
 
 def score_cross_entropy(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns, n_tokens, target_entropy, background_entropy and score; targets holds the target ids."""
-    vocab = vocabulary(docs, text_col)
+    """The kept columns, n_tokens, target_entropy, background_entropy and score; targets holds the target ids.
+
+    Kept columns go through the shuffles, once for each document."""
+    new = ["n_tokens", "target_entropy", "background_entropy", "score"]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    head, distinct = vocabulary(docs, text_col)
+    size = distinct + CLASSES
     marks = targets.select(F.col(id_col).alias("__of")).where("__of IS NOT NULL").distinct().withColumn("__target", F.lit(True))
     if marks.count() <= SENT:
         marks = F.broadcast(marks)
-    marked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(marks, F.col("__id") == F.col("__of"), "left")
-    counts = count_pairs(marked, vocab, "__target", "__text")
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, losses(counts["target"]), losses(counts["every"])))
-    return map_texts(docs, text_col, lambda: _scorer(*shared.value)(), "n_tokens bigint, target_entropy double, background_entropy double, score double", keep)
+    marked = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).alias("__id"), *(f"`{c}`" for c in kept)).join(marks, F.col("__id") == F.col("__of"), "left")
+    counts = count_pairs(marked, head, "__target", "__text")
+    shared = docs.sparkSession.sparkContext.broadcast((head, *(_known(counts[k], size) for k in ("target", "every"))))
+    rows = _rows(marked.select("__text", F.coalesce("__target", F.lit(False)), *(f"`{c}`" for c in kept)), kept, shared)
+
+    sums = _sums(rows.repartition("__key").sortWithinPartitions("__key"), kept, shared).withColumnRenamed("__first", "__doc")
+    sums = sums.groupBy("__doc").agg(F.max("n_tokens").alias("n_tokens"), F.sum("__t").alias("__t"), F.sum("__e").alias("__e"), *(F.first(f"`{c}`", ignorenulls=True).alias(c) for c in kept))
+    mean = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens"))
+    out = sums.select(*(f"`{c}`" for c in kept), "n_tokens", mean("__t").alias("target_entropy"), mean("__e").alias("background_entropy"))
+    return out.withColumn("score", F.col("target_entropy") - F.col("background_entropy"))

@@ -141,6 +141,44 @@ def test_cross_entropy_matches_plain_counts(spark):
     assert lm_scoring.score_cross_entropy(docs.limit(0), targets).count() == 0
 
 
+def test_cross_entropy_counts_every_word(spark, monkeypatch):
+    rng = random.Random(8)
+    vocab = [f"{'qz'[i % 2]}{i}ing" for i in range(2500)]
+    rows = [(i, " ".join(rng.choices(vocab, [1 / (k + 3) for k in range(2500)], k=rng.randint(0, 120)))) for i in range(150)] + [(500, "rareing q2ing"), (501, "oddling q2ing rareing"), (502, "q0ing " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    of = {*range(0, 150, 3), 500}
+    targets = spark.createDataFrame([(i,) for i in of], "doc_id long")
+    score = lambda: {r.doc_id: r for r in lm_scoring.score_cross_entropy(docs, targets, keep=["doc_id"]).collect()}
+    got = score()
+    size = len({w for _, t in rows for w in t.split()}) + lm_scoring.CLASSES
+    assert size > lm_scoring.WORDS + lm_scoring.CLASSES
+    pairs = {k: Counter() for k in "tb"}
+    code = lambda t: list(itertools.pairwise([None, *t.split()]))
+    for i, t in rows:
+        for k in "tb" if i in of else "b":
+            pairs[k].update(code(t))
+    totals = {}
+    for k, c in pairs.items():
+        before, single = Counter(), Counter()
+        for (a, b), n in c.items():
+            before[a] += n
+            single[b] += n
+        totals[k] = c, before, single, sum(single.values())
+
+    def entropy(k, p):
+        c, before, single, n = totals[k]
+        prior = lambda b: lm_scoring.K * (single[b] + 0.5) / (n + 0.5 * size)
+        return -sum(math.log((c[a, b] + prior(b)) / (before[a] + lm_scoring.K)) for a, b in p) / len(p)
+
+    assert len(got) == len(rows)
+    for i, t in rows:
+        if p := code(t):
+            assert (got[i].n_tokens, got[i].target_entropy, got[i].background_entropy) == pytest.approx((len(p), entropy("t", p), entropy("b", p)), abs=1e-7)
+    assert got[500].score < got[501].score
+    monkeypatch.setattr(lm_scoring.vocabulary, "__defaults__", ("text", 7))
+    assert {i: r.score for i, r in score().items() if r.score} == pytest.approx({i: r.score for i, r in got.items() if r.score}, abs=1e-9)
+
+
 def test_tokens_are_whole_and_attributed_by_most_bytes(spark):
     rows = [(1, "web", "en", "Head line\nbody of  the text\n"), (2, None, None, None), (3, "", "x", "no break"), (4, "é", "日本", "日本語\n\n\n  x"), (None, "a", "b", "c\nd"), (5, "s", "l", "word " * 30_000), (1, "w", "e", "\n")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, source string, lang string, text string, n_tokens int")
