@@ -4,7 +4,8 @@ Items are partitioned by their number of shingles, each part up to twice the siz
 is searched, for a part whose largest item has up to u shingles, in windows of 2u shingles that start every u: any run
 of u shingles lies in one window, so an item's containment in the document becomes a similarity to a window of about
 its own size that signatures can see. An item is a candidate where it and a window agree in one of COORDINATES
-minima. Window minima of a part are merged from those of the part before. Each candidate is verified on full sets:
+minima. Items of less than LEAST shingles are too small for that: every shingle of theirs is looked up, so what a
+document holds of them is counted exactly. Window minima of a part are merged from those of the part before. Each candidate is verified on full sets:
 distinct item shingles that the whole document holds, of all the item's.
 
 Items are a stated query set: they go to the tasks in blocks of at most BLOCK items, every block against all
@@ -17,7 +18,7 @@ documents hold nothing. Repeated ids are searched row by row.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -52,7 +53,7 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]], n: int) -> None:
         hashes = WordHashes()
         self.n, self.ids, self.sets, self.short = n, [], [], defaultdict(dict)
-        parts = defaultdict(list)
+        parts, few = defaultdict(list), defaultdict(list)
         for item, text in rows:
             words = (text or "").encode("utf-8", "ignore").translate(_WORDS).split()
             if not words:
@@ -63,11 +64,15 @@ class Items:
             self.sets.append(found)
             if len(words) < n:
                 self.short[len(words)].setdefault(int(found[0]), []).append(k)
+            elif len(found) < LEAST:
+                for v in found.tolist():
+                    few[v].append(k)
             else:
                 size = LEAST
                 while size < len(found):
                     size *= 2
                 parts[size].append(k)
+        self.few, self.few_values = few, np.array(sorted(few), np.uint64)
         self.parts = {}
         for size in sorted(parts):
             sign = np.stack([_minima(self.sets[k], len(self.sets[k]))[:, 0] for k in parts[size]], axis=1)
@@ -85,9 +90,15 @@ class Items:
             if len(words) >= length:
                 held = set(shingle_hashes(words, length, hashes).tolist()) & at.keys()
                 out += [(self.ids[k], 1, 1) for h in held for k in at[h]]
-        if len(words) < self.n or not self.parts:
+        if len(words) < self.n or not (self.parts or self.few):
             return out
         found = shingle_hashes(words, self.n, hashes)
+        if self.few:
+            at = np.minimum(np.searchsorted(self.few_values, found), len(self.few_values) - 1)
+            times = Counter(k for v in set(found[self.few_values[at] == found].tolist()) for k in self.few[v])
+            out += [(self.ids[k], have, len(self.sets[k])) for k, have in sorted(times.items()) if 100 * have >= percent * len(self.sets[k])]
+        if not self.parts:
+            return out
         candidates, size = set(), LEAST
         low = _minima(found, size)
         tag = (np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32))[:, None]

@@ -52,3 +52,22 @@ def test_matches_brute_force(spark):
     assert drop_contaminated(d, b).columns == d.columns
     assert drop_contaminated(d, b.limit(0)).count() == len(docs)
     assert contained_items(d.limit(0), b).count() == 0
+
+
+def test_short_items_are_never_missed(spark):
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(5000)]
+    items = [(k, " ".join(rng.choices(vocab, k=5 + k % 16))) for k in range(160)]
+    docs = []
+    for k, (_, question) in enumerate(items):
+        w = rng.choices(vocab, k=rng.randint(40, 300))
+        q = question.split()
+        if k % 5 == 4:
+            q[0] = "edited"
+        at = rng.randint(0, len(w))
+        w[at:at] = q
+        docs.append((k, " ".join(w)))
+    got = contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = brute(docs, items, 5, 80)
+    assert {tuple(r) for r in got.collect()} == want
+    assert len(want) > 128
