@@ -1,8 +1,8 @@
 """Licence scans by a positional index of rare words.
 
 Templates are short public notices. Rarity is the inverse frequency of a word over all scanned documents. The index
-posts each template's RARE rarest words with their positions. A file looks up its LOOKED highest-IDF licence words;
-each pair of a place in the file and a posting votes for the template at the start the two imply. Where enough
+posts each template's RARE rarest words with their positions. A file looks up each of them that it holds; each pair of
+a place in the file and a posting votes for the template at the start the two imply. Where enough
 rare words vote for the same start, the share of the template's words that stand there is the match's score, and it
 counts if it reaches SHARE and the template's mandatory phrases stand in the file.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import chunks, map_texts, texts
 
-RARE, LOOKED, SHARE, VOTES = 6, 24, 0.6, 2
+RARE, SHARE, VOTES = 6, 0.6, 2
 
 # Words of public licence notices, labels and phrases.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -78,7 +78,6 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> dict[bytes,
 
 class Index:
     def __init__(self, idf: dict[bytes, float]) -> None:
-        self.idf = idf
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         self.need = []
         for k, (_, words, _) in enumerate(_NOTICES):
@@ -106,8 +105,7 @@ class Index:
             return [s for s in starts if s >= 0 and words[s : s + len(phrase)] == phrase]
 
         base = [(s, label) for phrase, label in _BASE for s in places(phrase)]
-        looked = sorted((w for w in present if w in self.postings), key=lambda w: (-self.idf[w], w))[:LOOKED]
-        votes = Counter((k, i - p) for w in looked for i in at[w] for k, p in self.postings[w])
+        votes = Counter((k, i - p) for w in present.intersection(self.postings) for i in at[w] for k, p in self.postings[w])
         labels, best = set(), 1.0 if base else 0.0
         for (k, start), n in votes.items():
             label, notice, must = _NOTICES[k]

@@ -31,3 +31,11 @@ def test_base_matches_brute_force_and_templates_add_labels(spark):
     assert all(0 <= r.score <= 1 for r in got)
     assert all(set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) for r in got)
     assert scan_licenses(docs.limit(0), keep=["doc_id"]).count() == 0
+
+
+def test_a_file_of_all_notices_has_all_labels(spark):
+    every = "\n\n".join(text for _, text, _ in NOTICES)
+    docs = spark.createDataFrame([(1, every, ""), (2, "words " * 5000 + every, ""), (3, "no notice at all", ""), (4, "the terms of the public license", "")], SCHEMA)
+    by = {r.doc_id: r.labels for r in scan_licenses(docs, keep=["doc_id"]).collect()}
+    assert by[1] == by[2] == ",".join(sorted({label for label, _, _ in NOTICES}))
+    assert by[3] == by[4] == ""
