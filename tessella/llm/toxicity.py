@@ -195,8 +195,8 @@ def fit(rows: Iterable[tuple[str | None, int]], rounds: int = 3, steps: int = 15
     for t, y in rows:
         words = words_of((t or "").encode("utf-8", "ignore"))
         first = min((zlib.crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=0)
-        if first not in copies:  # copies and near copies count once
-            copies.add(first)
+        if (first, int(y)) not in copies:  # copies and near copies of one label count once
+            copies.add((first, int(y)))
             for w in words:
                 places.setdefault(w, len(places))
             docs.append(np.fromiter(map(places.__getitem__, words), np.int32, len(words)))

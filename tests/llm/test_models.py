@@ -65,6 +65,16 @@ def test_toxicity_finds_held_out_documents(spark):
     assert toxicity.filter_toxic(docs.limit(0), labelled, F.lit(True)).count() == 0
 
 
+def test_training_folds_copies_of_one_label_only(monkeypatch):
+    seen = {}
+    real = toxicity._presence
+    monkeypatch.setattr(toxicity, "_presence", lambda docs, label, vocab: seen.update(n=len(docs), label=label.tolist()) or real(docs, label, vocab))
+    text = "some words that both of them share from the start to the end"
+    rows = [(text, 0), (text + " vile", 1), (text, 0), (text + " vile", 1), ("another clean text", 0)]
+    assert toxicity.fit(rows, rounds=1, steps=2) is not None
+    assert seen == {"n": 3, "label": [0, 1, 0]}
+
+
 def test_windows_cover_all_words():
     for n in (0, 1, 8, 9, 16, 17, 24, 25, 100):
         at, real = toxicity._windows(n)
