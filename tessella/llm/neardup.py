@@ -1,23 +1,29 @@
 """Near-duplicate documents by an inverted join of MinHash signature coordinates.
 
-Each distinct shingle set gets a signature of COORDINATES values, each the hash of ROWS minima. A set is
-posted under each (coordinate, value). Two sets that share the threshold's Jaccard similarity agree in at least
-`matches()` coordinates but for a chance under MISS, so they meet in one of the first
-COORDINATES - matches + 1 posting lists (the prefix). Links are confirmed on the full sets.
+Each distinct shingle set gets a signature of COORDINATES values, each the shingle with the least hash under one
+random function. Two sets at the threshold's Jaccard similarity agree in at least `matches()` coordinates but for a
+chance under MISS. Sets are posted under coordinate-value pairs and their collisions counted, with two savings:
+  * prefix: pairs are put in one order for all sets, frequent ones last. Sets that agree in `matches()` of their pairs
+    share one of the first COORDINATES - matches + 1 of either, so only those are posted. What a third of all
+    documents share thus makes no list as long as it is less than what two near duplicates share;
+  * skip: the long lists behind the prefix are never merged. Each posting that meets another counts the collisions
+    in all coordinates at once, from signatures packed to a byte a coordinate (which never count too few).
+Pairs with `matches()` collisions are kept, then confirmed on the full sets.
 
 A list may hold a third of all documents, so no list is expanded into all its pairs:
   1. exact copies fold into one node, named by a 128-bit digest of the set;
-  2. in each list, nodes link to one member (a star), a different one in each list. Lists whose nodes these links
-     have joined are skipped;
-  3. nodes of lists that still hold several groups are compared on their sets' rarest shingles: two sets that
-     reach the threshold share one of a short prefix of either, rarest first, and what follows their first shared
-     one must suffice for the overlap. Groups that share a passage but are unlike otherwise have prefixes of their
-     own and give no pairs. Each posting carries parity bits of its set; two sets differ in at least as many
-     shingles as their bits do, so copies edited too far apart meet in no row. Nothing is capped.
+  2. in each list, nodes are counted against two of its members (stars), others in each list; each node's best
+     partner is confirmed first, other pairs only between groups that are still apart;
+  3. lists whose nodes these links have joined are skipped. In the others, nodes outside the largest group are
+     counted against all of other groups inside the join, which gives out only the pairs with enough collisions
+     whose parity bits allow the overlap: two sets differ in at least as many shingles as their bits do, so copies
+     edited too far apart meet in no row. Nothing is capped.
 
 Defined results: no words or null text: an empty set, linked with nothing, its own component. Fewer words than a
-shingle: the whole sequence is one shingle. Repeated rows and ids: each row gets the component of its text. A null
-id takes part; it names a component only if no row of it has an id. An empty table gives an empty table.
+shingle: the whole sequence is one shingle. Very long texts give large sets, handled whole. Repeated rows and ids: each
+row gets the component of its text. A null id takes part; it names a component only if no row of it has an id. Ties of
+frequency, partner or representative go to the smaller hash or id. An empty table gives an empty table. Other columns
+of docs, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -28,12 +34,14 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessella.llm.common import chunks, discard, map_texts, materialize, texts
 
-ROWS, COORDINATES, MISS = 4, 28, 1e-6
+COORDINATES, MISS = 64, 1e-5
+#: Coordinate-value pairs whose frequency orders the prefix (the order changes no result), and pairs counted at once in a task.
+FREQUENT, BLOCK = 1 << 17, 1 << 19
 #: 64-bit words of a set's parity bits.
 PARITY = 8
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -69,29 +77,33 @@ def shingle_set(text: bytes, n: int, hashes: WordHashes) -> np.ndarray:
 
 def _signer(n: int) -> Callable:
     draw = np.random.default_rng(20_240_601)
-    a = draw.integers(1, 2**32, (ROWS * COORDINATES, 1), np.uint32) | np.uint32(1)
-    b = draw.integers(0, 2**32, (ROWS * COORDINATES, 1), np.uint32)
+    a = draw.integers(1, 2**32, (COORDINATES, 1), np.uint32) | np.uint32(1)
+    b = draw.integers(0, 2**32, (COORDINATES, 1), np.uint32)
+    row, at = np.arange(COORDINATES), np.arange(1, COORDINATES + 1, dtype=np.uint64) * _MIX
 
     def sign(found: np.ndarray) -> np.ndarray:
-        x, low = (found >> np.uint64(32)).astype(np.uint32), None
+        x, low, value = (found >> np.uint64(32)).astype(np.uint32), None, None
         for start in range(0, len(x), 2048):
-            part = (a * x[None, start : start + 2048] + b).min(axis=1)
-            low = part if low is None else np.minimum(low, part)
-        out = np.zeros(COORDINATES, np.uint64)
-        for row in low.reshape(ROWS, COORDINATES).astype(np.uint64):
-            out = (out ^ row) * _MIX
-            out ^= out >> np.uint64(31)
-        return out.view(np.int64)
+            part = a * x[None, start : start + 2048] + b
+            i = part.argmin(axis=1)
+            least, got = part[row, i], found[start + i]
+            value = got if low is None else np.where(least < low, got, value)
+            low = least if low is None else np.minimum(least, low)
+        out = (value ^ at) * _MIX  # the coordinate and its value in one number
+        return out ^ out >> np.uint64(29)
 
     def start() -> Callable[[list[bytes]], dict]:
         hashes = WordHashes()
 
         def work(batch: list[bytes]) -> dict:
             sets = [shingle_set(t, n, hashes) for t in batch]
+            signs = [sign(s) if len(s) else None for s in sets]
             return {
                 "n_shingles": [len(s) for s in sets],
                 "node": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                "signature": [sign(s) if len(s) else None for s in sets],
+                "posts": [None if x is None else x.view(np.int64) for x in signs],
+                "packed": [None if x is None else (x & np.uint64(255)).astype(np.uint8).view(np.int64) for x in signs],
+                "parity": [parity_bits(s) if len(s) else None for s in sets],
             }
 
         return work
@@ -107,15 +119,15 @@ def parity_bits(found: np.ndarray) -> np.ndarray:
 
 def matches(percent: int) -> int:
     """The most coordinates that a pair at the threshold shares but for a chance under MISS."""
-    p = (percent / 100) ** ROWS
+    p = percent / 100
     below, k = 0.0, 0
     while (below := below + comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k)) < MISS:
         k += 1
     return max(1, k)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of undirected edges (u, v): rounds of large and small stars, each written out.
+def components(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, root), and the table behind it to be discarded, for the nodes of undirected edges (u, v): rounds of large and small stars, each written out.
 
     Only minima per node are grouped, so a hub's neighbours are never gathered in one place. A round that changes
     nothing is the last.
@@ -133,7 +145,7 @@ def components(edges: DataFrame) -> DataFrame:
         discard(now)
         now = after
         if total.get == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")), now
         seen = total.get
 
 
@@ -148,21 +160,22 @@ def _near_roots(edges: DataFrame) -> DataFrame:
     out = two
     for _ in range(2):
         out = out.join(two.toDF("root", "further"), "root").select("node", F.col("further").alias("root"))
+    out = materialize(out)
+    discard(two)
     return out
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, n: int) -> DataFrame:
-    """(node, members, parity) of the given nodes, made again from one document of each."""
+    """(node, members) of the given nodes, made again from one document of each."""
     rows = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text")).join(nodes, F.col("rep").eqNullSafe(F.col("of_rep")) & (F.col("text_hash") == F.col("of_hash"))).select("node", "text")
 
     def run(batches):
         hashes = WordHashes()
         for batch in chunks(batches):
             sets = [shingle_set(t, n, hashes) for t in texts(batch.column(1))]
-            columns = [pa.array([f(x) for x in sets], pa.list_(pa.int64())) for f in (lambda x: x.view(np.int64), parity_bits)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["node", "members", "parity"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "members"])
 
-    return rows.dropDuplicates(["node"]).mapInArrow(run, "node binary, members array<bigint>, parity array<bigint>")
+    return rows.dropDuplicates(["node"]).mapInArrow(run, "node binary, members array<bigint>")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -182,48 +195,64 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "v").join(left, "u").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
 
 
-def _links(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, pairs: DataFrame, ngram: int, percent: int) -> DataFrame:
-    used = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = materialize(_sets(docs, id_col, text_col, nodes.drop("signature", "size").join(used, "node", "left_semi"), ngram))
-    good = materialize(_confirm(pairs, sets, percent))
-    discard(sets)
-    return good
+def _frequent(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The coordinate-value pairs that most nodes post, in order, and their counts; all seen once in a block are left out."""
 
+    def run(batches):
+        held, n = [], 0
+        for batch in chunks(batches, 1024):
+            held.append(batch.column(0).flatten().to_numpy())
+            n += len(held[-1])
+            if n >= BLOCK:
+                yield give(held)
+                held, n = [], 0
+        if held:
+            yield give(held)
 
-def _colliding(pairs: DataFrame, nodes: DataFrame, need: int) -> DataFrame:
-    """The pairs whose whole signatures, the lists after the prefix included, agree in enough coordinates."""
-    u, v = (nodes.select(F.col("node").alias(x), F.col("signature").alias(f"{x}_at")) for x in "uv")
-    same = F.size(F.filter(F.zip_with("u_at", "v_at", lambda a, b: a == b), lambda x: x))
-    return pairs.join(v, "v").join(u, "u").where(same >= need).select("u", "v")
+    def give(held):
+        value, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(value[n > 1]), pa.array(n[n > 1])], ["post", "n"])
 
+    counted = nodes.select("posts").mapInArrow(run, "post bigint, n bigint").groupBy("post").agg(F.sum("n").alias("n"))
+    top = counted.orderBy(F.desc("n"), "post").limit(FREQUENT).toArrow().sort_by("post")
+    return top["post"].to_numpy(), top["n"].to_numpy()
 
-def _by_rare_shingles(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (u, v) of nodes of different roots that may reach the threshold, from (node, root, members, parity).
 
-    Also the postings, to be discarded. A posting counts what of its set is left from it on. In each list the most
-    frequent root's members are not compared with one another.
-    """
-    need = lambda a, b: F.ceil(percent * (a + b) / F.lit(100 + percent))  # noqa: E731  the overlap that sizes a and b call for
-    slim = sets.select(F.xxhash64("node").alias("k"), F.xxhash64("root").alias("r"), F.size("members").alias("size"), F.explode("members").alias("shingle"))
-    shared = slim.groupBy("shingle").agg(F.count("*").alias("df"), F.min("size").alias("least")).where("df > 1")
-    own = slim.join(shared, "shingle", "left").groupBy("k", "r", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "shingle", "least"))).alias("all"))
-    most = F.col("size") - F.ceil(percent * F.col("size") / F.lit(100)) + 1
-    rows = own.select("k", "r", "size", F.posexplode(F.slice("all", F.lit(1), most.cast("int"))).alias("pos", "s")).where("s.df > 1")
-    rows = rows.select("k", "r", (F.col("size") - F.col("pos")).alias("left"), "size", F.col("s.shingle").alias("shingle"), F.col("s.least").alias("least"))
-    rows = rows.where(F.col("left") >= need(F.col("size"), F.greatest("least", F.ceil(percent * F.col("size") / F.lit(100))))).drop("least")
-    bits = [f"bits_{i}" for i in range(PARITY)]
-    rows = materialize(rows.join(sets.select(F.xxhash64("node").alias("k"), *(F.col("parity")[i].alias(x) for i, x in enumerate(bits))), "k"))
-    main = rows.groupBy("shingle", "r").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("r", F.struct("n", "r")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-    b = rows.join(main, "shingle")
-    a, b = (b.select("shingle", "main", *(F.col(c).alias(f"{c}_{x}") for c in ("k", "r", "left", "size", *bits))) for x in "ab")
-    pairs = a.where("r_a <> main").join(b.drop("main"), "shingle").where("r_a <> r_b AND (r_b = main OR k_a < k_b)")
-    overlap = need(F.col("size_a"), F.col("size_b"))
-    apart = sum((F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in bits), F.lit(0))
-    pairs = pairs.where(F.least("left_a", "left_b") >= overlap).where(apart <= F.col("size_a") + F.col("size_b") - 2 * overlap).where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
-    pairs = pairs.select(F.least("k_a", "k_b").alias("x"), F.greatest("k_a", "k_b").alias("y")).distinct()
-    name = sets.select("node", F.xxhash64("node").alias("k"))
-    pairs = pairs.join(name.toDF("u", "x"), "x").join(name.toDF("v", "y"), "y").select("u", "v")
-    return materialize(pairs), rows
+def _prefixes(nodes: DataFrame, length: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(post, node) for the rarest `length` pairs of each node."""
+    shared = nodes.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches):
+        names, times = shared.value
+        for batch in chunks(batches, 1024):
+            posts = batch.column(1).flatten().to_numpy().reshape(-1, COORDINATES)
+            known = np.zeros(posts.shape, np.int64)
+            if len(names):
+                at = np.minimum(np.searchsorted(names, posts), len(names) - 1)
+                known = np.where(names[at] == posts, times[at], 0)
+            first = np.take_along_axis(posts, np.lexsort((posts, known))[:, :length], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(first.ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(len(posts)), length)))], ["post", "node"])
+
+    return nodes.select("node", "posts").mapInArrow(run, "post bigint, node binary")
+
+
+def _collisions(u: str, v: str) -> Column:
+    """How many bytes of two packed signatures are equal."""
+    differ = F.lit(0)
+    for i in range(COORDINATES // 8):
+        x = F.col(f"{u}.packed")[i].bitwiseXOR(F.col(f"{v}.packed")[i])
+        for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask))
+        differ = differ + F.bit_count(x)
+    return F.lit(COORDINATES) - differ
+
+
+def _may_link(u: str, v: str, need: int, percent: int) -> Column:
+    """Whether sizes, collisions and parity bits allow that two nodes' sets reach the threshold."""
+    a, b = F.col(f"{u}.size"), F.col(f"{v}.size")
+    overlap = F.ceil(percent * (a + b) / F.lit(100 + percent))
+    apart = sum((F.bit_count(F.col(f"{u}.parity")[i].bitwiseXOR(F.col(f"{v}.parity")[i])) for i in range(PARITY)), F.lit(0))
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (_collisions(u, v) >= need) & (apart <= a + b - 2 * overlap)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, percent: int = 80) -> DataFrame:
@@ -232,35 +261,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The representative is the row that stays of its component: the one with the smallest id, of one text.
     """
     need = matches(percent)
-    prefix = COORDINATES - need + 1
-    signed = materialize(map_texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash")), "text", _signer(ngram), "n_shingles bigint, node binary, signature array<bigint>", ["id", "text_hash"]))
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
+    made = "n_shingles bigint, node binary, posts array<bigint>, packed array<bigint>, parity array<bigint>"
+    signed = materialize(map_texts(slim, "text", _signer(ngram), made, ["id", "text_hash"]))
+    facts = F.struct(F.col("n_shingles").alias("size"), "packed", "parity")
     nodes = materialize(
-        signed.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("r"), F.first("n_shingles").alias("size"), F.first("signature").alias("signature"))
-        .select("node", F.col("r.id").alias("of_rep"), F.col("r.text_hash").alias("of_hash"), "size", "signature")
+        signed.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("r"), F.first(facts).alias("is"), F.first("posts").alias("posts"))
+        .select("node", F.col("r.id").alias("of_rep"), F.col("r.text_hash").alias("of_hash"), "is", "posts")
     )
-    posted = nodes.select("node", "size", F.posexplode(F.slice("signature", 1, prefix)).alias("at", "value"))
-    lists = posted.groupBy("at", "value").agg(F.count("*").alias("n")).where("n > 1")
-    here = materialize(posted.join(lists, ["at", "value"]).drop("n"))
-    drawn = F.xxhash64("node", "at", "value")
-    heads = here.groupBy("at", "value").agg(F.max(F.struct(drawn.alias("k"), "node", "size")).alias("h")).select("at", "value", F.col("h.node").alias("head"), F.col("h.size").alias("head_size"))
-    pairs = here.join(heads, ["at", "value"]).where("node <> head").where(100 * F.least("size", "head_size") >= percent * F.greatest("size", "head_size"))
-    pairs = materialize(_colliding(pairs.select(F.least("node", "head").alias("u"), F.greatest("node", "head").alias("v")).distinct(), nodes, need))
-    linked = _links(docs, id_col, text_col, nodes, pairs, ngram, percent)
-
-    near = here.join(materialize(_near_roots(linked)), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    still = near.groupBy("at", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("at", "value")
-    rest = materialize(near.join(still, ["at", "value"]).select("node", "root").distinct())
-    sets = materialize(_sets(docs, id_col, text_col, nodes.drop("signature", "size").join(rest.select("node"), "node", "left_semi"), ngram).join(rest, "node"))
-    found, rows = _by_rare_shingles(sets, percent)
-    more = materialize(_confirm(found, sets.drop("root"), percent))
-    for x in (here, pairs, rest, sets, found, rows):
-        discard(x)
-    comp = components(linked.unionByName(more))
+    posted = materialize(_prefixes(nodes, COORDINATES - need + 1, _frequent(nodes)))
+    here = materialize(posted.join(posted.groupBy("post").agg(F.count("*").alias("n")).where("n > 1").select("post"), "post"))
+    discard(posted)
+
+    drawn = F.struct(F.xxhash64("node", "post").alias("k"), "node")
+    heads = here.groupBy("post").agg(F.max(drawn).alias("a"), F.min(drawn).alias("b")).select("post", F.explode(F.array("a.node", "b.node")).alias("head"))
+    stars = here.join(heads, "post").where("node <> head").select(F.least("node", "head").alias("u"), F.greatest("node", "head").alias("v")).distinct()
+    for x in "vu":
+        stars = stars.join(nodes.select(F.col("node").alias(x), F.col("is").alias(f"is_{x}")), x)
+    stars = materialize(stars.where(_may_link("is_u", "is_v", need, percent)).select("u", "v", _collisions("is_u", "is_v").alias("n")))
+    sets = materialize(_sets(docs, id_col, text_col, nodes.select("node", "of_rep", "of_hash").join(here.select("node").distinct(), "node", "left_semi"), ngram))
+
+    partner = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v"), "n")).groupBy("u").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
+    links = materialize(_confirm(partner.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), sets, percent))
+    near = _near_roots(links)
+    apart = stars.select("u", "v")
+    for x in "uv":
+        apart = apart.join(near.toDF(x, f"root_{x}"), x, "left")
+    apart = apart.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
+    second = materialize(_confirm(apart, sets, percent))
+    both = links.unionByName(second)
+    near2 = _near_roots(both)
+
+    rooted = here.join(near2, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    still = rooted.groupBy("post").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("post")
+    rest = materialize(rooted.join(still, "post").join(nodes.select("node", "is"), "node"))
+    main = rest.groupBy("post", "root").agg(F.count("*").alias("n")).groupBy("post").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    b = rest.join(main, "post")
+    a, b = (b.select("post", "main", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "is"))) for x in "ab")
+    pairs = a.where("root_a <> main").join(b.drop("main"), "post").where("root_a <> root_b AND (root_b = main OR node_a < node_b)").where(_may_link("is_a", "is_b", need, percent))
+    pairs = pairs.select(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
+    more = materialize(_confirm(pairs, sets, percent))
+    comp, found = components(both.unionByName(more))
 
     named = nodes.select("node", "of_rep", "of_hash").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min(F.struct(F.col("of_rep").isNull().alias("none"), "of_rep", "of_hash")).alias("r"))
     of = materialize(named.join(ids, "root").select("node", F.col("r.of_rep").alias("component_id"), F.col("r.of_hash").alias("of_hash")))
-    out = signed.drop("signature").join(of, "node", "left")
+    for x in (here, stars, sets, links, near, second, near2, rest, more, nodes, found):
+        discard(x)
+    out = signed.select("id", "text_hash", "n_shingles", "node").join(of, "node", "left")
     empty = F.col("node").isNull()
     return out.select(
         F.col("id").alias(id_col), "text_hash", "n_shingles", F.when(empty, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
