@@ -1,20 +1,28 @@
 """Cross-entropy difference of a target and a background language model (Moore-Lewis selection).
 
-Both models are bigram models over one vocabulary: every word of the documents. Counts cover every document and every
-pair of neighbouring words. The WORDS most frequent words are the head: pairs inside it are counted in tasks into a
-table that is bounded by the square of the head, and broadcast. Every place of a word outside the head goes, with the
-words before and after it, to where all places of that word meet; there the word and its pairs are counted, and each
-document gets back a sum of logarithms. A word outside the head has less than a WORDS-th of all words, so no key of
-that shuffle is hot. Which words are the head changes no score. Outside it words are told apart by 62-bit hashes.
+The target model counts the target documents, the background model all others, so no document is in both. Counts of the
+larger side are scaled down to the smaller one's number of tokens, so the models are matched in size while every
+document is counted. Both share one vocabulary, every word of all documents, which grows with them. A document is
+scored with its own counts left out of the model that counted it.
+
+Counts cover every pair of neighbouring words. The WORDS most frequent words are the head: pairs inside it are counted
+in tasks into a table that is bounded by the square of the head, and broadcast. Every place of a word outside the head
+goes, with the words before and after it, to where all places of that word meet; there the word and its pairs are
+counted, and each document gets back a sum of logarithms. A word outside the head has less than a WORDS-th of all
+words, so no key of that shuffle is hot. Which words are the head changes no score. Outside it words are told apart by
+62-bit hashes. Documents meet the target ids in one join before that, at every number of ids.
 
 A document's score is its cross-entropy under the target model minus that under the background model, in nats a
 token: the lower, the more like the target.
 
-Smoothing: P(b | a) = (n(ab) + K p(b)) / (n(a) + K), p(b) = (n(b) + 1/2) / (n + size / 2); size is the number of
-distinct words and CLASSES for words that no document has.
+Smoothing: P(b | a) = (w n(ab) + K p(b)) / (w n(a) + K), p(b) = (w n(b) + 1/2) / (w N + size / 2); n leaves the scored
+document out, N is the side's number of tokens, w its scale, size the number of distinct words and CLASSES for words
+that no document has.
 
 Defined results: a document without words has no tokens and null entropies and score. Without target documents both
-entropies are there, the target's uniform. Repeated ids are scored row by row; a null id is never a target.
+entropies are there, the target's uniform; likewise where all are targets. Repeated ids are scored row by row; a null
+id is never a target. Equal frequencies: the first word by bytes. Very long texts are scored whole. An empty table
+gives an empty table. Kept columns named like a new one give way to it.
 """
 
 from __future__ import annotations
@@ -31,8 +39,6 @@ from pyspark.sql import functions as F
 from tessella.llm.common import chunks, discard, materialize, texts
 
 WORDS, CLASSES, K, HELD = 1024, 256, 50.0, 200_000
-#: So many target ids go to every executor; with more, ids and texts are shuffled to meet.
-SENT = 1_000_000
 _TAIL = 1 << 62
 
 
@@ -88,8 +94,8 @@ class Coder:
         return np.where(previous >= _TAIL, self.base, previous) * (self.base + 1) + np.where(own >= _TAIL, self.base, own)
 
 
-def count_pairs(docs: DataFrame, head: list[bytes], target: str, text_col: str = "text") -> dict[str, np.ndarray]:
-    """Bigram counts, (base + 2, base + 1), of the target documents and of all; other words than the head's are one."""
+def count_pairs(docs: DataFrame, head: list[bytes], target: str, text_col: str = "text") -> list[np.ndarray]:
+    """Bigram counts, (base + 2, base + 1), of the target documents and of the others; other words than the head's are one."""
     shape = len(head) + 2, len(head) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,38 +106,54 @@ def count_pairs(docs: DataFrame, head: list[bytes], target: str, text_col: str =
             for t, of_target in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 own = coder.numbers(t)
                 pair, n = np.unique(coder.pairs(coder.before(own), own), return_counts=True)
-                total[1, pair] += n
-                if of_target:
-                    total[0, pair] += n
+                total[0 if of_target else 1, pair] += n
         if total is not None:
-            found = np.flatnonzero(total[1])
+            found = np.flatnonzero(total.sum(0))
             for i in range(0, len(found), 100_000):
                 part = found[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *(pa.array(x[part], pa.int64()) for x in total)], ["pair", "target", "every"])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *(pa.array(x[part], pa.int64()) for x in total)], ["pair", "target", "other"])
 
-    rows = docs.select(F.col(text_col).cast("string"), F.coalesce(F.col(target), F.lit(False)))
-    found = rows.mapInArrow(run, "pair bigint, target bigint, every bigint").groupBy("pair").agg(F.sum("target").alias("target"), F.sum("every").alias("every")).toArrow()
-    out = {}
-    for name in ("target", "every"):
+    found = docs.select(text_col, target).mapInArrow(run, "pair bigint, target bigint, other bigint").groupBy("pair").agg(F.sum("target").alias("target"), F.sum("other").alias("other")).toArrow()
+    out = []
+    for name in ("target", "other"):
         table = np.zeros(shape[0] * shape[1])
         table[found["pair"].to_numpy()] = found[name].to_numpy()
-        out[name] = table.reshape(shape)
+        out.append(table.reshape(shape))
     return out
 
 
-def _known(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """What the head's counts tell of each pair's loss in nats, K p(b) of its words, and K p(b) / (n(b) + 1/2) of any word."""
-    single, total = counts.sum(0), counts.sum()
-    weight = K / (total + 0.5 * size)
-    prior = weight * (single + 0.5)
-    out = np.log(counts.sum(1, keepdims=True) + K) - np.log(counts + prior)
-    out[:, -1] = np.log(counts.sum(1) + K)
-    out[-2] = 0
-    return out.ravel(), prior, weight
+class Side:
+    """A model: scaled counts of the head's pairs, words before and words, and what one count of a word adds to K p."""
+
+    def __init__(self, counts: np.ndarray, other: np.ndarray, size: int) -> None:
+        n, m = counts.sum(), other.sum()
+        self.scale = min(1.0, m / n) if n and m else 1.0
+        self.pair, self.before, self.word = (self.scale * x for x in (counts.ravel(), counts.sum(1), counts.sum(0)))
+        self.unit = K / (self.scale * n + 0.5 * size)
+
+
+def _head_losses(of: np.ndarray, before: np.ndarray, own: np.ndarray, member: np.ndarray, sides: list[Side], coder: Coder) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each document's loss in either model from pairs inside the head and from words before other words; how often a
+    document has each place's word. before and own are numbers below base + 2, of the document; member its side."""
+    docs, wide = len(member), coder.base + 2
+    had = np.bincount(of * wide + before, minlength=docs * wide)[of * wide + before]
+    has = np.bincount(of * wide + own, minlength=docs * wide).reshape(docs, wide)
+    known, inside = before != coder.base, (before != coder.base) & (own != coder.base)
+    pair = before * (coder.base + 1) + own
+    _, back, n = np.unique((of * len(sides[0].pair) + pair)[inside], return_inverse=True, return_counts=True)
+    out = []
+    for k, side in enumerate(sides):
+        own_scale = np.where(member == k, side.scale, 0.0)[of]
+        loss = np.where(known, np.log(np.maximum(side.before[before] - own_scale * had, 0) + K), 0.0)
+        mine, at, scale = own[inside], pair[inside], own_scale[inside]
+        prior = side.unit * (np.maximum(side.word[mine] - scale * has[of[inside], mine], 0) + 0.5)
+        loss[inside] -= np.log(np.maximum(side.pair[at] - scale * n[back], 0) + prior)
+        out.append(np.bincount(of, loss, docs))
+    return out, has
 
 
 #: A word outside the head at one place of a document.
-_PLACE = np.dtype([("before", "<i8"), ("doc", "<i4"), ("after", "<i2")])
+_PLACE = np.dtype([("before", "<i8"), ("doc", "<i4"), ("after", "<i2"), ("had", "<i4")])
 _OUTSIDE, _END = -1, -2  # for after: a word outside the head, the text's end
 _ROW = "__key bigint, __first bigint, __places binary, n_tokens bigint, __t double, __e double"
 _KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.float64()]
@@ -156,7 +178,7 @@ def _rows(rows: DataFrame, kept: list[str], shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        head, (of_target, *_), (of_every, *_) = shared.value
+        head, sides = shared.value
         coder, seen, first = Coder(head), 0, TaskContext.get().partitionId() << 40
         keys, places, kinds = [], [], []
 
@@ -180,16 +202,17 @@ def _rows(rows: DataFrame, kept: list[str], shared) -> DataFrame:
             after = np.full(len(own), _END, np.int64)
             after[:-1] = np.where(own[1:] >= _TAIL, _OUTSIDE, own[1:])
             after[np.cumsum(sizes)[sizes > 0] - 1] = _END
-            of, pair, n = np.repeat(np.arange(len(docs)), sizes), coder.pairs(before, own), len(docs)
-            number = seen + np.arange(n)
-            sums = [np.bincount(of, x[pair], n).astype(float) for x in (of_target, of_every)]
+            of, n = np.repeat(np.arange(len(docs)), sizes), len(docs)
+            number, target = seen + np.arange(n), np.array(batch.column(1).to_pylist(), np.int64)
+            sums, has = _head_losses(of, np.where(before >= _TAIL, coder.base, before), np.where(own >= _TAIL, coder.base, own), 1 - target, sides, coder)
             kinds = [c.type for c in batch.columns[2:]]
             yield pa.RecordBatch.from_arrays([pa.array(-1 - first - number), pa.array(first + number), pa.nulls(n, pa.binary()), pa.array(sizes, pa.int64()), *map(pa.array, sums), *batch.columns[2:]], names)
             seen += n
             at = np.flatnonzero(own >= _TAIL)
             place = np.empty(len(at), _PLACE)
-            # A document's number in its task, and whether it is a target.
-            place["before"], place["doc"], place["after"] = before[at], (number * 2 + np.array(batch.column(1).to_pylist()))[of[at]], after[at]
+            # A document's number in its task, and whether it is a target; how often it has the head's word after this one.
+            place["before"], place["doc"], place["after"] = before[at], (number * 2 + target)[of[at]], after[at]
+            place["had"] = np.where(after[at] >= 0, has[of[at], np.maximum(after[at], 0)], 0)
             keys.append(own[at])
             places.append(place)
             if sum(map(len, keys)) > HELD * 5:
@@ -200,42 +223,56 @@ def _rows(rows: DataFrame, kept: list[str], shared) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _word_losses(key: np.ndarray, place: np.ndarray, models: list) -> list[np.ndarray]:
-    """What each place of words outside the head adds to its document's loss; all places of a word are there."""
-    target = (place["doc"] & 1).astype(float)
-    word = np.zeros(len(key), np.int64)
-    word[_runs(key)[1:]] = 1
-    word = np.cumsum(word)
-    groups = []
+def _numbered(*sorted_: np.ndarray) -> np.ndarray:
+    """The number of each value's run."""
+    out = np.zeros(len(sorted_[0]), np.int64)
+    out[_runs(*sorted_)[1:]] = 1
+    return np.cumsum(out)
+
+
+def _word_losses(key: np.ndarray, doc: np.ndarray, place: np.ndarray, sides: list[Side]) -> list[np.ndarray]:
+    """What each place of words outside the head adds to its document's loss in either model.
+
+    All places of a word are there, and a word's places in one document stand together."""
+    word, goes_on, to_head = _numbered(key), place["after"] != _END, place["after"] >= 0
+    groups = [(word, _numbered(word, doc))]
     for other in (place["before"], place["after"].astype(np.int64)):
         order = np.lexsort((other, word))
-        group = np.zeros(len(key), np.int64)
-        group[_runs(word[order], other[order])[1:]] = 1
-        back = np.empty(len(key), np.int64)
-        back[order] = np.cumsum(group)
-        groups.append(back)
-    goes_on, to_head = place["after"] != _END, place["after"] >= 0
+        numbers = _numbered(word[order], other[order]), _numbered(word[order], other[order], doc[order])
+        back = np.empty((2, len(key)), np.int64)
+        back[:, order] = numbers
+        groups.append(tuple(back))
     out = []
-    for (_, prior, weight), one in zip(models, (target, np.ones(len(key))), strict=True):
-        count = lambda group, x: np.bincount(group, x)[group]
-        loss = -np.log(count(groups[0], one) + weight * (count(word, one) + 0.5))  # noqa: B023
-        loss += np.where(goes_on, np.log(count(word, one * goes_on) + K), 0)
-        out.append(loss - np.where(to_head, np.log(count(groups[1], one) + prior[np.where(to_head, place["after"], 0)]), 0))
+    for k, side in enumerate(sides):
+        member = (place["doc"] & 1) == 1 - k
+
+        def count(group: tuple, of: np.ndarray, side=side, member=member) -> np.ndarray:
+            whole, mine = (np.bincount(g, of)[g] for g in group)
+            return side.scale * np.where(member, np.maximum(whole - mine, 0), whole)
+
+        prior = side.unit * (count(groups[0], member * 1.0) + 0.5)
+        loss = -np.log(count(groups[1], member * 1.0) + prior)
+        loss += np.where(goes_on, np.log(count(groups[0], member * goes_on * 1.0) + K), 0)
+        after = np.where(to_head, place["after"], 0)
+        prior = side.unit * (np.maximum(side.word[after] - np.where(member, side.scale, 0.0) * place["had"], 0) + 0.5)
+        out.append(loss - np.where(to_head, np.log(count(groups[2], member * 1.0) + prior), 0))
     return out
 
 
 def _sums(rows: DataFrame, kept: list[str], shared) -> DataFrame:
-    """What documents' sums are made of: a row for each place, and one for each document; rows come sorted by key."""
+    """What documents' sums are made of: a row for each document from each block of words, and one of its own; rows come sorted by key and first document."""
     schema = rows.select("__first", "n_tokens", "__t", "__e", *(f"`{c}`" for c in kept)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value[1:]
+        sides = shared.value[1]
         held, n, most, kinds = [], 0, HELD * 3, []
 
         def give(keys: np.ndarray, firsts: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-            parts = _word_losses(np.repeat(keys, sizes), place, models)
-            made = [pa.array(np.repeat(firsts, sizes) + (place["doc"] >> 1)), pa.nulls(len(place), pa.int64()), *map(pa.array, parts), *(pa.nulls(len(place), k) for k in kinds)]
-            for i in range(0, len(place), 50_000):
+            doc = np.repeat(firsts, sizes) + (place["doc"] >> 1)
+            parts = _word_losses(np.repeat(keys, sizes), doc, place, sides)
+            names, at = np.unique(doc, return_inverse=True)
+            made = [pa.array(names), pa.nulls(len(names), pa.int64()), *(pa.array(np.bincount(at, x)) for x in parts), *(pa.nulls(len(names), k) for k in kinds)]
+            for i in range(0, len(names), 50_000):
                 yield pa.RecordBatch.from_arrays([c.slice(i, 50_000) for c in made], schema.names)
 
         whole = lambda: [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -276,14 +313,11 @@ def score_cross_entropy(docs: DataFrame, targets: DataFrame, id_col: str = "doc_
     head, distinct = vocabulary(docs, text_col)
     size = distinct + CLASSES
     marks = targets.select(F.col(id_col).alias("__of")).where("__of IS NOT NULL").distinct().withColumn("__target", F.lit(True))
-    if marks.count() <= SENT:
-        marks = F.broadcast(marks)
-    marked = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).alias("__id"), *(f"`{c}`" for c in kept)).join(marks, F.col("__id") == F.col("__of"), "left")
-    counts = count_pairs(marked, head, "__target", "__text")
-    shared = docs.sparkSession.sparkContext.broadcast((head, *(_known(counts[k], size) for k in ("target", "every"))))
-    rows = _rows(marked.select("__text", F.coalesce("__target", F.lit(False)), *(f"`{c}`" for c in kept)), kept, shared)
-
-    sums = _sums(rows.repartition("__key").sortWithinPartitions("__key"), kept, shared).withColumnRenamed("__first", "__doc")
+    slim = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).alias("__id"), *(f"`{c}`" for c in kept))
+    marked = materialize(slim.join(marks, F.col("__id") == F.col("__of"), "left").select("__text", F.coalesce("__target", F.lit(False)).alias("__target"), *(f"`{c}`" for c in kept)))
+    target, other = count_pairs(marked, head, "__target", "__text")
+    shared = docs.sparkSession.sparkContext.broadcast((head, [Side(target, other, size), Side(other, target, size)]))
+    sums = _sums(_rows(marked, kept, shared).repartition("__key").sortWithinPartitions("__key", "__first"), kept, shared).withColumnRenamed("__first", "__doc")
     sums = sums.groupBy("__doc").agg(F.max("n_tokens").alias("n_tokens"), F.sum("__t").alias("__t"), F.sum("__e").alias("__e"), *(F.first(f"`{c}`", ignorenulls=True).alias(c) for c in kept))
     mean = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens"))
     out = sums.select(*(f"`{c}`" for c in kept), "n_tokens", mean("__t").alias("target_entropy"), mean("__e").alias("background_entropy"))

@@ -119,42 +119,51 @@ def test_language_of_held_out_documents(spark):
     assert {r.lang_pred for r in langid.predict_language(docs, None, pieces, keep=["doc_id"]).collect()} == {"und"}
 
 
+def plain_entropies(rows, targets, size):
+    """(target, background) of each row by counting all other rows of either side again."""
+    code = lambda t: list(itertools.pairwise([None, *(t or "").lower().split()]))
+    sides = [i in targets for i, _ in rows]
+    total = [sum(len(code(t)) for (_, t), s in zip(rows, sides, strict=True) if s is k) for k in (True, False)]
+    out = []
+    for d, (_, text) in enumerate(rows):
+        mine = []
+        for k, n, m in ((True, *total), (False, *reversed(total))):
+            w = min(1, m / n) if n and m else 1
+            pairs, before, single = Counter(), Counter(), Counter()
+            for e, (_, t) in enumerate(rows):
+                if sides[e] is k and e != d:
+                    pairs.update(code(t))
+            for (a, b), c in pairs.items():
+                before[a] += c
+                single[b] += c
+            p = code(text)
+            prior = lambda b: lm_scoring.K * (w * single[b] + 0.5) / (w * n + 0.5 * size)  # noqa: B023, E731
+            mine.append(-sum(math.log((w * pairs[a, b] + prior(b)) / (w * before[a] + lm_scoring.K)) for a, b in p) / len(p) if p else None)
+        out.append(mine)
+    return out
+
+
 def test_cross_entropy_matches_plain_counts(spark):
     rng = random.Random(6)
     vocab = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(rng.choices(vocab[:20] if i % 3 == 0 else vocab, k=rng.randint(0, 40))), "x") for i in range(90)] + [(200, None, "x"), (None, "w1 w2", "x"), (4, "W1 odd", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
-    targets = spark.createDataFrame([(i,) for i in range(0, 90, 3)] + [(3,), (None,)], "doc_id long")
-    out = lm_scoring.score_cross_entropy(docs, targets, keep=["doc_id"]).collect()
-    words = Counter(w for _, t, _ in rows for w in (t or "").lower().split())
-    top = [w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0]))[: lm_scoring.WORDS]]
-    size = len(top) + lm_scoring.CLASSES
-    code = lambda t: [size, *(top.index(w) for w in (t or "").lower().split())]
-    pairs = {k: Counter() for k in ("t", "b")}
-    for i, t, _ in rows:
-        pairs["b"].update(itertools.pairwise(code(t)))
-        if i is not None and i % 3 == 0 and i < 90:
-            pairs["t"].update(itertools.pairwise(code(t)))
-
-    def loss(c, a, b):
-        n = sum(v for (x, _), v in c.items() if x == a)
-        single, total = sum(v for (_, y), v in c.items() if y == b), sum(c.values())
-        return -math.log((c[a, b] + lm_scoring.K * (single + 0.5) / (total + 0.5 * size)) / (n + lm_scoring.K))
-
-    want = []
-    for i, t, _ in rows:
-        p = list(itertools.pairwise(code(t)))
-        want.append((str(i), sum(loss(pairs["t"], *x) - loss(pairs["b"], *x) for x in p) / len(p) if p else -99.0))
-    got = sorted((str(r.doc_id), -99.0 if r.score is None else r.score) for r in out)
-    assert [i for i, _ in got] == [i for i, _ in sorted(want)]
-    assert [x for _, x in got] == pytest.approx([x for _, x in sorted(want)], abs=1e-4)
+    of = {*range(0, 90, 3)}
+    targets = spark.createDataFrame([(i,) for i in of] + [(3,), (None,)], "doc_id long")
+    size = len({w for _, t, _ in rows for w in (t or "").lower().split()}) + lm_scoring.CLASSES
+    key = lambda r: (str(r[0]), r[1] or 0)
+    for marked, ids in ((targets, of), (targets.limit(0), set()), (docs.select("doc_id"), {i for i, _, _ in rows if i is not None})):
+        out = lm_scoring.score_cross_entropy(docs, marked, keep=["doc_id"]).collect()
+        want = sorted(((i, *x) for (i, _, _), x in zip(rows, plain_entropies([r[:2] for r in rows], ids, size), strict=True)), key=key)
+        for got, (i, t, b) in zip(sorted(((r.doc_id, r.target_entropy, r.background_entropy) for r in out), key=key), want, strict=True):
+            assert got == (i, t, b) if t is None else got == pytest.approx((i, t, b), abs=1e-9)
     assert lm_scoring.score_cross_entropy(docs.limit(0), targets).count() == 0
 
 
 def test_cross_entropy_counts_every_word(spark, monkeypatch):
     rng = random.Random(8)
     vocab = [f"{'qz'[i % 2]}{i}ing" for i in range(2500)]
-    rows = [(i, " ".join(rng.choices(vocab, [1 / (k + 3) for k in range(2500)], k=rng.randint(0, 120)))) for i in range(150)] + [(500, "rareing q2ing"), (501, "oddling q2ing rareing"), (502, "q0ing " * 3000)]
+    rows = [(i, " ".join(rng.choices(vocab, [1 / (k + 3) for k in range(2500)], k=rng.randint(0, 120)))) for i in range(150)] + [(500, "rareing q2ing"), (501, "oddling q2ing rareing"), (502, "q0ing " * 3000), (503, "twin words of one text"), (504, "twin words of one text"), (505, "lone terms in this line")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     of = {*range(0, 150, 3), 500}
     targets = spark.createDataFrame([(i,) for i in of], "doc_id long")
@@ -162,29 +171,11 @@ def test_cross_entropy_counts_every_word(spark, monkeypatch):
     got = score()
     size = len({w for _, t in rows for w in t.split()}) + lm_scoring.CLASSES
     assert size > lm_scoring.WORDS + lm_scoring.CLASSES
-    pairs = {k: Counter() for k in "tb"}
-    code = lambda t: list(itertools.pairwise([None, *t.split()]))
-    for i, t in rows:
-        for k in "tb" if i in of else "b":
-            pairs[k].update(code(t))
-    totals = {}
-    for k, c in pairs.items():
-        before, single = Counter(), Counter()
-        for (a, b), n in c.items():
-            before[a] += n
-            single[b] += n
-        totals[k] = c, before, single, sum(single.values())
-
-    def entropy(k, p):
-        c, before, single, n = totals[k]
-        prior = lambda b: lm_scoring.K * (single[b] + 0.5) / (n + 0.5 * size)
-        return -sum(math.log((c[a, b] + prior(b)) / (before[a] + lm_scoring.K)) for a, b in p) / len(p)
-
     assert len(got) == len(rows)
-    for i, t in rows:
-        if p := code(t):
-            assert (got[i].n_tokens, got[i].target_entropy, got[i].background_entropy) == pytest.approx((len(p), entropy("t", p), entropy("b", p)), abs=1e-7)
-    assert got[500].score < got[501].score
+    for (i, t), (target, background) in zip(rows, plain_entropies(rows, of, size), strict=True):
+        if t:
+            assert (got[i].n_tokens, got[i].target_entropy, got[i].background_entropy) == pytest.approx((len(t.split()), target, background), abs=1e-7)
+    assert got[503].background_entropy < got[505].background_entropy - 2
     monkeypatch.setattr(lm_scoring.vocabulary, "__defaults__", ("text", 7))
     assert {i: r.score for i, r in score().items() if r.score} == pytest.approx({i: r.score for i, r in got.items() if r.score}, abs=1e-9)
 
