@@ -1,21 +1,26 @@
 """Toxicity by a small bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-Inputs of a word are its own evidence (word) and that of its character sequences: how much likelier labelled toxic
-training documents hold them, kept where a likelihood ratio test finds it significant. The network runs over all
-windows of WINDOW words, each half over the next; a document's score is that of its most toxic window.
+Inputs of a word are a learned vector of the word, the mean of the learned vectors of its character sequences, and
+(unless evidence=False) how much likelier labelled toxic training documents hold the word and its sequences, where a
+likelihood ratio test finds that significant. Words and sequences of fewer than SEEN training documents share one
+vector. The network runs over overlapping windows of WINDOW words that start every STRIDE words; a document's score is
+that of its most toxic window.
 
 Training takes at most SAMPLE documents of each label, drawn by a hash of their ids, as a parameter; it runs on the
-driver over that bounded sample. As labels mark whole documents, training picks the windows to learn from in rounds:
-the highest-scoring one of a toxic document, the highest ones and others of a clean document.
-
-Defined results: text without words scores as an empty window does; without labels of both kinds every score is 0.
-Repeated ids are scored row by row; a null id is never learned from.
+driver over that bounded sample. Texts of one label with the same words count once. As labels mark whole documents,
+training picks the windows to learn from in rounds: the highest-scoring one of a toxic document, the highest ones and
+others of a clean document.
+
+Defined results: null text and text without words score as an empty window does; without labels of both kinds every
+score is 0. Repeated ids are scored row by row; in training one text of an id counts, the least. A null id is never
+learned from. Very long texts are scored in all their windows. An empty table gives an empty table. Ties at 1/2 are
+toxic. A kept column named like the score gives way to it.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterable
+from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -23,10 +28,10 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import WordRows, bounded_sample, map_texts
 
-WINDOW, STRIDE, HIDDEN, ATTENTION, SAMPLE = 16, 8, 8, 8, 1500
-SIGNIFICANT = 16.0
+WINDOW, STRIDE, HIDDEN, ATTENTION, SAMPLE = 16, 4, 8, 8, 1500
+SIGNIFICANT, SEEN, LEARNED, EVIDENCE = 16.0, 4, 6, 5
 _WORDS = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
-INPUTS = 5
+INPUTS = EVIDENCE + 2 * LEARNED
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -58,63 +63,77 @@ def _evidence(held: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where((total >= 4) & (ratio > SIGNIFICANT), np.clip(odds, -4, 4), 0.0)
 
 
-def _presence(docs: list[np.ndarray], label: np.ndarray, vocab: list[bytes]) -> tuple[dict, dict]:
-    """Evidence of words and of their sequences, from documents given as places in vocab."""
-    gram, of = _grams(vocab) if vocab else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    order = np.argsort(of, kind="stable")
-    names, gram = np.unique(gram[order], return_inverse=True)
-    start = np.searchsorted(of[order], np.arange(len(vocab) + 1))
-    by_word, by_gram = np.zeros((2, len(vocab)), np.int64), np.zeros((2, len(names)), np.int64)
-    for words, y in zip(map(np.unique, docs), label, strict=True):
-        by_word[y, words] += 1
-        if len(words):
-            by_gram[y, np.unique(np.concatenate([gram[start[w] : start[w + 1]] for w in words]))] += 1
-    n = np.bincount(label, minlength=2)
-    word, seq = _evidence(by_word, n), _evidence(by_gram, n)
-    return {vocab[i]: float(word[i]) for i in np.flatnonzero(word)}, {int(names[i]): float(seq[i]) for i in np.flatnonzero(seq)}
-
-
-def _inputs(evidence: tuple[dict, dict]) -> Callable[[list[bytes]], np.ndarray]:
-    """Rows of a word's evidence, the most, least and mean evidence of its sequences, and 1."""
-    by_word, by_gram = evidence
-    keys = np.array(sorted(by_gram) or [0], np.uint64)
-    value = np.array([by_gram.get(int(k), 0.0) for k in keys], np.float32)
-
-    def make(words: list[bytes]) -> np.ndarray:
-        out = np.zeros((len(words), INPUTS), np.float32)
-        if words:
-            gram, of = _grams(words)
-            at = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
-            hit = keys[at] == gram
-            of, got = of[hit], value[at[hit]]
-            high, low = np.full(len(words), -9, np.float32), np.full(len(words), 9, np.float32)
-            np.maximum.at(high, of, got)
-            np.minimum.at(low, of, got)
-            times = np.bincount(of, minlength=len(words))
-            some = times > 0
-            out[some, 1], out[some, 2] = high[some], low[some]
-            out[some, 3] = np.bincount(of, got, len(words))[some] / times[some]
-            out[:, 0] = np.fromiter((by_word.get(w, 0.0) for w in words), np.float32, len(words))
+class Lexicon:
+    """The words and character sequences that SEEN training documents or more hold, and their evidence."""
+
+    def __init__(self, docs: list[np.ndarray], label: np.ndarray, vocab: list[bytes], evidence: bool = True) -> None:
+        """docs are given as places in vocab."""
+        gram, of = _grams(vocab) if vocab else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        order = np.argsort(of, kind="stable")
+        names, gram = np.unique(gram[order], return_inverse=True)
+        start = np.searchsorted(of[order], np.arange(len(vocab) + 1))
+        by_word, by_gram = np.zeros((2, len(vocab)), np.int32), np.zeros((2, len(names)), np.int32)
+        for words, y in zip(map(np.unique, docs), label, strict=True):
+            by_word[y, words] += 1
+            if len(words):
+                by_gram[y, np.unique(np.concatenate([gram[start[w] : start[w + 1]] for w in words]))] += 1
+        n = np.bincount(label, minlength=2)
+        word, seq = (np.flatnonzero(x.sum(0) >= SEEN) for x in (by_word, by_gram))
+        self.words, self.grams = {vocab[i]: k for k, i in enumerate(word)}, np.append(names[seq], np.uint64(0))
+        self.by_word, self.by_gram = (np.append(_evidence(x[:, i], n) * evidence, 0).astype(np.float32) for x, i in ((by_word, word), (by_gram, seq)))
+
+    def parts(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each word's row of the learned table, its sequences' rows and the words they are of, and its evidence: its own, the
+        most, least and mean of its sequences', and 1."""
+        row = np.fromiter((self.words.get(w, len(self.words)) for w in words), np.int64, len(words))
+        gram, of = _grams(words) if words else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        last = len(self.grams) - 1
+        at = np.minimum(np.searchsorted(self.grams[:last], gram), max(0, last - 1))
+        at = np.where(self.grams[at] == gram, at, last)
+        held = self.by_gram[at]
+        hit = held != 0
+        mine, got = of[hit], held[hit]
+        high, low = np.full(len(words), -9, np.float32), np.full(len(words), 9, np.float32)
+        np.maximum.at(high, mine, got)
+        np.minimum.at(low, mine, got)
+        times = np.bincount(mine, minlength=len(words))
+        some = times > 0
+        out = np.zeros((len(words), EVIDENCE), np.float32)
+        out[:, 0] = self.by_word[row]
+        out[some, 1], out[some, 2] = high[some], low[some]
+        out[some, 3] = np.bincount(mine, got, len(words))[some] / times[some]
         out[:, 4] = 1.0
-        return out / 2
+        return row, at, of, out / 2
+
 
-    return make
+def _mean(of: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The mean row of each of n words; zeros for those without."""
+    total = np.stack([np.bincount(of, c, n) for c in rows.T], axis=1)
+    return (total / np.maximum(np.bincount(of, minlength=n), 1)[:, None]).astype(np.float32)
 
 
 def _windows(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Word indexes of each window and which of them are real; one empty window for no words."""
-    starts = np.arange(0, max(1, n - STRIDE), STRIDE)
+    starts = np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE)
     at = starts[:, None] + np.arange(WINDOW)
     return np.minimum(at, max(0, n - 1)), at < n
 
 
 class Network:
-    def __init__(self, seed: int = 5) -> None:
+    def __init__(self, words: int = 0, grams: int = 0, seed: int = 5) -> None:
         draw, h = np.random.default_rng(seed), HIDDEN
         init = lambda *shape: draw.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
         self.p = {k: v for d in "fb" for k, v in ((f"w{d}", init(INPUTS, 3 * h)), (f"u{d}", init(h, 2 * h)), (f"c{d}", init(h, h)), (f"b{d}", np.zeros(3 * h, np.float32)))}
+        self.p |= {"word": np.zeros((words + 1, LEARNED), np.float32), "gram": np.zeros((grams + 1, LEARNED), np.float32)}
+        for table in ("word", "gram"):  # rows that nothing is known of stay at zero
+            self.p[table][:-1] = draw.normal(0, 0.1, self.p[table][:-1].shape)
         self.p |= {"a": init(2 * h, ATTENTION), "v": init(ATTENTION, 1), "o": init(2 * h, 1), "bias": np.full(1, -1.0, np.float32)}
 
+    def inputs(self, parts: tuple) -> np.ndarray:
+        """(words, INPUTS) of what Lexicon.parts gives."""
+        row, gram, of, evidence = parts
+        return np.concatenate([evidence, self.p["word"][row], _mean(of, self.p["gram"][gram], len(row))], axis=1)
+
     def project(self, x: np.ndarray) -> dict[str, np.ndarray]:
         """What each word adds to the gates of either direction."""
         return {d: x @ self.p[f"w{d}"] + self.p[f"b{d}"] for d in "fb"}
@@ -145,7 +164,8 @@ class Network:
             tape |= {"states": states, "u": u, "a": a, "pooled": pooled}
         return (pooled @ p["o"])[:, 0] + p["bias"][0]
 
-    def gradients(self, x: np.ndarray, at: np.ndarray, real: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(self, x: np.ndarray, at: np.ndarray, real: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Of the loss by the network's numbers and by x."""
         tape: dict = {}
         p, h = self.p, HIDDEN
         logit = self.forward(self.project(x), at, real, tape)
@@ -157,10 +177,11 @@ class Network:
         de = a * (da - (a * da).sum(0))
         du = de[:, :, None] * p["v"].T * (1 - u * u)
         g |= {"v": np.einsum("tnk,tn->k", u, de)[:, None], "a": np.einsum("tnk,tnj->kj", states, du)}
-        dstates = a[:, :, None] * dpooled + du @ p["a"].T
+        dstates, dx = a[:, :, None] * dpooled + du @ p["a"].T, 0
         for k, d in enumerate("fb"):
-            g |= {f"{m}{d}": np.zeros_like(p[f"{m}{d}"]) for m in "wucb"}
+            g |= {f"{m}{d}": np.zeros_like(p[f"{m}{d}"]) for m in "uc"}
             carry = np.zeros((len(at), h), np.float32)
+            gate = np.empty((WINDOW, len(at), 3 * h), np.float32)
             for t in reversed(range(WINDOW)) if d == "f" else range(WINDOW):
                 state, z, r, c = tape[d, t]
                 dh = dstates[t, :, k * h : (k + 1) * h] + carry
@@ -171,32 +192,45 @@ class Network:
                 carry = dh * (1 - z) + drs * r + dzr @ p[f"u{d}"].T
                 g[f"c{d}"] += (r * state).T @ dc
                 g[f"u{d}"] += state.T @ dzr
-                gate = np.concatenate([dzr, dc], axis=1)
-                g[f"w{d}"] += x[at[:, t]].T @ gate
-                g[f"b{d}"] += gate.sum(0)
-        return g
-
-    def train(self, x: np.ndarray, at: np.ndarray, real: np.ndarray, y: np.ndarray, steps: int, draw: np.random.Generator, size: int = 256) -> None:
+                gate[t] = np.concatenate([dzr, dc], axis=1)
+            by_word = np.zeros((len(x), 3 * h), np.float32)
+            np.add.at(by_word, at.T, gate)
+            g |= {f"w{d}": x.T @ by_word, f"b{d}": by_word.sum(0)}
+            dx = dx + by_word @ p[f"w{d}"].T
+        return g, dx
+
+    def train(self, parts: tuple, at: np.ndarray, real: np.ndarray, y: np.ndarray, steps: int, draw: np.random.Generator, size: int = 256) -> None:
+        """Adam on batches of windows; parts are those of all words, sequences in order of their words."""
+        row, gram, of, evidence = parts
+        start = np.searchsorted(of, np.arange(len(row) + 1))
         weight = np.where(y > 0, max(1, (y == 0).sum()) / max(1, (y > 0).sum()), 1.0) ** 0.5
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
         for step in range(1, steps + 1):
             i = draw.integers(0, len(y), min(size, len(y)))
-            for k, g in self.gradients(x, at[i], real[i], y[i], weight[i]).items():
-                m[k] = 0.9 * m[k] + 0.1 * g
-                s[k] = 0.999 * s[k] + 0.001 * g * g
+            words, back = np.unique(at[i], return_inverse=True)
+            n = start[words + 1] - start[words]
+            mine = np.repeat(np.arange(len(words)), n)
+            held = gram[np.repeat(start[words] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            g, dx = self.gradients(self.inputs((row[words], held, mine, evidence[words])), back.reshape(len(i), WINDOW), real[i], y[i], weight[i])
+            for table, at_rows, d in (("word", row[words], dx[:, EVIDENCE : EVIDENCE + LEARNED]), ("gram", held, (dx[:, EVIDENCE + LEARNED :] / np.maximum(n, 1)[:, None])[mine])):
+                g[table] = np.stack([np.bincount(at_rows, c, len(self.p[table])) for c in d.T], axis=1) + 1e-4 * self.p[table]
+                g[table][-1] = 0
+            for k, v in g.items():
+                m[k] = 0.9 * m[k] + 0.1 * v
+                s[k] = 0.999 * s[k] + 0.001 * v * v
                 self.p[k] = (self.p[k] - 0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
 
-def fit(rows: Iterable[tuple[str | None, int]], rounds: int = 3, steps: int = 150) -> tuple[tuple[dict, dict], dict] | None:
-    """Evidence and the network's numbers from (text, label) rows; None without labels of both kinds."""
+def fit(rows: Iterable[tuple[str | None, int]], rounds: int = 3, steps: int = 150, evidence: bool = True) -> tuple[Lexicon, dict] | None:
+    """The lexicon and the network's numbers from (text, label) rows; None without labels of both kinds."""
     places: dict[bytes, int] = {}
     docs, labels, copies = [], [], set()
     for t, y in rows:
         words = words_of((t or "").encode("utf-8", "ignore"))
-        first = min((zlib.crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=0)
-        if (first, int(y)) not in copies:  # copies and near copies of one label count once
-            copies.add((first, int(y)))
+        same = blake2b(b" ".join(words) + bytes([int(y)]), digest_size=16).digest()
+        if same not in copies:
+            copies.add(same)
             for w in words:
                 places.setdefault(w, len(places))
             docs.append(np.fromiter(map(places.__getitem__, words), np.int32, len(words)))
@@ -204,55 +238,58 @@ def fit(rows: Iterable[tuple[str | None, int]], rounds: int = 3, steps: int = 15
     label, vocab = np.array(labels, np.int64), list(places)
     if len(set(labels)) < 2:
         return None
-    evidence = _presence(docs, label, vocab)
-    x = np.concatenate([_inputs(evidence)(vocab), np.zeros((1, INPUTS), np.float32)])
-    ats, reals, of = [], [], []
+    lexicon = Lexicon(docs, label, vocab, evidence)
+    row, gram, of, known = lexicon.parts([*vocab, b""])
+    order = np.argsort(of, kind="stable")
+    parts = row, gram[order], of[order], known
+    ats, reals, doc = [], [], []
     for k, words in enumerate(docs):
         at, real = _windows(len(words))
-        ats.append(words[at] if len(words) else np.full_like(at, len(x) - 1))
+        ats.append((words[at] if len(words) else np.full_like(at, len(vocab))).astype(np.int32))
         reals.append(real)
-        of.append(np.full(len(at), k))
-    at, real, of = np.concatenate(ats), np.concatenate(reals), np.concatenate(of)
-    draw, net = np.random.default_rng(3), Network()
-    score = x[:, :2].sum(1)[at].max(1, where=real, initial=-9)
+        doc.append(np.full(len(at), k))
+    at, real, doc = np.concatenate(ats), np.concatenate(reals), np.concatenate(doc)
+    draw, net = np.random.default_rng(3), Network(len(lexicon.words), len(lexicon.grams) - 1)
+    score = known[:, :2].sum(1)[at].max(1, where=real, initial=-9)
+    if not evidence:
+        score = draw.random(len(at))
     for _ in range(rounds):
-        order = np.lexsort((-score, of))
-        rank = np.empty(len(of), np.int64)
-        rank[order] = np.arange(len(of)) - np.searchsorted(of[order], of[order])
-        toxic = label[of] > 0
-        pick = np.flatnonzero(np.where(toxic, rank < 1, (rank < 2) | (draw.random(len(of)) < 0.02)))
-        net.train(x, at[pick], real[pick], label[of[pick]], steps, draw)
-        gates = net.project(x)
+        order = np.lexsort((-score, doc))
+        rank = np.empty(len(doc), np.int64)
+        rank[order] = np.arange(len(doc)) - np.searchsorted(doc[order], doc[order])
+        toxic = label[doc] > 0
+        pick = np.flatnonzero(np.where(toxic, rank < 1 if evidence else rank < 4, (rank < 2) | (draw.random(len(doc)) < 0.02)))
+        net.train(parts, at[pick], real[pick], label[doc[pick]], steps, draw)
+        gates = net.project(net.inputs(parts))
         score = np.concatenate([net.forward(gates, at[i : i + 8192], real[i : i + 8192]) for i in range(0, len(at), 8192)])
     top = np.full(len(docs), -np.inf)
-    np.maximum.at(top, of, score)
+    np.maximum.at(top, doc, score)
     order = np.argsort(-top, kind="stable")
     hits = np.cumsum(label[order])
     f1 = 2 * hits / (np.arange(1, len(top) + 1) + label.sum())
     best = int(np.argmax(f1))
     edge = 0.6 * top[order[best]] + 0.4 * top[order[min(best + 1, len(top) - 1)]]
     net.p["bias"] = (net.p["bias"] - np.float32(edge)).astype(np.float32)
-    return evidence, net.p
+    return lexicon, net.p
 
 
-def _scorer(model: tuple[tuple[dict, dict], dict] | None, name: str) -> Callable:
+def _scorer(model: tuple[Lexicon, dict] | None, name: str) -> Callable:
     def start() -> Callable[[list[bytes]], dict]:
         if model is None:
             return lambda batch: {name: [0.0] * len(batch)}
-        net = Network()
+        lexicon, net = model[0], Network()
         net.p = model[1]
-        inputs = _inputs(model[0])
 
         def make(words: list[bytes]) -> np.ndarray:
-            gates = net.project(inputs(words))
+            gates = net.project(net.inputs(lexicon.parts(words)))
             return np.concatenate([gates["f"], gates["b"]], axis=1)
 
-        table = WordRows(make)
+        table, none = WordRows(make), make([b""])
         wide = 3 * HIDDEN
 
         def work(batch: list[bytes]) -> dict:
             where = table.indexes([words_of(t) for t in batch])
-            rows = np.concatenate([table.rows, np.zeros((1, 2 * wide), np.float32)])
+            rows = np.concatenate([table.rows, none])
             gates = {"f": np.ascontiguousarray(rows[:, :wide]), "b": np.ascontiguousarray(rows[:, wide:])}
             spans = [_windows(len(w)) for w in where]
             at = np.concatenate([w[s] if len(w) else np.full_like(s, len(rows) - 1) for w, (s, _) in zip(where, spans, strict=True)])

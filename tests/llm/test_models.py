@@ -14,18 +14,24 @@ from tessella.llm.common import crc_fold
 
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
-    net = toxicity.Network()
-    x = rng.normal(size=(30, toxicity.INPUTS)).astype(np.float32)
+    net = toxicity.Network(9, 20)
+    gram, of = rng.integers(0, 21, 70), np.sort(rng.integers(0, 30, 70))
+    row, evidence = rng.integers(0, 10, 30), rng.normal(size=(30, toxicity.EVIDENCE))
+    n = np.bincount(of, minlength=30)
     at = rng.integers(0, 30, (6, toxicity.WINDOW))
     real = np.arange(toxicity.WINDOW) < rng.integers(1, 17, (6, 1))
     y, weight = np.array([0, 1, 1, 0, 1, 0]), np.ones(6)
 
     def loss():
-        logit = net.forward(net.project(x), at, real).astype(float)
+        logit = net.forward(net.project(net.inputs((row, gram, of, evidence))), at, real).astype(float)
         return float(np.mean(np.log1p(np.exp(-np.where(y > 0, logit, -logit)))))
 
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    grads = net.gradients(x, at, real, y, weight)
+    grads, dx = net.gradients(net.inputs((row, gram, of, evidence)), at, real, y, weight)
+    e, k = toxicity.EVIDENCE, toxicity.LEARNED
+    for name, rows, d in (("word", row, dx[:, e : e + k]), ("gram", gram, (dx[:, e + k :] / np.maximum(n, 1)[:, None])[of])):
+        grads[name] = np.zeros_like(net.p[name])
+        np.add.at(grads[name], rows, d)
     for name, g in grads.items():
         for index in list(np.ndindex(g.shape))[:: max(1, g.size // 4)]:
             old = net.p[name][index]
@@ -65,21 +71,54 @@ def test_toxicity_finds_held_out_documents(spark):
     assert toxicity.filter_toxic(docs.limit(0), labelled, F.lit(True)).count() == 0
 
 
-def test_training_folds_copies_of_one_label_only(monkeypatch):
+def test_network_matches_a_plain_loop():
+    rng = np.random.default_rng(4)
+    net = toxicity.Network(5, 5)
+    x, p = rng.normal(size=(7, toxicity.INPUTS)).astype(np.float32), net.p
+    at, n, h = np.array([[3, 1, 4, 1, 5, 6] + [6] * (toxicity.WINDOW - 6)]), 6, toxicity.HIDDEN
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    states = {}
+    for d, order in (("f", range(n)), ("b", reversed(range(n)))):
+        state = np.zeros(h)
+        for t in order:
+            g = x[at[0, t]] @ p[f"w{d}"] + p[f"b{d}"]
+            z, r = sigmoid(g[:h] + state @ p[f"u{d}"][:, :h]), sigmoid(g[h : 2 * h] + state @ p[f"u{d}"][:, h:])
+            state = (1 - z) * state + z * np.tanh(g[2 * h :] + (r * state) @ p[f"c{d}"])
+            states[d, t] = state
+    both = [np.concatenate([states["f", t], states["b", t]]) for t in range(n)]
+    weight = np.exp([float((np.tanh(s @ p["a"]) @ p["v"])[0]) for s in both])
+    pooled = sum(w * s for w, s in zip(weight / weight.sum(), both, strict=True))
+    got = net.forward(net.project(x), at, np.arange(toxicity.WINDOW)[None] < n)
+    assert got[0] == pytest.approx(float((pooled @ p["o"])[0] + p["bias"][0]), abs=1e-4)
+
+
+def test_training_folds_same_texts_of_one_label_only(monkeypatch):
     seen = {}
-    real = toxicity._presence
-    monkeypatch.setattr(toxicity, "_presence", lambda docs, label, vocab: seen.update(n=len(docs), label=label.tolist()) or real(docs, label, vocab))
-    text = "some words that both of them share from the start to the end"
-    rows = [(text, 0), (text + " vile", 1), (text, 0), (text + " vile", 1), ("another clean text", 0)]
+    real = toxicity.Lexicon
+    monkeypatch.setattr(toxicity, "Lexicon", lambda docs, label, vocab, evidence: seen.update(n=len(docs), label=label.tolist()) or real(docs, label, vocab, evidence))
+    text, foot = "some words that both of them share from the start to the end", " all of this under one common footer line"
+    rows = [(text, 0), (text, 1), (text.upper(), 0), (text + " vile", 1), ("another clean text" + foot, 0), ("one more text" + foot, 0)]
     assert toxicity.fit(rows, rounds=1, steps=2) is not None
-    assert seen == {"n": 3, "label": [0, 1, 0]}
+    assert seen == {"n": 5, "label": [0, 1, 1, 0, 0]}
+
+
+@pytest.mark.parametrize("evidence", [True, False])
+def test_learned_inputs_tell_words_and_their_parts(evidence):
+    rng = random.Random(9)
+    vocab = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8))) for _ in range(400)]
+    make = lambda bad: " ".join([*rng.choices(vocab, k=12), *(["x" * rng.randint(0, 2) + "zqvrw" + rng.choice("abc")] if bad else []), *rng.choices(vocab, k=12)])
+    model = toxicity.fit([(make(i % 4 == 0), int(i % 4 == 0)) for i in range(800)], evidence=evidence)
+    assert evidence or not (model[0].by_word.any() or model[0].by_gram.any())
+    held = [make(i % 4 == 0).encode() for i in range(200)]
+    right = [(x >= 0.5) == (i % 4 == 0) for i, x in enumerate(toxicity._scorer(model, "s")()(held)["s"])]
+    assert np.mean(right) > 0.95
 
 
 def test_windows_cover_all_words():
-    for n in (0, 1, 8, 9, 16, 17, 24, 25, 100):
+    for n in (0, 1, 8, 9, 16, 17, 20, 21, 24, 25, 100):
         at, real = toxicity._windows(n)
         assert set(at[real].tolist()) == set(range(n))
-        assert len(at) == max(1, math.ceil((n - toxicity.STRIDE) / toxicity.STRIDE))
+        assert len(at) == max(1, math.ceil((n - toxicity.WINDOW) / toxicity.STRIDE) + 1)
 
 
 def test_forward_sums_all_segmentations():
