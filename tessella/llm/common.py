@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a longest run without ASCII white space. bytes.split() cuts at the same six characters.
@@ -17,14 +19,40 @@ CHUNK = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one in the warehouse where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir") + "/_work"
-    return path.rstrip("/")
+    """The folder all executors share: spark.checkpoint.dir. Local sessions without one use their warehouse."""
+    path = spark.conf.get("spark.checkpoint.dir", "")
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (path or spark.conf.get("spark.sql.warehouse.dir") + "/_work").rstrip("/") + "/" + spark.sparkContext.applicationId
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes all that materialize() wrote in this application; results that read it must be written by then.
+
+    Runs by itself when Python ends while Spark is still up."""
+    if spark.sparkContext._jsc is not None:
+        _delete(spark, shared_dir(spark))
+
+
+@cache
+def _sweep_at_end(application: str) -> None:
+    def end() -> None:
+        spark = SparkSession.getActiveSession()
+        if spark is not None and spark.sparkContext._jsc is not None and spark.sparkContext.applicationId == application:
+            sweep(spark)
+
+    atexit.register(end)
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Cuts lineage: writes df as Parquet into the shared folder and reads it back with its true size known."""
     spark = df.sparkSession
+    _sweep_at_end(spark.sparkContext.applicationId)
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -34,9 +62,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Deletes what materialize() wrote, once nothing reads it any more."""
-    jvm, path = df.sparkSession._jvm, df._written_to
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+    _delete(df.sparkSession, df._written_to)
 
 
 def word_count(text: Column) -> Column:
@@ -119,10 +145,15 @@ class WordRows:
         return out
 
 
-def bounded_sample(rows: DataFrame, id_col: str, by: str, values: list, most: int) -> DataFrame:
-    """(id, by) of at most `most` rows for each value, drawn by a hash of the id: each a top-k of narrow rows."""
-    parts = [rows.where(F.col(by) == v).where(F.col(id_col).isNotNull()).select(id_col, by).orderBy(F.xxhash64(F.lit(11), id_col), id_col).limit(most) for v in values]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def bounded_sample(rows: DataFrame, id_col: str, by: str, most: int) -> DataFrame:
+    """(id, by) of at most `most` rows for each value of by, the first by a hash of the id; nulls of either are left out.
+
+    One narrow scan counts the values, one more keeps what is sure to hold the first `most` of each; only that is sorted.
+    """
+    named = rows.select(F.col(id_col).alias("__i"), F.col(by).alias("__v")).where("__i IS NOT NULL AND __v IS NOT NULL")
+    counts = named.groupBy("__v").agg(F.count("*").alias("__n"))
+    drawn = F.xxhash64(F.lit(11), "__i")
+    share = (drawn.cast("double") / 2.0**64 + 0.5) * F.col("__n")
+    near = named.join(counts, "__v").where(share <= most + 7 * most**0.5 + 50)
+    first = F.row_number().over(Window.partitionBy("__v").orderBy(drawn, "__i"))
+    return near.withColumn("__at", first).where(F.col("__at") <= most).select(F.col("__i").alias(id_col), F.col("__v").alias(by))

@@ -6,11 +6,13 @@ pieces, by the forward algorithm over its bytes (a byte alone is always a piece)
 its language from the product over its words, letters in lower case.
 
 Bytes are scaled alike for all languages, so nothing underflows; a run of letters over LONGEST bytes is cut into
-words of that length. Training takes at most SAMPLE documents of each language and at most LANGUAGES languages, the
-most frequent first, both parameters.
+words of that length. Training takes at most SAMPLE documents of each language and about ALL of all languages together,
+both parameters: with very many languages each gives fewer, but every language gives some and can be predicted.
 
 Defined results: null text, or text without a letter: und with score 0. Where nothing can be learned every text is
-und. Equal posteriors: the language first by code point. Repeated ids are scored row by row.
+und. Equal posteriors: the language first by code point. Repeated ids are scored row by row; in training one text of an
+id and language counts, the least. Very long texts are scored whole. An empty table gives an empty table. Kept
+columns named like a new one give way to it.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import WordRows, bounded_sample, map_texts
 
-SAMPLE, LANGUAGES, LONGEST, LONGEST_PIECE, ROUNDS = 400, 256, 48, 16, 3
+SAMPLE, ALL, LONGEST, LONGEST_PIECE, ROUNDS = 400, 40_000, 48, 16, 3
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 _BASE, _SPREAD, _AGAIN, _SCALE = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), 12.0
 _SPLIT = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256))
@@ -192,13 +194,13 @@ def _scorer(model: tuple[list[str], np.ndarray] | None, pieces: list[bytes]) ->
     return start
 
 
-def learn(docs: DataFrame, usable: Column, pieces: list[bytes], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, languages: int = LANGUAGES):
-    """Fits on at most sample usable documents of each language."""
-    rows = docs.where(usable & F.col(lang_col).isNotNull())
-    names = [r[0] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(languages).collect()]
-    if not names:
+def learn(docs: DataFrame, usable: Column, pieces: list[bytes], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, most: int = ALL):
+    """Fits on at most sample usable documents of each language, fewer of each if all would be over most."""
+    rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
+    languages = rows.select(lang_col).distinct().count()
+    if not languages:
         return None
-    drawn = bounded_sample(rows, id_col, lang_col, sorted(names), sample).select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"))
+    drawn = bounded_sample(rows, id_col, lang_col, max(1, min(sample, most // languages))).select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"))
     held = rows.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text")).join(F.broadcast(drawn.distinct()), ["__id", "__lang"])
     found = held.groupBy("__id", "__lang").agg(F.min("__text")).collect()  # one text of an id, however often it repeats
     return fit([(r[2], r[1]) for r in sorted(found, key=lambda r: (r[0], r[1]))], pieces)

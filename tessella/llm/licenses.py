@@ -8,7 +8,9 @@ counts if it reaches SHARE and the template's mandatory phrases stand in the fil
 
 Base phrases are found wherever their words stand consecutively and always give their label.
 
-Defined results: null and empty text has no words, no places and score 0. Repeated ids are scanned row by row.
+Defined results: null and empty text has no words, no places and score 0. Repeated ids are scanned row by row. Very long
+texts are scanned whole, all their places. Words of equal rarity: the first by bytes. An empty table gives an empty
+table. Kept columns named like a new one give way to it.
 """
 
 from __future__ import annotations

@@ -3,10 +3,14 @@
 Each document's base counts give rates in whole steps of a thousandth. A histogram of the steps is a mergeable
 quantile sketch with an error of one step at most: partial sketches add up, over tasks and from sources to their
 language, and none grows past STEPS entries a rate. A rate's threshold is its upper quartile plus FENCE quartile
-distances (FLOOR steps at least); word length also has a lower one. A group under LEAST documents takes its
-language's sketch instead. The thresholds join back to the documents by language and source.
-
-Defined results: null text has no words and fails the base rules; null language or source is a group of its own.
+distances (FLOOR steps at least); word length also has a lower one. A group's quartiles are shrunk towards its
+language's as if the language gave it PRIOR documents, so small groups have nearly their language's fences and large ones
+their own. The thresholds join back to the documents by language and source.
+
+Defined results: null text has no words and fails the base rules; null language or source is a group of its own; a rate
+without a base (no words, no lines) is 0. Repeated rows and ids count and are judged row by row. A value on a threshold is
+kept. Very long texts are counted whole. An empty table gives an empty table. Columns of docs named like a new one stay
+out of scores and come through filters as they were.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import map_texts, materialize
 
-FENCE, LEAST, STEPS = 3, 50, 1000
+FENCE, PRIOR, STEPS = 3, 50, 1000
 #: Rate -> the least quartile distance in steps.
 FLOOR = {"symbols": 15, "capitals": 40, "marks": 30, "dup_lines": 120, "repeats": 100, "word_length": 100}
 COUNTS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint, n_capitals bigint, n_marks bigint"
@@ -76,11 +80,10 @@ def thresholds(counted: DataFrame) -> DataFrame:
 
     own, lang = quartiles(sketch, ["lang", "source"]), quartiles(wide, ["lang"]).select(F.col("lang").alias("of"), F.col("rate").alias("of_rate"), F.struct("low", "high").alias("wide"))
     both = own.join(lang, F.col("lang").eqNullSafe(F.col("of")) & (F.col("rate") == F.col("of_rate")))
-    few = F.col("n") < LEAST
-    low, high = F.when(few, F.col("wide.low")).otherwise(F.col("low")), F.when(few, F.col("wide.high")).otherwise(F.col("high"))
+    low, high = ((F.col("n") * F.col(c) + PRIOR * F.col(f"wide.{c}")) / (F.col("n") + PRIOR) for c in ("low", "high"))
     floor = F.element_at(F.create_map(*(F.lit(x) for kv in FLOOR.items() for x in kv)), F.col("rate"))
     reach = FENCE * F.greatest(high - low, floor)
-    limits = F.struct(F.when(F.col("rate") == "word_length", low - reach).otherwise(F.lit(-1)).alias("low"), (high + reach).alias("high"))
+    limits = F.struct(F.when(F.col("rate") == "word_length", low - reach).otherwise(F.lit(-1.0)).alias("low"), (high + reach).alias("high"))
     return materialize(both.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("rate", limits))).alias("limits")))
 
 

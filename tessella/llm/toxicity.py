@@ -306,7 +306,7 @@ def _scorer(model: tuple[Lexicon, dict] | None, name: str) -> Callable:
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> tuple | None:
     """Fits on at most sample documents of each label among the usable rows of labels."""
-    drawn = bounded_sample(labels.where(usable), id_col, label_col, [0, 1], sample)
+    drawn = bounded_sample(labels.where(usable).where(F.col(label_col).isin(0, 1)), id_col, label_col, sample)
     held = docs.select(F.col(id_col), F.col(text_col).alias("__text")).join(F.broadcast(drawn), id_col)
     rows = held.groupBy(id_col, label_col).agg(F.min("__text")).collect()  # one text of an id, however often it repeats
     rows.sort(key=lambda r: (r[0], r[1]), reverse=True)

@@ -71,3 +71,15 @@ def test_short_items_are_never_missed(spark):
     want = brute(docs, items, 5, 80)
     assert {tuple(r) for r in got.collect()} == want
     assert len(want) > 128
+
+
+def test_ids_of_any_type_and_empty_items(spark):
+    text = "some words of an item that stands in one document whole and is found there by its text"
+    docs = spark.createDataFrame([("d1", f"before {text} after"), (None, text), ("d2", "other words")], "doc_id string, text string")
+    items = spark.createDataFrame([("i1", text), (None, text), ("i2", None), ("i3", "other words of another item here")], "item_id string, text string")
+    got = contained_items(docs, items)
+    assert dict(got.dtypes)["item_id"] == "string"
+    assert sorted(((r.doc_id, r.item_id) for r in got.collect()), key=str) == sorted([("d1", "i1"), ("d1", None), (None, "i1"), (None, None)], key=str)
+    assert contained_items(docs, items.limit(0)).count() == 0
+    assert drop_contaminated(docs, items.limit(0)).count() == 3
+    assert contained_items(docs.limit(0), items).count() == 0

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import langid, lm_scoring, tokens, toxicity
-from tessella.llm.common import crc_fold
+from tessella.llm.common import bounded_sample, crc_fold
 
 
 def test_gradients_match_differences():
@@ -219,6 +219,30 @@ def test_cross_entropy_counts_every_word(spark, monkeypatch):
     assert {i: r.score for i, r in score().items() if r.score} == pytest.approx({i: r.score for i, r in got.items() if r.score}, abs=1e-9)
 
 
+def test_tokens_of_text_that_is_no_utf8(spark):
+    docs = spark.sql("SELECT 1 AS doc_id, 's' AS source, CAST(x'61FF62E2820A63' AS string) AS text, 'l' AS lang")
+    got = {r.section: r.n_bytes for r in tokens.count_tokens(docs, tokens.read_ranks()).collect()}
+    assert got == {"source": 2, "lang": 2, "text.head": 3, "text.body": 1}
+
+
+def test_bounded_sample_is_the_least_hashes_of_each_value(spark):
+    rows = [(i, "abc"[i % 2 if i < 3000 else 2]) for i in range(3010)] + [(None, "a"), (7, None)]
+    frame = spark.createDataFrame(rows, "i long, v string")
+    got = bounded_sample(frame, "i", "v", 40).collect()
+    hashed = frame.where("i IS NOT NULL AND v IS NOT NULL").select("i", "v", F.xxhash64(F.lit(11), "i").alias("h")).collect()
+    want = {(r.i, r.v) for v in "abc" for r in sorted((r for r in hashed if r.v == v), key=lambda r: r.h)[:40]}
+    assert {(r.i, r.v) for r in got} == want and len(got) == 90
+    assert bounded_sample(frame.limit(0), "i", "v", 40).count() == 0
+
+
+def test_every_language_can_be_predicted(spark):
+    rows = [(i, f"{chr(97 + i % 20) * 3}{chr(97 + i % 19)} " * 9, f"l{i % 20}") for i in range(400)]
+    docs, pieces = spark.createDataFrame(rows, "doc_id long, text string, lang string"), langid.vocabulary()
+    langs, _ = langid.learn(docs, F.lit(True), pieces, most=40)
+    assert langs == sorted(f"l{i}" for i in range(20))
+    assert langid.predict_language(docs.limit(0), langid.learn(docs, F.lit(True), pieces, most=40), pieces).count() == 0
+
+
 def test_tokens_are_whole_and_attributed_by_most_bytes(spark):
     rows = [(1, "web", "en", "Head line\nbody of  the text\n"), (2, None, None, None), (3, "", "x", "no break"), (4, "é", "日本", "日本語\n\n\n  x"), (None, "a", "b", "c\nd"), (5, "s", "l", "word " * 30_000), (1, "w", "e", "\n")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, source string, lang string, text string, n_tokens int")

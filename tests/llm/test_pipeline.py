@@ -53,3 +53,10 @@ def test_stages_take_out_what_they_should_and_nothing_else(spark, tmp_path):
     words = sum(len(r.text.split()) for r in docs.collect())
     assert abs(sum(len(r.text.split()) for r in out.collect()) - words) < 3 * 150
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == out.count()
+
+
+def test_empty_tables_give_no_rows(spark, tmp_path):
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]

@@ -1,9 +1,11 @@
 import random
 import re
+from collections import defaultdict
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tessella.llm import quality
 from tessella.llm.quality import count, filter_quality, score_quality
 
 
@@ -49,3 +51,35 @@ def test_thresholds_follow_language_and_source(spark):
     assert passed.columns == docs.columns
     assert sorted(r.text for r in passed.collect()) == sorted(r[1] for r in rows if kept[r[0]])
     assert filter_quality(docs.limit(0)).count() == score_quality(docs.limit(0)).count() == 0
+
+
+def test_verdicts_match_plain_quartiles(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(500):
+        lang, source = rng.choice(["en", "en", "de", None]), rng.choice(["a", "a", "a", "b", f"rare{i % 40}", None])
+        words = ["".join(rng.choices("abcdefghABC!?#", [9] * 8 + [rng.random()] * 6, k=rng.randint(2, 9))) for _ in range(rng.randint(30, 150))]
+        text = " ".join(w + "\n" * (rng.random() < 0.1) for w in words)
+        rows.append((i, text + "\n" + text[: rng.randint(0, 300)] * (rng.random() < 0.2), lang, source))
+    got = {r.doc_id: (r.base_failed, r.kept) for r in score_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+
+    steps = {}
+    for i, text, _, _ in rows:
+        n, chars, symbols, dup, repeats, lines, capitals, marks = count(text.encode())
+        of = {"symbols": (symbols, chars), "capitals": (capitals, chars), "marks": (marks, chars), "dup_lines": (dup, lines), "repeats": (repeats, n), "word_length": (chars, 30 * n)}
+        steps[i] = {k: min(1000, 1000 * a // b) if b else 0 for k, (a, b) in of.items()} | {"bad": n < 50 or 100 * repeats > 50 * n}
+    groups, languages = defaultdict(list), defaultdict(list)
+    for i, _, lang, source in rows:
+        groups[lang, source].append(steps[i])
+        languages[lang].append(steps[i])
+    quartile = lambda of, k, q: next(v for j, v in enumerate(sorted(x[k] for x in of)) if j + 1 >= q * len(of))
+    outside = 0
+    for i, _, lang, source in rows:
+        own, wide, inside = groups[lang, source], languages[lang], True
+        for k, floor in quality.FLOOR.items():
+            low, high = ((len(own) * quartile(own, k, q) + quality.PRIOR * quartile(wide, k, q)) / (len(own) + quality.PRIOR) for q in (0.25, 0.75))
+            reach = quality.FENCE * max(high - low, floor)
+            inside &= (k != "word_length" or steps[i][k] >= low - reach) and steps[i][k] <= high + reach
+        outside += not inside
+        assert got[i] == (steps[i]["bad"], inside and not steps[i]["bad"])
+    assert 5 < outside < 100

@@ -1,4 +1,7 @@
-from tessella.llm.quotes import link_quotes
+import random
+import re
+
+from tessella.llm.quotes import _turn_before, link_quotes
 
 SCHEMA = "conv_id long, turn long, role string, text string, depth string"
 
@@ -24,7 +27,7 @@ def test_quotes_link_to_what_they_quote(spark):
     assert by[1, 3, "Thanks"] == (3, 3, 0, 1)
     assert by[1, 4, "Really?"] == (1, 0, 3, 2)
     assert by[1, 5, "Mixed"] == (1, 1, 1, 2)
-    assert by[1, 7, ""] == (0, 0, None, 0)
+    assert by[1, 7, ""] == (0, 0, 5, 3)
     assert by[2, 0, "Other conversation"] == (1, 0, None, 0)
     assert by[2, 2, ""] == (1, 0, 1, 2)
     assert by[3, 1, "yes"] == by[3, 1, "no"] == (1, 1, 0, 1)
@@ -37,3 +40,59 @@ def test_depths_follow_long_chains_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, i, "u", f"m{i}", "") for i in range(70)], SCHEMA)
     assert {r.turn: r.depth for r in link_quotes(docs).collect()} == {i: i for i in range(70)}
     assert link_quotes(docs.limit(0)).count() == 0
+
+
+def plain(rows):
+    """(conv, turn) -> (reply_to, depth, thread) of messages with one text a turn, by going through the conversation."""
+    norm = lambda t: re.sub(r"[^\w]+|_", " ", t.lower()).strip()
+    out = {}
+    for conv in {r[0] for r in rows}:
+        posted, before = {}, None
+        for _, turn, _, text in sorted((r for r in rows if r[0] == conv), key=lambda r: r[1]):
+            lines = [(len(m.group(1).replace(" ", "")), m.group(2)) for m in (re.match(r"((?:[ \t]*>)*)[ \t]?(.*)", x) for x in text.split("\n"))]
+            passages, own, last = [], [], 0
+            for level, line in lines:
+                if level == 0:
+                    own.append(line)
+                elif level != last:
+                    passages.append([line])
+                else:
+                    passages[-1].append(line)
+                last = level
+            reply = None
+            for part in passages:
+                found = posted.get(norm("\n".join(part)))
+                found = min((posted[norm(x)] for x in part if norm(x) in posted), default=None) if found is None else found
+                reply = found if reply is None else reply
+            reply = before if reply is None else reply
+            out[conv, turn] = (reply, 0 if reply is None else out[conv, reply][1] + 1, turn if reply is None else out[conv, reply][2])
+            body = "\n".join(own).strip()
+            for unit in [body, *re.split(r"\n[ \t\r]*\n", body), *body.split("\n"), *re.split(r"(?<=[.!?])\s+", body)]:
+                if norm(unit):
+                    posted.setdefault(norm(unit), turn)
+            before = turn
+    return out
+
+
+def test_replies_match_a_walk_through_each_conversation(spark):
+    rng = random.Random(5)
+    rows = []
+    for conv in range(6):
+        said, turn = [], -3
+        for _ in range(rng.randint(1, 40)):
+            lines = [" ".join(rng.choices("red green blue sky sea".split(), k=rng.randint(1, 3))) + rng.choice([".", "!", "", ". Then more."]) for _ in range(rng.randint(0, 3))]
+            if said and rng.random() < 0.6:
+                lines[rng.randint(0, len(lines)) : 0] = [rng.choice(["> ", ">> "]) + rng.choice(said) for _ in range(rng.randint(1, 2))]
+            rows.append((conv, turn, "u", "\n".join(lines)))
+            said += [x for x in lines if x and not x.startswith(">")] or ["nothing"]
+            turn += rng.choice([1, 1, 2, 3000])
+    got = link_quotes(spark.createDataFrame([(*r, "") for r in rows], SCHEMA)).collect()
+    assert {(r.conv_id, r.turn): (r.reply_to, r.depth, r.thread) for r in got} == plain(rows)
+
+
+def test_turn_before_spans_gaps_of_any_size(spark):
+    turns = sorted({0, 1, 5, 1023, 1024, 1025, 5000, 2**21, 2**41, 2**41 + 1, 2**62, -7, -5000, -(2**45)})
+    got = _turn_before(spark.createDataFrame([(c, t) for c in (1, 2) for t in turns[c - 1 :]], "conv long, turn long")).collect()
+    for c in (1, 2):
+        mine = turns[c - 1 :]
+        assert {r.turn: r.before for r in got if r.conv == c} == dict(zip(mine, [None, *mine], strict=False))
