@@ -4,8 +4,9 @@ Each distinct shingle set gets a signature of COORDINATES values, each the shing
 random function. Two sets at the threshold's Jaccard similarity agree in at least `matches()` coordinates but for a
 chance under MISS. Sets are posted under coordinate-value pairs and their collisions counted, with two savings:
   * prefix: pairs are put in one order for all sets, frequent ones last. Sets that agree in `matches()` of their pairs
-    share one of the first COORDINATES - matches + 1 of either, so only those are posted. What a third of all
-    documents share thus makes no list as long as it is less than what two near duplicates share;
+    share one of the first COORDINATES - matches + 1 of either, so only those are posted: first in an order that puts the
+    most frequent ones last, then, for the sets that meet there, by exact counts. What a third of all documents share
+    thus makes no list as long as it is less than what two near duplicates share;
   * skip: the long lists behind the prefix are never merged. Each posting that meets another counts the collisions
     in all coordinates at once, from signatures packed to a byte a coordinate (which never count too few).
 Pairs with `matches()` collisions are kept, then confirmed on the full sets.
@@ -89,8 +90,7 @@ def _signer(n: int) -> Callable:
             least, got = part[row, i], found[start + i]
             value = got if low is None else np.where(least < low, got, value)
             low = least if low is None else np.minimum(least, low)
-        out = (value ^ at) * _MIX  # the coordinate and its value in one number
-        return out ^ out >> np.uint64(29)
+        return ((value ^ at) * _MIX >> np.uint64(32)).astype(np.uint32)
 
     def start() -> Callable[[list[bytes]], dict]:
         hashes = WordHashes()
@@ -101,8 +101,8 @@ def _signer(n: int) -> Callable:
             return {
                 "n_shingles": [len(s) for s in sets],
                 "node": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                "posts": [None if x is None else x.view(np.int64) for x in signs],
-                "packed": [None if x is None else (x & np.uint64(255)).astype(np.uint8).view(np.int64) for x in signs],
+                "values": [None if x is None else x.tobytes() for x in signs],
+                "packed": [None if x is None else x.astype(np.uint8).view(np.int64) for x in signs],
                 "parity": [parity_bits(s) if len(s) else None for s in sets],
             }
 
@@ -195,13 +195,19 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "v").join(left, "u").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
 
 
+def _posts(values: pa.Array) -> np.ndarray:
+    """(nodes, COORDINATES): a coordinate and its value's 32 bits in one number."""
+    found = np.frombuffer(b"".join(values.to_pylist()), np.uint32).reshape(-1, COORDINATES).astype(np.int64)
+    return found | np.arange(COORDINATES, dtype=np.int64) << 32
+
+
 def _frequent(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The coordinate-value pairs that most nodes post, in order, and their counts; all seen once in a block are left out."""
+    """The coordinate-value pairs that most nodes have, in order, and their counts; all seen once in a block are left out."""
 
     def run(batches):
         held, n = [], 0
         for batch in chunks(batches, 1024):
-            held.append(batch.column(0).flatten().to_numpy())
+            held.append(_posts(batch.column(0)).ravel())
             n += len(held[-1])
             if n >= BLOCK:
                 yield give(held)
@@ -213,19 +219,19 @@ def _frequent(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         value, n = np.unique(np.concatenate(held), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(value[n > 1]), pa.array(n[n > 1])], ["post", "n"])
 
-    counted = nodes.select("posts").mapInArrow(run, "post bigint, n bigint").groupBy("post").agg(F.sum("n").alias("n"))
+    counted = nodes.select("values").mapInArrow(run, "post bigint, n bigint").groupBy("post").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "post").limit(FREQUENT).toArrow().sort_by("post")
     return top["post"].to_numpy(), top["n"].to_numpy()
 
 
-def _prefixes(nodes: DataFrame, length: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _prefixes(nodes: DataFrame, length: int, frequent: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
     """(post, node) for the rarest `length` pairs of each node."""
-    shared = nodes.sparkSession.sparkContext.broadcast(frequent)
+    shared = nodes.sparkSession.sparkContext.broadcast(frequent or (np.zeros(0, np.int64),) * 2)
 
     def run(batches):
         names, times = shared.value
         for batch in chunks(batches, 1024):
-            posts = batch.column(1).flatten().to_numpy().reshape(-1, COORDINATES)
+            posts = _posts(batch.column(1))
             known = np.zeros(posts.shape, np.int64)
             if len(names):
                 at = np.minimum(np.searchsorted(names, posts), len(names) - 1)
@@ -233,14 +239,33 @@ def _prefixes(nodes: DataFrame, length: int, frequent: tuple[np.ndarray, np.ndar
             first = np.take_along_axis(posts, np.lexsort((posts, known))[:, :length], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(first.ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(len(posts)), length)))], ["post", "node"])
 
-    return nodes.select("node", "posts").mapInArrow(run, "post bigint, node binary")
+    return nodes.select("node", "values").mapInArrow(run, "post bigint, node binary")
+
+
+def _shared_prefixes(posted: DataFrame, need: int) -> DataFrame:
+    """(post, node) of each node's rarest pairs, of (post, node) for all pairs, by exact counts.
+
+    Pairs that one node has collide with nothing, so they stand for nothing behind them in the prefix: a node with m others
+    posts the m - need + 1 rarest of them, and none if m < need.
+    """
+    shared = posted.groupBy("post").agg(F.count("*").alias("n")).where("n > 1")
+    mine = posted.join(shared, "post").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "post"))).alias("all"))
+    return mine.where(F.size("all") >= need).select(F.explode(F.slice("all", F.lit(1), F.size("all") - (need - 1))["post"]).alias("post"), "node")
+
+
+#: A node's size, packed signature and parity bits, as plain columns so that a join's condition compiles to plain arithmetic.
+_FACTS = ["size", *(f"packed_{i}" for i in range(COORDINATES // 8)), *(f"parity_{i}" for i in range(PARITY))]
+
+
+def _facts(end: str = "") -> list[Column]:
+    return [F.col(c).alias(f"{c}{end}") for c in _FACTS]
 
 
 def _collisions(u: str, v: str) -> Column:
     """How many bytes of two packed signatures are equal."""
     differ = F.lit(0)
     for i in range(COORDINATES // 8):
-        x = F.col(f"{u}.packed")[i].bitwiseXOR(F.col(f"{v}.packed")[i])
+        x = F.col(f"packed_{i}{u}").bitwiseXOR(F.col(f"packed_{i}{v}"))
         for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
             x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask))
         differ = differ + F.bit_count(x)
@@ -248,11 +273,11 @@ def _collisions(u: str, v: str) -> Column:
 
 
 def _may_link(u: str, v: str, need: int, percent: int) -> Column:
-    """Whether sizes, collisions and parity bits allow that two nodes' sets reach the threshold."""
-    a, b = F.col(f"{u}.size"), F.col(f"{v}.size")
-    overlap = F.ceil(percent * (a + b) / F.lit(100 + percent))
-    apart = sum((F.bit_count(F.col(f"{u}.parity")[i].bitwiseXOR(F.col(f"{v}.parity")[i])) for i in range(PARITY)), F.lit(0))
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (_collisions(u, v) >= need) & (apart <= a + b - 2 * overlap)
+    """Whether sizes, parity bits and collisions allow that two nodes' sets reach the threshold."""
+    a, b = F.col(f"size{u}"), F.col(f"size{v}")
+    # Sets that reach it differ in (100 - percent) / (100 + percent) of both sizes' sum at most.
+    apart = sum((F.bit_count(F.col(f"parity_{i}{u}").bitwiseXOR(F.col(f"parity_{i}{v}"))) for i in range(PARITY)), F.lit(0))
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * apart <= (100 - percent) * (a + b)) & (_collisions(u, v) >= need)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, percent: int = 80) -> DataFrame:
@@ -262,25 +287,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     need = matches(percent)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
-    made = "n_shingles bigint, node binary, posts array<bigint>, packed array<bigint>, parity array<bigint>"
+    made = "n_shingles bigint, node binary, values binary, packed array<bigint>, parity array<bigint>"
     signed = materialize(map_texts(slim, "text", _signer(ngram), made, ["id", "text_hash"]))
-    facts = F.struct(F.col("n_shingles").alias("size"), "packed", "parity")
+    facts = F.struct(F.col("n_shingles").alias("size"), *(F.col(c)[i].alias(f"{c}_{i}") for c, n in (("packed", COORDINATES // 8), ("parity", PARITY)) for i in range(n)))
     nodes = materialize(
-        signed.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("r"), F.first(facts).alias("is"), F.first("posts").alias("posts"))
-        .select("node", F.col("r.id").alias("of_rep"), F.col("r.text_hash").alias("of_hash"), "is", "posts")
+        signed.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("r"), F.first(facts).alias("is"), F.first("values").alias("values"))
+        .select("node", F.col("r.id").alias("of_rep"), F.col("r.text_hash").alias("of_hash"), "is.*", "values")
     )
-    posted = materialize(_prefixes(nodes, COORDINATES - need + 1, _frequent(nodes)))
-    here = materialize(posted.join(posted.groupBy("post").agg(F.count("*").alias("n")).where("n > 1").select("post"), "post"))
-    discard(posted)
+    posted = _prefixes(nodes, COORDINATES - need + 1, _frequent(nodes))
+    met = posted.join(posted.groupBy("post").agg(F.count("*").alias("n")).where("n > 1").select("post"), "post").select("node").distinct()
+    met = materialize(nodes.join(met, "node", "left_semi"))
+    here = materialize(_shared_prefixes(_prefixes(met, COORDINATES, None), need))
 
     drawn = F.struct(F.xxhash64("node", "post").alias("k"), "node")
     heads = here.groupBy("post").agg(F.max(drawn).alias("a"), F.min(drawn).alias("b")).select("post", F.explode(F.array("a.node", "b.node")).alias("head"))
     stars = here.join(heads, "post").where("node <> head").select(F.least("node", "head").alias("u"), F.greatest("node", "head").alias("v")).distinct()
     for x in "vu":
-        stars = stars.join(nodes.select(F.col("node").alias(x), F.col("is").alias(f"is_{x}")), x)
-    stars = materialize(stars.where(_may_link("is_u", "is_v", need, percent)).select("u", "v", _collisions("is_u", "is_v").alias("n")))
-    sets = materialize(_sets(docs, id_col, text_col, nodes.select("node", "of_rep", "of_hash").join(here.select("node").distinct(), "node", "left_semi"), ngram))
+        stars = stars.join(met.select(F.col("node").alias(x), *_facts(f"_{x}")), x)
+    stars = materialize(stars.where(_may_link("_u", "_v", need, percent)).select("u", "v", _collisions("_u", "_v").alias("n")))
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        used = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        return materialize(_sets(docs, id_col, text_col, nodes.select("node", "of_rep", "of_hash").join(used, "node", "left_semi"), ngram))
 
+    sets = sets_of(stars)
     partner = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v"), "n")).groupBy("u").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
     links = materialize(_confirm(partner.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), sets, percent))
     near = _near_roots(links)
@@ -294,19 +324,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rooted = here.join(near2, "node", "left").withColumn("root", F.coalesce("root", "node"))
     still = rooted.groupBy("post").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("post")
-    rest = materialize(rooted.join(still, "post").join(nodes.select("node", "is"), "node"))
+    rest = materialize(rooted.join(still, "post").join(met.select("node", *_FACTS), "node"))
     main = rest.groupBy("post", "root").agg(F.count("*").alias("n")).groupBy("post").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
     b = rest.join(main, "post")
-    a, b = (b.select("post", "main", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "is"))) for x in "ab")
-    pairs = a.where("root_a <> main").join(b.drop("main"), "post").where("root_a <> root_b AND (root_b = main OR node_a < node_b)").where(_may_link("is_a", "is_b", need, percent))
-    pairs = pairs.select(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
-    more = materialize(_confirm(pairs, sets, percent))
+    a, b = (b.select("post", "main", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "root")), *_facts(f"_{x}")) for x in "ab")
+    pairs = a.where("root_a <> main").join(b.drop("main"), "post").where("root_a <> root_b AND (root_b = main OR node_a < node_b)").where(_may_link("_a", "_b", need, percent))
+    pairs = pairs.select(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v")).distinct()
+    pairs = materialize(pairs.join(stars, ["u", "v"], "left_anti"))
+    left = sets_of(pairs)
+    more = materialize(_confirm(pairs, left, percent))
     comp, found = components(both.unionByName(more))
 
     named = nodes.select("node", "of_rep", "of_hash").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min(F.struct(F.col("of_rep").isNull().alias("none"), "of_rep", "of_hash")).alias("r"))
     of = materialize(named.join(ids, "root").select("node", F.col("r.of_rep").alias("component_id"), F.col("r.of_hash").alias("of_hash")))
-    for x in (here, stars, sets, links, near, second, near2, rest, more, nodes, found):
+    for x in (met, here, stars, sets, links, near, second, near2, rest, pairs, left, more, nodes, found):
         discard(x)
     out = signed.select("id", "text_hash", "n_shingles", "node").join(of, "node", "left")
     empty = F.col("node").isNull()
