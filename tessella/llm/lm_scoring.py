@@ -9,8 +9,9 @@ Counts cover every pair of neighbouring words. The WORDS most frequent words are
 in tasks into a table that is bounded by the square of the head, and broadcast. Every place of a word outside the head
 goes, with the words before and after it, to where all places of that word meet; there the word and its pairs are
 counted, and each document gets back a sum of logarithms. A word outside the head has less than a WORDS-th of all
-words, so no key of that shuffle is hot. Which words are the head changes no score. Outside it words are told apart by
-62-bit hashes. Documents meet the target ids in one join before that, at every number of ids.
+words. Words go in buckets of about PLACES places, places are packed by bucket and the sums come back packed by the
+block of documents that they are for. Which words are the head changes no score. Outside it words are told apart by
+62-bit hashes. Documents meet the target ids in one sort-merge join before that, at every number of ids.
 
 A document's score is its cross-entropy under the target model minus that under the background model, in nats a
 token: the lower, the more like the target.
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import chunks, discard, materialize, texts
 
-WORDS, CLASSES, K, HELD = 1024, 256, 50.0, 200_000
+WORDS, CLASSES, K, HELD, PLACES = 1024, 256, 50.0, 200_000, 600_000
 _TAIL = 1 << 62
 
 
@@ -46,8 +47,8 @@ def words_of(text: bytes) -> list[bytes]:
     return text.decode("utf-8", "ignore").lower().encode().split()
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text", words: int = WORDS) -> tuple[list[bytes], int]:
-    """The most frequent words of all documents, of equally frequent ones the first by bytes; how many words there are."""
+def vocabulary(docs: DataFrame, text_col: str = "text", words: int = WORDS) -> tuple[list[bytes], int, int]:
+    """The most frequent words of all documents, of equally frequent ones the first by bytes; how many words there are, and places of others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -61,10 +62,10 @@ def vocabulary(docs: DataFrame, text_col: str = "text", words: int = WORDS) -> t
         yield give()
 
     counted = materialize(docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
-    head = [bytes(r.word) for r in counted.orderBy(F.desc("n"), "word").limit(words).collect()]
-    distinct = counted.count()
+    head = counted.orderBy(F.desc("n"), "word").limit(words).collect()
+    distinct, total = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     discard(counted)
-    return head, distinct
+    return [bytes(r.word) for r in head], distinct, total - sum(r.n for r in head)
 
 
 class Coder:
@@ -155,8 +156,27 @@ def _head_losses(of: np.ndarray, before: np.ndarray, own: np.ndarray, member: np
 #: A word outside the head at one place of a document.
 _PLACE = np.dtype([("before", "<i8"), ("doc", "<i4"), ("after", "<i2"), ("had", "<i4")])
 _OUTSIDE, _END = -1, -2  # for after: a word outside the head, the text's end
-_ROW = "__key bigint, __first bigint, __places binary, n_tokens bigint, __t double, __e double"
-_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.float64()]
+#: __at: a bucket of words, or -1 and a block of documents. __doc: a document's place in the block. __packed: places or sums.
+_ROW = "__at bigint, __block bigint, __doc bigint, __packed binary, n_tokens bigint, __t double, __e double"
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of numbers, one after the other, compressed."""
+    return pa.compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns), codec="zstd", asbytes=True)
+
+
+def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    """The columns; the first eight bytes tell their length."""
+    whole = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little") * sum(np.dtype(k).itemsize for k in kinds), codec="zstd", asbytes=True)
+    n, at, out = int.from_bytes(blob[:8], "little"), 0, []
+    for k in kinds:
+        out.append(np.frombuffer(whole, k, n, at))
+        at += out[-1].nbytes
+    return out
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    return len(columns[0]).to_bytes(8, "little") + _pack(*columns)
 
 
 def _runs(*sorted_: np.ndarray) -> np.ndarray:
@@ -168,8 +188,8 @@ def _runs(*sorted_: np.ndarray) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def _rows(rows: DataFrame, kept: list[str], shared) -> DataFrame:
-    """A row for each document with what the head tells of it, and one for each word outside the head with its places."""
+def _rows(rows: DataFrame, kept: list[str], shared, buckets: int) -> DataFrame:
+    """A row for each document with what the head tells of it, and rows of packed places of words outside the head, by bucket."""
     schema = rows.sparkSession.createDataFrame([], _ROW).schema
     names = [*schema.names, *kept]
     for f in rows.select(*(f"`{c}`" for c in kept)).schema if kept else []:
@@ -179,19 +199,19 @@ def _rows(rows: DataFrame, kept: list[str], shared) -> DataFrame:
         from pyspark import TaskContext
 
         head, sides = shared.value
-        coder, seen, first = Coder(head), 0, TaskContext.get().partitionId() << 40
+        coder, seen, block = Coder(head), 0, TaskContext.get().partitionId()
         keys, places, kinds = [], [], []
 
         def give() -> Iterator[pa.RecordBatch]:
             key, place = np.concatenate(keys), np.concatenate(places)
-            order = np.argsort(key, kind="stable")
+            order = np.lexsort((key, key % buckets))
             key, place = key[order], place[order]
-            starts = _runs(key)
-            for i in range(0, len(starts), 50_000):
-                part = np.append(starts[i : i + 50_000], starts[i + 50_000] if i + 50_000 < len(starts) else len(key))
-                n, bounds = len(part) - 1, ((part - part[0]) * _PLACE.itemsize).astype(np.int32)
-                blobs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(place[part[0] : part[-1]].tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(key[part[:-1]]), pa.array(np.full(n, first)), blobs, *(pa.nulls(n, k) for k in [*_KINDS[3:], *kinds])], names)
+            starts = np.append(_runs(key % buckets), len(key))
+            for i in range(0, len(starts) - 1, 500):
+                part = starts[i : i + 501]
+                blobs = [_packed(key[a:b], *(place[c][a:b] for c in _PLACE.names)) for a, b in zip(part, part[1:], strict=False)]
+                n = len(blobs)
+                yield pa.RecordBatch.from_arrays([pa.array(key[part[:-1]] % buckets), pa.array(np.full(n, block)), pa.nulls(n, pa.int64()), pa.array(blobs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64()), *(pa.nulls(n, k) for k in kinds)], names)
             keys.clear()
             places.clear()
 
@@ -206,11 +226,11 @@ def _rows(rows: DataFrame, kept: list[str], shared) -> DataFrame:
             number, target = seen + np.arange(n), np.array(batch.column(1).to_pylist(), np.int64)
             sums, has = _head_losses(of, np.where(before >= _TAIL, coder.base, before), np.where(own >= _TAIL, coder.base, own), 1 - target, sides, coder)
             kinds = [c.type for c in batch.columns[2:]]
-            yield pa.RecordBatch.from_arrays([pa.array(-1 - first - number), pa.array(first + number), pa.nulls(n, pa.binary()), pa.array(sizes, pa.int64()), *map(pa.array, sums), *batch.columns[2:]], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1 - block)), pa.array(np.full(n, block)), pa.array(number), pa.nulls(n, pa.binary()), pa.array(sizes, pa.int64()), *map(pa.array, sums), *batch.columns[2:]], names)
             seen += n
             at = np.flatnonzero(own >= _TAIL)
             place = np.empty(len(at), _PLACE)
-            # A document's number in its task, and whether it is a target; how often it has the head's word after this one.
+            # A document's number in its block, and whether it is a target; how often it has the head's word after this one.
             place["before"], place["doc"], place["after"] = before[at], (number * 2 + target)[of[at]], after[at]
             place["had"] = np.where(after[at] >= 0, has[of[at], np.maximum(after[at], 0)], 0)
             keys.append(own[at])
@@ -259,47 +279,93 @@ def _word_losses(key: np.ndarray, doc: np.ndarray, place: np.ndarray, sides: lis
     return out
 
 
-def _sums(rows: DataFrame, kept: list[str], shared) -> DataFrame:
-    """What documents' sums are made of: a row for each document from each block of words, and one of its own; rows come sorted by key and first document."""
-    schema = rows.select("__first", "n_tokens", "__t", "__e", *(f"`{c}`" for c in kept)).schema
+def _sums(rows: DataFrame, shared) -> DataFrame:
+    """Rows of documents as they are, and for each block packed sums of what its documents' places add; buckets come whole and in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = shared.value[1]
-        held, n, most, kinds = [], 0, HELD * 3, []
-
-        def give(keys: np.ndarray, firsts: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-            doc = np.repeat(firsts, sizes) + (place["doc"] >> 1)
-            parts = _word_losses(np.repeat(keys, sizes), doc, place, sides)
-            names, at = np.unique(doc, return_inverse=True)
-            made = [pa.array(names), pa.nulls(len(names), pa.int64()), *(pa.array(np.bincount(at, x)) for x in parts), *(pa.nulls(len(names), k) for k in kinds)]
-            for i in range(0, len(names), 50_000):
-                yield pa.RecordBatch.from_arrays([c.slice(i, 50_000) for c in made], schema.names)
-
-        whole = lambda: [np.concatenate(x) for x in zip(*held, strict=True)]
+        sides, held, made, kinds = shared.value[1], [], [], []
+
+        def bucket() -> None:
+            key, block, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(key, kind="stable")
+            key, block, place = key[order], block[order], place[order]
+            parts = _word_losses(key, block << 32 | (place["doc"] >> 1), place, sides)
+            order = np.lexsort((place["doc"], block))
+            block, doc = block[order], place["doc"][order] >> 1
+            at = _runs(block, doc)
+            made.append((block[at], doc[at], *(np.add.reduceat(x[order], at) for x in parts)))
+            held.clear()
+
+        def give() -> Iterator[pa.RecordBatch]:
+            block, doc, t, e = (np.concatenate(x) for x in zip(*made, strict=True))
+            order = np.lexsort((doc, block))
+            block, doc, t, e = block[order], doc[order], t[order], e[order]
+            at = _runs(block, doc)
+            block, doc, t, e = block[at], doc[at], np.add.reduceat(t, at), np.add.reduceat(e, at)
+            starts = np.append(_runs(block), len(block))
+            blobs = [_packed(doc[a:b], t[a:b], e[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
+            n, of = len(blobs), block[starts[:-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(-1 - of), pa.array(of), pa.nulls(n, pa.int64()), pa.array(blobs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64()), *(pa.nulls(n, k) for k in kinds)], names)
+            made.clear()
+
+        last = None
         for batch in batches:
-            kinds = [c.type for c in batch.columns[6:]]
-            blobs = batch.column(2)
-            docs = batch.filter(blobs.is_null())
+            kinds = [c.type for c in batch.columns[7:]]
+            docs = batch.filter(batch.column(2).is_valid())
             if docs.num_rows:
-                yield pa.RecordBatch.from_arrays([docs.column(1), *docs.columns[3:]], schema.names)
-            words = batch.filter(blobs.is_valid())
-            if not words.num_rows:
-                continue
-            blobs = words.column(2).to_pylist()
-            place = np.frombuffer(b"".join(blobs), _PLACE)
-            held.append((words.column(0).to_numpy(), words.column(1).to_numpy(), np.array([len(x) for x in blobs]) // _PLACE.itemsize, place))
-            n += len(place)
-            if n > most:
-                keys, firsts, sizes, place = whole()
-                cut = int(np.searchsorted(keys, keys[-1]))
-                done = int(sizes[:cut].sum())
-                if cut:
-                    yield from give(keys[:cut], firsts[:cut], sizes[:cut], place[:done])
-                held = [(keys[cut:], firsts[cut:], sizes[cut:], place[done:])]
-                n -= done
-                most = max(HELD * 3, 2 * n)
+                yield docs
+            words = batch.filter(batch.column(2).is_null())
+            for at, block, blob in zip(words.column(0).to_pylist(), words.column(1).to_pylist(), words.column(3), strict=True):
+                if at != last and held:
+                    bucket()
+                    if sum(len(x[0]) for x in made) > HELD * 10:
+                        yield from give()
+                last = at
+                key, *fields = _unpack(blob.as_py(), "<i8", *(_PLACE[c].str for c in _PLACE.names))
+                place = np.empty(len(key), _PLACE)
+                for c, x in zip(_PLACE.names, fields, strict=True):
+                    place[c] = x
+                held.append((key, np.full(len(key), block), place))
         if held:
-            yield from give(*whole())
+            bucket()
+        if made:
+            yield from give()
+
+    names = rows.columns
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _whole(rows: DataFrame, kept: list[str]) -> DataFrame:
+    """Each document with its whole sums; a block's rows come together, its documents first and in order."""
+    schema = rows.select("n_tokens", "__t", "__e", *(f"`{c}`" for c in kept)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, docs, sums = None, [], []
+
+        def give() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(docs).combine_chunks()
+            t, e = (table[c].to_numpy().copy() for c in ("__t", "__e"))
+            for doc, x, y in sums:
+                t[doc] += x
+                e[doc] += y
+            table = table.select(["n_tokens", *kept]).add_column(1, "__t", pa.array(t)).add_column(2, "__e", pa.array(e))
+            yield from table.to_batches(max_chunksize=10_000)
+            docs.clear()
+            sums.clear()
+
+        for batch in batches:
+            blocks = batch.column(1).to_numpy()
+            starts = [*_runs(blocks), batch.num_rows]
+            for a, b in zip(starts, starts[1:], strict=False):
+                if blocks[a] != now and docs:
+                    yield from give()
+                now, part = blocks[a], batch.slice(a, b - a)
+                mine = part.filter(part.column(2).is_valid())
+                if mine.num_rows:
+                    docs.append(mine)
+                sums += [_unpack(blob.as_py(), "<i4", "<f8", "<f8") for blob in part.column(3) if blob.is_valid]
+        if docs:
+            yield from give()
 
     return rows.mapInArrow(run, schema)
 
@@ -310,15 +376,16 @@ def score_cross_entropy(docs: DataFrame, targets: DataFrame, id_col: str = "doc_
     Kept columns go through the shuffles, once for each document."""
     new = ["n_tokens", "target_entropy", "background_entropy", "score"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    head, distinct = vocabulary(docs, text_col)
+    head, distinct, others = vocabulary(docs, text_col)
     size = distinct + CLASSES
-    marks = targets.select(F.col(id_col).alias("__of")).where("__of IS NOT NULL").distinct().withColumn("__target", F.lit(True))
+    marks = targets.select(F.col(id_col).alias("__of")).where("__of IS NOT NULL").distinct().withColumn("__target", F.lit(True)).hint("merge")
     slim = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).alias("__id"), *(f"`{c}`" for c in kept))
     marked = materialize(slim.join(marks, F.col("__id") == F.col("__of"), "left").select("__text", F.coalesce("__target", F.lit(False)).alias("__target"), *(f"`{c}`" for c in kept)))
     target, other = count_pairs(marked, head, "__target", "__text")
     shared = docs.sparkSession.sparkContext.broadcast((head, [Side(target, other, size), Side(other, target, size)]))
-    sums = _sums(_rows(marked, kept, shared).repartition("__key").sortWithinPartitions("__key", "__first"), kept, shared).withColumnRenamed("__first", "__doc")
-    sums = sums.groupBy("__doc").agg(F.max("n_tokens").alias("n_tokens"), F.sum("__t").alias("__t"), F.sum("__e").alias("__e"), *(F.first(f"`{c}`", ignorenulls=True).alias(c) for c in kept))
+    buckets = max(others // PLACES + 1, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    made = _rows(marked, kept, shared, buckets).repartition("__at").sortWithinPartitions("__at", "__block")
+    sums = _whole(_sums(made, shared).repartition("__block").sortWithinPartitions("__block", F.col("__doc").asc_nulls_last()), kept)
     mean = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens"))
     out = sums.select(*(f"`{c}`" for c in kept), "n_tokens", mean("__t").alias("target_entropy"), mean("__e").alias("background_entropy"))
     return out.withColumn("score", F.col("target_entropy") - F.col("background_entropy"))
