@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 # HTML's element classes.
@@ -11,6 +12,13 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 HEAD = frozenset("base link meta noscript script style template title".split())
 SCOPES = frozenset("applet caption html table td th marquee object template button".split())
 TABLE = frozenset("caption table tbody td tfoot th thead tr".split())
+#: A part of a table -> where it may open; what a table may hold besides parts; where other content is misplaced.
+CONTEXTS = {
+    **dict.fromkeys(("td", "th"), frozenset("tr tbody thead tfoot table".split())), "tr": frozenset("tbody thead tfoot table".split()),
+    **dict.fromkeys("tbody thead tfoot caption colgroup".split(), frozenset(["table"])), "col": frozenset(["colgroup", "table"]),
+}
+IN_TABLE = frozenset("script style template form table".split())
+TABLE_TOPS = frozenset("table tbody thead tfoot tr".split())
 TABLE_SCOPES = frozenset("html table template".split())
 #: An element -> those that its start closes, and where the search for them ends.
 CLOSES = {
@@ -25,8 +33,8 @@ class Tree(HTMLParser):
     """Nodes in document order: type, parent, tag, attributes and text of each, by lists.
 
     Implied html, head and body are made, p, li, dd, option and table parts close as HTML says, and formatting elements
-    that a block cuts off are opened again in the next one. Tables get a tbody; misplaced table content stays where it
-    stands.
+    that a block cuts off are opened again in the next one. Tables get a tbody and rows; what is misplaced in a table goes
+    before it. Content of a template stays in it wherever it stands.
     """
 
     def __init__(self, html: str | None) -> None:
@@ -36,10 +44,13 @@ class Tree(HTMLParser):
         self.again: list[tuple[str, list]] = []
         self.root = self.head = self.body = None
         self.quirks = True
+        self.before: dict[int, int] = {}
         self.feed(html or "")
         self.close()
         if html:
             self._need_body()
+        if self.before:
+            self._renumber()
 
     def _add(self, kind: int, tag: str | None = None, attrs: list | None = None, text: str | None = None, under: int | None = None) -> int:
         self.kind.append(kind)
@@ -55,6 +66,33 @@ class Tree(HTMLParser):
             seen.setdefault(k, v or "")
         self.open.append(self._add(ELEMENT, tag, list(seen.items())))
 
+    def _renumber(self) -> None:
+        """Document order again, with what was misplaced before its table."""
+        kids: list[list[int]] = [[] for _ in self.kind]
+        for i in range(1, len(self.kind)):
+            row = kids[self.parent[i]]
+            row.insert(row.index(self.before[i]) if i in self.before else len(row), i)
+        order, todo = [], [0]
+        while todo:
+            order.append(todo.pop())
+            todo += reversed(kids[order[-1]])
+        new = {old: k for k, old in enumerate(order)}
+        self.parent = [new.get(self.parent[i], -1) for i in order]
+        self.kind, self.tag, self.attrs, self.text = ([x[i] for i in order] for x in (self.kind, self.tag, self.attrs, self.text))
+
+    def _table(self) -> int | None:
+        """The depth of the table whose parts are open now, none within a cell."""
+        for depth in range(len(self.open) - 1, 1, -1):
+            tag = self.tag[self.open[depth]]
+            if tag == "table":
+                return depth
+            if tag in ("td", "th", "caption", "template", "html"):
+                return None
+        return None
+
+    def _in_template(self) -> bool:
+        return any(self.tag[i] == "template" for i in self.open[1:])
+
     def _need_root(self) -> None:
         if self.root is None:
             self._push("html", [])
@@ -82,13 +120,18 @@ class Tree(HTMLParser):
             tag = self.tag[self.open[depth]]
             if tag in wanted:
                 cut = [(self.tag[i], self.attrs[i]) for i in self.open[depth + 1 :] if self.tag[i] in FORMATTING]
-                self.again = [] if tag in TABLE else cut + self.again
+                self.again = [] if tag in TABLE else self._recent(cut + self.again)
                 del self.open[depth:]
                 return True
             if tag in stop:
                 return False
         return False
 
+    @staticmethod
+    def _recent(kept: list[tuple[str, list]]) -> list[tuple[str, list]]:
+        """Of formatting elements alike in tag and attributes, the last three."""
+        return [x for i, x in enumerate(kept) if sum(y == x for y in kept[i + 1 :]) < 3]
+
     def _reopen(self) -> None:
         if self.again:
             todo, self.again = self.again, []
@@ -96,6 +139,9 @@ class Tree(HTMLParser):
                 self._push(tag, attrs)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        inside = self._in_template()
+        if tag in ("html", "head", "body") and inside:
+            return
         if tag in ("html", "head", "body"):
             if tag == "html" and self.root is None:
                 self._push(tag, attrs)
@@ -115,7 +161,9 @@ class Tree(HTMLParser):
                     have = dict(self.attrs[at] or [])
                     self.attrs[at] = [*have.items(), *((k, v or "") for k, v in attrs if k not in have)]
             return
-        if self.body is None and tag in HEAD:
+        if inside:
+            pass
+        elif self.body is None and tag in HEAD:
             self._need_head()
             if self.head not in self.open:
                 self._need_body()
@@ -127,17 +175,33 @@ class Tree(HTMLParser):
             wanted, stop = CLOSES[tag]
             while self._pop_to(wanted, stop):
                 pass
-        if tag == "tr" and self.tag[self.open[-1]] == "table":
-            self._push("tbody", [])
+        depth = self._table()
+        misplaced = False
+        if tag in CONTEXTS and not inside and not any(self.tag[i] == "table" for i in self.open):
+            return
+        if depth is not None and tag in CONTEXTS:
+            while self.tag[self.open[-1]] not in CONTEXTS[tag]:
+                self.open.pop()
+            if tag in ("tr", "td", "th") and self.tag[self.open[-1]] == "table":
+                self._push("tbody", [])
+            if tag in ("td", "th") and self.tag[self.open[-1]] != "tr":
+                self._push("tr", [])
+        elif depth is not None and self.tag[self.open[-1]] in TABLE_TOPS and tag not in IN_TABLE:
+            misplaced = tag != "input" or dict(attrs).get("type", "").lower() != "hidden"
         if tag == "a":
             self._pop_to({"a"}, SCOPES)
             self.again = [x for x in self.again if x[0] != "a"]
         if tag not in CLOSES_P and tag not in CLOSES and tag not in HEAD:
             self._reopen()
         self._push(tag, attrs)
+        if misplaced:
+            self._misplace(self.open[-1], self.open[depth])
         if tag in VOID:
             self.open.pop()
 
+    def _misplace(self, node: int, table: int) -> None:
+        self.parent[node], self.before[node] = self.parent[table], table
+
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
@@ -152,13 +216,16 @@ class Tree(HTMLParser):
             self._need_body()
             self._push("p", [])
             self.open.pop()
-        elif self._in_head():
+        elif self._in_head() and not self._in_template():
             if self.tag[self.open[-1]] == tag:
                 self.open.pop()
         else:
             self._pop_to({tag}, (TABLE_SCOPES if tag in TABLE else SCOPES) - {tag})
 
     def handle_data(self, data: str) -> None:
+        if self._in_template():
+            self._text(data)
+            return
         if not data.strip(" \t\n\f\r") and self.body is None and not (self._in_head() and self.open[-1] != self.head):
             if self._in_head():
                 self._text(data)
@@ -171,7 +238,14 @@ class Tree(HTMLParser):
 
     def _text(self, data: str) -> None:
         last = len(self.kind) - 1
-        if self.kind[last] == TEXT and self.parent[last] == self.open[-1]:
+        depth = self._table() if data.strip() and self.tag[self.open[-1]] in TABLE_TOPS else None
+        if depth is not None:
+            table = self.open[depth]
+            if self.kind[last] == TEXT and self.before.get(last) == table:
+                self.text[last] += data
+            else:
+                self._misplace(self._add(TEXT, text=data), table)
+        elif self.kind[last] == TEXT and self.parent[last] == self.open[-1]:
             self.text[last] += data
         else:
             self._add(TEXT, text=data)
@@ -228,48 +302,67 @@ def serialize(rows: list[tuple]) -> str:
     return "".join(out)
 
 
-# What markdown puts before and after an element's text.
-AROUND = {
-    **{f"h{k}": ("\n" + "#" * k + " ", "\n\n") for k in range(1, 7)}, "p": ("\n", "\n\n"), "strong": ("**", "**"), "b": ("**", "**"), "em": ("*", "*"), "i": ("*", "*"),
-    "code": ("`", "`"), "pre": ("\n```\n", "\n```\n"), "blockquote": ("\n> ", "\n"), "ul": ("\n", "\n"), "ol": ("\n", "\n"), "tr": ("|", "\n"), "td": (" ", " |"), "th": (" ", " |"), "table": ("\n", "\n"),
-    **{t: ("\n", "") for t in "div section article main header footer nav aside".split()},
+# What markdown puts before and after an element's text, and whether the text's ends are stripped.
+FORMS = {
+    **{f"h{k}": ("\n" + "#" * k + " ", "\n\n", True) for k in range(1, 7)}, "p": ("\n", "\n\n", True), "strong": ("**", "**", False), "b": ("**", "**", False), "em": ("*", "*", False), "i": ("*", "*", False),
+    "code": ("`", "`", False), "pre": ("\n```\n", "\n```\n\n", False), "ul": ("\n", "\n", False), "ol": ("\n", "\n", False), "table": ("\n", "\n", False),
+    **{t: ("\n", "", False) for t in "div section article main header footer nav aside".split()},
 }
-DROPPED = frozenset("script style noscript link meta head".split())
+DROPPED = frozenset("script style noscript link meta".split())
+#: What counts as blank at the ends of a text.
+BLANK = "\t\n\v\f\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def _collapsed(text: str) -> str:
+    return re.sub("\n{3,}", "\n\n", text)
+
+
+def _closed(tag: str, attrs: list | None, parts: list[str], cells: list[str], parent: str | None) -> str:
+    """An element's markdown from that of its children."""
+    said, have = _collapsed("".join(parts)), dict(attrs or [])
+    bare = said.strip(BLANK)
+    if tag in FORMS:
+        before, after, strip = FORMS[tag]
+        return before + (bare if strip else said) + after
+    if tag == "br":
+        return "\n"
+    if tag == "hr":
+        return "\n---\n\n"
+    if tag == "blockquote":
+        return "\n> " + bare.replace("\n", "\n> ") + "\n\n"
+    if tag == "a":
+        return f"[{bare}]({have['href']})" if have.get("href") and bare else said
+    if tag == "img":
+        return f"![{have.get('alt', '')}]({have.get('src', '')})"
+    if tag == "li":
+        return ("1. " if parent == "ol" else "- ") + bare + "\n"
+    if tag == "tr":
+        return "| " + " | ".join(c.strip(BLANK) for c in cells) + " |\n"
+    return "" if tag in DROPPED else said
 
 
 def markdown(rows: list[tuple]) -> str:
-    """Markdown of nodes in document order, each (depth, node_type, tag, attrs, text)."""
-    out: list[str] = []
-    ends: list[tuple[int, str, str]] = []
+    """Markdown of one element's nodes in document order, each (depth, node_type, tag, attrs, text); elements are made as they close."""
+    open_: list[tuple[int, str, list | None, list[str], list[str]]] = [(-1, "", None, [], [])]
+
+    def close() -> None:
+        _, tag, attrs, parts, cells = open_.pop()
+        made = _closed(tag, attrs, parts, cells, open_[-1][1])
+        open_[-1][3].append(made)
+        open_[-1][4].append(made)
+
     skip = None
     for depth, kind, tag, attrs, text in rows:
         if skip is not None and depth > skip:
             continue
         skip = None
-        while ends and ends[-1][0] >= depth:
-            out.append(ends.pop()[2])
+        while open_[-1][0] >= depth:
+            close()
         if kind == TEXT:
-            out.append(text)
+            open_[-1][3].append(text)
         elif kind == ELEMENT:
-            have = dict(attrs or [])
-            if tag in DROPPED:
-                skip = depth
-                continue
-            before, after = AROUND.get(tag, ("", ""))
-            if tag == "br":
-                before = "\n"
-            elif tag == "hr":
-                before = "\n---\n"
-            elif tag == "a":
-                before, after = "[", f"]({have.get('href', '')})"
-            elif tag == "img":
-                before = f"![{have.get('alt', '')}]({have.get('src', '')})"
-            elif tag == "li":
-                before, after = ("1. " if ends and ends[-1][1] == "ol" else "- "), "\n"
-            out.append(before)
-            ends.append((depth, tag, after))
-    out += [e for _, _, e in reversed(ends)]
-    whole = "".join(out)
-    while "\n\n\n" in whole:
-        whole = whole.replace("\n\n\n", "\n\n")
-    return whole.strip()
+            open_.append((depth, tag, attrs, [], []))
+            skip = depth if tag == "template" else None
+    while len(open_) > 1:
+        close()
+    return _collapsed("".join(open_[0][3])).strip(BLANK)

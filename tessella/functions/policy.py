@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import ipaddress
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BooleanType
 
 from tessella.functions.classify import has_any, is_antispider
 from tessella.functions.urls import host, origin, scheme
@@ -62,10 +57,23 @@ def forbidden_address(address: Column) -> Column:
     return F.when(valid, bad | documentation)
 
 
+def forbidden_ipv6(address: Column) -> Column:
+    """Loopback, unspecified, unique local and link-local IPv6, and mapped IPv4 that is forbidden; null for other text."""
+    text = F.lower(F.regexp_replace(address, r"^\[|\]$", ""))
+    valid = text.rlike(r"^[0-9a-f:]*:[0-9a-f:.]*$") & F.contains(text, F.lit(":"))
+    first = F.conv(F.regexp_extract(text, r"^([0-9a-f]{1,4}):", 1), 16, 10).cast("int")
+    own = text.rlike(r"^[0:]+$") | text.rlike(r"^[0:]*:0{0,3}1$") | F.coalesce(first.between(0xFE80, 0xFEBF) | first.between(0xFC00, 0xFDFF), F.lit(False))
+    dotted = F.regexp_extract(text, r"^[0:]*:ffff:([0-9.]+)$", 1)
+    high, low = (F.conv(F.regexp_extract(text, r"^[0:]*:ffff:([0-9a-f]{1,4}):([0-9a-f]{1,4})$", k), 16, 10).cast("int") for k in (1, 2))
+    hexed = F.concat_ws(".", *(x.cast("string") for n in (high, low) for x in (F.shiftright(n, 8), n.bitwiseAND(255))))
+    mapped = F.when(dotted.rlike(r"\."), forbidden_address(dotted)).when(high.isNotNull(), forbidden_address(hexed))
+    return F.when(valid, own | F.coalesce(mapped, F.lit(False)))
+
+
 def url_forbidden(url: Column) -> Column:
     """Not http, https or file, or a host that is local by name or address."""
     name = host(url)
-    local = (name == "localhost") | F.endswith(name, F.lit(".localhost")) | F.coalesce(forbidden_address(name), F.lit(False))
+    local = (name == "localhost") | F.endswith(name, F.lit(".localhost")) | F.coalesce(forbidden_address(name), F.lit(False)) | F.coalesce(forbidden_ipv6(name), F.lit(False))
     return F.when(F.startswith(F.lower(url), F.lit("file://")), False).when(scheme(url) == "", True).otherwise(local)
 
 
@@ -92,23 +100,6 @@ def redirects_blocked(redirects: Column) -> Column:
     return F.exists(F.coalesce(redirects, F.array().cast("array<string>")), is_antispider)
 
 
-@pandas_udf(BooleanType())
-def forbidden_ipv6(address: pd.Series) -> pd.Series:
-    """Loopback, unspecified, unique local and link-local IPv6, and mapped IPv4 that is forbidden; null for other text."""
-
-    def one(text: str) -> bool | None:
-        try:
-            ip = ipaddress.IPv6Address(text.strip("[]"))
-        except ValueError:
-            return None
-        v4 = ip.ipv4_mapped
-        if v4 is not None:
-            return v4.is_loopback or v4.is_private or v4.is_link_local or v4.is_unspecified or str(v4) == "255.255.255.255"
-        return ip.is_loopback or ip.is_unspecified or ip.is_link_local or ip in ipaddress.IPv6Network("fc00::/7")
-
-    return address.map(one, na_action="ignore").astype("boolean")
-
-
 def cache_key(*fields: Column) -> Column:
     """A digest of a request's fields, nulls apart from empty text."""
     return F.sha2(F.concat_ws("|", *(F.coalesce(F.concat(F.lit("="), f.cast("string")), F.lit("-")) for f in fields)), 256)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PARTS = r"(?is)^\s*(https?)://(?:[^/?#]*@)?([^/?#:@]+)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+PARTS = r"(?is)^\s*(https?)://(?:[^/?#]*@)?(\[[0-9a-f:.]+\]|[^/?#:@\[\]]+)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content")
 
 
@@ -88,3 +90,67 @@ def referrer(source: Column, target: Column) -> Column:
     same = origin(source) == origin(target)
     bare = F.regexp_replace(source, "#.*$", "")
     return F.when((scheme(source) == "https") & (scheme(target) == "http"), F.lit("")).when(same, bare).otherwise(F.concat(origin(source), F.lit("/")))
+
+
+_AUTHORITY = r"(?is)^\s*https?://(?:([^/?#:@]*)(?::([^/?#@]*))?@)?"
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value made once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def components(url: Column) -> Column:
+    """The eleven parts that scripts see of an http or https URL; null for other text."""
+    return _once(url, _components)
+
+
+def _components(url: Column) -> Column:
+    none_or = lambda mark, c: F.when(c == "", "").otherwise(F.concat(F.lit(mark), c))
+    user, secret = F.regexp_extract(url, _AUTHORITY, 1), F.regexp_extract(url, _AUTHORITY, 2)
+    query, fragment = part(url, 5), F.regexp_extract(url, r"(?s)#(.*)$", 1)
+    with_port = F.concat(host(url), none_or(":", port(url)))
+    login = F.when((user == "") & (secret == ""), "").otherwise(F.concat(user, none_or(":", secret), F.lit("@")))
+    mark = lambda sign, c: F.when(F.contains(url, F.lit(sign)), F.concat(F.lit(sign), c)).otherwise("")
+    before = F.substring_index(url, "#", 1)
+    href = F.concat(scheme(url), F.lit("://"), login, with_port, path(url), F.when(F.contains(before, F.lit("?")), F.concat(F.lit("?"), query)).otherwise(""), mark("#", fragment))
+    made = F.struct(
+        href.alias("href"), F.concat(scheme(url), F.lit(":")).alias("protocol"), user.alias("username"), secret.alias("password"), with_port.alias("host"), host(url).alias("hostname"), port(url).alias("port"),
+        path(url).alias("pathname"), none_or("?", query).alias("search"), none_or("#", fragment).alias("hash"), origin(url).alias("origin"),
+    )
+    return F.when(scheme(url) != "", made)
+
+
+def with_component(url: Column, name: str, value: Column) -> Column:
+    """The URL after a script sets one part: protocol, username, password, host, hostname, port, pathname, search, hash or href.
+
+    What can't be set (another scheme than http and https, an empty host, a port that is no number) leaves the URL as it was."""
+    return _once(components(url), lambda c: _with_component(c, name, value))
+
+
+def _with_component(c: Column, name: str, value: Column) -> Column:
+    now = {k: c[k] for k in ("protocol", "username", "password", "hostname", "port", "pathname", "search", "hash")}
+    ok = F.lit(True)
+    lead = lambda sign: F.when(value == "", "").when(F.startswith(value, F.lit(sign)), value).otherwise(F.concat(F.lit(sign), value))
+    if name == "href":
+        return F.coalesce(components(value)["href"], c["href"])
+    if name == "protocol":
+        now[name] = F.concat(F.regexp_replace(F.lower(value), ":.*$", ""), F.lit(":"))
+        ok = now[name].isin("http:", "https:")
+    elif name in ("host", "hostname"):
+        said = F.regexp_extract(value, r"^([^/?#:@]+)", 1)
+        now["hostname"], ok = F.lower(said), said != ""
+        if name == "host":
+            number = F.regexp_extract(value, r"^[^/?#:@]+:([0-9]{1,5})", 1)
+            now["port"] = F.when(number != "", number).otherwise(now["port"])
+    elif name == "port":
+        now[name] = F.regexp_extract(value, r"^([0-9]{0,5})", 1)
+        ok = (value == "") | (now[name] != "")
+    elif name == "pathname":
+        now[name] = F.when(F.startswith(value, F.lit("/")), value).otherwise(F.concat(F.lit("/"), value))
+    else:
+        now[name] = lead("?") if name == "search" else lead("#") if name == "hash" else value
+    usual = ((now["protocol"] == "http:") & (now["port"] == "80")) | ((now["protocol"] == "https:") & (now["port"] == "443")) | (now["port"] == "")
+    login = F.when((now["username"] == "") & (now["password"] == ""), "").otherwise(F.concat(now["username"], F.when(now["password"] == "", "").otherwise(F.concat(F.lit(":"), now["password"])), F.lit("@")))
+    out = F.concat(now["protocol"], F.lit("//"), login, now["hostname"], F.when(usual, "").otherwise(F.concat(F.lit(":"), now["port"])), now["pathname"], now["search"], now["hash"])
+    return F.when(ok, out).otherwise(c["href"])

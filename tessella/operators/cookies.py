@@ -53,6 +53,38 @@ def parse_set_cookie(log: DataFrame, header: str, origin_host: str, origin_path:
     }).drop("__items")
 
 
+def set_by_script(parsed: DataFrame) -> DataFrame:
+    """Parsed cookies as a script sets them: never out of scripts' sight."""
+    return parsed.withColumn("http_only", F.lit(False))
+
+
+def scoped(header: Column, host: Column) -> Column:
+    """A cookie that a request brings, for the request's host and all paths unless it names a domain itself."""
+    return F.when(F.contains(F.lower(header), F.lit("domain=")), header).otherwise(F.concat(header, F.lit("; Domain="), host, F.lit("; Path=/")))
+
+
+def bulk_load(jar: DataFrame, loaded: DataFrame, seq: str) -> DataFrame:
+    """A jar's state after cookies with domain, name, value, path, secure, http_only, same_site, expires come in by seq.
+
+    A loaded cookie goes to its domain and below, without SameSite it is Lax, an expiry of 0 or less is none."""
+    new = loaded.withColumns({
+        "host_only": F.lit(False), "same_site": F.when(F.coalesce("same_site", F.lit("")) == "", "Lax").otherwise(F.col("same_site")), "expires": F.when(F.col("expires") > 0, F.col("expires")),
+    })
+    fields = [c for c in jar.columns if c not in ("domain", "name", "path")]
+    every = jar.withColumn("__seq", F.lit(-1).cast("long")).unionByName(new.withColumn("__seq", F.col(seq).cast("long")).select(*jar.columns, "__seq"))
+    last = every.groupBy("domain", "name", "path").agg(F.max_by(F.struct(*fields), "__seq").alias("c"))
+    return last.select("domain", "name", "path", *(F.col(f"c.{f}").alias(f) for f in fields)).select(*jar.columns)
+
+
+def delete_cookies(jar: DataFrame, name: str, domain: str = "", path: str | None = None) -> DataFrame:
+    """The jar without a name's cookies: of all domains or one, with or without its leading dot, and of all paths or one."""
+    bare = domain.lstrip(".")
+    gone = F.col("name") == name
+    if domain:
+        gone = gone & F.col("domain").isin(domain, bare, f".{bare}")
+    return jar.where(~(gone if path is None else gone & (F.col("path") == path)))
+
+
 def jar_state(parsed: DataFrame, seq: str, now: str) -> DataFrame:
     """The last cookie of each (domain, name, path), unless it deletes: one shuffle with partial aggregates."""
     fields = ("value", "host_only", "secure", "http_only", "same_site", "expires")

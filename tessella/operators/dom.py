@@ -2,6 +2,9 @@
 
 A node's descendants are those of its document with node_id above its own up to its subtree_end, so tree walks are
 equality joins on the document with a range beside it. Repartition by document once and the joins reuse it.
+
+What asks only for nodes of one page at a time needs no joins: project() and records() parse a page once, find elements
+by selectors in the same task and shuffle nothing.
 """
 
 from __future__ import annotations
@@ -15,8 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tessella.functions.htmltree import Tree, markdown, serialize
+from tessella.functions.htmltree import Tree
+from tessella.functions.selectors import KINDS, Page, Selector
 
 NODES = "node_id int, parent_id int, subtree_end int, depth int, sibling_idx int, elem_idx int, node_type int, tag string, attrs map<string,string>, text string, in_template boolean, quirks boolean"
 _KINDS = [pa.int32()] * 7 + [pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.bool_(), pa.bool_()]
@@ -40,6 +45,88 @@ def parse_dom(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return held.mapInArrow(run, schema)
 
 
+#: What to ask of a page: a kind of selectors.KINDS, a selector ("" is the row itself in records()) and the kind's argument.
+Ask = tuple
+
+
+def _compile(ask: Ask) -> tuple:
+    kind, selector, arg = (*ask, None)[:3]
+    return KINDS[kind][1], Selector(selector) if selector else None, Selector(arg) if kind == "closest" else arg
+
+
+def _answer(page: Page, ask: tuple, at: int):
+    make, chosen, arg = ask
+    return make(page, [at] if chosen is None else page.find(chosen, at), arg)
+
+
+def _over_pages(pages: DataFrame, id_col: str, html_col: str, keep: list[str], made: T.StructType, ask) -> DataFrame:
+    """The kept columns and those of `made`, which ask(page) gives as a dict, for each page."""
+    kept = [id_col, *(c for c in keep if c != id_col)]
+    held = pages.select(*kept, F.col(html_col).cast("string").alias("__html"))
+    arrow = {f.name: to_arrow_type(f.dataType) for f in made}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                rows = [ask(Page(html)) for html in part.column(len(kept)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array([r[c] for r in rows], kind) for c, kind in arrow.items())], [*kept, *arrow])
+
+    return held.mapInArrow(run, T.StructType([*held.schema[: len(kept)], *made]))
+
+
+def project(pages: DataFrame, id_col: str, html_col: str, asks: dict[str, Ask], keep: list[str] | None = None) -> DataFrame:
+    """A row for each page with an answer for each name; pages are parsed once and nothing is shuffled.
+
+    A selector that is none raises ValueError. A null page is an empty one."""
+    ready = {name: _compile(a) for name, a in asks.items()}
+    made = T.StructType().fromDDL(", ".join(f"`{n}` {KINDS[a[0]][0]}" for n, a in asks.items()))
+    return _over_pages(pages, id_col, html_col, keep or [], made, lambda page: {n: _answer(page, a, 0) for n, a in ready.items()})
+
+
+def select(pages: DataFrame, id_col: str, html_col: str, selector: str, keep: list[str] | None = None) -> DataFrame:
+    """(id, idx, node_id, tag, attrs, text) of each element that a selector chooses, in document order."""
+    found = project(pages, id_col, html_col, {"__nodes": ("nodes", selector)}, keep)
+    return found.select(id_col, *(keep or []), F.posexplode("__nodes").alias("idx", "n")).select(id_col, *(keep or []), "idx", "n.*")
+
+
+# What must be open around an element that can't stand in a body by itself.
+AROUND = {"tr": "<table><tbody><tr>", "td": "<table><tr><td>", "th": "<table><tr><th>", **dict.fromkeys(("tbody", "thead", "tfoot"), "<table><{}>"), "caption": "<table><caption>", "option": "<select><option>"}
+
+
+def fragments(pages: DataFrame, id_col: str, html_col: str, context: str = "body") -> DataFrame:
+    """(id, html): each fragment as it is parsed inside an element of the context's tag."""
+    opened = "" if context == "body" else AROUND.get(context, "<{}>").format(context)
+    held = pages.select(id_col, F.concat(F.lit("<!doctype html><body>" + opened), F.coalesce(html_col, F.lit(""))).alias("__part"))
+    return project(held, id_col, "__part", {"html": ("inner", context)})
+
+
+def records(pages: DataFrame, id_col: str, html_col: str, rows: list[tuple[str, dict[str, list[Ask]]]], name: str = "rows") -> DataFrame:
+    """(id, rows): for each page the elements of each row selector in turn, with the first answer that isn't blank for each field.
+
+    rows is an array of structs: kind (which row selector), pos (the place among all rows) and the fields, null if blank.
+    """
+    types: dict[str, str] = {}
+    ready = []
+    for selector, fields in rows:
+        ready.append((Selector(selector), {f: [_compile(a) for a in asks] for f, asks in fields.items()}))
+        types |= {f: KINDS[asks[0][0]][0] for f, asks in fields.items()}
+    made = T.StructType().fromDDL(f"{name} array<struct<kind:int,pos:int,{','.join(f'{n}:{t}' for n, t in types.items())}>>")
+
+    def ask(page: Page) -> dict:
+        out = []
+        for kind, (chosen, fields) in enumerate(ready):
+            for at in page.find(chosen):
+                row = dict.fromkeys(types) | {"kind": kind, "pos": len(out)}
+                for f, asks in fields.items():
+                    answers = (_answer(page, a, at) for a in asks)
+                    row[f] = next((x for x in answers if (x.strip() if isinstance(x, str) else x)), None)
+                out.append(row)
+        return {name: out}
+
+    return _over_pages(pages, id_col, html_col, [], made, ask)
+
+
 # Conditions on a node, for where().
 def element(tag: str | None = None) -> Column:
     """An element outside templates, of a tag if given."""
@@ -149,23 +236,8 @@ def drop_subtrees(nodes: DataFrame, roots: DataFrame, doc: str) -> DataFrame:
     return nodes.join(r, (F.col(doc) == F.col("__doc")) & (F.col("node_id") >= F.col("__from")) & (F.col("node_id") <= F.col("__to")), "left_anti")
 
 
-def interactive(nodes: DataFrame, doc: str) -> DataFrame:
-    """Elements that a visitor can use, numbered in document order."""
-    hit = element() & (F.col("tag").isin("a", "button", "input", "select", "textarea") | attribute("role").isin("button", "link") | attr_is("onclick") | attr_is("tabindex"))
-    return nodes.where(F.coalesce(hit, F.lit(False))).withColumn("idx", F.row_number().over(Window.partitionBy(doc).orderBy("node_id")) - 1)
-
-
-def render(pages: DataFrame, id_col: str, html_col: str, form: str, keep: list[str] | None = None) -> DataFrame:
-    """(id, out): each page's tree as html or as markdown of its body."""
-    @pandas_udf("string")
-    def one(html: pd.Series) -> pd.Series:
-        def work(h):
-            rows = [(r[3], r[6], r[7], r[8], r[9]) for r in Tree(h).rows() if r[6] != 9]
-            return serialize(rows) if form == "html" else markdown(rows)
-
-        return html.map(work, na_action="ignore")
-
-    return pages.select(id_col, *(keep or []), one(F.col(html_col)).alias("out"))
+#: Elements that a visitor can use.
+INTERACTIVE = "a, button, input, select, textarea, [role=button], [role=link], [onclick], [tabindex]"
 
 
 def resolve(href: Column, base: Column) -> Column:
@@ -181,25 +253,52 @@ def resolve(href: Column, base: Column) -> Column:
 STATE_ATTRS = ("id", "class", "href", "type", "name", "value", "placeholder", "aria-label", "title", "src", "alt", "role")
 
 
-def page_state(nodes: DataFrame, pages: DataFrame, doc: str, url_col: str = "url") -> DataFrame:
+def page_state(pages: DataFrame, doc: str, html_col: str = "html", url_col: str = "url") -> DataFrame:
     """(doc, state): a page's URL, title and numbered interactive elements as text; attributes in order of name."""
-    found = interactive(nodes, doc)
-    said = text_of(nodes, found, doc)
-    parts = []
-    for name in sorted(STATE_ATTRS):
-        a = attribute(name)
-        shown = F.when(F.char_length(a) > 50, F.concat(F.substring(a, 1, 50), F.lit("…"))).otherwise(a) if name == "class" else a
-        parts.append(F.when(a.isNotNull(), F.concat(F.lit(f' {name}="'), shown, F.lit('"'))).otherwise(""))
-    text = F.substring(F.trim(F.regexp_replace("text_content", r"^\s+|\s+$", "")), 1, 100)
-    text = F.when(F.char_length(text) > 80, F.concat(F.substring(text, 1, 80), F.lit("…"))).otherwise(text)
-    head = F.concat(F.lit("["), F.col("idx"), F.lit("] <"), F.col("tag"), *parts)
-    line = F.when(text == "", F.concat(head, F.lit(" />\n"))).otherwise(F.concat(head, F.lit(">"), text, F.lit("</"), F.col("tag"), F.lit(">\n")))
-    lines = found.join(said, [doc, "node_id"]).select(doc, "idx", line.alias("line"))
-    body = lines.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "line"))), lambda x: x["line"]), "").alias("__lines"))
-    titles = text_of(nodes, first_of(nodes.where(element("title")), doc), doc).select(doc, F.trim("text_content").alias("__title"))
-    out = pages.select(doc, F.col(url_col).alias("__url")).join(titles, doc, "left").join(body, doc, "left")
+    read = project(pages, doc, html_col, {"__title": ("text", "title"), "__nodes": ("nodes", INTERACTIVE)}, [url_col])
+
+    def line(n: Column, k: Column) -> Column:
+        parts = []
+        for name in sorted(STATE_ATTRS):
+            a = F.try_element_at(n["attrs"], F.lit(name))
+            shown = F.when(F.char_length(a) > 50, F.concat(F.substring(a, 1, 50), F.lit("…"))).otherwise(a) if name == "class" else a
+            parts.append(F.when(a.isNotNull(), F.concat(F.lit(f' {name}="'), shown, F.lit('"'))).otherwise(""))
+        text = F.substring(F.trim(F.regexp_replace(n["text"], r"^\s+|\s+$", "")), 1, 100)
+        text = F.when(F.char_length(text) > 80, F.concat(F.substring(text, 1, 80), F.lit("…"))).otherwise(text)
+        head = F.concat(F.lit("["), k, F.lit("] <"), n["tag"], *parts)
+        return F.when(text == "", F.concat(head, F.lit(" />\n"))).otherwise(F.concat(head, F.lit(">"), text, F.lit("</"), n["tag"], F.lit(">\n")))
+
     none = lambda c: F.coalesce(c, F.lit(""))
-    return out.select(doc, F.concat(F.lit("url="), none("__url"), F.lit("\ntitle="), none("__title"), F.lit("\n\n"), none("__lines")).alias("state"))
+    lines = F.array_join(F.transform("__nodes", line), "")
+    return read.select(doc, F.concat(F.lit("url="), none(F.col(url_col)), F.lit("\ntitle="), none(F.trim("__title")), F.lit("\n\n"), lines).alias("state"))
+
+
+# Where a rendered page's title stands, and the signs of a challenge page.
+TITLES = "#activity-name, h1, .article-title"
+CHALLENGES = ("Just a moment", "Attention Required")
+
+
+def rendered_titles(pages: DataFrame, doc: str, html_col: str = "html") -> DataFrame:
+    """(doc, rendered_title): an article title element's text, else the document's title, else og:title; null if all are blank."""
+    read = project(pages, doc, html_col, {"__a": ("text", TITLES), "__b": ("text", "title"), "__c": ("attr", 'meta[property="og:title"]', "content")})
+    trimmed = lambda c: F.nullif(F.regexp_replace(c, r"^[\s\xa0]+|[\s\xa0]+$", ""), F.lit(""))
+    return read.select(doc, F.coalesce(trimmed("__a"), trimmed(F.regexp_replace("__b", r"[ \t\n\f\r]+", " ")), F.nullif("__c", F.lit(""))).alias("rendered_title"))
+
+
+def challenge_pages(pages: DataFrame, doc: str, html_col: str = "html") -> DataFrame:
+    """(doc, challenge): whether a page is a Cloudflare challenge, by its title or its frame."""
+    read = project(pages, doc, html_col, {"__title": ("text", "title"), "__frames": ("count", 'iframe[src*="challenges.cloudflare.com"]')})
+    said = F.coalesce("__title", F.lit(""))
+    return read.select(doc, ((F.col("__frames") > 0) | F.contains(said, F.lit(CHALLENGES[0])) | F.contains(said, F.lit(CHALLENGES[1]))).alias("challenge"))
+
+
+def scrape_record(pages: DataFrame, doc: str, html_col: str = "html", url_col: str = "url", selector: str = "") -> DataFrame:
+    """(doc, markdown, html, title, source_url, description, status_code): what a scrape returns for each page."""
+    from tessella.functions.text import description, page_title
+
+    read = project(pages, doc, html_col, {"markdown": ("markdown", selector or "body"), **({"__part": ("html", selector)} if selector else {})}, [url_col, html_col])
+    html = F.col("__part") if selector else F.col(html_col)
+    return read.select(doc, "markdown", html.alias("html"), page_title(F.col(html_col)).alias("title"), F.col(url_col).alias("source_url"), description(F.col(html_col)).alias("description"), F.lit(200).alias("status_code"))
 
 
 def form_query(nodes: DataFrame, doc: str) -> DataFrame:

@@ -26,20 +26,23 @@ def merge_results(raw: DataFrame, by: list[str], most: int = 10) -> DataFrame:
     """One row for each normalised URL of a search, best first.
 
     raw: the columns of `by`, seq (order of arrival), engine, title, url, snippet, score. Scores add up; the title is
-    the longest in bytes, the first of equals, and brings its URL, which is empty if all titles are. Equal scores are
-    ordered by normalised URL. The merge is one shuffle with partial aggregates; the top rows are kept per task first.
+    the longest in bytes, the first of equals, and brings its URL, which is empty if all titles are. Engines are in order
+    of arrival. Of cookies, js_extract_result and image, where raw has them, the first that isn't empty stays. Equal
+    scores are ordered by normalised URL. Each engine's rows fold first, so both shuffles carry partial aggregates.
     """
     keyed = raw.withColumn("norm_url", normalize_url(F.col("url")))
-    longest = lambda c: F.struct(F.octet_length(c), -F.col("seq"))
-    merged = keyed.groupBy(*by, "norm_url").agg(
-        F.max_by("title", longest("title")).alias("title"),
-        F.max_by("url", longest("title")).alias("url"),
-        F.max_by("snippet", longest("snippet")).alias("snippet"),
-        F.sum("score").alias("score"),
-        F.count("*").alias("n_results"),
-        F.array_sort(F.collect_set("engine")).alias("engines"),
-        F.min("seq").alias("first_seq"),
-    )
+    size = lambda c: F.octet_length(c)
+    extra = [c for c in ("cookies", "js_extract_result", "image") if c in raw.columns]
+    kinds = dict(raw.dtypes)
+    there = lambda c: (F.size(c) > 0) if kinds[c].startswith("array") else (F.col(c).isNotNull() if kinds[c].startswith("struct") else F.col(c) != "")
+    best = lambda c: F.max(F.struct(size(c).alias("n"), (-F.col("seq")).alias("s"), F.col(c).alias("v"), "url")).alias(c)
+    first = lambda c: F.min(F.when(there(c), F.struct("seq", F.col(c).alias("v")))).alias(c)
+    mine = keyed.groupBy(*by, "norm_url", "engine").agg(best("title"), best("snippet"), F.sum("score").alias("score"), F.count("*").alias("n_results"), F.min("seq").alias("first_seq"), *map(first, extra))
+    merged = mine.groupBy(*by, "norm_url").agg(
+        F.max("title").alias("t"), F.max("snippet")["v"].alias("snippet"), F.sum("score").alias("score"), F.sum("n_results").alias("n_results"),
+        F.transform(F.array_sort(F.collect_list(F.struct("first_seq", "engine"))), lambda x: x["engine"]).alias("engines"), F.min("first_seq").alias("first_seq"), *(F.min(c)["v"].alias(c) for c in extra),
+    )
+    merged = merged.select(*by, "norm_url", F.col("t.v").alias("title"), F.col("t.url").alias("url"), "snippet", "score", "n_results", "engines", "first_seq", *extra)
     merged = merged.withColumn("url", F.when(F.col("title") == "", "").otherwise(F.col("url")))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "norm_url"))
     return merged.withColumn("rank", rank).where(F.col("rank") <= most)

@@ -1,4 +1,4 @@
-"""Result pages as rows: what each engine's page says of a result, found in the node table.
+"""Result pages as rows: what each engine's page says of a result, found in one pass over the page.
 
 A parser takes (id, html) and gives id, engine, pos, score, title, url, snippet. It is a function of a DataFrame, so
 a new engine is a new entry in ENGINES.
@@ -6,9 +6,10 @@ a new engine is a new entry in ENGINES.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import html_unescape, strip
@@ -17,59 +18,69 @@ from tessella.operators import dom
 from tessella.sources.captures import result_json
 
 
-def _inside(nodes: DataFrame, rows: DataFrame, what: Column, doc: str) -> DataFrame:
-    """The first node in each row that meets a condition: doc, row (the row's node), and the node's own columns."""
-    hit = nodes.where(what).select(F.col(doc).alias("__doc"), F.col("node_id").alias("at"), F.col("subtree_end").alias("at_end"), dom.attribute("href").alias("href"))
-    pairs = rows.select(doc, F.col("node_id").alias("row"), F.col("subtree_end").alias("row_end")).join(hit, (F.col(doc) == F.col("__doc")) & (F.col("at") > F.col("row")) & (F.col("at") <= F.col("row_end")))
-    return pairs.groupBy(doc, "row").agg(F.min_by(F.struct("at", "at_end", "href"), "at").alias("n")).select(doc, "row", "n.*")
+def _results(read: DataFrame, doc: str, engine: str, rows: Column, by_place: bool = False) -> DataFrame:
+    """Results of an array of (pos, title, url, snippet); scores count down from the number of results, or with by_place of all rows."""
+    out = read.select(doc, F.size("rows").alias("all"), F.filter(rows, lambda r: (r["title"] != "") & (r["url"] != "")).alias("good"))
+    out = out.select(doc, "all", F.size("good").alias("n"), F.posexplode("good").alias("at", "r"))
+    pos, n = (F.col("r.pos"), F.col("all")) if by_place else (F.col("at"), F.col("n"))
+    return out.select(doc, F.lit(engine).alias("engine"), pos.alias("pos"), (n - pos).cast("double").alias("score"), "r.title", "r.url", "r.snippet")
 
 
-def _said(nodes: DataFrame, found: DataFrame, doc: str, name: str) -> DataFrame:
-    wanted = found.select(doc, F.col("at").alias("node_id"), F.col("at_end").alias("subtree_end"))
-    text = dom.text_of(nodes, wanted, doc).withColumnRenamed("node_id", "at")
-    return found.join(text, [doc, "at"]).select(doc, "row", strip(F.col("text_content")).alias(name), *([F.col("href")] if name == "title" else []))
+def _row(r: Column, title: Column, url: Column, snippet: Column) -> Column:
+    none = lambda c: F.coalesce(c, F.lit(""))
+    return F.struct(r["pos"].alias("pos"), none(title).alias("title"), none(url).alias("url"), none(snippet).alias("snippet"))
 
 
-def from_rows(pages: DataFrame, doc: str, engine: str, row: Column, title: Column, snippet: Column, url: Callable[[Column], Column], rank_kept: bool = False) -> DataFrame:
-    """Results of pages whose rows, titles with links, and snippets meet node conditions.
-
-    Rows without a title link are skipped; scores count from the first row, or with rank_kept from the first kept.
-    """
-    nodes = dom.parse_dom(pages, doc, "html").persist()
-    rows = nodes.where(row)
-    place = Window.partitionBy(doc)
-    numbered = rows.select(doc, F.col("node_id").alias("row"), (F.row_number().over(place.orderBy("node_id")) - 1).alias("pos"), F.count("*").over(place).alias("n"))
-    titles = _said(nodes, _inside(nodes, rows, title, doc), doc, "title").where("title <> '' AND href IS NOT NULL")
-    snippets = _said(nodes, _inside(nodes, rows, snippet, doc), doc, "snippet")
-    out = numbered.join(titles, [doc, "row"]).join(snippets, [doc, "row"], "left")
-    if rank_kept:
-        out = out.withColumn("pos", F.row_number().over(place.orderBy("row")) - 1).withColumn("n", F.count("*").over(place))
-    return out.select(doc, F.lit(engine).alias("engine"), "pos", (F.col("n") - F.col("pos")).cast("double").alias("score"), "title", url(F.col("href")).alias("url"), F.coalesce("snippet", F.lit("")).alias("snippet"))
-
-
-def _in(tag: str, *classes: str) -> Column:
-    out = dom.element(tag)
-    for c in classes:
-        out = out & dom.has_class(c)
-    return out
+def bing(pages: DataFrame, doc: str) -> DataFrame:
+    fields = {"title": [("text", "h2 a")], "href": [("attr", "h2 a", "href")], "snippet": [("text", "p")]}
+    read = dom.records(pages, doc, "html", [("ol#b_results li.b_algo", fields)])
+    return _results(read, doc, "bing", F.transform("rows", lambda r: _row(r, r["title"], unwrap_bing(r["href"]), strip(r["snippet"]))), by_place=True)
 
 
-def bing(pages: DataFrame, doc: str) -> DataFrame:
-    return from_rows(pages, doc, "bing", _in("li", "b_algo"), dom.element("a"), dom.element("p"), unwrap_bing)
+# Where a result page's snippets stand.
+GOOGLE_SNIPPETS = ("div.VwiC3b", "span.aCOSRe", "div.IsZvec", "div[data-sncf]")
+SOGOU_SNIPPETS = ("div.attribute-centent", "div.fz-mid.space-txt", "div.str-text-info", "p")
+WECHAT_SNIPPETS = ("p.txt-info", 'p[class^="txt-info"]', "div.txt-box p")
 
 
 def google(pages: DataFrame, doc: str) -> DataFrame:
-    return from_rows(pages, doc, "google", _in("div", "g"), dom.element("a"), _in("div", "VwiC3b") | _in("span", "st"), unwrap_google, rank_kept=True)
+    """Links with data-ved and no class that hold a styled title or an h3; div.g blocks only where a page has no such link."""
+    snippet = [("text", s) for s in GOOGLE_SNIPPETS]
+    links = ("a[data-ved]:not([class])", {"title": [("text", "div[style]"), ("text", "h3")], "hrefs": [("attrs", "", "href")], "snippet": snippet})
+    blocks = ("div.g", {"title": [("text", "h3")], "hrefs": [("attrs", "a[href]", "href")], "snippet": snippet})
+    read = dom.records(pages, doc, "html", [links, blocks])
+    url = lambda h: F.when(F.startswith(h, F.lit("/url?q=")), unwrap_google(h)).when(F.startswith(h, F.lit("http")), h)
+    own = lambda u: u.isNull() | F.startswith(u, F.lit("https://www.google.com/")) | F.startswith(u, F.lit("/search?"))
+    first = lambda r: F.try_element_at(F.filter(F.transform(r["hrefs"], url), lambda u: ~own(u) & (u != "")), F.lit(1))
+    made = lambda kind: F.filter(F.transform(F.filter("rows", lambda r: r["kind"] == kind), lambda r: _row(r, strip(r["title"]), first(r), strip(r["snippet"]))), lambda r: (r["title"] != "") & (r["url"] != ""))
+    return _results(read, doc, "google", F.when(F.size(made(0)) > 0, made(0)).otherwise(made(1)))
 
 
 def sogou(pages: DataFrame, doc: str) -> DataFrame:
-    full = lambda href: F.when(F.startswith(href, F.lit("/")), F.concat(F.lit("https://www.sogou.com"), href)).otherwise(href)
-    return from_rows(pages, doc, "sogou", _in("div", "rb") | _in("div", "vrwrap"), dom.element("a"), _in("div", "ft") | _in("div", "text-layout") | _in("p", "str_info"), full, rank_kept=True)
+    """All plain results, then all rich ones; a redirect is replaced by the address that the result holds, if it does."""
+    real = [("attr", "", "data-url"), ("attr", "[data-url]", "data-url")]
+    plain = ("div.rb", {"title": [("text", "h3.pt a")], "href": [("attr", "h3.pt a", "href")], "real": real, "snippet": [("text", "div.ft")]})
+    rich = ("div.vrwrap", {"title": [("text", "h3.vr-title a")], "href": [("attr", "h3.vr-title a", "href")], "real": real, "snippet": [("text", s) for s in SOGOU_SNIPPETS]})
+    read = dom.records(pages, doc, "html", [plain, rich])
+    whole = lambda r: F.when(~F.startswith(r["href"], F.lit("/link?url=")), r["href"]).when(F.startswith(r["real"], F.lit("http")), r["real"]).otherwise(F.concat(F.lit("https://www.sogou.com"), r["href"]))
+    return _results(read, doc, "sogou", F.transform("rows", lambda r: _row(r, r["title"], whole(r), F.when(r["kind"] == 1, strip(r["snippet"])).otherwise(r["snippet"]))))
 
 
 def sogou_wechat(pages: DataFrame, doc: str) -> DataFrame:
-    full = lambda href: F.when(F.startswith(href, F.lit("/")), F.concat(F.lit("https://weixin.sogou.com"), href)).otherwise(href)
-    return from_rows(pages, doc, "sogou_wechat", dom.element("li") & dom.attr_is("id", "^=", "sogou_vr_"), dom.element("a") & dom.attr_is("href"), _in("p", "txt-info") | _in("p", "str_info"), full)
+    fields = {"title": [("text", "h3 a")], "href": [("attr", "h3 a", "href")], "snippet": [("text", s) for s in WECHAT_SNIPPETS]}
+    read = dom.records(pages, doc, "html", [('li[id^="sogou_vr_"]', fields)])
+    whole = lambda h: F.when(F.startswith(h, F.lit("/link?url=")), F.concat(F.lit("https://weixin.sogou.com"), h)).otherwise(h)
+    return _results(read, doc, "sogou_wechat", F.transform("rows", lambda r: _row(r, strip(r["title"]), whole(r["href"]), strip(r["snippet"]))), by_place=True)
+
+
+def wechat_url(html: Column) -> Column:
+    """The article address in a redirect page: script pieces joined, a refresh, a location, or any that is written out; else null."""
+    pieces = F.array_join(F.regexp_extract_all(html, F.lit(r"(?m)^[^\S\n]*url ?\+?=[^\S\n]*(['\"])([^'\"\n]*)\1"), F.lit(2)), "")
+    refresh = F.regexp_extract(html, r"url=([^\"'; ]*)", 1)
+    location = F.regexp_extract(html, r"location(?:\.href)?=[\"']([^\"']*mp\.weixin\.qq\.com[^\"']*)", 1)
+    written = F.regexp_extract(html, r"(http(?:(?!http)[^\"'<\s\\])*weixin\.qq[^\"'<\s\\]*)", 1)
+    is_article = lambda c: F.contains(c, F.lit("mp.weixin.qq.com"))
+    return F.when(F.contains(pieces, F.lit("weixin.qq")), pieces).when(is_article(refresh), refresh).when(is_article(location), location).otherwise(F.nullif(written, F.lit("")))
 
 
 def baidu(pages: DataFrame, doc: str) -> DataFrame:
@@ -81,21 +92,20 @@ def baidu(pages: DataFrame, doc: str) -> DataFrame:
 
 def bing_images(pages: DataFrame, doc: str) -> DataFrame:
     """Images in the JSON of a.iusc[m]; sizes of 0 are null."""
-    nodes = dom.parse_dom(pages, doc, "html").where(dom.element("a") & dom.has_class("iusc") & dom.attr_is("m"))
-    m = dom.attribute("m")
-    at = lambda key: F.get_json_object(m, f"$.{key}")
-    w = Window.partitionBy(doc)
-    pos = F.row_number().over(w.orderBy("node_id")) - 1
+    read = dom.project(pages, doc, "html", {"__m": ("attrs", "a.iusc[m]", "m")})
+    rows = read.select(doc, F.size("__m").alias("n"), F.posexplode("__m").alias("pos", "m"))
+    at = lambda key: F.get_json_object("m", f"$.{key}")
     size = lambda key: F.nullif(at(key).try_cast("int"), F.lit(0))
-    return nodes.select(doc, F.lit("bing_images").alias("engine"), pos.alias("pos"), (F.count("*").over(w) - pos).cast("double").alias("score"), at("t").alias("title"), at("purl").alias("url"), at("murl").alias("image_url"), size("mw").alias("width"), size("mh").alias("height")).where("image_url <> ''")
+    return rows.select(doc, F.lit("bing_images").alias("engine"), "pos", (F.col("n") - F.col("pos")).cast("double").alias("score"), at("t").alias("title"), at("purl").alias("url"), at("murl").alias("image_url"), size("mw").alias("width"), size("mh").alias("height")).where("image_url <> ''")
 
 
 def baidu_images(pages: DataFrame, doc: str) -> DataFrame:
     """Images of data[]: the first of four fields that holds an http URL."""
     names = ("objURL", "middleURL", "thumbURL", "hoverURL")
-    out = result_json(pages.select(doc, "html"), "html", "data", {**{n: n for n in names}, "url": "fromURL", "title": "fromPageTitle", "width": "width", "height": "height"}, "baidu_images")
+    out = result_json(pages.select(doc, "html"), "html", "data", {**{n: n for n in names}, "url": "fromURL", "title": "fromPageTitle", "coded": "fromPageTitleEnc", "width": "width", "height": "height"}, "baidu_images")
     image = F.coalesce(*(F.when(F.startswith(F.col(n), F.lit("http")), F.col(n)) for n in names))
-    return out.withColumn("image_url", image).where("image_url IS NOT NULL").drop(*names)
+    out = out.withColumn("title", F.coalesce(F.nullif("title", F.lit("")), "coded"))
+    return out.withColumn("image_url", image).where("image_url IS NOT NULL").drop(*names, "coded")
 
 
 ENGINES: dict[str, tuple[Callable[[DataFrame, str], DataFrame], tuple[str, ...]]] = {
@@ -111,7 +121,28 @@ def engines_frame(spark) -> DataFrame:
 
 def embedded_json(pages: DataFrame, doc: str, element_id: str, path: str) -> DataFrame:
     """(doc, value) at a JSON path of the script element with an id."""
-    nodes = dom.parse_dom(pages, doc, "html")
-    script = nodes.where(dom.element("script") & dom.has_id(element_id))
-    return dom.text_of(nodes, script, doc).select(doc, F.get_json_object("text_content", path).alias("value"))
-
+    read = dom.project(pages, doc, "html", {"__json": ("text", f"script#{element_id}")})
+    return read.where("__json IS NOT NULL").select(doc, F.get_json_object("__json", path).alias("value"))
+
+
+# The engines' addresses. {query} is the escaped query, {page} counts from 1, {ten} and {first} are results before
+# it in tens and the first result of 35, {language} is a tag, {short} its first part, {upper} that in capitals.
+TEMPLATES = {
+    "baidu": "https://www.baidu.com/s?wd={query}&tn=json&rn=10&pn={ten}&ie=utf-8",
+    "baidu_images": "https://image.baidu.com/search/acjson?tn=resultjson_com&ipn=rj&fp=result&queryWord={query}&cl=2&lm=-1&ie=utf-8&oe=utf-8&word={query}&pn={ten}&rn=10&st=-1&face=0&istype=2&nc=1",
+    "bing": "https://cn.bing.com/search?q={query}&count=10&offset={ten}&setlang={language}",
+    "bing_images": "https://cn.bing.com/images/async?q={query}&first={first}&count=35&mmre=1&setlang={language}",
+    "google": "https://www.google.com/search?q={query}&num=10&start={ten}&hl={short}-US&lr=lang_{short}&cr=country{upper}&ie=utf8&oe=utf8&filter=0",
+    "sogou": "https://www.sogou.com/web?query={query}&page={page}&ie=utf8",
+    "sogou_wechat": "https://weixin.sogou.com/weixin?type=2&query={query}&page={page}&ie=utf8",
+}
+
+
+def search_url(engine: str, query: Column, page: Column, language: Column) -> Column:
+    """The address of an engine's result page."""
+    escaped = lambda c: F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A"))
+    before = F.greatest(page - 1, F.lit(0))
+    short = F.substring_index(language, "-", 1)
+    values = {"query": escaped(query), "page": page, "ten": before * 10, "first": before * 35 + 1, "language": escaped(language), "short": short, "upper": F.upper(short)}
+    parts = re.split(r"\{(\w+)\}", TEMPLATES[engine])
+    return F.concat(*(values[x].cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts) if x))

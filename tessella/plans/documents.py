@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessella.functions import charset, urls
 from tessella.operators import dom, serp
-from tessella.plans.web import C, _pages, query
+from tessella.plans.web import _TITLE as _WEB_TITLE
+from tessella.plans.web import C, _pages, _trim, query
 
 _ID = "page_id"
 
@@ -61,87 +62,126 @@ def dom_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nodes(spark, sf_dir).where(dom.element("html")).select(_ID, dom.attribute("lang").alias("lang"))
 
 
+def _count(spark: SparkSession, sf_dir: str, selector: str) -> DataFrame:
+    return dom.project(_pages(spark, sf_dir), _ID, "html", {"n": ("count", selector)})
+
+
+def _decoded(x: str) -> str:
+    """SQL for text with the entities that the pages use."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", "\xa0"), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{char}')"
+    return x
+
+
+_TITLE_TEXT = "regexp_extract(html, '<title>(.*?)</title>', 1)"
+_H1 = "regexp_extract(html, '<h1>(.*?)</h1>', 1)"
+
+
 @query(_count_of("<br>"))
 def css_select_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _per_page(_pages(spark, sf_dir), _nodes(spark, sf_dir).where(dom.element("br")))
+    return _count(spark, sf_dir, 'br')
 
 
 @query(_count_of('<div class="ad">'))
 def css_select_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _per_page(_pages(spark, sf_dir), _nodes(spark, sf_dir).where(dom.element("div") & dom.has_class("ad")))
+    return _count(spark, sf_dir, 'div.ad')
 
 
 @query(_count_of('<a href="/'))
 def css_select_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _per_page(_pages(spark, sf_dir), _nodes(spark, sf_dir).where(dom.element("a") & dom.attr_is("href", "^=", "/")))
+    return _count(spark, sf_dir, 'a[href^="/"]')
 
 
-@query("SELECT page_id, len(regexp_extract_all(regexp_extract(html, '(?s)<article>.*</article>'), '<p>')) AS n FROM pages")
+@query("SELECT page_id, len(regexp_extract_all(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>')) AS n FROM pages")
 def css_descendant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _nodes(spark, sf_dir)
-    return _per_page(_pages(spark, sf_dir), dom.within(nodes.where(dom.element("p")), nodes.where(dom.element("article")), _ID))
+    return _count(spark, sf_dir, 'article p')
 
 
 @query(_count_of("<li><a "))
 def css_child(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _nodes(spark, sf_dir)
-    return _per_page(_pages(spark, sf_dir), dom.children_of(nodes.where(dom.element("a")), nodes.where(dom.element("li")), _ID))
+    return _count(spark, sf_dir, 'li > a')
 
 
 @query("SELECT page_id, greatest(0, len(regexp_extract_all(html, '<li>')) - 1) AS n FROM pages")
 def css_sibling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _nodes(spark, sf_dir)
-    items = nodes.where(dom.element("li"))
-    return _per_page(_pages(spark, sf_dir), dom.after(items, items, _ID, next_only=True))
+    return _count(spark, sf_dir, 'ul > li + li')
 
 
 @query("SELECT page_id, (len(regexp_extract_all(html, '<li>')) + 1) // 2 AS n FROM pages")
 def css_nth_child(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _per_page(_pages(spark, sf_dir), _nodes(spark, sf_dir).where(dom.element("li") & dom.nth_child(2, 1)))
+    return _count(spark, sf_dir, 'li:nth-child(2n+1)')
 
 
 @query("SELECT page_id, greatest(0, len(regexp_extract_all(html, '<li>')) - 1) AS n FROM pages")
 def css_not(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _per_page(_pages(spark, sf_dir), _nodes(spark, sf_dir).where(dom.element("li") & ~dom.nth_child(0, 1)))
+    return _count(spark, sf_dir, 'nav li:not(:first-child) a')
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '<p>')) + len(regexp_extract_all(html, '<li>')) + 3 AS n FROM pages")
+def css_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _count(spark, sf_dir, "article p, li:is(ul > *), :root, nav + div, body > *:last-of-type:not(nav, div, article)")
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '<li>')) AS last, 1 AS only, 0 AS blank FROM pages")
+def css_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asks = {"last": ("count", "ul li:nth-last-child(n)"), "only": ("count", "nav > ul:only-child, nav:empty"), "blank": ("count", "li:empty, h1:not(:only-of-type)")}
+    read = dom.project(_pages(spark, sf_dir), _ID, "html", asks)
+    return read.select(_ID, "last", F.col("only").cast("int").alias("only"), F.col("blank").cast("int").alias("blank"))
 
 
 @query("SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS idx, href FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), 1) AS i FROM pages)")
 def nav_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dom.interactive(_nodes(spark, sf_dir), _ID).select(_ID, "idx", dom.attribute("href").alias("href"))
+    return dom.select(_pages(spark, sf_dir), _ID, "html", dom.INTERACTIVE).select(_ID, "idx", dom.attribute("href").alias("href"))
 
 
 @query("SELECT page_id, regexp_extract(url, '^https?://[^/?#]+') || href AS link FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages)")
 def resolve_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = _nodes(spark, sf_dir).where(dom.element("a")).select(_ID, dom.attribute("href").alias("href"))
-    return _pages(spark, sf_dir).select(_ID, "url").join(links, _ID).select(_ID, dom.resolve(C("href"), C("url")).alias("link"))
+    links = dom.select(_pages(spark, sf_dir), _ID, "html", "a[href]", keep=["url"])
+    return links.select(_ID, dom.resolve(dom.attribute("href"), C("url")).alias("link"))
+
+
+@query("SELECT page_id, regexp_extract(html, '(?s)<nav>.*?</nav>') AS html, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS inside, regexp_extract(html, '(?s)<ul>.*?</ul>') AS around FROM pages")
+def selector_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dom.project(_pages(spark, sf_dir), _ID, "html", {"html": ("html", "nav"), "inside": ("inner", "nav"), "around": ("closest", "li > a", "ul")})
 
 
 @query("SELECT page_id, '<h1>' || regexp_extract(html, '<h1>(.*?)</h1>', 1) || '</h1>' AS html FROM pages")
 def outer_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = dom.render(_pages(spark, sf_dir), _ID, "html", "html")
-    return whole.select(_ID, F.regexp_extract("out", "(?s)<h1>.*?</h1>", 0).alias("html"))
+    return dom.project(_pages(spark, sf_dir), _ID, "html", {"html": ("html", "article > h1")})
+
+
+# The pages' markdown: a list, a line, a heading and paragraphs; bold text that a paragraph cuts off goes on in the next ones, three times at most.
+_PARTS = "list_transform(string_split(regexp_extract(html, '(?s)</h1>(.*?)</article>', 1), '<p>')[2:], lambda x: {'b': starts_with(x, '<b>'), 't': " + _decoded("regexp_extract(x, '^(?:<b>)?([^<]*)', 1)") + "})"
+_BOLD = "repeat('**', least(3, len(list_filter(parts[1:i - 1], lambda y: y.b)))::BIGINT)"
+_PARAS = f"array_to_string(list_transform(parts, lambda x, i: chr(10) || CASE WHEN x.b THEN {_BOLD} || '**' || x.t || chr(10) || '**' || {_BOLD} ELSE CASE WHEN {_BOLD} = '' THEN trim(x.t) ELSE {_BOLD} || x.t || {_BOLD} END END || chr(10) || chr(10)), '')"
+_LIST = "array_to_string(list_transform(regexp_extract_all(html, '<li><a href=\"([^\"]*)\">(.*?)</a></li>'), lambda x: '- [' || " + _decoded("regexp_extract(x, '>([^<>]*)</a>', 1)") + " || '](' || " + _decoded("regexp_extract(x, 'href=\"([^\"]*)\"', 1)") + " || ')' || chr(10)), '')"
+_END = "repeat('**', least(3, len(list_filter(parts, lambda y: y.b)))::BIGINT)"
 
 
-@query()
+@query(f"""SELECT page_id, trim(regexp_replace(chr(10) || {_LIST} || chr(10) || chr(10) || {_decoded("regexp_extract(html, '(?s)<div class=.ad.>(.*?)</div>', 1)")} || chr(10) || chr(10) || '# ' || trim({_decoded(_H1)}) || chr(10) || chr(10) || {_PARAS} || chr(10) || {_END} || {_decoded("regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1)")} || {_END}, chr(10) || '{{3,}}', chr(10) || chr(10), 'g'), chr(10) || ' ') AS markdown
+FROM (SELECT *, {_PARTS} AS parts FROM pages)""")
 def to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dom.render(_pages(spark, sf_dir), _ID, "html", "markdown").withColumnRenamed("out", "markdown")
+    return dom.project(_pages(spark, sf_dir), _ID, "html", {"markdown": ("markdown", "body")})
 
 
-@query()
+_ANCHOR = "'<a href=\"([^\"]*)\">(.*?)</a>'"
+
+
+@query(f"""SELECT page_id, i - 1 AS idx, 'a' AS tag, href, substr({_decoded('said')}, 1, 100) AS text FROM (SELECT page_id, unnest(regexp_extract_all(html, {_ANCHOR}, 1)) AS href, unnest(regexp_extract_all(html, {_ANCHOR}, 2)) AS said, generate_subscripts(regexp_extract_all(html, {_ANCHOR}, 1), 1) AS i FROM pages)""")
 def interactive_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _nodes(spark, sf_dir)
-    found = dom.interactive(nodes, _ID)
-    said = dom.text_of(nodes, found, _ID)
-    return found.join(said, [_ID, "node_id"]).select(_ID, "idx", "tag", dom.attribute("href").alias("href"), F.substring("text_content", 1, 100).alias("text"))
+    found = dom.select(_pages(spark, sf_dir), _ID, "html", dom.INTERACTIVE)
+    return found.select(_ID, "idx", "tag", dom.attribute("href").alias("href"), F.substring("text", 1, 100).alias("text"))
 
 
-@query()
+_BODY = _decoded("regexp_replace(regexp_extract(html, '(?s)<body>(.*)', 1), '(?s)<!--.*?-->|<[^>]*>', '', 'g')")
+
+
+@query(f"SELECT page_id, array_to_string(list_filter(list_transform(string_split({_BODY}, chr(10)), lambda x: {_trim('x')}), lambda x: x <> ''), chr(10)) AS text FROM pages")
 def rendered_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.functions.text import collapse_lines
 
-    nodes = _nodes(spark, sf_dir)
-    body = dom.text_of(nodes, nodes.where(dom.element("body")), _ID, drop=("script", "style", "noscript"))
-    return body.select(_ID, collapse_lines(C("text_content")).alias("text"))
+    read = dom.project(_pages(spark, sf_dir), _ID, "html", {"said": ("text", "body", ("script", "style", "noscript"))})
+    return read.select(_ID, collapse_lines(C("said")).alias("text"))
 
 
 _STATE_LINES = "string_agg('[' || (i - 1) || '] <a href=\"' || href || '\">' || CASE WHEN length(said) > 80 THEN substr(said, 1, 80) || '…' ELSE said END || '</a>' || chr(10), '' ORDER BY i)"
@@ -151,7 +191,7 @@ _STATE_LINES = "string_agg('[' || (i - 1) || '] <a href=\"' || href || '\">' ||
 FROM pages p LEFT JOIN (SELECT page_id, {_STATE_LINES} AS lines FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">(.*?)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)">(.*?)</a>', 2)) AS said,
 generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)">(.*?)</a>', 1), 1) AS i FROM pages) GROUP BY page_id) l ON p.page_id = l.page_id""")
 def page_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dom.page_state(_nodes(spark, sf_dir), _pages(spark, sf_dir), _ID)
+    return dom.page_state(_pages(spark, sf_dir), _ID)
 
 
 _FORM = "concat('<form action=\"/s\"><input name=q value=\"a b', cast(page_id AS VARCHAR(20)), '\"><input name=off value=x disabled><input type=checkbox name=c', CASE WHEN page_id % 2 = 0 THEN ' checked' ELSE '' END, '><select name=s><option value=1>one<option', CASE WHEN page_id % 3 = 0 THEN ' selected' ELSE '' END, '>two</select><textarea name=t>x&amp;y</textarea><input type=submit name=go value=Go></form>')"
@@ -163,13 +203,92 @@ def form_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dom.form_query(dom.parse_dom(pages, _ID, "html"), _ID).drop("form")
 
 
-_SERP = "concat('<ol id=\"b_results\"><li class=\"b_algo\"><h2><a href=\"', url, '\">T0</a></h2><p>S0</p></li><li class=\"b_ad\"><a href=\"/ad\">ad</a></li><li class=\"b_algo\"><p>no link</p></li><li class=\"b_algo\"><h2><a href=\"https://x.example/', cast(page_id AS VARCHAR(20)), '\">T2</a></h2></li></ol>')"
+# Result pages made of a page's heading and URL, with odd rows for some pages. T is the heading as it stands in the page.
+def _serp(spark: SparkSession, sf_dir: str, parser, *parts: str) -> DataFrame:
+    pages = _pages(spark, sf_dir).selectExpr(_ID, "url", f"{_H1} AS t").selectExpr(_ID, f"concat({', '.join(parts)}) AS html")
+    return parser(pages, _ID).drop("engine")
 
 
-@query("""SELECT page_id, pos, (3 - pos)::DOUBLE AS score, title, url, snippet FROM (SELECT page_id, 0 AS pos, 'T0' AS title, url, 'S0' AS snippet FROM pages UNION ALL SELECT page_id, 2, 'T2', 'https://x.example/' || page_id, '' FROM pages)""")
+def _serp_sql(n: str, *rows: str) -> str:
+    """Rows (place, condition, title, url, snippet); scores count down from n."""
+    each = " UNION ALL ".join(f"SELECT page_id, ({pos})::INT AS pos, ({n} - ({pos}))::DOUBLE AS score, {title} AS title, {url} AS url, {said} AS snippet FROM p WHERE {when}" for pos, when, title, url, said in rows)
+    return f"WITH p AS (SELECT page_id, url, {_H1} AS t, {_decoded(_H1)} AS d FROM pages) {each}"
+
+
+@query(_serp_sql("(CASE WHEN page_id % 3 = 0 THEN 4 ELSE 3 END)", ("0", "true", "'0 ' || d", "url", "trim('said ' || d)"), ("CASE WHEN page_id % 3 = 0 THEN 3 ELSE 2 END", "true", "'last'", "'https://x.example/' || page_id", "''"), ("1", "page_id % 3 = 0", "'icon'", "url || '/i'", "'first'")))
 def serp_bing_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _pages(spark, sf_dir).selectExpr(_ID, f"{_SERP} AS html")
-    return serp.bing(pages, _ID).drop("engine")
+    return _serp(
+        spark, sf_dir, serp.bing, "'<li class=\"b_algo\"><h2><a href=\"/outside\">no</a></h2></li><ol id=\"b_results\"><li class=\"b_algo x\"><a href=\"/icon\">i</a><h2>0 <a href=\"'", "url", "'\">0 <b>'", "t", "'</b></a></h2><p> said '", "t", "' </p></li>'",
+        "if(page_id % 3 = 0, concat('<li class=\"b_algo\"><div><a href=\"/logo\"><img></a></div><h2><a href=\"', url, '/i\">icon</a></h2><p>first</p><p>second</p></li>'), '')", "'<li class=\"b_ad\"><h2><a href=\"/ad\">ad</a></h2></li><li class=\"b_algo\"><p>no link</p></li>'",
+        "'<li class=\"b_algo\"><h2><a href=\"https://x.example/'", "cast(page_id AS STRING)", "'\">last</a></h2></li></ol>'",
+    )
+
+
+@query(_serp_sql("(CASE WHEN page_id % 4 = 0 THEN 1 ELSE 2 END)", ("0", "page_id % 4 <> 0", "trim(d)", "url", "'said'"), ("1", "page_id % 4 <> 0", "'h ' || page_id", "url || '/2'", "''"), ("0", "page_id % 4 = 0", "'block'", "url || '/b'", "'words'")))
+def serp_google_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _serp(
+        spark, sf_dir, serp.google, "'<a data-ved=\"1\" class=\"nav\" href=\"https://nav.example/\"><h3>nav</h3></a><a data-ved=\"2\" href=\"/search?q=x\"><h3>more</h3></a>'",
+        "if(page_id % 4 <> 0, concat('<a data-ved=\"3\" href=\"/url?q=', replace(url, '&', '%26'), '&amp;sa=U\"><div style=\"x\"> ', t, ' </div><div class=\"VwiC3b\"> said </div></a><a data-ved=\"4\" href=\"', url, '/2\"><h3>h ', cast(page_id AS STRING), '</h3></a>'), '')",
+        "'<div class=\"g\"><a href=\"https://www.google.com/x\">own</a><a href=\"'", "url", "'/b\"><h3>block</h3></a><span class=\"aCOSRe\">words</span></div><div class=\"g\"><h3>no link</h3></div>'",
+    )
+
+
+@query(_serp_sql("3", ("0", "true", "d", "url", "' f '"), ("1", "true", "'to'", "'https://www.sogou.com/link?url=' || page_id", "''"), ("2", "true", "'rich'", "CASE WHEN page_id % 2 = 0 THEN url ELSE 'https://www.sogou.com/link?url=q' END", "'mid'")))
+def serp_sogou_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _serp(
+        spark, sf_dir, serp.sogou, "'<div class=\"vrwrap\"><a href=\"/x\">x</a><h3 class=\"vr-title\"><a href=\"/link?url=q\">rich</a></h3><div class=\"attribute-centent\"> </div><div class=\"fz-mid space-txt\"> mid </div>'", "if(page_id % 2 = 0, concat('<i data-url=\"', url, '\"></i>'), '')", "'</div>'",
+        "'<div class=\"rb\"><h3 class=\"pt\"><a href=\"'", "url", "'\">'", "t", "'</a></h3><div class=\"ft\"> f </div></div><div class=\"rb\"><h3><a href=\"/y\">no</a></h3></div><div class=\"rb\"><h3 class=\"pt\"><a href=\"/link?url='", "cast(page_id AS STRING)", "'\">to</a></h3></div>'",
+    )
+
+
+@query(_serp_sql("3", ("0", "true", "trim(d)", "url", "'txt'"), ("2", "true", "'w'", "'https://weixin.sogou.com/link?url=' || page_id", "'box'")))
+def serp_wechat_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _serp(
+        spark, sf_dir, serp.sogou_wechat, "'<ul><li id=\"sogou_vr_1\"><a href=\"/img\"><img></a><h3> <a href=\"'", "url", "'\"> '", "t", "' </a></h3><p class=\"txt-info\"> txt </p></li><li id=\"sogou_vr_2\"><h3>none</h3></li>'",
+        "'<li id=\"sogou_vr_3\"><div class=\"txt-box\"><h3><a href=\"/link?url='", "cast(page_id AS STRING)", "'\">w</a></h3><p>box</p></div></li><li id=\"other\"><h3><a href=\"/o\">o</a></h3></li></ul>'",
+    )
+
+
+@query(f"SELECT page_id, pos, (3 - pos)::DOUBLE AS score, CASE pos WHEN 0 THEN {_decoded(_H1)} ELSE 'C' END AS title, CASE pos WHEN 0 THEN url ELSE url || '/c' END AS url, CASE pos WHEN 0 THEN 'it''s' ELSE '' END AS snippet FROM pages, (SELECT unnest([0, 2]) AS pos)")
+def serp_baidu_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _pages(spark, sf_dir).select(_ID, "url", F.to_json(F.struct(F.expr(_H1).alias("title"), "url", F.lit("it's").alias("abs"))).alias("one"))
+    return serp.baidu(pages.select(_ID, F.concat(F.lit('{"feed": {"entry": ['), F.replace("one", F.lit("'"), F.lit("\\'")), F.lit(', {"title": "none"}, {"title": "C", "url": "'), C("url"), F.lit('/c"}]}}')).alias("html")), _ID).drop("engine")
+
+
+@query("SELECT page_id, pos, (2 - pos)::DOUBLE AS score, 'T' || page_id AS title, url, url || CASE pos WHEN 0 THEN '/a.png' ELSE '/b.png' END AS image_url, CASE WHEN pos = 0 THEN page_id % 7 + 1 END::INT AS width, 5 AS height FROM pages, (SELECT unnest([0, 1]) AS pos)")
+def serp_bing_images_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    image = lambda name, width: F.concat(F.lit("<a class='iusc big' m='"), F.to_json(F.struct(F.concat("url", F.lit(name)).alias("murl"), C("url").alias("purl"), F.concat(F.lit("T"), C(_ID).cast("string")).alias("t"), width.alias("mw"), F.lit(5).alias("mh"))), F.lit("'>x</a>"))
+    pages = _pages(spark, sf_dir).select(_ID, F.concat(image("/a.png", C(_ID) % 7 + 1), F.lit("<a class=iusc>none</a>"), image("/b.png", F.lit(0))).alias("html"))
+    return serp.bing_images(pages, _ID).drop("engine")
+
+
+@query("SELECT page_id, 0 AS pos, 2.0::DOUBLE AS score, url, CASE WHEN page_id % 2 = 0 THEN 'coded' ELSE 'P' || page_id END AS title, '3' AS width, '4' AS height, url || '/m' AS image_url FROM pages")
+def serp_baidu_images_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entry = F.struct(F.lit("no address").alias("objURL"), F.concat("url", F.lit("/m")).alias("middleURL"), C("url").alias("fromURL"), F.when(C(_ID) % 2 == 1, F.concat(F.lit("P"), C(_ID).cast("string"))).alias("fromPageTitle"), F.lit("coded").alias("fromPageTitleEnc"), F.lit(3).alias("width"), F.lit(4).alias("height"))
+    pages = _pages(spark, sf_dir).select(_ID, F.concat(F.lit('{"data": ['), F.to_json(entry), F.lit(", {}]}")).alias("html"))
+    return serp.baidu_images(pages, _ID).drop("engine")
+
+
+@query(r"""SELECT page_id, 'https://mp.weixin.qq.com/s?i=' || page_id || CASE page_id % 4 WHEN 0 THEN 'ab' WHEN 1 THEN 'r' WHEN 2 THEN 'l' ELSE 'w' END AS url FROM pages""")
+def wechat_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    to = F.concat(F.lit("https://mp.weixin.qq.com/s?i="), C(_ID).cast("string"))
+    whole = lambda a, b: F.concat(F.lit(a), to, F.lit(b), "html")
+    pieces = F.concat(F.lit("<script>var url = '';\n url += 'https://mp.';\n url += 'weixin.qq.com/s?i="), C(_ID).cast("string"), F.lit("a';\n  url += \"b\";\n</script>"), "html")
+    page = F.when(C(_ID) % 4 == 0, pieces).when(C(_ID) % 4 == 1, whole('<meta http-equiv=refresh content="0; url=', 'r">')).when(C(_ID) % 4 == 2, whole("<script>window.location.href='", "l'</script>")).otherwise(whole("see http://other.example and ", "w "))
+    return _pages(spark, sf_dir).select(_ID, serp.wechat_url(page).alias("url"))
+
+
+_QUERY = "regexp_replace(split_part(url, '/', 3), '[^a-z]+', ' ', 'g')"
+
+
+@query(f"""SELECT page_id, 'https://www.baidu.com/s?wd=' || q || '&tn=json&rn=10&pn=' || 10 * (page_id % 3) || '&ie=utf-8' AS baidu, 'https://cn.bing.com/search?q=' || q || '&count=10&offset=' || 10 * (page_id % 3) || '&setlang=zh-CN' AS bing,
+'https://www.google.com/search?q=' || q || '&num=10&start=' || 10 * (page_id % 3) || '&hl=zh-US&lr=lang_zh&cr=countryZH&ie=utf8&oe=utf8&filter=0' AS google, 'https://www.sogou.com/web?query=' || q || '&page=' || (page_id % 3 + 1) || '&ie=utf8' AS sogou,
+'https://weixin.sogou.com/weixin?type=2&query=' || q || '&page=' || (page_id % 3 + 1) || '&ie=utf8' AS sogou_wechat, 'https://cn.bing.com/images/async?q=' || q || '&first=' || (35 * (page_id % 3) + 1) || '&count=35&mmre=1&setlang=zh-CN' AS bing_images,
+'https://image.baidu.com/search/acjson?tn=resultjson_com&ipn=rj&fp=result&queryWord=' || q || '&cl=2&lm=-1&ie=utf-8&oe=utf-8&word=' || q || '&pn=' || 10 * (page_id % 3) || '&rn=10&st=-1&face=0&istype=2&nc=1' AS baidu_images
+FROM (SELECT page_id, replace({_QUERY}, ' ', '%20') || '%E6%90%9C' AS q FROM pages)""")
+def serp_search_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = F.concat(F.regexp_replace(F.split_part("url", F.lit("/"), F.lit(3)), "[^a-z]+", " "), F.lit("搜"))
+    return _pages(spark, sf_dir).select(_ID, *(serp.search_url(e, asked, C(_ID) % 3 + 1, F.lit("zh-CN")).alias(e) for e in serp.TEMPLATES))
 
 
 _HEADER = "CASE page_id % 4 WHEN 0 THEN 'text/html; charset=gb2312' WHEN 1 THEN 'text/html' WHEN 2 THEN 'text/html; charset=nonsense' END"
@@ -188,8 +307,36 @@ def url_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select(_ID, urls.scheme(u).alias("scheme"), urls.host(u).alias("host"), urls.path(u).alias("path"), urls.part(u, 5).alias("query"), urls.origin(u).alias("origin"))
 
 
-@query()
+@query(f"SELECT page_id, nullif(trim(CASE page_id % 3 WHEN 0 THEN 'Article ' || page_id WHEN 1 THEN {_decoded(_H1)} ELSE {_decoded(_TITLE_TEXT)} END), '') AS rendered_title FROM pages")
 def css_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _nodes(spark, sf_dir)
-    title = dom.first_of(nodes.where(dom.element("h1") | dom.has_id("activity-name") | dom.has_class("article-title")), _ID)
-    return dom.text_of(nodes, title, _ID).select(_ID, F.nullif(F.trim("text_content"), F.lit("")).alias("rendered_title"))
+    """Pages whose title stands in an article title element, in a heading, or only in the document's title."""
+    first = F.concat(F.lit("<div class='article-title'> Article "), C(_ID).cast("string"), F.lit(" </div>"))
+    page = F.when(C(_ID) % 3 == 0, F.replace("html", F.lit("<nav>"), F.concat(first, F.lit("<nav>")))).when(C(_ID) % 3 == 2, F.replace(F.replace("html", F.lit("<h1>"), F.lit("<h2>")), F.lit("</h1>"), F.lit("</h2>"))).otherwise(C("html"))
+    return dom.rendered_titles(_pages(spark, sf_dir).select(_ID, page.alias("html")), _ID)
+
+
+@query("SELECT page_id, page_id % 3 < 2 AS challenge FROM pages")
+def challenge_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = F.when(C(_ID) % 3 == 0, F.regexp_replace("html", "<title>", "<title>Just a moment... ")).when(C(_ID) % 3 == 1, F.concat("html", F.lit('<iframe src="https://challenges.cloudflare.com/x"></iframe>'))).otherwise(C("html"))
+    return dom.challenge_pages(_pages(spark, sf_dir).select(_ID, page.alias("html")), _ID)
+
+
+@query(f"SELECT page_id, regexp_extract(html, '(?s)<nav>.*?</nav>') AS html, {_WEB_TITLE} AS title, url AS source_url, NULL::VARCHAR AS description, 200 AS status_code, trim({_LIST}, chr(10)) AS markdown FROM pages")
+def scrape_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dom.scrape_record(_pages(spark, sf_dir), _ID, selector="nav")
+
+
+@query(r"""SELECT page_id, url AS href, regexp_extract(url, '^[a-z]+:') AS protocol, '' AS username, '' AS password, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS hostname, regexp_extract(url, '^[a-z]+://[^/?#:]+:([0-9]+)', 1) AS port,
+regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS pathname, regexp_extract(url, '\?[^#]+') AS search, regexp_extract(url, '#.+$') AS hash, regexp_extract(url, '^[a-z]+://[^/?#]+') AS origin FROM pages""")
+def url_all_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select(_ID, urls.components(C("url")).alias("c")).select(_ID, "c.*")
+
+
+@query(r"""SELECT page_id, regexp_replace(url, '^[a-z]+:', 'https:') AS protocol, regexp_replace(url, '://[^/?#]+', '://new.example:81') AS host, regexp_replace(regexp_replace(url, '(://[^/?#:]+)(:[0-9]+)?', '\1:8080'), '^$', '') AS port, regexp_replace(url, '(://[^/?#]+)[^?#]*', '\1/p/' || page_id) AS pathname,
+regexp_replace(regexp_replace(url, '\?[^#]*', ''), '^([^#]*)', '\1?n=' || page_id) AS search, regexp_replace(url, '#.*$', '') || '#h' AS hash, regexp_replace(url, '://', '://u:s@') AS login, url AS unchanged FROM pages""")
+def url_setters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u, set_ = C("url"), urls.with_component
+    said = lambda x: F.concat(F.lit(x), C(_ID).cast("string"))
+    asked = {"protocol": F.lit("HTTPS:"), "host": F.lit("NEW.example:81"), "port": F.lit("8080"), "pathname": said("p/"), "search": said("n="), "hash": F.lit("h")}
+    login = set_(set_(u, "username", F.lit("u")), "password", F.lit("s"))
+    return _pages(spark, sf_dir).select(_ID, *(set_(u, k, v).alias(k) for k, v in asked.items()), login.alias("login"), set_(set_(set_(u, "protocol", F.lit("ftp")), "host", F.lit("")), "port", F.lit("x")).alias("unchanged"))

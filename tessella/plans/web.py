@@ -39,7 +39,7 @@ C = F.col
 # Expressions that either engine reads.
 URL_VARIANT = "CASE page_id % 7 WHEN 0 THEN concat(url, '/antispider') WHEN 1 THEN 'https://sorry.google.com/sorry/index?continue=x' WHEN 2 THEN concat(url, '/cdn-cgi/challenge-platform/h') WHEN 3 THEN 'https://wappass.baidu.com/captcha' ELSE url END"
 HTML_VARIANT = "CASE page_id % 9 WHEN 0 THEN concat(html, '<div class=\"g-recaptcha\" data-sitekey=\"k\"></div>') WHEN 1 THEN concat(html, '<div class=\"h-captcha\"></div>') WHEN 2 THEN concat(html, '<div class=\"cf-turnstile\"></div>') WHEN 3 THEN concat(html, 'Our systems have detected unusual traffic') WHEN 4 THEN concat(html, '用户频率限制') ELSE html END"
-SHELL_VARIANT = "CASE page_id % 5 WHEN 0 THEN concat('<html><body><div id=\"app\"></div>', substr(html, 1, 40), '</body></html>') WHEN 1 THEN concat('<noscript>Please Enable JavaScript</noscript>', html) WHEN 2 THEN '<p>ok</p>' ELSE html END"
+SHELL_VARIANT = "CASE page_id % 5 WHEN 0 THEN concat('<html><body><div id=\"app\" data-page=\"', translate(html, '<>\"', '   '), '\"></div>Loading</body></html>') WHEN 1 THEN concat('<noscript>Please Enable JavaScript</noscript>', html) WHEN 2 THEN concat('<p title=\"', translate(html, '<>\"', '   '), '\">ok</p>') ELSE html END"
 RAW_URL = "CASE page_id % 6 WHEN 0 THEN replace(url, 'https://', 'HTTPS://') WHEN 1 THEN concat(replace(url, '#top', ''), '&utm_medium=a&b=2&a=1') WHEN 2 THEN upper(url) WHEN 3 THEN 'NOT A URL' WHEN 4 THEN 'https://www.Example.com:443/a//?q=x+y&utm_term=z&b=%C3%A9' ELSE url END"
 HEAD_VARIANT = "CASE page_id % 4 WHEN 0 THEN concat('<meta name=\"description\" content=\" Some TEXT ', cast(page_id AS VARCHAR(20)), ' \">', html) WHEN 1 THEN concat('<meta content=''Single'' name=''description''>', html) ELSE html END"
 
@@ -64,10 +64,10 @@ _SUFFICIENT = f"(NOT (contains(lower(html), '<noscript') AND contains(lower(html
 _SPIDER = "(contains(url, '/antispider') OR contains(url, 'wappass.baidu.com') OR contains(url, 'sorry.google.com') OR contains(url, 'challenge-platform'))"
 
 
-@query(f"""SELECT page_id, {_TITLE} AS title, substr({_tags(_no_content('html'))}, 1, 4000) AS content, length({_tags(_no_content('html'))}) > 4000 AS truncated,
+@query(f"""SELECT page_id, {_TITLE} AS title, substr({_tags(_no_content('html'))}, 1, 50000) AS content, length({_tags(_no_content('html'))}) > 50000 AS truncated,
 CASE WHEN NOT {_SPIDER} AND {_SUFFICIENT} THEN 'http' ELSE 'needs_render' END AS render_tier FROM pages""")
 def scrape_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    content, more = text.truncated(text.visible_text(C("html")), 4000)
+    content, more = text.truncated(text.visible_text(C("html")), 50000)
     tier = classify.render_tier(F.lit(200), F.lit("text/html; charset=utf-8"), C("url"), C("html"))
     return _pages(spark, sf_dir).select("page_id", text.page_title(C("html")).alias("title"), content.alias("content"), more.alias("truncated"), tier.alias("render_tier"))
 
@@ -140,7 +140,7 @@ def normalize_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).selectExpr("page_id", f"{RAW_URL} AS url").withColumn("norm_url", urls.normalize_url(C("url")))
 
 
-_ENT = "concat('a &amp;lt; b &amp; c &lt;i&gt; &quot;', cast(page_id AS VARCHAR(20)), '&#39; &nbsp;x ', substr(html, 1, 300))"
+_ENT = "concat('a &amp;lt; b &amp; c &lt;i&gt; &quot;', cast(page_id AS VARCHAR(20)), '&#39; &nbsp;x ', html)"
 
 
 @query(f"SELECT page_id, replace(replace(replace(replace(replace(replace({_ENT}, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' ') AS text FROM pages")
@@ -274,27 +274,27 @@ def data_uri_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Searches: a page belongs to one of many searches; three engines rank its pages differently, under varied URLs.
-_RAW = """SELECT search, engine, url, title, snippet, e * 1000000000 + row_number() OVER (PARTITION BY search, engine ORDER BY k, page_id) - 1 AS seq,
+_RAW = """SELECT search, engine, url, title, snippet, image, e * 1000000000 + row_number() OVER (PARTITION BY search, engine ORDER BY k, page_id) - 1 AS seq,
 count(*) OVER (PARTITION BY search, engine) - (row_number() OVER (PARTITION BY search, engine ORDER BY k, page_id) - 1) AS score FROM (
-SELECT page_id % 25 AS search, 'bing' AS engine, 0 AS e, page_id, url, concat('Page ', page_id) AS title, substr(html, 1, 40) AS snippet, page_id AS k FROM pages WHERE page_id % 3 < 2
-UNION ALL SELECT page_id % 25, 'baidu', 1, page_id, concat(url, '&utm_source=b'), concat('The page ', page_id % 1000), substr(html, 1, 90), -page_id FROM pages WHERE page_id % 4 < 3
-UNION ALL SELECT page_id % 25, 'google', 2, page_id, replace(url, '://', '://www.'), '', '', length(html) FROM pages WHERE page_id % 5 < 3)"""
+SELECT page_id % 25 AS search, 'bing' AS engine, 0 AS e, page_id, url, concat('Page ', page_id) AS title, substr(html, 1, 40) AS snippet, '' AS image, page_id AS k FROM pages
+UNION ALL SELECT page_id % 25, 'baidu', 1, page_id, concat(url, '&utm_source=b'), concat('The page ', page_id % 1000), substr(html, 1, 90), CASE WHEN page_id % 2 = 0 THEN concat('b', page_id) ELSE '' END, -page_id FROM pages
+UNION ALL SELECT page_id % 25, 'google', 2, page_id, replace(url, '://', '://www.'), '', '', concat('g', page_id), length(html) FROM pages)"""
 
 
 def _raw_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pages(spark, sf_dir)
     each = [
-        p.where("page_id % 3 < 2").select("page_id", F.lit("bing").alias("engine"), F.lit(0).alias("e"), "url", F.concat(F.lit("Page "), "page_id").alias("title"), F.substring("html", 1, 40).alias("snippet"), C("page_id").alias("k")),
-        p.where("page_id % 4 < 3").select("page_id", F.lit("baidu").alias("engine"), F.lit(1).alias("e"), F.concat("url", F.lit("&utm_source=b")).alias("url"), F.concat(F.lit("The page "), C("page_id") % 1000).alias("title"), F.substring("html", 1, 90).alias("snippet"), (-C("page_id")).alias("k")),
-        p.where("page_id % 5 < 3").select("page_id", F.lit("google").alias("engine"), F.lit(2).alias("e"), F.replace("url", F.lit("://"), F.lit("://www.")).alias("url"), F.lit("").alias("title"), F.lit("").alias("snippet"), F.length("html").cast("long").alias("k")),
+        p.select("page_id", F.lit("bing").alias("engine"), F.lit(0).alias("e"), "url", F.concat(F.lit("Page "), "page_id").alias("title"), F.substring("html", 1, 40).alias("snippet"), F.lit("").alias("image"), C("page_id").alias("k")),
+        p.select("page_id", F.lit("baidu").alias("engine"), F.lit(1).alias("e"), F.concat("url", F.lit("&utm_source=b")).alias("url"), F.concat(F.lit("The page "), C("page_id") % 1000).alias("title"), F.substring("html", 1, 90).alias("snippet"), F.when(C("page_id") % 2 == 0, F.concat(F.lit("b"), C("page_id").cast("string"))).otherwise("").alias("image"), (-C("page_id")).alias("k")),
+        p.select("page_id", F.lit("google").alias("engine"), F.lit(2).alias("e"), F.replace("url", F.lit("://"), F.lit("://www.")).alias("url"), F.lit("").alias("title"), F.lit("").alias("snippet"), F.concat(F.lit("g"), C("page_id").cast("string")).alias("image"), F.length("html").cast("long").alias("k")),
     ]
     rows = each[0].unionByName(each[1]).unionByName(each[2]).withColumn("search", C("page_id") % 25)
     scored = search.position_scores(rows, ["search", "engine"], ["k", "page_id"])
-    return scored.select("search", "engine", "url", "title", "snippet", (C("e").cast("long") * 1000000000 + C("pos")).alias("seq"), "score")
+    return scored.select("search", "engine", "url", "title", "snippet", "image", (C("e").cast("long") * 1000000000 + C("pos")).alias("seq"), "score")
 
 
 _MERGED = f"""m AS (SELECT search, norm_url, arg_max(title, strlen(title) * 10000000000 - seq) AS title, arg_max(url, strlen(title) * 10000000000 - seq) AS u, arg_max(snippet, strlen(snippet) * 10000000000 - seq) AS snippet,
-sum(score)::DOUBLE AS score, count(*) AS n_results, string_agg(DISTINCT engine, ',' ORDER BY engine) AS engines FROM ({_NORM} ({_RAW}))) GROUP BY search, norm_url),
+sum(score)::DOUBLE AS score, count(*) AS n_results, concat_ws(',', CASE WHEN bool_or(engine = 'bing') THEN 'bing' END, CASE WHEN bool_or(engine = 'baidu') THEN 'baidu' END, CASE WHEN bool_or(engine = 'google') THEN 'google' END) AS engines, arg_min(image, seq) FILTER (image <> '') AS image FROM ({_NORM} ({_RAW}))) GROUP BY search, norm_url),
 top AS (SELECT *, CASE WHEN title = '' THEN '' ELSE u END AS url, row_number() OVER (PARTITION BY search ORDER BY score DESC, norm_url) AS rank FROM m QUALIFY rank <= 10)"""
 
 
@@ -308,18 +308,18 @@ def search_union_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _raw_results(spark, sf_dir).groupBy("search").agg(F.count("*").alias("number_of_results"))
 
 
-@query(f"WITH {_MERGED} SELECT search, rank, norm_url, title, url, snippet, score, n_results, engines FROM top")
+@query(f"WITH {_MERGED} SELECT search, rank, norm_url, title, url, snippet, image, score, n_results, engines FROM top")
 def search_merge_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = search.merge_results(_raw_results(spark, sf_dir), ["search"])
-    return out.select("search", "rank", "norm_url", "title", "url", "snippet", "score", "n_results", F.array_join("engines", ",").alias("engines"))
+    return out.select("search", "rank", "norm_url", "title", "url", "snippet", "image", "score", "n_results", F.array_join("engines", ",").alias("engines"))
 
 
-@query(f"""WITH {_MERGED} SELECT search, rank, top.url, substr(text, 1, 300) AS content, coalesce(length(text) > 300, false) AS content_truncated, CASE WHEN rank <= 3 AND p.url IS NULL THEN 'not captured' END AS fetch_error
+@query(f"""WITH {_MERGED} SELECT search, rank, top.url, substr(text, 1, 4000) AS content, coalesce(length(text) > 4000, false) AS content_truncated, CASE WHEN rank <= 3 AND p.url IS NULL THEN 'not captured' END AS fetch_error
 FROM top LEFT JOIN (SELECT url, {_tags(_no_content('html'))} AS text FROM pages) p ON rank <= 3 AND top.url = p.url""")
 def search_fetch_top_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = search.merge_results(_raw_results(spark, sf_dir), ["search"])
     content = _pages(spark, sf_dir).select("url", text.visible_text(C("html")).alias("text"))
-    return search.fetch_top(ranked, content, 3, 300).select("search", "rank", "url", "content", "content_truncated", "fetch_error")
+    return search.fetch_top(ranked, content, 3, 4000).select("search", "rank", "url", "content", "content_truncated", "fetch_error")
 
 
 @query("SELECT page_id, i AS pos, (3 - i)::DOUBLE AS score, 'T' || i AS title, url || '/' || i AS url FROM pages, (SELECT unnest([0, 1, 2]) AS i)")

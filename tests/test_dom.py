@@ -1,6 +1,7 @@
 import pytest
 
-from tessella.functions.htmltree import Tree, markdown, serialize
+from tessella.functions.htmltree import Tree, serialize
+from tessella.functions.selectors import Page, Selector
 from tessella.operators import dom
 
 
@@ -12,6 +13,8 @@ def html_of(source):
     ("<p>one<p>two", "<p>one</p><p>two</p>"), ("<p><b>x<br><p>y</p>", "<p><b>x<br></b></p><p><b>y</b></p>"), ("<ul><li>a<li>b<ul><li>c</ul></ul>", "<ul><li>a</li><li>b<ul><li>c</li></ul></li></ul>"),
     ("<table><tr><td>1<td>2<tr><td>3</table>", "<table><tbody><tr><td>1</td><td>2</td></tr><tr><td>3</td></tr></tbody></table>"), ("a &amp; b &lt; c", "a &amp; b &lt; c"),
     ('<div id="x" ID="y" title=\'"q"&amp;\'>t</div>', '<div id="x" title="&quot;q&quot;&amp;">t</div>'), ("<dl><dt>a<dd>b<dt>c</dl>", "<dl><dt>a</dt><dd>b</dd><dt>c</dt></dl>"), ("x</p>y", "x<p></p>y"),
+    ("<table><td>c</table>", "<table><tbody><tr><td>c</td></tr></tbody></table>"), ("<table>x<tr><b>y</b><td>1</table>z", "x<b>y</b><table><tbody><tr><td>1</td></tr></tbody></table>z"), ("<table><p>a<tr><td>b<p>c</table>", "<p>a</p><table><tbody><tr><td>b<p>c</p></td></tr></tbody></table>"),
+    ("<table><input type=hidden><caption>k</caption><td><table><td>in</table></table>", '<table><input type="hidden"><caption>k</caption><tbody><tr><td><table><tbody><tr><td>in</td></tr></tbody></table></td></tr></tbody></table>'), ("<p>" + "<b>" * 5 + "x<p>y", "<p>" + "<b>" * 5 + "x" + "</b>" * 5 + "</p><p><b><b><b>y</b></b></b></p>"),
     ("<select><option>1<option>2</select>", "<select><option>1</option><option>2</option></select>"), ("<!-- a > b -->", None), ("<a href=1>x<a href=2>y", '<a href="1">x</a><a href="2">y</a>'),
 ])
 def test_tree_construction(source, body):
@@ -33,10 +36,71 @@ def test_deep_nesting_and_intervals():
         assert r[2] == len(rows) - 1 or r[7] == "head"
 
 
-def test_markdown():
-    source = "<h1>T</h1><p>a <b>b</b> <a href='/x'>l</a></p><ul><li>1<li>2</ul><ol><li>z</ol><script>no</script><table><tr><td>a<td>b</table><p><img src=s alt=t>"
-    rows = [(r[3], r[6], r[7], r[8], r[9]) for r in Tree(source).rows() if r[6] != 9]
-    assert markdown(rows) == "# T\n\na **b** [l](/x)\n\n- 1\n- 2\n\n1. z\n\n| a | b |\n\n![t](s)"
+@pytest.mark.parametrize(("source", "want"), [
+    ("<h1> A </h1>x", "# A\n\nx"), ("<h6>A</h6>", "###### A"), ("<p> a </p><p>b", "a\n\nb"), ("a<br>b", "a\nb"), ("a<hr>b", "a\n---\n\nb"), ("<b> x </b><strong>y</strong>", "** x ****y**"), ("<i>x</i><em>y</em>", "*x**y*"), ("<code>c</code>", "`c`"),
+    ("<pre>p\n q</pre>z", "```\np\n q\n```\n\nz"), ("<blockquote>a<br>b</blockquote>c", "> a\n> b\n\nc"), ("<a>x</a>", "x"), ("<a href=/y> x </a>", "[x](/y)"), ("<a href=/y> </a>z", "z"), ("<img src=s alt=t>", "![t](s)"), ("<img>", "![]()"),
+    ("<ul><li> a<li>b</ul>", "- a\n- b"), ("<ol><li>z</ol>", "1. z"), ("<li>lone", "- lone"), ("<table><tr><th> h <td>d</table>", "| h | d |"), ("<table><tr> <td><b>x</b> </table>y", "| **x** |\n\ny"), ("<div>a</div><section>b</section>", "a\nb"),
+    ("a<script>s</script><style>t</style><noscript>n</noscript>b", "ab"), ("<span>s</span><u>u</u>", "su"), ("<div><div><div><div>deep", "deep"), ("<template><p>no</p></template>x", "x"), ("", ""), (None, ""),
+])
+def test_markdown(source, want):
+    page = Page(source)
+    assert page.markdown(next(page.find(Selector("body")), 0)) == want
+
+
+def found(source, selector, within=0):
+    page = Page(source)
+    return [page.html(i) for i in page.find(Selector(selector), within)]
+
+
+LIST = '<ul class="list"><li class="item active">1</li><li class="item">2</li><li class="item active" lang=en-GB>3</li></ul>'
+
+
+@pytest.mark.parametrize(("source", "selector", "n"), [
+    ("<h1>T</h1><p>x", "h1", 1), ('<div class="foo bar">c</div><div class=baz>o</div>', ".foo", 1), ("<div id=main>c</div>", "#main", 1), (LIST, "li", 3), ("<div id=outer><div id=inner><span>t</span></div></div>", "#outer span", 1),
+    ("<input type=text><input type=password>", 'input[type="password"]', 1), ("<div>h</div>", "span", 0), (LIST, ".list .item.active", 2), (LIST, "li:first-child, li:last-child", 2), (LIST, "LI:nth-child(odd)", 2), (LIST, "li:nth-child( 2n + 1 )", 2),
+    (LIST, "li:nth-child(-n+2)", 2), (LIST, "li:nth-last-child(1)", 1), (LIST, "li:not(.active)", 1), (LIST, "li:not(.active, [lang])", 1), (LIST, "li ~ li", 2), (LIST, "li + li", 2), (LIST, "ul>li", 3), (LIST, "[lang|=en]", 1), (LIST, "[class~=active]", 2),
+    (LIST, "[lang='EN-gb' i]", 1), (LIST, "[lang='EN-gb']", 0), (LIST, "[class^='']", 0), (":root", ":root", 1), (LIST, ":root > body > *", 1), ("<p></p><p> </p><p><!-- c --></p>", "p:empty", 2), ("<p>1<b>2</b><p>3", "p:only-child", 0), ("<p>1<b>2</b><p>3", "b:only-of-type", 1),
+    ("<p>1<div>2</div><p>3", "p:last-of-type", 1), (LIST, ":is(ul, li.active)", 3), (LIST, "li:hover", 0), ("<a href=x>1</a><a>2</a>", "a:link", 1), ("<template><p>x</p></template>", "p", 0), ("<p id='a.b'>x", r"#a\.b", 1),
+    ("<form><input name=a><input disabled><input type=checkbox checked><button>g</button><select><option selected>x<option>y</select></form>", "input:enabled", 2),
+    ("<form><input name=a><input disabled><input type=checkbox checked><button>g</button><select><option selected>x<option>y</select></form>", ":checked", 2), ("<div>plain</div>", "div:enabled", 0),
+])
+def test_selector_strings(source, selector, n):
+    assert len(found(source, selector)) == n
+
+
+def test_selectors_keep_to_a_subtree_and_to_case():
+    page = Page('<div id=a class=x><span class=x>in a</span></div><div id=b><span class=x>in b</span></div>')
+    a = next(page.find(Selector("#a")))
+    assert [page.text(i) for i in page.find(Selector(".x"), a)] == ["in a"]
+    assert len(found("<div class=Foo id=Main>x</div>", ".foo")) == len(found("<div class=Foo id=Main>x</div>", "#main")) == 1
+    assert not found("<!DOCTYPE html><div class=Foo id=Main>x</div>", ".foo, #main")
+    for bad in ("p:nonsense", "p >", "> p", "[a", "p::before", "", "a,,b", ":nth-child(x)", "p*", ":not(", "p:has(a)"):
+        with pytest.raises(ValueError):
+            Selector(bad)
+
+
+def test_pages_answer_in_one_pass(spark):
+    source = "<title> T&amp;x </title><nav><p>1<p class=a title=t>2<em>e</em></nav><table><td>c</table>"
+    pages = spark.createDataFrame([(1, "u1", source), (2, "u2", None), (None, None, "<p>n")], "page_id long, count string, html string")
+    asks = {"n": ("count", "p"), "t": ("text", "nav", ("em",)), "all": ("texts", "p"), "at": ("attr", "p.a", "title"), "h": ("html", "em"), "i": ("inner", "nav p.a"), "m": ("markdown", "table"), "c": ("closest", "em", "p")}
+    got = {r.page_id: r for r in dom.project(pages, "page_id", "html", asks, ["count"]).collect()}
+    r = got[1]
+    assert (r["count"], r.n, r.t, r.all, r.at, r.h, r.i, r.m, r.c) == ("u1", 2, "12", ["1", "2e"], "t", "<em>e</em>", "2<em>e</em>", "| c |", '<p class="a" title="t">2<em>e</em></p>')
+    assert (got[2].n, got[2].t, got[2].all, got[None].n) == (0, None, [], 1)
+    assert [(x.page_id, x.idx, x.tag, x.text) for x in dom.select(pages, "page_id", "html", "p").where("page_id = 1").collect()] == [(1, 0, "p", "1"), (1, 1, "p", "2e")]
+    assert dom.project(pages.limit(0), "page_id", "html", asks).count() == 0
+    assert [r.rendered_title for r in dom.rendered_titles(pages, "page_id").orderBy("page_id").collect()] == [None, "T&x", None]
+    og = spark.createDataFrame([(1, "<meta property='og:title' content=O>"), (2, "<title>D</title><h1> </h1>"), (3, "<title>D</title><p id=activity-name> A </p>")], "page_id long, html string")
+    assert [r.rendered_title for r in dom.rendered_titles(og, "page_id").orderBy("page_id").collect()] == ["O", "D", "A"]
+    assert [r.challenge for r in dom.challenge_pages(og.withColumn("html", dom.F.concat(dom.F.lit("<iframe src='//challenges.cloudflare.com'></iframe>"), "html")), "page_id").collect()] == [True] * 3
+
+
+def test_fragments(spark):
+    parts = spark.createDataFrame([(1, "<td>1<td>2"), (2, "x<p>y"), (3, None)], "i int, h string")
+    get = lambda context: {r.i: r.html for r in dom.fragments(parts, "i", "h", context).collect()}
+    assert get("tr")[1] == "<td>1</td><td>2</td>"
+    assert (get("div")[2], get("body")[2], get("div")[3]) == ("x<p>y</p>", "x<p>y</p>", "")
+    assert get("div")[1] == "12"
 
 
 def test_selectors(spark):
@@ -87,6 +151,6 @@ def test_state_and_forms(spark):
     pages = spark.createDataFrame([(1, "http://u", source)], "page_id long, url string, html string")
     nodes = dom.parse_dom(pages, "page_id", "html")
     assert [(r.action, r.query) for r in dom.form_query(nodes, "page_id").collect()] == [("/go", "a=x+y&r=2&s=v2&t=m%26n")]
-    lines = dom.page_state(nodes, pages, "page_id").first().state.split("\n")
+    lines = dom.page_state(pages, "page_id").first().state.split("\n")
     assert lines[:4] == ["url=http://u", "title=T", "", '[0] <input name="a" value="x y" />']
     assert lines[-2] == f'[6] <a class="{"c" * 50}…" href="/h">{"w" * 80}…</a>'

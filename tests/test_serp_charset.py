@@ -13,12 +13,29 @@ def rows(spark, parser, html):
 def test_pages_of_rows(spark):
     page = '<ol id="b_results"><li class="b_algo"><h2><a href="https://www.bing.com/ck/a?u=a1aHR0cHM6Ly9leGFtcGxlLmNvbS8">One &amp; only</a></h2><p> said </p></li><li class="b_algo"><p>no link</p></li><li class="b_algo"><h2><a href="https://x.example/">Two</a></h2></li></ol>'
     assert rows(spark, serp.bing, page) == [("bing", 0, 3.0, "One & only", "https://example.com/", "said"), ("bing", 2, 1.0, "Two", "https://x.example/", "")]
-    page = '<div class="vrwrap"><p>skipped</p></div><div class="vrwrap"><h3 class="vr-title"><a href="/link?url=x">T</a></h3><div class="ft">S</div></div>'
-    assert rows(spark, serp.sogou, page) == [("sogou", 0, 1.0, "T", "https://www.sogou.com/link?url=x", "S")]
-    page = '<div class="g"><a href="/url?q=https://e.com/&amp;sa=U"><h3>G</h3></a><span class="st">sn</span></div>'
-    assert rows(spark, serp.google, page) == [("google", 0, 1.0, "G", "https://e.com/", "sn")]
-    page = '<ul><li id="sogou_vr_1"><h3><a href="/link">W</a></h3><p class="txt-info">i</p></li></ul>'
-    assert rows(spark, serp.sogou_wechat, page) == [("sogou_wechat", 0, 1.0, "W", "https://weixin.sogou.com/link", "i")]
+    page = '<li class="b_algo"><h2><a href="/x">outside</a></h2></li><ol id="b_results"><li class="b_algo"><a href="/icon">i</a><h2><a href="https://y.example/">Y</a></h2></li></ol>'
+    assert rows(spark, serp.bing, page) == [("bing", 0, 1.0, "Y", "https://y.example/", "")]
+    rich = '<div class="vrwrap"><p>skipped</p></div><div class="vrwrap"><a href="/i">i</a><h3 class="vr-title"><a href="/link?url=x">T</a></h3><div class="ft">no</div><p> S </p></div>'
+    page = rich + '<div class="rb"><h3 class="pt"><a href="/link?url=y">P</a></h3><i data-url="https://real.example/"></i><div class="ft"> f </div></div>'
+    assert rows(spark, serp.sogou, page) == [("sogou", 0, 2.0, "P", "https://real.example/", " f "), ("sogou", 1, 1.0, "T", "https://www.sogou.com/link?url=x", "S")]
+    block = '<div class="g"><a href="https://www.google.com/own">o</a><a href="/url?q=https://e.com/&amp;sa=U"><h3>G</h3></a><span class="aCOSRe">sn</span></div>'
+    assert rows(spark, serp.google, block) == [("google", 0, 1.0, "G", "https://e.com/", "sn")]
+    links = '<a data-ved=1 class=c href="https://n.example/"><h3>n</h3></a><a data-ved=2 href="/url?q=https://f.com/a%3Fb&amp;sa=U"><div style=x> D </div><div class=VwiC3b>s</div></a><a data-ved=3 href=/search?q=x><h3>x</h3></a><a data-ved=4 href=https://h.com/><h3>H</h3></a>'
+    assert rows(spark, serp.google, links + block) == [("google", 0, 2.0, "D", "https://f.com/a?b", "s"), ("google", 1, 1.0, "H", "https://h.com/", "")]
+    page = '<ul><li id="sogou_vr_1"><a href="/icon">i</a><h3><a href="/link?url=z"> W </a></h3><p class="txt-info">i</p></li></ul>'
+    assert rows(spark, serp.sogou_wechat, page) == [("sogou_wechat", 0, 1.0, "W", "https://weixin.sogou.com/link?url=z", "i")]
+
+
+def test_addresses_of_articles_and_searches(spark):
+    cases = [
+        ("x\n url += 'https://mp.weixin.';\n  url += \"qq.com/s\";\n", "https://mp.weixin.qq.com/s"), ('<meta content="0;url=https://mp.weixin.qq.com/r; x">', "https://mp.weixin.qq.com/r"),
+        ("<script>location.href='https://mp.weixin.qq.com/l'</script>", "https://mp.weixin.qq.com/l"), ('http://a.example "http://weixin.qq.com/w<', "http://weixin.qq.com/w"), ("nothing", None), (None, None),
+    ]
+    frame = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "i int, h string").coalesce(1)
+    assert [r[0] for r in frame.orderBy("i").select(serp.wechat_url(F.col("h"))).collect()] == [w for _, w in cases]
+    got = spark.range(1).select(*(serp.search_url(e, F.lit("a b*é"), F.lit(2), F.lit("en-GB")).alias(e) for e in serp.ENGINES)).first()
+    assert got.google == "https://www.google.com/search?q=a%20b%2A%C3%A9&num=10&start=10&hl=en-US&lr=lang_en&cr=countryEN&ie=utf8&oe=utf8&filter=0"
+    assert "first=36&" in got.bing_images and "page=2&" in got.sogou and "pn=10&" in got.baidu
 
 
 def test_pages_of_json(spark):

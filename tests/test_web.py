@@ -77,7 +77,7 @@ def test_more_policies(spark):
 def test_merge_sums_scores_and_takes_the_longest_title(spark):
     raw = spark.createDataFrame([(1, 0, "bing", "Foo", "https://example.com/a", "s", 5.0), (1, 1, "baidu", "Foo Bar", "https://www.example.com/a/", "s", 3.0), (1, 2, "baidu", "", "https://x.example/", "", 1.0)], "q int, seq long, engine string, title string, url string, snippet string, score double")
     rows = search.merge_results(raw, ["q"]).orderBy("rank").collect()
-    assert [(r.title, r.url, r.score, r.engines) for r in rows] == [("Foo Bar", "https://www.example.com/a/", 8.0, ["baidu", "bing"]), ("", "", 1.0, ["baidu"])]
+    assert [(r.title, r.url, r.score, r.engines) for r in rows] == [("Foo Bar", "https://www.example.com/a/", 8.0, ["bing", "baidu"]), ("", "", 1.0, ["baidu"])]
 
 
 def test_cookies(spark):
@@ -133,3 +133,45 @@ def test_streams_match_batch(spark, tmp_path):
     got = {(r.k, r.s, r.outcome, r.captcha_count) for r in rows_of(streams.suspension_stream(stream(), "k", "s", "bad"), "suspended")}
     assert got == {(r.k, r.s, r.outcome, r.captcha_count) for r in state.suspensions(batch, "k", "s", "bad", ["s"]).collect()}
     assert len(rows_of(streams.first_within(stream(), ["k"], "ts"), "firsts")) == 2
+
+
+def test_urls_come_apart_and_together(spark):
+    from tessella.functions import urls
+
+    rows = spark.createDataFrame([("HTTP://U:s@Ex.com:8080/a/b?q=1#f",), ("https://ex.com:443",), ("ftp://x",), ("https://[::1]:81/x",)], "u string").coalesce(1)
+    got = [r.c for r in rows.select(urls.components(F.col("u")).alias("c")).collect()]
+    assert tuple(got[0]) == ("http://U:s@ex.com:8080/a/b?q=1#f", "http:", "U", "s", "ex.com:8080", "ex.com", "8080", "/a/b", "?q=1", "#f", "http://ex.com:8080")
+    assert tuple(got[1]) == ("https://ex.com/", "https:", "", "", "ex.com", "ex.com", "", "/", "", "", "https://ex.com")
+    assert got[2] is None and (got[3].hostname, got[3].port) == ("[::1]", "81")
+    put = lambda url, name, value: spark.range(1).select(urls.with_component(F.lit(url), name, F.lit(value))).first()[0]
+    url = "http://u@ex.com:8080/a?q=1#f"
+    want = {("protocol", "https"): "https://u@ex.com:8080/a?q=1#f", ("port", "80"): "http://u@ex.com/a?q=1#f", ("port", ""): "http://u@ex.com/a?q=1#f", ("hash", ""): "http://u@ex.com:8080/a?q=1", ("search", "?z"): "http://u@ex.com:8080/a?z#f",
+            ("pathname", "n"): "http://u@ex.com:8080/n?q=1#f", ("hostname", "y.z"): "http://u@y.z:8080/a?q=1#f", ("host", "y:9"): "http://u@y:9/a?q=1#f", ("username", ""): "http://ex.com:8080/a?q=1#f", ("href", "https://new/"): "https://new/", ("href", "no"): url, ("protocol", "ftp"): url}
+    assert {k: put(url, *k) for k in want} == want
+
+
+def test_local_addresses_in_urls(spark):
+    urls_ = ["http://[::1]/", "http://[fe80::1]/", "http://[::ffff:7f00:1]/", "http://[::ffff:192.0.2.1]:8/", "http://[2001:db8::1]/", "http://[::]/", "http://[0:0:0:0:0:0:0:1]/", "http://[fd00::2]/x", "http://[::ffff:8.8.8.8]/", "http://10.0.0.1/", "http://ex.com/"]
+    rows = spark.createDataFrame([(u,) for u in urls_], "u string").coalesce(1)
+    assert [r[0] for r in rows.select(policy.url_forbidden(F.col("u"))).collect()] == [True, True, True, True, False, True, True, True, False, True, False]
+
+
+def test_jar_operations(spark):
+    log = spark.createDataFrame([(1, "a=1; HttpOnly", "ex.com", "/", 100), (2, "b=2; Domain=ex.com; Path=/p", "www.ex.com", "/", 100)], "seq long, h string, host string, path string, now long")
+    parsed = cookies.set_by_script(cookies.parse_set_cookie(log, "h", F.col("host"), "path", "now"))
+    jar = cookies.jar_state(parsed, "seq", "now")
+    assert {(r.name, r.http_only) for r in jar.collect()} == {("a", False), ("b", False)}
+    loaded = spark.createDataFrame([(1, "ex.com", "a", "9", "/", True, True, "", 0), (2, "ex.com", "c", "3", "/", False, False, "None", 50)], "seq long, domain string, name string, value string, path string, secure boolean, http_only boolean, same_site string, expires long")
+    after = cookies.bulk_load(jar, loaded, "seq")
+    assert {(r.name, r.value, r.same_site, r.expires, r.host_only) for r in after.collect()} == {("a", "9", "Lax", None, False), ("b", "2", "Lax", None, False), ("c", "3", "None", 50, False)}
+    names = lambda d: {r.name for r in d.collect()}
+    assert names(cookies.delete_cookies(after, "a")) == {"b", "c"} and names(cookies.delete_cookies(after, "b", ".ex.com")) == {"a", "c"}
+    assert names(cookies.delete_cookies(after, "b", "ex.com", "/")) == {"a", "b", "c"} and names(cookies.delete_cookies(after, "b", "other.com")) == {"a", "b", "c"}
+    scoped = spark.range(1).select(cookies.scoped(F.lit("a=1"), F.lit("h")), cookies.scoped(F.lit("a=1; Domain=x"), F.lit("h"))).first()
+    assert tuple(scoped) == ("a=1; Domain=h; Path=/", "a=1; Domain=x")
+
+
+def test_merge_keeps_the_first_of_optional_fields(spark):
+    raw = spark.createDataFrame([("q", 3, "b", "t", "http://u/", "s", 1.0, "i3"), ("q", 1, "z", "t", "http://u/", "s", 1.0, ""), ("q", 2, "z", "longer", "http://u", "", 1.0, "i2")], "q string, seq long, engine string, title string, url string, snippet string, score double, image string")
+    r = search.merge_results(raw, ["q"]).first()
+    assert (r.engines, r.image, r.title, r.url, r.snippet, r.score, r.n_results) == (["z", "b"], "i2", "longer", "http://u", "s", 3.0, 3)
