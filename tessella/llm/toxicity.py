@@ -6,8 +6,8 @@ likelihood ratio test finds that significant. Words and sequences of fewer than
 vector. The network runs over overlapping windows of WINDOW words that start every STRIDE words; a document's score is
 that of its most toxic window.
 
-Training takes at most SAMPLE documents of each label, drawn by a hash of their ids, as a parameter; it runs on the
-driver over that bounded sample. Texts of one label with the same words count once. As labels mark whole documents,
+Training takes at most SAMPLE documents of each label, drawn by a hash of their ids, as a parameter; it is one task
+over that bounded sample, so the driver holds only the finished model. Texts of one label with the same words count once. As labels mark whole documents,
 training picks the windows to learn from in rounds: the highest-scoring one of a toxic document, the highest ones and
 others of a clean document.
 
@@ -19,10 +19,12 @@ toxic. A kept column named like the score gives way to it.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import pickle
+from collections.abc import Callable, Iterable, Iterator
 from hashlib import blake2b
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,6 +136,15 @@ class Network:
         row, gram, of, evidence = parts
         return np.concatenate([evidence, self.p["word"][row], _mean(of, self.p["gram"][gram], len(row))], axis=1)
 
+    def gates(self, parts: tuple, at_once: int = 20_000) -> dict[str, np.ndarray]:
+        """project(inputs) of words in order, some at a time."""
+        row, gram, of, evidence = parts
+        out = []
+        for i in range(0, len(row), at_once):
+            a, b = np.searchsorted(of, (i, i + at_once))
+            out.append(self.project(self.inputs((row[i : i + at_once], gram[a:b], of[a:b] - i, evidence[i : i + at_once]))))
+        return {d: np.concatenate([x[d] for x in out]) for d in "fb"}
+
     def project(self, x: np.ndarray) -> dict[str, np.ndarray]:
         """What each word adds to the gates of either direction."""
         return {d: x @ self.p[f"w{d}"] + self.p[f"b{d}"] for d in "fb"}
@@ -239,9 +250,13 @@ def fit(rows: Iterable[tuple[str | None, int]], rounds: int = 3, steps: int = 15
     if len(set(labels)) < 2:
         return None
     lexicon = Lexicon(docs, label, vocab, evidence)
-    row, gram, of, known = lexicon.parts([*vocab, b""])
-    order = np.argsort(of, kind="stable")
-    parts = row, gram[order], of[order], known
+    parts, every = [], [*vocab, b""]
+    for i in range(0, len(every), 20_000):
+        row, gram, of, known = lexicon.parts(every[i : i + 20_000])
+        order = np.argsort(of, kind="stable")
+        parts.append((row.astype(np.int32), gram[order].astype(np.int32), (of[order] + i).astype(np.int32), known))
+    parts = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    known = parts[3]
     ats, reals, doc = [], [], []
     for k, words in enumerate(docs):
         at, real = _windows(len(words))
@@ -260,7 +275,7 @@ def fit(rows: Iterable[tuple[str | None, int]], rounds: int = 3, steps: int = 15
         toxic = label[doc] > 0
         pick = np.flatnonzero(np.where(toxic, rank < 1 if evidence else rank < 4, (rank < 2) | (draw.random(len(doc)) < 0.02)))
         net.train(parts, at[pick], real[pick], label[doc[pick]], steps, draw)
-        gates = net.project(net.inputs(parts))
+        gates = net.gates(parts)
         score = np.concatenate([net.forward(gates, at[i : i + 8192], real[i : i + 8192]) for i in range(0, len(at), 8192)])
     top = np.full(len(docs), -np.inf)
     np.maximum.at(top, doc, score)
@@ -284,15 +299,13 @@ def _scorer(model: tuple[Lexicon, dict] | None, name: str) -> Callable:
             gates = net.project(net.inputs(lexicon.parts(words)))
             return np.concatenate([gates["f"], gates["b"]], axis=1)
 
-        table, none = WordRows(make), make([b""])
-        wide = 3 * HIDDEN
+        table, wide = WordRows(make, 60_000), 3 * HIDDEN
 
         def work(batch: list[bytes]) -> dict:
-            where = table.indexes([words_of(t) for t in batch])
-            rows = np.concatenate([table.rows, none])
-            gates = {"f": np.ascontiguousarray(rows[:, :wide]), "b": np.ascontiguousarray(rows[:, wide:])}
+            *where, blank = table.indexes([*(words_of(t) for t in batch), [b""]])
+            gates = {"f": table.rows[:, :wide], "b": table.rows[:, wide:]}
             spans = [_windows(len(w)) for w in where]
-            at = np.concatenate([w[s] if len(w) else np.full_like(s, len(rows) - 1) for w, (s, _) in zip(where, spans, strict=True)])
+            at = np.concatenate([w[s] if len(w) else np.full_like(s, blank[0]) for w, (s, _) in zip(where, spans, strict=True)])
             real = np.concatenate([r for _, r in spans])
             logits = np.concatenate([net.forward(gates, at[i : i + 4096], real[i : i + 4096]) for i in range(0, len(at), 4096)])
             first = np.cumsum([0, *(len(s) for s, _ in spans[:-1])])
@@ -307,10 +320,17 @@ def _scorer(model: tuple[Lexicon, dict] | None, name: str) -> Callable:
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> tuple | None:
     """Fits on at most sample documents of each label among the usable rows of labels."""
     drawn = bounded_sample(labels.where(usable).where(F.col(label_col).isin(0, 1)), id_col, label_col, sample)
-    held = docs.select(F.col(id_col), F.col(text_col).alias("__text")).join(F.broadcast(drawn), id_col)
-    rows = held.groupBy(id_col, label_col).agg(F.min("__text")).collect()  # one text of an id, however often it repeats
-    rows.sort(key=lambda r: (r[0], r[1]), reverse=True)
-    return fit((r[2], r[1]) for r in (rows.pop() for _ in range(len(rows))))
+    held = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(drawn.toDF("__id", "__label")), "__id")
+    rows = held.groupBy("__id", "__label").agg(F.min("__text").alias("__text"))  # one text of an id, however often it repeats
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        model = fit((t, y) for b in parts for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    one = rows.repartition(1).sortWithinPartitions("__id", "__label").select("__text", F.col("__label").cast("int"))
+    made = one.mapInArrow(train, "model binary").collect()
+    return pickle.loads(made[0][0]) if made else None
 
 
 def score_toxicity(docs: DataFrame, model: tuple | None, text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
