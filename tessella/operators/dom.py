@@ -230,6 +230,27 @@ def text_of(nodes: DataFrame, wanted: DataFrame, doc: str, drop: tuple[str, ...]
     return rows.groupBy(doc, "node_id").agg(F.array_join(F.transform(parts, lambda x: x["__text"]), "").alias("text_content"))
 
 
+def steps(nodes: DataFrame, doc: str) -> DataFrame:
+    """nodes with next_id and previous_id in document order and after_id, the first node behind a node's subtree; null at the ends."""
+    w = Window.partitionBy(doc).orderBy("node_id")
+    last = F.max("node_id").over(Window.partitionBy(doc))
+    behind = F.col("subtree_end") + 1
+    return nodes.withColumns({"next_id": F.lead("node_id").over(w), "previous_id": F.lag("node_id").over(w), "after_id": F.when(behind <= last, behind)})
+
+
+def walk(nodes: DataFrame, doc: str, shown: Column, rejected: Column | None = None) -> DataFrame:
+    """The nodes that a tree walker shows in document order, numbered; what it rejects takes its subtree with it."""
+    left = nodes if rejected is None else drop_subtrees(nodes, nodes.where(rejected), doc)
+    return left.where(shown).withColumn("step", F.row_number().over(Window.partitionBy(doc).orderBy("node_id")) - 1)
+
+
+def with_attribute(nodes: DataFrame, where: Column, name: str, value: Column | None) -> DataFrame:
+    """nodes with an attribute set where a condition holds; a null value removes it."""
+    kept = F.map_filter("attrs", lambda k, v: k != name)
+    new = kept if value is None else F.map_concat(kept, F.create_map(F.lit(name), value))
+    return nodes.withColumn("attrs", F.when(where & (F.col("node_type") == 1), new).otherwise(F.col("attrs")))
+
+
 def drop_subtrees(nodes: DataFrame, roots: DataFrame, doc: str) -> DataFrame:
     """nodes without the given ones and what is in them."""
     r = roots.select(F.col(doc).alias("__doc"), F.col("node_id").alias("__from"), F.col("subtree_end").alias("__to"))

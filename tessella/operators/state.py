@@ -83,6 +83,37 @@ def cache_hits(requests: DataFrame, key: str, second: str, order: list[str], ttl
     return by_key_in_order(requests, key, order, step, [second], "hit boolean")
 
 
+def bounded_cache(requests: DataFrame, cache: str, key: str, second: str, order: list[str], ttl: int = TTL, most: int = 256) -> DataFrame:
+    """requests with hit for caches that hold at most `most` keys: a full one drops what has expired, else its oldest key."""
+
+    def step(state: dict, values: tuple) -> tuple[bool]:
+        name, at = values
+        if name in state and at - state[name] < ttl:
+            return (True,)
+        state.pop(name, None)
+        if len(state) >= most:
+            for old in [k for k, since in state.items() if at - since >= ttl]:
+                del state[old]
+            if len(state) >= most:
+                del state[min(state, key=lambda k: state[k])]
+        state[name] = at
+        return (False,)
+
+    return by_key_in_order(requests, cache, order, step, [key, second], "hit boolean")
+
+
+def last_writes(rows: DataFrame, session: str, key: str, seq: str, value: str) -> DataFrame:
+    """(session, key, value): the last value that each session wrote to each key; one shuffle with partial aggregates."""
+    return rows.groupBy(session, key).agg(F.max_by(value, seq).alias(value))
+
+
+def idle_reached(requests: DataFrame, key: str, start_ms: str, end_ms: str, quiet: int = 500, most: int = 0, cap: int = 5000) -> DataFrame:
+    """(key, idle_at): when a load counts as idle: after its first quiet gap, at the latest `cap` milliseconds after its first request."""
+    first = requests.groupBy(key).agg(F.min(start_ms).alias("__first"))
+    gap = idle_gaps(requests, key, start_ms, end_ms, quiet, most).groupBy(key).agg(F.min("idle_from").alias("__from"))
+    return first.join(gap, key, "left").select(key, F.least(F.col("__from") + quiet, F.col("__first") + cap).alias("idle_at"))
+
+
 def idle_gaps(requests: DataFrame, key: str, start_ms: str, end_ms: str, quiet: int = 500, most: int = 0) -> DataFrame:
     """(key, idle_from, idle_ms) where at most `most` requests stay in flight for quiet milliseconds or more."""
     marks = requests.select(key, F.explode(F.array(F.struct(F.col(start_ms).alias("at"), F.lit(1).alias("step")), F.struct(F.col(end_ms).alias("at"), F.lit(-1).alias("step")))).alias("m")).select(key, "m.*")

@@ -26,6 +26,11 @@ def read_files(spark: SparkSession, paths: str) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", content_type(F.col("path")).alias("content_type"), F.col("content").alias("body"))
 
 
+def about_pages(urls: DataFrame, url: str = "url") -> DataFrame:
+    """url, content_type and html of about: addresses: each is a blank page."""
+    return urls.where(F.startswith(F.lower(url), F.lit("about:"))).select(F.col(url).alias("url"), F.lit("text/html").alias("content_type"), F.lit("<html><head></head><body></body></html>").alias("html"))
+
+
 def data_uri(uri: Column) -> tuple[Column, Column]:
     """Content type and body of a data: URI; the body is null where it can't be decoded."""
     head = F.regexp_extract(uri, r"(?s)^data:([^,]*),", 1)

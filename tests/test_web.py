@@ -175,3 +175,37 @@ def test_merge_keeps_the_first_of_optional_fields(spark):
     raw = spark.createDataFrame([("q", 3, "b", "t", "http://u/", "s", 1.0, "i3"), ("q", 1, "z", "t", "http://u/", "s", 1.0, ""), ("q", 2, "z", "longer", "http://u", "", 1.0, "i2")], "q string, seq long, engine string, title string, url string, snippet string, score double, image string")
     r = search.merge_results(raw, ["q"]).first()
     assert (r.engines, r.image, r.title, r.url, r.snippet, r.score, r.n_results) == (["z", "b"], "i2", "longer", "http://u", "s", 3.0, 3)
+
+
+def test_bounded_cache_matches_a_plain_walk(spark):
+    import random
+
+    rng, most, ttl = random.Random(7), 5, 40
+    rows = [(i, f"c{i % 2}", f"k{rng.randrange(12)}", i * rng.choice([1, 1, 2])) for i in range(400)]
+    rows = [(i, c, k, max(s for _, _, _, s in rows[: i + 1])) for i, c, k, _ in rows]
+    want, caches = {}, {}
+    for i, c, k, s in rows:
+        held = caches.setdefault(c, {})
+        want[i] = k in held and s - held[k] < ttl
+        if not want[i]:
+            held.pop(k, None)
+            if len(held) >= most:
+                held = caches[c] = {x: at for x, at in held.items() if s - at < ttl}
+                if len(held) >= most:
+                    del held[min(held, key=lambda x: held[x])]
+            held[k] = s
+    frame = spark.createDataFrame(rows, "i long, c string, k string, s long")
+    got = {r.i: r.hit for r in state.bounded_cache(frame, "c", "k", "s", ["i"], ttl, most).collect()}
+    assert got == want and any(want.values())
+
+
+def test_steps_and_walks(spark):
+    from tessella.operators import dom
+
+    nodes = dom.parse_dom(spark.createDataFrame([(1, "<div><p>a</p><p>b</p></div><i>c</i>")], "d int, h string"), "d", "h").cache()
+    at = {r.node_id: r for r in dom.steps(nodes, "d").collect()}
+    div = next(r for r in at.values() if r.tag == "div")
+    assert (at[div.next_id].tag, at[div.previous_id].tag, at[div.after_id].tag) == ("p", "body", "i")
+    assert at[0].after_id is None and at[max(at)].next_id is None
+    shown = dom.walk(nodes, "d", dom.element(), dom.element("div")).orderBy("step").collect()
+    assert [r.tag for r in shown] == ["html", "head", "body", "i"]
