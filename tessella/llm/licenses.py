@@ -1,10 +1,11 @@
 """Licence scans by a positional index of rare words.
 
 Templates are short public notices. Rarity is the inverse frequency of a word over all scanned documents. The index
-posts each template's RARE rarest words with their positions. A file looks up each of them that it holds; each pair of
-a place in the file and a posting votes for the template at the start the two imply. Where enough
-rare words vote for the same start, the share of the template's words that stand there is the match's score, and it
-counts if it reaches SHARE and the template's mandatory phrases stand in the file.
+posts a template's rarest places: so many that of any share SHARE of its places at least VOTES are posted. A file looks up
+each posted word that it holds; each pair of a place in the file and a posting votes for the template at the start the
+two imply. Where VOTES or more vote for the same start, the share of the template's words that stand there is the
+match's score, and it counts if it reaches SHARE and the template's mandatory phrases stand in the file. So no start
+that reaches SHARE is missed, whatever words were changed.
 
 Base phrases are found wherever their words stand consecutively and always give their label.
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
-from math import log
+from math import ceil, log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import chunks, map_texts, texts
 
-RARE, SHARE, VOTES = 6, 0.6, 2
+SHARE, VOTES = 0.6, 2
 
 # Words of public licence notices, labels and phrases.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -81,13 +82,10 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> dict[bytes,
 class Index:
     def __init__(self, idf: dict[bytes, float]) -> None:
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        self.need = []
         for k, (_, words, _) in enumerate(_NOTICES):
-            rare = sorted(set(words), key=lambda w: (-idf[w], w))[:RARE]
-            self.need.append(min(VOTES, len(rare)))
-            for i, w in enumerate(words):
-                if w in rare:
-                    self.postings[w].append((k, i))
+            rare = sorted(range(len(words)), key=lambda i: (-idf[words[i]], words[i], i))
+            for i in rare[: len(words) - ceil(SHARE * len(words)) + VOTES]:
+                self.postings[words[i]].append((k, i))
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], set[str], float]:
         """Base places with their labels, the labels that the index adds, and the best score."""
@@ -111,7 +109,7 @@ class Index:
         labels, best = set(), 1.0 if base else 0.0
         for (k, start), n in votes.items():
             label, notice, must = _NOTICES[k]
-            if n >= self.need[k]:
+            if n >= VOTES:
                 share = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(notice)) / len(notice)
                 if share >= SHARE and all(map(places, must)):
                     labels.add(label)

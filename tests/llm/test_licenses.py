@@ -1,6 +1,7 @@
+import random
 import re
 
-from tessella.llm.licenses import BASE, NOTICES, scan_licenses
+from tessella.llm.licenses import BASE, NOTICES, SHARE, scan_licenses
 
 SCHEMA = "doc_id long, text string, labels string"
 
@@ -39,3 +40,27 @@ def test_a_file_of_all_notices_has_all_labels(spark):
     by = {r.doc_id: r.labels for r in scan_licenses(docs, keep=["doc_id"]).collect()}
     assert by[1] == by[2] == ",".join(sorted({label for label, _, _ in NOTICES}))
     assert by[3] == by[4] == ""
+
+
+def test_labels_of_edited_notices_match_all_starts(spark):
+    rng, rows, want = random.Random(3), [], {}
+    vocab = sorted({w for _, text, _ in NOTICES for w in text.split()}) + ["other", "words"]
+    holds = lambda words, phrase: any(words[i : i + len(phrase)] == phrase for i in range(len(words)))
+    for i in range(400):
+        words = rng.choices(vocab, k=rng.randint(0, 8))
+        for _, text, _ in rng.sample(NOTICES, rng.randint(1, 2)):
+            part = text.split()
+            for _ in range(rng.choice([0, 1, 3, len(part) // 3, len(part) // 2])):
+                j = rng.randrange(len(part))
+                part[j : j + rng.choice([1, 1, 1, 0, 2])] = [rng.choice(vocab)]
+            words += part + rng.choices(vocab, k=rng.randint(0, 8))
+        rows.append((i, " ".join(words), ""))
+        labels = {label for phrase, label in BASE.items() if holds(words, phrase.split())}
+        for label, text, must in NOTICES:
+            notice = text.split()
+            best = max(sum(0 <= s + k < len(words) and words[s + k] == w for k, w in enumerate(notice)) for s in range(-len(notice), len(words)))
+            if best >= SHARE * len(notice) and all(holds(words, m.split()) for m in must):
+                labels.add(label)
+        want[i] = ",".join(sorted(labels))
+    got = {r.doc_id: r.labels for r in scan_licenses(spark.createDataFrame(rows, SCHEMA), keep=["doc_id"]).collect()}
+    assert got == want and len(set(want.values())) > 20
