@@ -9,8 +9,9 @@ The prefix sum runs on two levels, so that a source with a third of all rows is
 BUCKETS ordered ranges, whose sums are made in map-side partial aggregates; only the range in which the rest ends is
 sorted. The result is a cut key per source, a table with a row per source that joins back to the documents.
 
-Defined results: a null text has size 0 and takes nothing; a null source is a source of its own; rows with the same
-id and weight share a key and are taken together; an empty table gives an empty table.
+Defined results: a null or empty text has size 0 and takes nothing; very long texts count whole; a null source is a source of its own; rows with the same
+id and weight share a key and are taken together; an empty table gives an empty table. Columns of docs named like a
+new one (they start with two underscores) give way to it.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3,
     """(source, source_size, target) from (source, source_size): shares by weight of share of all words.
 
     Weights repeat over the sources by code point, null last. A target stops at most times its source; what it
-    leaves goes to the others by weight. With sources in the order of cap / weight, a source is capped if its
+    leaves goes to the others by weight. The table has a row per source and is sorted whole in one task: that is for
+    sources as collections, not for as many hosts as there are documents. With sources in the order of cap / weight, a source is capped if its
     cap is under the level that those before it leave.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())

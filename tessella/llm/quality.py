@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from tessella.llm.common import map_texts, materialize
 
 FENCE, PRIOR, STEPS = 3, 50, 1000
-#: Rate -> the least quartile distance in steps.
+#: Rate -> the least quartile distance in steps. Where most documents have none of a thing both quartiles meet, and the
+#: distance is this: in all groups of the sf0.1 documents. Without it 12 % of them more would go, of those labelled good 5 %.
 FLOOR = {"symbols": 15, "capitals": 40, "marks": 30, "dup_lines": 120, "repeats": 100, "word_length": 100}
 COUNTS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint, n_capitals bigint, n_marks bigint"
 
