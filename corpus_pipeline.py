@@ -2,6 +2,10 @@
 
 Each stage reads documents and returns documents with the same columns; the last returns each document as often as
 the mix takes it, numbered by mix_copy.
+
+Defined results: null texts and texts without words fail the quality rules; of rows equal in id and text one stays; a null id
+takes part in every stage; very long texts are judged whole; other columns come through as they were, but for one named
+mix_copy in the last stage; empty tables give no rows.
 """
 
 from __future__ import annotations
