@@ -19,44 +19,43 @@ def join_chunks(chunks: DataFrame, doc: str, seq: str, chunk: str) -> DataFrame:
     return chunks.groupBy(doc).agg(F.array_join(F.transform(parts, lambda x: x[chunk]), "").alias("html"))
 
 
-def base_urls(nodes: DataFrame, pages: DataFrame, doc: str, url: str = "url") -> DataFrame:
-    """(doc, base_url): the first base element's href against the page's URL, else that URL."""
-    first = dom.first_of(nodes.where(dom.element("base") & dom.attr_is("href")), doc).select(doc, dom.attribute("href").alias("__href"))
-    out = pages.select(doc, F.col(url).alias("__url")).join(first, doc, "left")
-    return out.select(doc, F.when(F.col("__href").isNull(), F.col("__url")).otherwise(dom.resolve(F.col("__href"), F.col("__url"))).alias("base_url"))
+def _read(pages: DataFrame, doc: str, url: str, html: str, asks: dict) -> DataFrame:
+    """Answers beside base_url: the first base element's href against the page's URL, else that URL; one pass over the pages."""
+    read = dom.project(pages, doc, html, {"__base": ("attr", "base[href]", "href"), **asks}, [url])
+    base = F.when(F.col("__base").isNull(), F.col(url)).otherwise(dom.resolve(F.col("__base"), F.col(url)))
+    return read.withColumn("base_url", base)
 
 
-def _resolved(found: DataFrame, bases: DataFrame, doc: str) -> DataFrame:
-    return found.join(bases, doc).withColumn("resource_url", dom.resolve(F.col("href"), F.col("base_url")))
+def base_urls(pages: DataFrame, doc: str, url: str = "url", html: str = "html") -> DataFrame:
+    """(doc, base_url)."""
+    return _read(pages, doc, url, html, {}).select(doc, "base_url")
 
 
-def sub_resources(nodes: DataFrame, bases: DataFrame, doc: str, most: int = 32) -> DataFrame:
-    """(doc, rank, resource_url): images, then style sheets, over http, each once, the first `most` of a page."""
-    image = nodes.where(dom.element("img") & dom.attr_is("src")).select(doc, F.lit(0).alias("kind"), "node_id", dom.attribute("src").alias("href"))
-    sheet = nodes.where(dom.element("link") & dom.attr_is("rel", "~=", "stylesheet") & dom.attr_is("href")).select(doc, F.lit(1).alias("kind"), "node_id", dom.attribute("href").alias("href"))
-    rows = _resolved(image.unionByName(sheet), bases, doc).where(scheme(F.col("resource_url")) != "")
-    once = rows.groupBy(doc, "resource_url").agg(F.min(F.struct("kind", "node_id")).alias("at"))
+def sub_resources(pages: DataFrame, doc: str, url: str = "url", html: str = "html", most: int = 32) -> DataFrame:
+    """(doc, rank, resource_url): images, then style sheets, over http, each once, the first `most` of a page; only addresses are shuffled."""
+    read = _read(pages, doc, url, html, {"__img": ("attrs", "img[src]", "src"), "__css": ("attrs", "link[rel~=stylesheet][href]", "href")})
+    rows = read.select(doc, "base_url", F.posexplode(F.concat("__img", "__css")).alias("at", "href"))
+    rows = rows.withColumn("resource_url", dom.resolve(F.col("href"), F.col("base_url"))).where(scheme(F.col("resource_url")) != "")
+    once = rows.groupBy(doc, "resource_url").agg(F.min("at").alias("at"))
     rank = F.row_number().over(Window.partitionBy(doc).orderBy("at"))
     return once.select(doc, rank.alias("rank"), "resource_url").where(F.col("rank") <= most)
 
 
-def stylesheets(nodes: DataFrame, bases: DataFrame, doc: str) -> DataFrame:
-    """(doc, node_id, resource_url) of links whose rel is stylesheet and that the page may load."""
-    rel = F.lower(F.coalesce(dom.attribute("rel"), F.lit("")))
-    found = nodes.where(dom.element("link") & (rel == "stylesheet") & dom.attr_is("href")).select(doc, "node_id", dom.attribute("href").alias("href"))
+def stylesheets(pages: DataFrame, doc: str, url: str = "url", html: str = "html") -> DataFrame:
+    """(doc, at, resource_url) of links whose rel is stylesheet and that the page may load."""
     kind = lambda c: F.lower(F.regexp_extract(c, "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    rows = _resolved(found, bases, doc)
-    return rows.where(subresource_allowed(kind(F.col("resource_url")), kind(F.col("base_url")))).select(doc, "node_id", "resource_url")
+    read = _read(pages, doc, url, html, {"__css": ("attrs", "link[rel=stylesheet i][href]", "href")})
+    rows = read.select(doc, "base_url", F.posexplode("__css").alias("at", "href")).withColumn("resource_url", dom.resolve(F.col("href"), F.col("base_url")))
+    return rows.where(subresource_allowed(kind(F.col("resource_url")), kind(F.col("base_url")))).select(doc, "at", "resource_url")
 
 
-def scripts(nodes: DataFrame, doc: str) -> DataFrame:
+def scripts(pages: DataFrame, doc: str, html: str = "html") -> DataFrame:
     """(doc, node_id, src, body, phase) of scripts that run: regular, then deferred, async and module ones."""
+    found = dom.select(pages, doc, html, "script")
     kind = F.lower(F.trim(F.coalesce(dom.attribute("type"), F.lit(""))))
-    found = nodes.where(dom.element("script") & kind.isin(*RUNS))
-    said = dom.text_of(nodes, found, doc)
     phase = F.when(kind == "module", 3).when(dom.attr_is("src") & dom.attr_is("async"), 2).when(dom.attr_is("src") & dom.attr_is("defer"), 1).otherwise(0)
-    out = found.select(doc, "node_id", dom.attribute("src").alias("src"), phase.alias("phase")).join(said, [doc, "node_id"])
-    return out.where(F.col("src").isNotNull() | (F.trim("text_content") != "")).withColumnRenamed("text_content", "body")
+    out = found.where(kind.isin(*RUNS)).select(doc, "node_id", dom.attribute("src").alias("src"), F.col("text").alias("body"), phase.alias("phase"))
+    return out.where(F.col("src").isNotNull() | (F.trim("body") != ""))
 
 
 def links(nodes: DataFrame) -> DataFrame:

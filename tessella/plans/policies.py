@@ -22,27 +22,25 @@ def _with(spark: SparkSession, sf_dir: str, extra: str) -> DataFrame:
 @query(f"SELECT page_id, rank, {_ORIGIN} || path AS resource_url FROM pages, (VALUES (1, '/i.png'), (2, '/j.png'), (3, '/a.css')) v(rank, path)")
 def sub_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _with(spark, sf_dir, "<img src=/i.png><link rel='x stylesheet' href=/a.css><img src=/j.png><img src=/i.png><img src='data:x'><img>")
-    nodes = dom.parse_dom(pages, _ID, "html")
-    return resources.sub_resources(nodes, resources.base_urls(nodes, pages, _ID), _ID)
+    return resources.sub_resources(pages, _ID)
 
 
 @query(f"SELECT page_id, {_ORIGIN} || '/a.css' AS resource_url FROM pages")
 def style_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _with(spark, sf_dir, "<link rel=StyleSheet href=/a.css><link rel='alternate stylesheet' href=/b.css><link rel=stylesheet href='file:///c.css'>")
-    nodes = dom.parse_dom(pages, _ID, "html")
-    return resources.stylesheets(nodes, resources.base_urls(nodes, pages, _ID), _ID).drop("node_id")
+    return resources.stylesheets(pages, _ID).drop("at")
 
 
 @query(r"""SELECT page_id, phase, src, CASE phase WHEN 0 THEN regexp_extract(html, '(?s)<script>(.*?)</script>', 1) ELSE '' END AS body FROM pages, (VALUES (0, NULL), (1, '/d.js'), (2, '/a.js'), (3, '/m.js')) v(phase, src)""")
 def executable_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = "<script type=text/template>no</script><script src=/d.js defer></script><script src=/a.js async defer></script><script type=module src=/m.js></script><script> </script>"
-    return resources.scripts(dom.parse_dom(_with(spark, sf_dir, extra), _ID, "html"), _ID).select(_ID, "phase", "src", "body")
+    return resources.scripts(_with(spark, sf_dir, extra), _ID).select(_ID, "phase", "src", "body")
 
 
 @query(f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN {_ORIGIN} || '/dir/' ELSE url END AS base_url FROM pages")
 def base_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _pages(spark, sf_dir).select(_ID, "url", F.when(C(_ID) % 2 == 0, F.replace("html", F.lit("</head>"), F.lit("<base target=x><base href=/dir/><base href=/other/></head>"))).otherwise(C("html")).alias("html"))
-    return resources.base_urls(dom.parse_dom(pages, _ID, "html"), pages, _ID)
+    return resources.base_urls(pages, _ID)
 
 
 @query("SELECT page_id, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, 'c' AS class, 'b' AS id FROM pages")

@@ -137,13 +137,11 @@ def test_resources(spark):
     pages = spark.createDataFrame([(1, "https://e.com/p", source), (2, "https://e.com/q", "<p>x")], "page_id long, url string, html string")
     chunks = spark.createDataFrame([(1, 1, source[50:]), (1, 0, source[:50]), (2, 0, "<p>x")], "page_id long, n int, part string")
     assert {r.page_id: r.html for r in res.join_chunks(chunks, "page_id", "n", "part").collect()} == {1: source, 2: "<p>x"}
-    nodes = dom.parse_dom(pages, "page_id", "html").cache()
-    bases = res.base_urls(nodes, pages, "page_id")
-    assert {r.page_id: r.base_url for r in bases.collect()} == {1: "https://e.com/dir/", 2: "https://e.com/q"}
-    assert [(r["rank"], r.resource_url) for r in res.sub_resources(nodes, bases, "page_id").orderBy("rank").collect()] == [(1, "https://e.com/dir/i.png"), (2, "https://e.com/dir/b.css")]
-    assert [r.resource_url for r in res.stylesheets(nodes, bases, "page_id").collect()] == ["https://e.com/dir/a.css"]
-    assert sorted((r.phase, r.src, r.body) for r in res.scripts(nodes, "page_id").collect()) == [(0, None, "run()"), (1, "s.js", "")]
-    assert res.links(nodes).count() == 1
+    assert {r.page_id: r.base_url for r in res.base_urls(pages, "page_id").collect()} == {1: "https://e.com/dir/", 2: "https://e.com/q"}
+    assert [(r["rank"], r.resource_url) for r in res.sub_resources(pages, "page_id").orderBy("rank").collect()] == [(1, "https://e.com/dir/i.png"), (2, "https://e.com/dir/b.css")]
+    assert [r.resource_url for r in res.stylesheets(pages, "page_id").collect()] == ["https://e.com/dir/a.css"]
+    assert sorted((r.phase, r.src, r.body) for r in res.scripts(pages, "page_id").collect()) == [(0, None, "run()"), (1, "s.js", "")]
+    assert res.links(dom.parse_dom(pages, "page_id", "html")).count() == 1
 
 
 def test_state_and_forms(spark):
