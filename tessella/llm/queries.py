@@ -17,10 +17,11 @@ from tessella.llm.neardup import near_duplicates
 from tessella.llm.quality import score_quality
 from tessella.llm.quotes import link_quotes
 from tessella.llm.tokens import count_tokens, read_ranks
+from tessella.sources.captures import spread
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
