@@ -29,8 +29,7 @@ def _count_of(pattern: str) -> str:
 @query("""SELECT page_id, count(*) FILTER (tag = 'li') AS li, count(*) FILTER (tag = 'p') AS p, count(*) FILTER (tag = 'a') AS a, count(*) FILTER (tag = 'br') AS br
 FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '<script>.*?</script>', '', 'g'), '<([a-z0-9]+)[ >]', 1)) AS tag FROM pages) GROUP BY page_id""")
 def dom_node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = lambda tag: F.count(F.when(dom.element(tag), 1)).alias(tag)
-    return _nodes(spark, sf_dir).groupBy(_ID).agg(n("li"), n("p"), n("a"), n("br"))
+    return dom.project(_pages(spark, sf_dir), _ID, "html", {tag: ("count", tag) for tag in ("li", "p", "a", "br")})
 
 
 @query(_count_of("<li>"))

@@ -12,8 +12,14 @@ CONTENT_TYPES = {
 }
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than cores, dealt out evenly, as readers never split a row group; others stay as they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/pages.parquet")
+    return spread(spark.read.parquet(f"{folder}/pages.parquet"))
 
 
 def content_type(path: Column) -> Column:
