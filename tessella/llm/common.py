@@ -149,11 +149,12 @@ def bounded_sample(rows: DataFrame, id_col: str, by: str, most: int) -> DataFram
     """(id, by) of at most `most` rows for each value of by, the first by a hash of the id; nulls of either are left out.
 
     One narrow scan counts the values, one more keeps what is sure to hold the first `most` of each; only that is sorted.
+    The counts, a row for each value, are broadcast: whoever learns from the sample holds more than that of each value.
     """
     named = rows.select(F.col(id_col).alias("__i"), F.col(by).alias("__v")).where("__i IS NOT NULL AND __v IS NOT NULL")
     counts = named.groupBy("__v").agg(F.count("*").alias("__n"))
     drawn = F.xxhash64(F.lit(11), "__i")
     share = (drawn.cast("double") / 2.0**64 + 0.5) * F.col("__n")
-    near = named.join(counts, "__v").where(share <= most + 7 * most**0.5 + 50)
+    near = named.join(F.broadcast(counts), "__v").where(share <= most + 7 * most**0.5 + 50)
     first = F.row_number().over(Window.partitionBy("__v").orderBy(drawn, "__i"))
     return near.withColumn("__at", first).where(F.col("__at") <= most).select(F.col("__i").alias(id_col), F.col("__v").alias(by))
