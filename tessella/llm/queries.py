@@ -16,6 +16,7 @@ from tessella.llm.mixing import mix, symbol_quality
 from tessella.llm.neardup import near_duplicates
 from tessella.llm.quality import score_quality
 from tessella.llm.quotes import link_quotes
+from tessella.llm.repeats import remove_repeats
 from tessella.llm.tokens import count_tokens, read_ranks
 from tessella.sources.captures import spread
 
@@ -78,10 +79,15 @@ def op10_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), read_ranks())
 
 
+def op13_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(_read(spark, sf_dir, "documents"), least=400)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_mix_sources, op2_quality_rules, op3_minhash_near_dedup, op4_quotation_linking, op5_benchmark_decontamination, op6_toxicity,
-        op7_cross_entropy_difference, op8_language_id, op9_license_scan, op10_token_attribution,
+        op7_cross_entropy_difference, op8_language_id, op9_license_scan, op10_token_attribution, op13_repeated_strings,
     )
     return {f.__name__: f for f in every}
 
