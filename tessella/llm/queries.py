@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import langid, mixing, quality, toxicity
+from tessella.llm.alignment import align_tokenizers, read_tokenizers
 from tessella.llm.common import crc_fold, materialize, word_count
 from tessella.llm.decontamination import contained_items
 from tessella.llm.licenses import scan_licenses
@@ -79,6 +80,11 @@ def op10_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), read_ranks())
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = align_tokenizers(_read(spark, sf_dir, "documents"), read_tokenizers())
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(_read(spark, sf_dir, "documents"), least=400)
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
@@ -87,7 +93,7 @@ def op13_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_mix_sources, op2_quality_rules, op3_minhash_near_dedup, op4_quotation_linking, op5_benchmark_decontamination, op6_toxicity,
-        op7_cross_entropy_difference, op8_language_id, op9_license_scan, op10_token_attribution, op13_repeated_strings,
+        op7_cross_entropy_difference, op8_language_id, op9_license_scan, op10_token_attribution, op11_tokenizer_alignment, op13_repeated_strings,
     )
     return {f.__name__: f for f in every}
 
