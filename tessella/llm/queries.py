@@ -19,6 +19,7 @@ from tessella.llm.quality import score_quality
 from tessella.llm.quotes import link_quotes
 from tessella.llm.repeats import remove_repeats
 from tessella.llm.tokens import count_tokens, read_ranks
+from tessella.llm.whitening import fit_whitening, whiten
 from tessella.sources.captures import spread
 
 
@@ -85,6 +86,11 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return whiten(vectors, fit_whitening(vectors, components=16)).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def op13_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(_read(spark, sf_dir, "documents"), least=400)
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
@@ -93,7 +99,7 @@ def op13_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_mix_sources, op2_quality_rules, op3_minhash_near_dedup, op4_quotation_linking, op5_benchmark_decontamination, op6_toxicity,
-        op7_cross_entropy_difference, op8_language_id, op9_license_scan, op10_token_attribution, op11_tokenizer_alignment, op13_repeated_strings,
+        op7_cross_entropy_difference, op8_language_id, op9_license_scan, op10_token_attribution, op11_tokenizer_alignment, op12_embedding_whitening, op13_repeated_strings,
     )
     return {f.__name__: f for f in every}
 
