@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import secrets
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -74,14 +75,21 @@ class _Tables:
             self.mods = [(np.uint64(p), _powers(b, self.size, p), _powers(pow(b, -1, p), self.size, p)) for p, b in _PRIMES]
 
 
+@cache
+def _tables() -> _Tables:
+    """One for each Python worker."""
+    return _Tables()
+
+
 class Shard:
     """The bytes of some documents and the hashes of any strings of theirs."""
 
-    def __init__(self, docs: list[bytes], tables: _Tables) -> None:
+    def __init__(self, docs: list[bytes]) -> None:
         self.text = np.frombuffer(b"".join(docs), np.uint8)
         self.stop = np.cumsum([len(d) for d in docs], dtype=np.int64)
         self.start = self.stop - [len(d) for d in docs]
-        n, self.tables = len(self.text), tables
+        n, self.tables = len(self.text), _tables()
+        tables = self.tables
         tables.need(n + 1)
         self.mixed = tables.values[self.text]
         self.sums = np.zeros(n + 1, np.uint64)
@@ -176,7 +184,7 @@ def _result(text: bytes, spans: np.ndarray, with_kept: bool) -> dict:
     }
 
 
-def _rows(shard: int, ids: pa.Array, docs: list[bytes], tables: _Tables, nodes: np.ndarray, spans: list[np.ndarray], data: Shard, cell: int, least: int, with_kept: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _rows(shard: int, ids: pa.Array, docs: list[bytes], nodes: np.ndarray, spans: list[np.ndarray], data: Shard, cell: int, least: int, with_kept: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """A shard after a round: documents with open nodes, results of the others, and one row with the runs of the nodes."""
     owner = np.searchsorted(data.stop, nodes[:, 0], "right")
     bounds = np.searchsorted(owner, np.arange(len(docs) + 1))
@@ -209,12 +217,12 @@ def _sort_shards(docs: DataFrame, least: int, with_kept: bool, schema: T.StructT
     """Round 1's shards: each reads its documents whole and posts the sorted runs of its places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, kind = _Tables(), None
+        kind = None
 
         def close(ids: list[pa.Array], held: list[bytes]) -> Iterator[pa.RecordBatch]:
-            data = Shard(held, tables)
+            data = Shard(held)
             none = [np.empty((0, 2), np.int64)] * len(held)
-            yield from _rows(secrets.randbits(62), pa.concat_arrays(ids), held, tables, data.places(least), none, data, SPAN, least, with_kept, _arrow(schema, kind))
+            yield from _rows(secrets.randbits(62), pa.concat_arrays(ids), held, data.places(least), none, data, SPAN, least, with_kept, _arrow(schema, kind))
 
         ids: list[pa.Array] = []
         held: list[bytes] = []
@@ -256,12 +264,11 @@ def _refine(shards: DataFrame, marks: DataFrame, round_: int, least: int, with_k
     cell, following = CELLS[round_], CELLS[round_ + 1] if round_ + 1 < len(CELLS) else 0
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        tables = _Tables()
         out = _arrow(schema, left.schema.field("id").type)
         if not left.num_rows:
             return out.empty_table()
         docs = [x or b"" for x in left.column("text").to_pylist()]
-        data = Shard(docs, tables)
+        data = Shard(docs)
         if round_:
             nodes = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 3) + a for x, a in zip(left.column("nodes").to_pylist(), data.start, strict=True)])
         else:
@@ -286,7 +293,7 @@ def _refine(shards: DataFrame, marks: DataFrame, round_: int, least: int, with_k
         nodes = cells(nodes[cut], following) if following else nodes[:0]
         nodes = nodes[np.argsort(nodes[:, 0], kind="stable")]
         ids = pa.concat_arrays(left.column("id").chunks)
-        return pa.Table.from_batches(_rows(int(left.column("shard")[0].as_py()), ids, docs, tables, nodes, spans, data, following or 1, least, with_kept, out), out)
+        return pa.Table.from_batches(_rows(int(left.column("shard")[0].as_py()), ids, docs, nodes, spans, data, following or 1, least, with_kept, out), out)
 
     waiting = shards.where("text IS NOT NULL").select("shard", "id", "text", "done", "nodes")
     return waiting.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(run, schema)
