@@ -197,7 +197,7 @@ def _rows(shard: int, ids: pa.Array, docs: list[bytes], nodes: np.ndarray, spans
     for k, text in enumerate(docs):
         if bounds[k] < bounds[k + 1]:
             own = nodes[bounds[k] : bounds[k + 1]] - data.start[k]
-            add(shard=shard, text=text, done=spans[k].astype(np.int64).tobytes(), nodes=b"" if cell == SPAN else own.astype(np.int64).tobytes())
+            add(shard=shard, text=_pressed(text), done=spans[k].astype(np.int64).tobytes(), nodes=b"" if cell == SPAN else own.astype(np.int64).tobytes())
         else:
             add(**_result(text, spans[k], with_kept))
     if len(nodes):
@@ -243,6 +243,15 @@ def _sort_shards(docs: DataFrame, least: int, with_kept: bool, schema: T.StructT
     return docs.mapInArrow(run, schema)
 
 
+def _pressed(text: bytes) -> bytes:
+    """A text as it waits for the next round: its length, then its bytes by zstd."""
+    return len(text).to_bytes(8, "little") + pa.compress(text, codec="zstd", asbytes=True)
+
+
+def _unpressed(held: bytes) -> bytes:
+    return pa.decompress(held[8:], int.from_bytes(held[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _merge(shards: DataFrame) -> DataFrame:
     """(shard, prefix, whole, twin, open) of the runs in blocks of two suffixes or more, over all shards.
 
@@ -267,7 +276,7 @@ def _refine(shards: DataFrame, marks: DataFrame, round_: int, least: int, with_k
         out = _arrow(schema, left.schema.field("id").type)
         if not left.num_rows:
             return out.empty_table()
-        docs = [x or b"" for x in left.column("text").to_pylist()]
+        docs = [_unpressed(x) for x in left.column("text").to_pylist()]
         data = Shard(docs)
         if round_:
             nodes = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 3) + a for x, a in zip(left.column("nodes").to_pylist(), data.start, strict=True)])
@@ -305,14 +314,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"strings of less than {GRAM + SPAN} bytes need a smaller SPAN")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
     schema = _schema(rows.schema["id"].dataType)
-    ready = []
-    shards = materialize(_sort_shards(rows, least, with_kept, schema))
+    found = lambda x: x.where("n_bytes IS NOT NULL").select(F.col("id").alias(id_col), "n_bytes", "n_removed", "spans", "kept_sha256", "kept")
+    shards, out = materialize(_sort_shards(rows, least, with_kept, schema)), None
     for round_ in range(len(CELLS)):
-        ready.append(shards)
+        ready = materialize(found(shards))
+        out = ready if out is None else out.unionByName(ready)
         marks = _merge(shards)
-        shards = materialize(_refine(shards, marks, round_, least, with_kept, schema))
+        following = materialize(_refine(shards, marks, round_, least, with_kept, schema))
         discard(marks)
-    out = shards
-    for x in ready:
-        out = out.unionByName(x)
-    return out.where("n_bytes IS NOT NULL").select(F.col("id").alias(id_col), "n_bytes", "n_removed", "spans", "kept_sha256", "kept")
+        discard(shards)
+        shards = following
+    return out.unionByName(found(shards))
