@@ -262,10 +262,17 @@ INTERACTIVE = "a, button, input, select, textarea, [role=button], [role=link], [
 
 
 def resolve(href: Column, base: Column) -> Column:
-    """A link resolved against its page."""
+    """A link resolved against its page; null for one that is no URL."""
+
+    def one(link: str | None, page: str | None) -> str | None:
+        try:
+            return None if link is None else urljoin(page or "", link)
+        except ValueError:
+            return None
+
     @pandas_udf("string")
     def join(h: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else urljoin(y or "", x) for x, y in zip(h, b, strict=True)])
+        return pd.Series([one(x, y) for x, y in zip(h, b, strict=True)], dtype=object)
 
     return join(href, base)
 

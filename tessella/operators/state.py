@@ -108,16 +108,22 @@ def last_writes(rows: DataFrame, session: str, key: str, seq: str, value: str) -
 
 
 def idle_reached(requests: DataFrame, key: str, start_ms: str, end_ms: str, quiet: int = 500, most: int = 0, cap: int = 5000) -> DataFrame:
-    """(key, idle_at): when a load counts as idle: after its first quiet gap, at the latest `cap` milliseconds after its first request."""
+    """(key, idle_at): when a load counts as idle: after its first quiet time, at the latest `cap` milliseconds after its first request."""
     first = requests.groupBy(key).agg(F.min(start_ms).alias("__first"))
-    gap = idle_gaps(requests, key, start_ms, end_ms, quiet, most).groupBy(key).agg(F.min("idle_from").alias("__from"))
-    return first.join(gap, key, "left").select(key, F.least(F.col("__from") + quiet, F.col("__first") + cap).alias("idle_at"))
+    calm = _quiet_times(requests, key, start_ms, end_ms, most).where(F.coalesce("idle_ms", F.lit(quiet)) >= quiet).groupBy(key).agg(F.min("idle_from").alias("__from"))
+    return first.join(calm, key, "left").select(key, F.least(F.col("__from") + quiet, F.col("__first") + cap).alias("idle_at"))
 
 
 def idle_gaps(requests: DataFrame, key: str, start_ms: str, end_ms: str, quiet: int = 500, most: int = 0) -> DataFrame:
-    """(key, idle_from, idle_ms) where at most `most` requests stay in flight for quiet milliseconds or more."""
+    """(key, idle_from, idle_ms) where at most `most` requests stay in flight for quiet milliseconds or more, until more are again."""
+    return _quiet_times(requests, key, start_ms, end_ms, most).where(F.col("idle_ms") >= quiet)
+
+
+def _quiet_times(requests: DataFrame, key: str, start_ms: str, end_ms: str, most: int) -> DataFrame:
+    """(key, idle_from, idle_ms) of each time with at most `most` requests in flight; idle_ms is null for one without an end."""
     marks = requests.select(key, F.explode(F.array(F.struct(F.col(start_ms).alias("at"), F.lit(1).alias("step")), F.struct(F.col(end_ms).alias("at"), F.lit(-1).alias("step")))).alias("m")).select(key, "m.*")
     marks = marks.groupBy(key, "at").agg(F.sum("step").alias("step"))
     w = Window.partitionBy(key).orderBy("at")
-    marks = marks.withColumn("in_flight", F.sum("step").over(w)).withColumn("idle_ms", F.lead("at").over(w) - F.col("at"))
-    return marks.where((F.col("in_flight") <= most) & (F.col("idle_ms") >= quiet)).select(key, F.col("at").alias("idle_from"), "idle_ms")
+    marks = marks.withColumn("calm", F.sum("step").over(w) <= most)
+    turns = marks.withColumn("before", F.lag("calm").over(w)).where("before IS NULL OR before <> calm")
+    return turns.withColumn("idle_ms", F.lead("at").over(w) - F.col("at")).where("calm").select(key, F.col("at").alias("idle_from"), "idle_ms")

@@ -234,7 +234,9 @@ def session_last_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH m AS (SELECT user_id, spot, sum(step) AS step FROM (SELECT user_id, epoch_us(ts) // 1000 AS spot, 1 AS step FROM events UNION ALL SELECT user_id, epoch_us(ts) // 1000 + 1000 * (event_id % 7), -1 FROM events) GROUP BY user_id, spot),
-f AS (SELECT user_id, spot, sum(step) OVER w AS n, lead(spot) OVER w - spot AS gap FROM m WINDOW w AS (PARTITION BY user_id ORDER BY spot)), g AS (SELECT user_id, min(spot) AS spot FROM f WHERE n <= 0 AND gap >= 500 GROUP BY user_id)
+f AS (SELECT user_id, spot, sum(step) OVER w AS n FROM m WINDOW w AS (PARTITION BY user_id ORDER BY spot)),
+h AS (SELECT *, n <= 0 AS calm, lag(n <= 0) OVER w AS before FROM f WINDOW w AS (PARTITION BY user_id ORDER BY spot)), i AS (SELECT user_id, spot, calm, lead(spot) OVER w - spot AS gap FROM h WHERE before IS NULL OR before <> calm WINDOW w AS (PARTITION BY user_id ORDER BY spot)),
+g AS (SELECT user_id, min(spot) AS spot FROM i WHERE calm AND coalesce(gap, 500) >= 500 GROUP BY user_id)
 SELECT e.user_id, least(e.first + 5000, g.spot + 500) AS idle_at FROM (SELECT user_id, min(epoch_us(ts) // 1000) AS first FROM events GROUP BY user_id) e LEFT JOIN g ON e.user_id = g.user_id""")
 def network_idle_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir).select("user_id", _since_epoch("MILLISECOND").alias("started"), "event_id")
