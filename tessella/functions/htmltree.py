@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html import unescape
 from html.parser import HTMLParser
 
 # HTML's element classes.
@@ -20,12 +21,19 @@ CONTEXTS = {
 IN_TABLE = frozenset("script style template form table".split())
 TABLE_TOPS = frozenset("table tbody thead tfoot tr".split())
 TABLE_SCOPES = frozenset("html table template".split())
+# What must be open around an element that can't stand in a body by itself.
+AROUND = {"tr": "<table><tbody><tr>", "td": "<table><tr><td>", "th": "<table><tr><th>", **dict.fromkeys(("tbody", "thead", "tfoot"), "<table><{}>"), "caption": "<table><caption>", "option": "<select><option>"}
 #: An element -> those that its start closes, and where the search for them ends.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist", "optgroup"}),
     "optgroup": ({"option", "optgroup"}, {"select"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "tbody": ({"tr", "td", "th", "tbody", "thead", "tfoot"}, {"table"}), "thead": ({"tr", "td", "th", "tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tr", "td", "th", "tbody", "thead", "tfoot"}, {"table"}),
 }
+# Elements whose content is text whatever it looks like; of the first two, character references are read.
+REFERENCES = ("title", "textarea")
+PLAIN = (*REFERENCES, "script", "style", "xmp", "iframe", "noembed", "noframes")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+FOREIGN = frozenset(("svg", "math"))
 DOCUMENT, ELEMENT, TEXT, COMMENT, DOCTYPE = 9, 1, 3, 8, 10
 
 
@@ -37,6 +45,8 @@ class Tree(HTMLParser):
     before it. Content of a template stays in it wherever it stands.
     """
 
+    CDATA_CONTENT_ELEMENTS = PLAIN
+
     def __init__(self, html: str | None) -> None:
         super().__init__(convert_charrefs=True)
         self.kind, self.parent, self.tag, self.attrs, self.text = [DOCUMENT], [-1], [None], [None], [None]
@@ -169,8 +179,16 @@ class Tree(HTMLParser):
                 self._need_body()
         else:
             self._need_body()
+        if tag == "form" and not inside and any(self.tag[i] == "form" for i in self.open):
+            return
         if tag in CLOSES_P:
             self._pop_to({"p"}, SCOPES)
+        if tag in HEADINGS and self.tag[self.open[-1]] in HEADINGS:
+            self.open.pop()
+        if tag == "button":
+            self._pop_to({"button"}, SCOPES - {"button"})
+        if tag in CONTEXTS and not inside:
+            self._pop_to({"caption"}, TABLE_SCOPES)
         if tag in CLOSES:
             wanted, stop = CLOSES[tag]
             while self._pop_to(wanted, stop):
@@ -203,7 +221,14 @@ class Tree(HTMLParser):
         self.parent[node], self.before[node] = self.parent[table], table
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
+        """A slash closes an element of a drawing or formula; elsewhere it means nothing."""
+        foreign = any(self.tag[i] in FOREIGN for i in self.open) or tag in FOREIGN
+        before = len(self.kind)
         self.handle_starttag(tag, attrs)
+        if foreign and len(self.kind) > before and self.tag[self.open[-1]] == tag and tag not in VOID:
+            self.open.pop()
+        elif not foreign and tag in PLAIN:
+            self.set_cdata_mode(tag)
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "head" and self._in_head():
@@ -223,6 +248,12 @@ class Tree(HTMLParser):
             self._pop_to({tag}, (TABLE_SCOPES if tag in TABLE else SCOPES) - {tag})
 
     def handle_data(self, data: str) -> None:
+        if self.cdata_elem in REFERENCES:
+            data = unescape(data)
+            if self.cdata_elem == "textarea" and len(self.kind) - 1 == self.open[-1]:
+                data = data.removeprefix("\n")
+            if not data:
+                return
         if self._in_template():
             self._text(data)
             return
@@ -258,6 +289,32 @@ class Tree(HTMLParser):
             self.quirks = decl[7:].strip().lower().split()[:1] != ["html"] or "-//" in decl.lower() and "html 3" in decl.lower()
             self._add(DOCTYPE, tag=(decl[7:].split() or [""])[0].lower())
 
+    @classmethod
+    def fragment(cls, html: str | None, context: str = "body") -> Tree:
+        """A fragment as it is read inside an element of a tag: a document whose html element, its root, holds the nodes.
+
+        Content that only stands in its proper place, such as a row's cells, stays; an html context keeps its head and body."""
+        context = context.lower()
+        if context == "html":
+            tree = cls(html)
+            tree._need_body()
+            return tree
+        opened = "<!doctype html><body>" + ("" if context == "body" else AROUND.get(context, "<{}>").format(context))
+        tree = cls(opened + (html or ""))
+        last = {"body": tree.body}.get(context)
+        if last is None:
+            last = next((i for i in range(len(tree.tag)) if tree.tag[i] == context and i > tree.body), tree.body)
+        inside, under = [], {last}
+        for i in range(last + 1, len(tree.kind)):
+            if tree.parent[i] in under:
+                under.add(i)
+                inside.append(i)
+        new = {last: 1} | {i: k + 2 for k, i in enumerate(inside)}
+        tree.parent = [-1, 0, *(new[tree.parent[i]] for i in inside)]
+        tree.kind, tree.tag = [DOCUMENT, ELEMENT, *(tree.kind[i] for i in inside)], [None, "html", *(tree.tag[i] for i in inside)]
+        tree.attrs, tree.text = [None, [], *(tree.attrs[i] for i in inside)], [None, None, *(tree.text[i] for i in inside)]
+        return tree
+
     def rows(self) -> list[tuple]:
         """(node_id, parent_id, subtree_end, depth, sibling_idx, elem_idx, node_type, tag, attrs, text, in_template, quirks)."""
         n = len(self.kind)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -25,17 +26,20 @@ Test = Callable[["Page", int], bool]
 class Page:
     """A parsed page: its nodes by number in document order, elements of templates left out."""
 
-    def __init__(self, html: str | None) -> None:
-        tree = Tree(html)
+    def __init__(self, html: str | None, context: str | None = None) -> None:
+        tree = Tree(html) if context is None else Tree.fragment(html, context)
         self.rows, self.quirks = tree.rows(), tree.quirks
         self.parent, self.end = [r[1] for r in self.rows], [r[2] for r in self.rows]
         self.kind, self.tag, self.said = tree.kind, tree.tag, tree.text
         self.elements = [r[0] for r in self.rows if r[6] == ELEMENT and not r[10]]
         self.attrs: list[dict] = [dict(a or ()) for a in tree.attrs]
-        self.place, self.siblings = [r[5] for r in self.rows], defaultdict(list)
+        self.place, self.siblings, self.alike = [r[5] for r in self.rows], defaultdict(list), defaultdict(int)
+        self.type_place, self.firsts = [0] * len(self.rows), {}
         for r in self.rows:
             if r[6] == ELEMENT:
                 self.siblings[r[1]].append(r[0])
+                self.type_place[r[0]] = self.alike[r[1], r[7]]
+                self.alike[r[1], r[7]] += 1
 
     def text(self, at: int = 0, drop: tuple[str, ...] = ()) -> str:
         """The text in a node, without that in templates and in dropped elements."""
@@ -59,9 +63,9 @@ class Page:
 
     def find(self, chosen: Selector, within: int = 0) -> Iterator[int]:
         """Elements in a node, itself not, that a selector chooses."""
-        for i in self.elements:
-            if within < i <= self.end[within] and chosen(self, i):
-                yield i
+        for k in range(bisect_right(self.elements, within), bisect_right(self.elements, self.end[within])):
+            if chosen(self, self.elements[k]):
+                yield self.elements[k]
 
 
 def _unescape(name: str) -> str:
@@ -116,13 +120,9 @@ def _placed(name: str, args: str | None) -> Test:
     def test(page: Page, i: int) -> bool:
         if page.parent[i] is None:
             return False
-        row = page.siblings[page.parent[i]]
-        if of_type:
-            row = [k for k in row if page.tag[k] == page.tag[i]]
-            at = row.index(i)
-        else:
-            at = page.place[i]
-        return len(row) == 1 if name.startswith("only") else wanted(len(row) - at if last else at + 1)
+        up = page.parent[i]
+        n, at = (page.alike[up, page.tag[i]], page.type_place[i]) if of_type else (len(page.siblings[up]), page.place[i])
+        return n == 1 if name.startswith("only") else wanted(n - at if last else at + 1)
 
     return test
 
@@ -217,9 +217,10 @@ class Selector:
         if k == 0:
             return True
         if joined in "+~":
-            row = page.siblings[page.parent[i]]
-            before = row[: page.place[i]]
-            return any(self._ends(page, j, chain, k - 1) for j in (before[-1:] if joined == "+" else before))
+            row, at = page.siblings[page.parent[i]], page.place[i]
+            if joined == "+":
+                return at > 0 and self._ends(page, row[at - 1], chain, k - 1)
+            return self._first(page, row, chain, k - 1) < at
         up = page.parent[i]
         while up is not None and page.kind[up] == ELEMENT:
             if self._ends(page, up, chain, k - 1):
@@ -230,6 +231,14 @@ class Selector:
         return False
 
 
+    def _first(self, page: Page, row: list[int], chain: list, k: int) -> int:
+        """The place of the first of some siblings at which a chain's first k + 1 compounds end; found once for each row."""
+        key = (id(chain), k, row[0])
+        if key not in page.firsts:
+            page.firsts[key] = next((at for at, j in enumerate(row) if self._ends(page, j, chain, k)), len(row))
+        return page.firsts[key]
+
+
 def _close(text: str, at: int) -> int:
     depth, quote = 1, ""
     for i in range(at, len(text)):

@@ -1,7 +1,8 @@
 """Documents as a table of nodes, and queries over it.
 
-A node's descendants are those of its document with node_id above its own up to its subtree_end, so tree walks are
-equality joins on the document with a range beside it. Repartition by document once and the joins reuse it.
+A node's descendants are those of its document with node_id above its own up to its subtree_end. Nodes numbered in document
+order nest like brackets, so relations between sets of nodes need no join with a range: both sets are sorted by document and
+number once and walked in one pass with a running bound, or with a stack where pairs are asked for.
 
 What asks only for nodes of one page at a time needs no joins: project() and records() parse a page once, find elements
 by selectors in the same task and shuffle nothing.
@@ -22,8 +23,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tessella.functions.htmltree import Tree
 from tessella.functions.selectors import KINDS, Page, Selector
+from tessella.functions.tables import NODES
 
-NODES = "node_id int, parent_id int, subtree_end int, depth int, sibling_idx int, elem_idx int, node_type int, tag string, attrs map<string,string>, text string, in_template boolean, quirks boolean"
 _KINDS = [pa.int32()] * 7 + [pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.bool_(), pa.bool_()]
 
 
@@ -59,8 +60,8 @@ def _answer(page: Page, ask: tuple, at: int):
     return make(page, [at] if chosen is None else page.find(chosen, at), arg)
 
 
-def _over_pages(pages: DataFrame, id_col: str, html_col: str, keep: list[str], made: T.StructType, ask) -> DataFrame:
-    """The kept columns and those of `made`, which ask(page) gives as a dict, for each page."""
+def _over_pages(pages: DataFrame, id_col: str, html_col: str, keep: list[str], made: T.StructType, ask, context: str | None = None) -> DataFrame:
+    """The kept columns and those of `made`, which ask(page) gives as a dict, for each page, or fragment inside a context."""
     kept = [id_col, *(c for c in keep if c != id_col)]
     held = pages.select(*kept, F.col(html_col).cast("string").alias("__html"))
     arrow = {f.name: to_arrow_type(f.dataType) for f in made}
@@ -69,7 +70,7 @@ def _over_pages(pages: DataFrame, id_col: str, html_col: str, keep: list[str], m
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
-                rows = [ask(Page(html)) for html in part.column(len(kept)).to_pylist()]
+                rows = [ask(Page(html, context)) for html in part.column(len(kept)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array([r[c] for r in rows], kind) for c, kind in arrow.items())], [*kept, *arrow])
 
     return held.mapInArrow(run, T.StructType([*held.schema[: len(kept)], *made]))
@@ -90,15 +91,9 @@ def select(pages: DataFrame, id_col: str, html_col: str, selector: str, keep: li
     return found.select(id_col, *(keep or []), F.posexplode("__nodes").alias("idx", "n")).select(id_col, *(keep or []), "idx", "n.*")
 
 
-# What must be open around an element that can't stand in a body by itself.
-AROUND = {"tr": "<table><tbody><tr>", "td": "<table><tr><td>", "th": "<table><tr><th>", **dict.fromkeys(("tbody", "thead", "tfoot"), "<table><{}>"), "caption": "<table><caption>", "option": "<select><option>"}
-
-
 def fragments(pages: DataFrame, id_col: str, html_col: str, context: str = "body") -> DataFrame:
     """(id, html): each fragment as it is parsed inside an element of the context's tag."""
-    opened = "" if context == "body" else AROUND.get(context, "<{}>").format(context)
-    held = pages.select(id_col, F.concat(F.lit("<!doctype html><body>" + opened), F.coalesce(html_col, F.lit(""))).alias("__part"))
-    return project(held, id_col, "__part", {"html": ("inner", context)})
+    return _over_pages(pages, id_col, html_col, [], T.StructType().fromDDL("html string"), lambda page: {"html": page.html(1, inner=True)}, context)
 
 
 def records(pages: DataFrame, id_col: str, html_col: str, rows: list[tuple[str, dict[str, list[Ask]]]], name: str = "rows") -> DataFrame:
@@ -176,16 +171,67 @@ def checked() -> Column:
 
 
 # Relations between sets of nodes; each returns nodes of the first.
+def _bounded(nodes: DataFrame, marks: DataFrame, doc: str, bound: str, marks_first: bool, backwards: bool = False) -> DataFrame:
+    """(__row, __bound, __seen) for nodes: the running bound over marks before each in document order, or behind it if backwards."""
+    mine = nodes.select(F.col(doc).alias("__doc"), F.col("node_id").alias("__at"), F.struct(*(F.col(f"`{c}`") for c in nodes.columns)).alias("__row"), F.lit(None).cast("int").alias("__mark"))
+    theirs = marks.select(F.col(doc).alias("__doc"), F.col("node_id").alias("__at"), F.lit(None).cast(mine.schema["__row"].dataType).alias("__row"), F.col(bound).alias("__mark"))
+    turn = F.col("__row").isNull() if not marks_first else F.col("__row").isNotNull()
+    w = Window.partitionBy("__doc").orderBy(F.desc("__at") if backwards else F.asc("__at"), turn).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return mine.unionByName(theirs).withColumn("__bound", (F.min if backwards else F.max)("__mark").over(w)).where("__row IS NOT NULL")
+
+
 def within(nodes: DataFrame, outer: DataFrame, doc: str) -> DataFrame:
-    """Descendants of nodes in outer."""
-    o = outer.select(F.col(doc).alias("__doc"), F.col("node_id").alias("__from"), F.col("subtree_end").alias("__to"))
-    return nodes.join(o, (F.col(doc) == F.col("__doc")) & (F.col("node_id") > F.col("__from")) & (F.col("node_id") <= F.col("__to")), "left_semi")
+    """Descendants of nodes in outer: those that the furthest subtree begun before them reaches. One sort, one pass."""
+    return _bounded(nodes, outer, doc, "subtree_end", marks_first=False).where("__bound >= __at").select("__row.*")
 
 
 def around(nodes: DataFrame, inner: DataFrame, doc: str) -> DataFrame:
-    """Ancestors of nodes in inner."""
-    i = inner.select(F.col(doc).alias("__doc"), F.col("node_id").alias("__at"))
-    return nodes.join(i, (F.col(doc) == F.col("__doc")) & (F.col("__at") > F.col("node_id")) & (F.col("__at") <= F.col("subtree_end")), "left_semi")
+    """Ancestors of nodes in inner: those whose subtree holds the next of them. One sort, one pass."""
+    return _bounded(nodes, inner, doc, "node_id", marks_first=False, backwards=True).where("__bound <= __row.subtree_end").select("__row.*")
+
+
+def nested(inner: DataFrame, outer: DataFrame, doc: str, nearest: bool = False, most: int = 10_000) -> DataFrame:
+    """(doc, node_id, outer_id, rank): each node of inner with the nodes of outer that hold it, the nearest first, from 0.
+
+    A stack-tree merge: each document's nodes pass in order by a stack of the outer subtrees that are open, so the work is that
+    of the sort and of the pairs that come out; nearest gives at most one of them. A task holds one stack and `most` pairs.
+    """
+    ends = [x.select(F.col(doc).alias("__doc"), F.col("node_id").alias("at"), F.col("subtree_end").alias("stop"), F.lit(k).alias("turn")) for k, x in enumerate((inner, outer))]
+    rows = ends[0].unionByName(ends[1]).repartition("__doc").sortWithinPartitions("__doc", "at", "turn")
+    schema = T.StructType([rows.schema["__doc"], *T.StructType().fromDDL("node_id int, outer_id int, rank int")])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, stops = object(), [], []
+        for batch in batches:
+            column, out = batch.column(0), ([], [], [], [])
+            for k, (at, stop, turn) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
+                name = column[k]
+                if name != now:
+                    now, ids, stops = name, [], []
+                while stops and stops[-1] < at:
+                    ids.pop()
+                    stops.pop()
+                if turn:
+                    ids.append(at)
+                    stops.append(stop)
+                    continue
+                held = ids[: -2 if nearest else None : -1]
+                for a in range(0, len(held), most):
+                    part = held[a : a + most]
+                    for c, made in zip(out, ([k] * len(part), [at] * len(part), part, range(a, a + len(part))), strict=True):
+                        c.extend(made)
+                    if len(out[0]) >= most:
+                        yield pa.RecordBatch.from_arrays([column.take(pa.array(out[0])), *(pa.array(c, pa.int32()) for c in out[1:])], names)
+                        out = ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([column.take(pa.array(out[0], pa.int32())), *(pa.array(c, pa.int32()) for c in out[1:])], names)
+
+    return rows.mapInArrow(run, schema).withColumnRenamed("__doc", doc)
+
+
+def compare_order(a: Column, b: Column) -> Column:
+    """-1, 0 or 1: whether a node comes before, is or comes behind another of its document, by their numbers."""
+    return F.signum((a - b).cast("double")).cast("int")
 
 
 def children_of(nodes: DataFrame, parents: DataFrame, doc: str) -> DataFrame:
@@ -217,17 +263,30 @@ def first_of(nodes: DataFrame, doc: str) -> DataFrame:
     return nodes.groupBy(doc).agg(F.min_by(F.struct(*(c for c in nodes.columns if c != doc)), "node_id").alias("n")).select(doc, "n.*")
 
 
+def page_texts(nodes: DataFrame, doc: str, drop: tuple[str, ...] = ()) -> DataFrame:
+    """(doc, page_text, spans): each document's text once, without that in templates and in dropped tags, and where in it
+    the text of each node starts and stops, by number. nodes: all nodes of the documents.
+
+    One pass in document order adds up the lengths, so a document's row is as long as the document, however deep it is.
+    """
+    w = Window.partitionBy(doc).orderBy("node_id")
+    gone = F.max(F.when(F.col("tag").isin(*drop), F.col("subtree_end"))).over(w.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("node_id") if drop else F.lit(False)
+    said = nodes.select(doc, "node_id", "subtree_end", F.when((F.col("node_type") == 3) & ~F.col("in_template") & ~F.coalesce(gone, F.lit(False)), F.col("text")).alias("__said"))
+    upto = said.withColumn("__upto", F.sum(F.coalesce(F.char_length("__said"), F.lit(0))).over(w))
+    rows = upto.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("node_id", "subtree_end", "__upto", "__said"))).alias("n"))
+    text = F.array_join(F.transform("n", lambda x: x["__said"]), "")
+    spans = F.transform("n", lambda x: F.struct(x["__upto"].cast("int").alias("start"), F.element_at("n", x["subtree_end"] + 1)["__upto"].cast("int").alias("stop")))
+    return rows.select(doc, text.alias("page_text"), spans.alias("spans"))
+
+
 def text_of(nodes: DataFrame, wanted: DataFrame, doc: str, drop: tuple[str, ...] = ()) -> DataFrame:
-    """(doc, node_id, text_content) of wanted nodes: their text nodes joined in order, without those in dropped tags."""
-    said = nodes.where("node_type = 3 AND NOT in_template")
-    if drop:
-        out = nodes.where(F.col("tag").isin(*drop)).select(F.col(doc).alias("__doc"), F.col("node_id").alias("__from"), F.col("subtree_end").alias("__to"))
-        said = said.join(out, (F.col(doc) == F.col("__doc")) & (F.col("node_id") > F.col("__from")) & (F.col("node_id") <= F.col("__to")), "left_anti")
-    said = said.select(F.col(doc).alias("__doc"), F.col("node_id").alias("__at"), F.col("text").alias("__text"))
-    w = wanted.select(doc, "node_id", "subtree_end")
-    rows = w.join(said, (F.col(doc) == F.col("__doc")) & (F.col("__at") > F.col("node_id")) & (F.col("__at") <= F.col("subtree_end")), "left")
-    parts = F.array_sort(F.collect_list(F.when(F.col("__at").isNotNull(), F.struct("__at", "__text"))))
-    return rows.groupBy(doc, "node_id").agg(F.array_join(F.transform(parts, lambda x: x["__text"]), "").alias("text_content"))
+    """(doc, node_id, text_content) of wanted nodes: their text nodes joined in order, without those in dropped tags.
+
+    nodes: all nodes of the documents. Every wanted node is a substring of its document's text, which is made once."""
+    texts = page_texts(nodes, doc, drop).withColumnRenamed(doc, "__doc")
+    held = wanted.select(doc, "node_id").join(texts, F.col(doc) == F.col("__doc"), "left")
+    span = F.get("spans", F.col("node_id"))
+    return held.select(doc, "node_id", F.coalesce(F.substring("page_text", span["start"] + 1, span["stop"] - span["start"]), F.lit("")).alias("text_content"))
 
 
 def steps(nodes: DataFrame, doc: str) -> DataFrame:
@@ -253,8 +312,7 @@ def with_attribute(nodes: DataFrame, where: Column, name: str, value: Column | N
 
 def drop_subtrees(nodes: DataFrame, roots: DataFrame, doc: str) -> DataFrame:
     """nodes without the given ones and what is in them."""
-    r = roots.select(F.col(doc).alias("__doc"), F.col("node_id").alias("__from"), F.col("subtree_end").alias("__to"))
-    return nodes.join(r, (F.col(doc) == F.col("__doc")) & (F.col("node_id") >= F.col("__from")) & (F.col("node_id") <= F.col("__to")), "left_anti")
+    return _bounded(nodes, roots, doc, "subtree_end", marks_first=True).where("__bound IS NULL OR __bound < __at").select("__row.*")
 
 
 #: Elements that a visitor can use.
