@@ -88,11 +88,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     return out.withColumn("__taken", F.col("__copies") * F.col("__size")).drop("__of", "__plan", "__key", "__bucket")
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, numbered by mix_copy."""
-    out = mix(docs, **how).where("__copies > 0")
-    copy = F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))
-    return out.select(*(f"`{c}`" for c in docs.columns if c != "mix_copy"), copy.alias("mix_copy"))
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken, numbered by mix_copy; other columns come through as they were."""
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "mix_copy"))
+    held = docs.select(own.alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("of_source"), F.col(f"`{text_col}`").alias("text"))
+    out = mix(held, id_col="id", source_col="of_source", text_col="text", **how).where("__copies > 0")
+    return out.select("row.*", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("mix_copy"))
 
 
 #: The same rows in DuckDB's SQL.

@@ -349,13 +349,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each group of near duplicates; of rows equal in id and text, one stays."""
-    found = near_duplicates(docs, id_col, text_col, ngram, percent).where("representative")
-    mine = found.groupBy(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("__rows"))
-    mine = materialize(mine)
-    held = docs.withColumn("__row_hash", F.xxhash64(F.col(text_col).cast("string")))
-    out = held.join(mine, F.col(id_col).eqNullSafe(F.col("__id")) & F.col("__row_hash").eqNullSafe(F.col("__hash")))
-    if mine.where("__rows > 1").limit(1).count():
-        once = out.where("__rows > 1").dropDuplicates(["__row_hash", id_col])
-        out = out.where("__rows = 1").unionByName(once)
-    return out.select(*(f"`{c}`" for c in docs.columns))
+    """docs with one row of each group of near duplicates; of rows equal in id and text, one stays. Columns of any name come through."""
+    found = near_duplicates(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text", ngram, percent).where("representative")
+    mine = materialize(found.groupBy("id", "text_hash").agg(F.count("*").alias("n")))
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").alias("of"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("hash"))
+    out = held.join(mine, F.col("of").eqNullSafe(F.col("id")) & F.col("hash").eqNullSafe(F.col("text_hash")))
+    if mine.where("n > 1").limit(1).count():
+        out = out.where("n = 1").unionByName(out.where("n > 1").dropDuplicates(["hash", "of"]))
+    return out.select("row.*")

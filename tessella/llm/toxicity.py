@@ -11,10 +11,10 @@ over that bounded sample, so the driver holds only the finished model. Texts of
 training picks the windows to learn from in rounds: the highest-scoring one of a toxic document, the highest ones and
 others of a clean document.
 
-Defined results: null text and text without words score as an empty window does; without labels of both kinds every
-score is 0. Repeated ids are scored row by row; in training one text of an id counts, the least. A null id is never
+Defined results: null text and text without words score as an empty window does; without labels of both kinds, or where no
+score tells them apart, every score is 0; windows of words that training never saw are clean. Repeated ids are scored row by row; in training one text of an id counts, the least. A null id is never
 learned from. Very long texts are scored in all their windows. An empty table gives an empty table. Ties at 1/2 are
-toxic. A kept column named like the score gives way to it.
+toxic to a reader of scores, but the filter keeps them. A kept column named like the score gives way to it; the filter keeps all columns as they were.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from tessella.llm.common import WordRows, bounded_sample, map_texts
 
 WINDOW, STRIDE, HIDDEN, ATTENTION, SAMPLE = 16, 4, 8, 8, 1500
+#: Stands for a word that no training document has; no text gives it.
+UNKNOWN = b"\0"
 SIGNIFICANT, SEEN, LEARNED, EVIDENCE = 16.0, 4, 6, 5
 _WORDS = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 INPUTS = EVIDENCE + 2 * LEARNED
@@ -250,7 +252,7 @@ def fit(rows: Iterable[tuple[str | None, int]], rounds: int = 3, steps: int = 15
     if len(set(labels)) < 2:
         return None
     lexicon = Lexicon(docs, label, vocab, evidence)
-    parts, every = [], [*vocab, b""]
+    parts, every = [], [*vocab, b"", UNKNOWN]
     for i in range(0, len(every), 20_000):
         row, gram, of, known = lexicon.parts(every[i : i + 20_000])
         order = np.argsort(of, kind="stable")
@@ -283,7 +285,13 @@ def fit(rows: Iterable[tuple[str | None, int]], rounds: int = 3, steps: int = 15
     hits = np.cumsum(label[order])
     f1 = 2 * hits / (np.arange(1, len(top) + 1) + label.sum())
     best = int(np.argmax(f1))
-    edge = 0.6 * top[order[best]] + 0.4 * top[order[min(best + 1, len(top) - 1)]]
+    under = top[order[min(best + 1, len(top) - 1)]]
+    if under >= top[order[best]]:
+        return None  # no score tells the labels apart
+    edge = 0.6 * top[order[best]] + 0.4 * under
+    strange = np.arange(WINDOW) < np.arange(1, WINDOW + 1)[:, None]
+    known_nothing = net.forward(gates, np.full((WINDOW, WINDOW), len(vocab) + 1, np.int32), strange).max()
+    edge = max(edge, float(known_nothing) + 1e-3)  # words that nothing is known of are no sign of toxicity
     net.p["bias"] = (net.p["bias"] - np.float32(edge)).astype(np.float32)
     return lexicon, net.p
 
@@ -340,6 +348,7 @@ def score_toxicity(docs: DataFrame, model: tuple | None, text_col: str = "text",
 
 
 def filter_toxic(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose score is under one half."""
+    """The rows of docs whose score is one half at most."""
     model = learn(docs, labels, usable, id_col, text_col)
-    return score_toxicity(docs, model, text_col, name="__toxicity").where("__toxicity < 0.5").select(*(f"`{c}`" for c in docs.columns))
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return score_toxicity(held, model, "text", keep=["row"], name="score").where("score <= 0.5").select("row.*")

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -108,6 +109,14 @@ def test_links_of_spans_that_cross():
     assert set(of_a) == set(range(len(a))) and set(of_b) == set(range(len(b)))
 
 
+def test_encodes_as_the_file_says():
+    file = Tokenizer.from_file(f"{FOLDER}/byte_bpe_50k.json")
+    file.encode_special_tokens = True
+    pair, rng = Pair(*read_tokenizers()), random.Random(6)
+    texts = [f"{x}{chr(c)}{y}" for c in range(1, 0x3100) for x, y in ((" a", "b"), ("1", " "))] + ["".join(rng.choices("abcdeABC éñüß  .,'-0123\n\t", k=rng.randint(1, 60))) for _ in range(3000)]
+    assert [pair.a.encode_ordinary(t) for t in texts] == [x.ids for x in file.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_query_matches_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 1500").select("doc_id", "text").limit(60)
