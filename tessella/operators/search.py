@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.urls import normalize_url
+from tessella.functions.urls import normalize_url, suffixes
+from tessella.operators.joins import join_unique
+from tessella.sources.staging import materialize
 
 
 def position_scores(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -49,21 +51,67 @@ def merge_results(raw: DataFrame, by: list[str], most: int = 10) -> DataFrame:
 
 
 def fetch_top(ranked: DataFrame, pages: DataFrame, top: int, most_chars: int) -> DataFrame:
-    """Content of the first results by URL; rows without a page say so."""
-    content = pages.select(F.col("url").alias("page_url"), "text")
+    """Content of the first results by URL; rows without a page say so. Of several captures of a URL the longest text counts, of
+    equals the greatest, so a result stays one row."""
+    once = pages.where(F.col("url").isNotNull()).groupBy("url").agg(F.max(F.struct(F.char_length("text").alias("n"), "text")).alias("p"))
+    content = once.select(F.col("url").alias("page_url"), F.col("p.text").alias("text"))
     wanted = F.when(F.col("rank") <= top, F.col("url"))
     out = ranked.withColumn("wanted", wanted).join(content, F.col("wanted") == F.col("page_url"), "left")
     out = out.withColumn("content", F.substring("text", 1, most_chars)).withColumn("content_truncated", F.coalesce(F.char_length("text") > most_chars, F.lit(False)))
     return out.withColumn("fetch_error", F.when(F.col("wanted").isNotNull() & F.col("page_url").isNull(), "not captured")).drop("wanted", "page_url", "text")
 
 
+#: Bits of a domain filter for each domain, and the most that one may have; beyond that all hosts are looked up.
+BITS_EACH, MOST_BITS = 12, 1 << 26
+
+
+def domain_filter(domains: DataFrame, domain: str = "domain") -> tuple[DataFrame | None, int]:
+    """A Bloom filter as a table of one row, its bits in words of 64, and how many bits; None if it would be too large.
+
+    The bits are set by one aggregation: each domain's three hashes go to their words, words are joined by or."""
+    named = domains.where(F.col(domain).isNotNull()).select(F.lower(domain).alias("d")).distinct()
+    n = named.count()
+    size = max(1024, 1 << (BITS_EACH * n - 1).bit_length()) if n else 1024
+    if size > MOST_BITS:
+        return None, size
+    bits = named.select(F.explode(F.array(*_bits(F.col("d"), size))).alias("b"))
+    words = bits.groupBy(F.shiftright("b", 6).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))).alias("v"))
+    every = named.sparkSession.range(size // 64).select(F.col("id").cast("int").alias("w")).join(words, "w", "left").select("w", F.coalesce("v", F.lit(0).cast("long")).alias("v"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "v"))), lambda x: x["v"]).alias("__filter")), size
+
+
+def _bits(text: Column, size: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.lit(k), text), F.lit(size).cast("long")) for k in range(3)]
+
+
+def may_be_in(text: Column, words: Column, size: int) -> Column:
+    """Whether a filter holds all bits of a text: always for what went in, seldom for anything else."""
+    ok = F.lit(True)
+    for b in _bits(text, size):
+        ok = ok & (F.call_function("shiftright", F.get(words, F.shiftright(b, 6).cast("int")), (b % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
+    return ok
+
+
 def in_domains(rows: DataFrame, host_col: str, domains: DataFrame, keep: bool) -> DataFrame:
-    """Rows whose host, or a parent of it, is in domains(domain): with keep only those, else all others.
+    """Rows whose host, or a parent of it, is in domains(domain): with keep only those, else all others. Hosts have no case.
 
-    Matching domains are found on distinct hosts, so a host with many rows is looked up once.
+    Every row is first asked of a Bloom filter of the domains, a value of checked size; what it doesn't know is decided in place and never shuffled. The distinct hosts that are left are looked up, which takes out what the filter
+    took by mistake; a host with many rows is looked up once and its rows are dealt out. A null host is in no domain.
     """
-    from tessella.functions.urls import suffixes
-
-    hosts = rows.select(F.col(host_col).alias("__host")).distinct()
-    hit = hosts.select("__host", F.explode(suffixes(F.col("__host"))).alias("domain")).join(domains.select("domain").distinct(), "domain", "left_semi").select("__host").distinct()
-    return rows.join(hit, F.col(host_col) == F.col("__host"), "left_semi" if keep else "left_anti")
+    kept = [F.col(f"`{c}`") for c in rows.columns]
+    own = rows.withColumn("__host", F.lower(host_col))
+    words, size = domain_filter(domains)
+    if words is None:
+        near, far = own, None
+    else:
+        asked = own.join(F.broadcast(words))  # one row, of MOST_BITS at most
+        maybe = F.coalesce(F.exists(suffixes(F.col("__host")), lambda s: may_be_in(s, F.col("__filter"), size)), F.lit(False))
+        near, far = asked.where(maybe).drop("__filter"), asked.where(~maybe)
+    listed = domains.select(F.lower("domain").alias("domain")).distinct()
+    hosts = near.where("__host IS NOT NULL").select("__host").distinct()
+    hit = hosts.select("__host", F.explode(suffixes(F.col("__host"))).alias("domain")).join(listed, "domain", "left_semi").select("__host").distinct().withColumn("__hit", F.lit(True))
+    found = join_unique(near, materialize(hit), "__host", F.xxhash64(*(c for c, kind in rows.dtypes if "map<" not in kind)))
+    if keep:
+        return found.where("__hit").select(kept)
+    out = found.where("__hit IS NULL").select(kept)
+    return out if far is None else out.unionByName(far.select(kept))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators import cookies, redirects
+from tessella.operators import cookies, patterns, redirects, search
 from tessella.plans.web import _ORIGIN, C, _events, _pages, _since_epoch, _split, query
 
 # Captures derived from the pages: where each leads depends on its length; every third leads to one hub, some to each other,
@@ -59,3 +59,32 @@ def cookie_header_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = cookies.parse_set_cookie(log, "header", C("origin"), "at", "now")
     asked = events.where("event_id % 3 = 0").selectExpr(*_split(_ASK), "now")
     return cookies.headers_as_of(asked, parsed, "event_id", "event_id", "now").select("event_id", "header")
+
+
+# A pattern from each page, in every form; some are very common, some alone.
+_PATTERN = """CASE page_id % 8 WHEN 0 THEN concat('*', regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '*') WHEN 1 THEN concat(regexp_extract(url, '^([a-z]+://[^/?#]+/[a-z]*)', 1), '*') WHEN 2 THEN concat('*', right(url, 6))
+WHEN 3 THEN regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) WHEN 4 THEN url WHEN 5 THEN concat('*', regexp_extract(url, '([.][a-z]+)[/?#]', 1), '/', left(html, page_id % 3), '*') WHEN 6 THEN right(url, 2) ELSE concat('*', regexp_extract(url, '([0-9]+)', 1)) END"""
+_MATCHES = "pattern = '*' OR CASE WHEN starts_with(pattern, '*') AND ends_with(pattern, '*') THEN contains(url, pattern[2:-2]) WHEN starts_with(pattern, '*') THEN ends_with(url, pattern[2:]) WHEN ends_with(pattern, '*') THEN starts_with(url, pattern[:-2]) ELSE contains(url, pattern) END"
+
+
+@query(f"WITH s AS (SELECT DISTINCT {_PATTERN} AS pattern FROM pages) SELECT page_id, count(pattern) AS n_patterns FROM pages LEFT JOIN s ON {_MATCHES} GROUP BY page_id")
+def url_pattern_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the patterns made of all pages' URLs match each page's own."""
+    pages = _pages(spark, sf_dir)
+    found = patterns.pattern_matches(pages, "url", pages.selectExpr(f"{_PATTERN} AS pattern"))
+    counts = found.groupBy(C("url").alias("__url")).agg(F.count("*").alias("n"))
+    return pages.select("page_id", "url").join(counts, C("url") == C("__url"), "left").select("page_id", F.coalesce("n", F.lit(0)).alias("n_patterns"))
+
+
+# A long list of domains: every third page's host and the parents of some, with ones that no page has.
+_HOST = "regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)"
+_LISTED = f"CASE page_id % 6 WHEN 0 THEN {_HOST} WHEN 3 THEN concat('x', cast(page_id AS VARCHAR(9)), '.', {_HOST}) ELSE concat('none', cast(page_id AS VARCHAR(9)), '.example') END"
+
+
+@query(f"""WITH d AS (SELECT DISTINCT {_LISTED} AS domain FROM pages WHERE length(html) % 3 = 0) SELECT page_id, host FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'A.' ELSE '' END || {_HOST} AS host FROM pages) p
+WHERE NOT EXISTS (SELECT 1 FROM d WHERE lower(host) = domain OR ends_with(lower(host), '.' || domain))""")
+def long_domain_list_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose host is in no domain of a list as long as the table."""
+    pages = _pages(spark, sf_dir)
+    rows = pages.selectExpr("page_id", f"concat(CASE WHEN page_id % 2 = 0 THEN 'A.' ELSE '' END, {_HOST}) AS host")
+    return search.in_domains(rows, "host", pages.where("length(html) % 3 = 0").selectExpr(f"{_LISTED} AS domain"), keep=False)

@@ -67,8 +67,14 @@ def test_join_unique_deals_out_hot_keys(spark, monkeypatch):
     out = joins.join_unique(left, right, "k", F.col("id"))
     assert out.columns == ["id", "k", "v"]
     assert {(r.id, r.v) for r in out.collect()} == {(i, 1 if i % 3 == 0 else {4: 2, 7: 3}.get(i)) for i in range(1000)} and out.count() == 1000
-    parts = out.where("v = 1").groupBy(F.spark_partition_id()).count().collect()
-    assert len(parts) > 1
+    off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    was = {k: spark.conf.get(k) for k in off}
+    for k, v in off.items():
+        spark.conf.set(k, v)
+    parts = joins.join_unique(left, right, "k", F.col("id")).where("v = 1").groupBy(F.spark_partition_id()).count().collect()
+    for k, v in was.items():
+        spark.conf.set(k, v)
+    assert len(parts) == 4 and max(r["count"] for r in parts) < 200
 
 
 @pytest.mark.parametrize("ranges", [1, 4, 9])
@@ -103,3 +109,76 @@ def test_cookies_as_of_each_request(spark):
     assert got == want
     seen = {r.id: r.header for r in cookies.headers_as_of(requests, parsed, "id", "n", "now", script=True).collect()}
     assert 3 not in seen and seen[1] == "a=1"
+
+
+def test_pattern_sets(spark, monkeypatch):
+    from tessella.functions.policy import pattern_blocks
+    from tessella.operators import patterns
+
+    monkeypatch.setattr(joins, "TOGETHER", 100)
+    rng = random.Random(3)
+    hosts = [f"h{rng.randrange(99999)}.{rng.choice(['example.com', 'test.org', 'x.net'])}" for _ in range(400)]
+    urls = [f"https://{rng.choice(hosts)}/{rng.choice('abc')}/{rng.randrange(10**6)}?q={rng.randrange(99)}" for _ in range(300)] + ["", "é*x", "a"]
+    shapes = [lambda x: f"*{x}*", lambda x: f"*{x}", lambda x: f"{x}*", lambda x: x]
+
+    def one():
+        u = rng.choice(urls)
+        a = rng.randrange(max(1, len(u)))
+        return rng.choice(shapes)(u[a : a + rng.choice([1, 3, 5, 8, 30])])
+
+    held = [*(rng.choice(hosts) + str(k) for k in range(9000)), *(one() for _ in range(1000)), "*", "**", "", "***", "*.com*", "https*", "é"]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate([*urls, urls[0], None])], "id long, url string")
+    asked = spark.createDataFrame([(p,) for p in [*held, None, held[0]]], "pattern string")
+
+    def blocks(u, p, whole):
+        if p == "*":
+            return True
+        if p.startswith("*") and p.endswith("*"):
+            return p[1:-1] in u
+        if p.startswith("*"):
+            return u.endswith(p[1:])
+        if p.endswith("*"):
+            return u.startswith(p[:-1])
+        return u == p if whole else p in u
+
+    for whole in (False, True):
+        want = {(u, p) for u in set(urls) for p in set(held) if blocks(u, p, whole)}
+        got = [tuple(r) for r in patterns.pattern_matches(rows, "url", asked, bare_is_whole=whole).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    some = spark.createDataFrame([("*.com*",), ("zzz",), ("é*",)], "pattern string")
+    got = {r.id: r.blocked for r in patterns.blocked_by(rows, "url", some).collect()}
+    assert got == {i: u is not None and (".com" in u or u.startswith("é")) for i, u in enumerate([*urls, urls[0], None])}
+    plain = rows.where("url IS NOT NULL").crossJoin(some).where(pattern_blocks(F.col("url"), F.col("pattern"))).select("id").distinct().count()
+    assert plain == sum(got.values())
+    assert patterns.pattern_matches(rows, "url", asked.where("false")).count() == 0
+
+
+def test_domain_filter(spark, monkeypatch):
+    from tessella.operators import search
+
+    rng = random.Random(9)
+    listed = [f"d{k}.example" for k in range(500)] + ["deep.listed.org", "Com.example"]
+    hosts = [rng.choice([f"a.{rng.choice(listed)}", f"free{k}.test", rng.choice(listed).upper(), "x.deep.listed.org", "listed.org"]) for k in range(300)] + [None, ""]
+    rows = spark.createDataFrame([(k, h, {"a": "b"}) for k, h in enumerate(hosts)], "id long, h string, m map<string,string>")
+    domains = spark.createDataFrame([(d,) for d in [*listed, None]], "domain string")
+    inside = {k for k, h in enumerate(hosts) if h and any(h.lower() == d.lower() or h.lower().endswith("." + d.lower()) for d in listed)}
+    ids = lambda keep: sorted(r.id for r in search.in_domains(rows, "h", domains, keep).collect())
+    assert ids(True) == sorted(inside) and ids(False) == sorted(set(range(len(hosts))) - inside)
+    words, size = search.domain_filter(domains)
+    probes = spark.createDataFrame([(f"no{k}.example",) for k in range(2000)] + [(d.lower(),) for d in listed], "t string").join(words)
+    said = probes.groupBy(F.startswith("t", F.lit("no")).alias("absent")).agg(F.sum(search.may_be_in(F.col("t"), F.col("__filter"), size).cast("int")).alias("n")).collect()
+    assert {r.absent: r.n for r in said}[False] == len(listed) and {r.absent: r.n for r in said}[True] < 100
+    free = search.in_domains(rows.where("h LIKE 'free%'"), "h", domains, False)
+    assert free.count() == sum(1 for h in hosts if h and h.startswith("free"))
+    monkeypatch.setattr(search, "MOST_BITS", 100)  # too long a list for a filter
+    assert search.domain_filter(domains)[0] is None
+    assert ids(True) == sorted(inside) and ids(False) == sorted(set(range(len(hosts))) - inside)
+
+
+def test_one_page_a_result(spark):
+    from tessella.operators import search
+
+    ranked = spark.createDataFrame([(1, "u1"), (2, "u2"), (3, "u3"), (4, "u1")], "rank int, url string")
+    pages = spark.createDataFrame([("u1", "short"), ("u1", "longer"), ("u1", None), ("u3", None), (None, "x")], "url string, text string")
+    got = {r.rank: (r.content, r.content_truncated, r.fetch_error) for r in search.fetch_top(ranked, pages, 3, 5).collect()}
+    assert got == {1: ("longe", True, None), 2: (None, False, "not captured"), 3: (None, False, None), 4: (None, False, None)}
