@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from tessella.llm.common import discard, materialize
 
 #: Bytes of text in a shard; a longer document is a shard of its own.
-SHARD = 2 << 20
+SHARD = 1 << 20
 #: Bytes of the hashes that choose a place, and the most places in a row of which one is chosen.
 GRAM, SPAN = 24, 256
 #: Windows to a cell, by round; the first round's is SPAN.
