@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BinaryType
 
 from tessella.functions.classify import has_any, is_antispider
 from tessella.functions.urls import host, origin, scheme
@@ -103,3 +108,32 @@ def redirects_blocked(redirects: Column) -> Column:
 def cache_key(*fields: Column) -> Column:
     """A digest of a request's fields, nulls apart from empty text."""
     return F.sha2(F.concat_ws("|", *(F.coalesce(F.concat(F.lit("="), f.cast("string")), F.lit("-")) for f in fields)), 256)
+
+
+# The keys that a visitor's script names, with their codes and numbers.
+KEYS = {
+    "enter": ("Enter", 13), "escape": ("Escape", 27), "esc": ("Escape", 27), "backspace": ("Backspace", 8), "tab": ("Tab", 9), "arrowup": ("ArrowUp", 38),
+    "arrowdown": ("ArrowDown", 40), "arrowleft": ("ArrowLeft", 37), "arrowright": ("ArrowRight", 39), "space": ("Space", 32), "delete": ("Delete", 46),
+}
+
+
+def key_code(name: Column) -> Column:
+    """(code, key_code) of a key's name in any case; another name is its own code, with number 0."""
+    low = F.lower(name)
+    known = F.create_map(*(x for k, (code, n) in KEYS.items() for x in (F.lit(k), F.struct(F.lit(code).alias("code"), F.lit(n).alias("key_code")))))
+    return F.coalesce(F.try_element_at(known, low), F.when(low.isNotNull(), F.struct(low.alias("code"), F.lit(0).alias("key_code"))))
+
+
+@pandas_udf(BinaryType())
+def _short_digest(algorithm: pd.Series, data: pd.Series) -> pd.Series:
+    short = {"SHA-512/224": "sha512_224", "SHA-512/256": "sha512_256"}
+    return pd.Series([None if a not in short or d is None else hashlib.new(short[a], bytes(d)).digest() for a, d in zip(algorithm, data, strict=True)], dtype=object)
+
+
+def digest(algorithm: Column, data: Column) -> Column:
+    """The digest of binary data by its algorithm's web name, in any case; empty for an unknown one. The two shortened ones need Python."""
+    name = F.upper(algorithm)
+    plain = F.when(name == "SHA-1", F.unhex(F.sha1(data)))
+    for bits in (256, 384, 512):
+        plain = plain.when(name == f"SHA-{bits}", F.unhex(F.sha2(data, bits)))
+    return plain.when(name.isin("SHA-512/224", "SHA-512/256"), _short_digest(name, data)).otherwise(F.lit(b""))

@@ -45,11 +45,51 @@ def suffixes(name: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
+def _form_decoded(x: Column) -> Column:
+    """+ is a space; an escape that is none stays as it is."""
+    return F.coalesce(F.try_url_decode(F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25")), x)
+
+
 def query_pairs(query: Column) -> Column:
-    """Decoded (key, value) in order; + is a space."""
-    decode = lambda x: F.coalesce(F.try_url_decode(x), x)
-    one = lambda x: F.struct(decode(F.substring_index(x, "=", 1)).alias("key"), decode(F.when(F.contains(x, F.lit("=")), F.regexp_replace(x, "^[^=]*=", "")).otherwise("")).alias("value"))
-    return F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), one)
+    """Decoded (key, value) in order, repeats and all; one leading ? is left out."""
+    one = lambda x: F.struct(_form_decoded(F.substring_index(x, "=", 1)).alias("key"), _form_decoded(F.when(F.contains(x, F.lit("=")), F.regexp_replace(x, "^[^=]*=", "")).otherwise("")).alias("value"))
+    return F.transform(F.filter(F.split(F.regexp_replace(query, r"^\?", ""), "&"), lambda x: x != ""), one)
+
+
+def form_encoded(pairs: Column) -> Column:
+    """The pairs as a query: what query_pairs() reads back as they were."""
+    return F.array_join(F.transform(pairs, lambda x: F.concat(F.url_encode(x["key"]), F.lit("="), F.url_encode(x["value"]))), "&")
+
+
+def params_get(pairs: Column, key: str) -> Column:
+    """The first value of a key, else null."""
+    return F.get(params_get_all(pairs, key), F.lit(0))
+
+
+def params_get_all(pairs: Column, key: str) -> Column:
+    return F.transform(F.filter(pairs, lambda x: x["key"] == key), lambda x: x["value"])
+
+
+def params_delete(pairs: Column, key: str) -> Column:
+    return F.filter(pairs, lambda x: x["key"] != key)
+
+
+def params_append(pairs: Column, key: str, value: Column) -> Column:
+    return F.concat(pairs, F.array(F.struct(F.lit(key).alias("key"), value.alias("value"))))
+
+
+def params_set(pairs: Column, key: str, value: Column) -> Column:
+    """The first pair of a key has the value where it stands, the others go; without one the pair comes last."""
+    first = F.array_position(F.transform(pairs, lambda x: x["key"]), key)
+    numbered = F.transform(pairs, lambda x, i: F.struct(F.when(i + 1 == first, value).otherwise(x["value"]).alias("value"), x["key"].alias("key"), (i + 1).alias("at")))
+    kept = F.transform(F.filter(numbered, lambda x: (x["key"] != key) | (x["at"] == first)), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))
+    return F.when(first > 0, kept).otherwise(params_append(pairs, key, value))
+
+
+def params_sort(pairs: Column) -> Column:
+    """The pairs by key; equal keys keep their order."""
+    numbered = F.transform(pairs, lambda x, i: F.struct(x["key"].alias("key"), i.alias("at"), x["value"].alias("value")))
+    return F.transform(F.array_sort(numbered), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))
 
 
 def _escape(text: Column) -> Column:

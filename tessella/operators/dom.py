@@ -378,13 +378,51 @@ def challenge_pages(pages: DataFrame, doc: str, html_col: str = "html") -> DataF
     return read.select(doc, ((F.col("__frames") > 0) | F.contains(said, F.lit(CHALLENGES[0])) | F.contains(said, F.lit(CHALLENGES[1]))).alias("challenge"))
 
 
-def scrape_record(pages: DataFrame, doc: str, html_col: str = "html", url_col: str = "url", selector: str = "") -> DataFrame:
-    """(doc, markdown, html, title, source_url, description, status_code): what a scrape returns for each page."""
+def scrape_record(pages: DataFrame, doc: str, html_col: str = "html", url_col: str = "url", selector: str = "", error_col: str | None = None) -> DataFrame:
+    """(doc, markdown, html, title, source_url, description, status_code): what a scrape returns for each page.
+
+    With an error column, which holds why a fetch failed, there are success and error too: a failed row has status 500, its
+    URL and its error, and nothing else."""
     from tessella.functions.text import description, page_title
 
-    read = project(pages, doc, html_col, {"markdown": ("markdown", selector or "body"), **({"__part": ("html", selector)} if selector else {})}, [url_col, html_col])
+    keep = [url_col, html_col, *([error_col] if error_col else [])]
+    read = project(pages, doc, html_col, {"markdown": ("markdown", selector or "body"), **({"__part": ("html", selector)} if selector else {})}, keep)
     html = F.col("__part") if selector else F.col(html_col)
-    return read.select(doc, "markdown", html.alias("html"), page_title(F.col(html_col)).alias("title"), F.col(url_col).alias("source_url"), description(F.col(html_col)).alias("description"), F.lit(200).alias("status_code"))
+    made = {"markdown": F.col("markdown"), "html": html, "title": page_title(F.col(html_col)), "description": description(F.col(html_col))}
+    if not error_col:
+        return read.select(doc, made["markdown"], html.alias("html"), made["title"].alias("title"), F.col(url_col).alias("source_url"), made["description"].alias("description"), F.lit(200).alias("status_code"))
+    ok = F.col(error_col).isNull()
+    return read.select(doc, ok.alias("success"), *(F.when(ok, c).alias(n) for n, c in made.items()), F.col(url_col).alias("source_url"), F.when(ok, 200).otherwise(500).alias("status_code"), F.col(error_col).alias("error"))
+
+
+def tier_one(pages: DataFrame, doc: str, selector: str, html_col: str = "html") -> DataFrame:
+    """(doc, content): the first element that a selector chooses in a page without its head, scripts and styles, as HTML.
+
+    A selector that is none gives the whole page without those, one that finds nothing empty text."""
+    from tessella.functions.text import strip_non_content
+
+    bare = pages.select(doc, strip_non_content(F.col(html_col)).alias("__bare"))
+    try:
+        Selector(selector)
+    except ValueError:
+        return bare.select(doc, F.col("__bare").alias("content"))
+    return project(bare, doc, "__bare", {"__found": ("html", selector)}).select(doc, F.coalesce("__found", F.lit("")).alias("content"))
+
+
+def apply_to_pages(pages: DataFrame, make, out: str, doc: str, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(doc, columns of out): what a function of a page's URL and HTML returns, a dict or None, over Arrow batches."""
+    made = T.StructType().fromDDL(out)
+    held = pages.select(doc, F.col(url_col).alias("__url"), F.col(html_col).cast("string").alias("__html"))
+    arrow = {f.name: to_arrow_type(f.dataType) for f in made}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                rows = [make(u, h) or {} for u, h in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r.get(c) for r in rows], kind) for c, kind in arrow.items())], [doc, *arrow])
+
+    return held.mapInArrow(run, T.StructType([held.schema[doc], *made]))
 
 
 def form_query(nodes: DataFrame, doc: str) -> DataFrame:

@@ -24,6 +24,12 @@ def eligible(engines: DataFrame, categories: str, names: list[str] | None = None
     return out.where(F.col("name").isin(names)) if names else out
 
 
+def eligible_for(searches: DataFrame, key: str, categories: str, engines: DataFrame) -> DataFrame:
+    """(key, name): the engines of each search, which have one of its comma-separated categories; a join of equal categories."""
+    wanted = searches.select(key, F.explode(F.split(categories, ",")).alias("__c")).select(key, F.trim("__c").alias("category"))
+    return wanted.join(F.broadcast(engines.select("name", F.explode("categories").alias("category"))), "category").select(key, "name").distinct()
+
+
 def merge_results(raw: DataFrame, by: list[str], most: int = 10) -> DataFrame:
     """One row for each normalised URL of a search, best first.
 

@@ -75,7 +75,8 @@ def sogou_wechat(pages: DataFrame, doc: str) -> DataFrame:
 
 def wechat_url(html: Column) -> Column:
     """The article address in a redirect page: script pieces joined, a refresh, a location, or any that is written out; else null."""
-    pieces = F.array_join(F.regexp_extract_all(html, F.lit(r"(?m)^[^\S\n]*url ?\+?=[^\S\n]*(['\"])([^'\"\n]*)\1"), F.lit(2)), "")
+    quoted = F.regexp_extract_all(html, F.lit(r"(?m)^[^\S\n]*url(?: \+=|=)[^\S\n]*('[^'\n]*'|\"[^\"\n]*\")"), F.lit(1))
+    pieces = F.array_join(F.transform(quoted, lambda x: F.substring(x, F.lit(2), F.char_length(x) - 2)), "")
     refresh = F.regexp_extract(html, r"url=([^\"'; ]*)", 1)
     location = F.regexp_extract(html, r"location(?:\.href)?=[\"']([^\"']*mp\.weixin\.qq\.com[^\"']*)", 1)
     written = F.regexp_extract(html, r"(http(?:(?!http)[^\"'<\s\\])*weixin\.qq[^\"'<\s\\]*)", 1)

@@ -46,12 +46,17 @@ _SET = "concat('c', cast(event_id % 4 AS VARCHAR(9)), '=v', cast(event_id AS VAR
 _ASK = "event_id, CASE WHEN user_id % 2 = 0 THEN 'HTTPS' ELSE 'http' END AS scheme, concat('U', cast(user_id % 50 AS VARCHAR(9)), '.Site.example') AS host, CASE event_id % 4 WHEN 0 THEN '/a/b' WHEN 1 THEN '/' ELSE '/ab' END AS path"
 
 
-@query(f"""WITH log AS (SELECT event_id AS at, CASE WHEN event_id % 5 = 2 THEN 'site.example' ELSE {_ORIGIN} END AS domain, 'c' || event_id % 4 AS name, 'v' || event_id AS value, CASE WHEN event_id % 5 = 1 THEN '/a' ELSE '/' END AS cookie_path, event_id % 5 <> 2 AS host_only, event_id % 5 = 1 AS secure,
+def cookie_sql(hidden: str, more: str = "") -> str:
+    """What each request sends; hidden says which cookies scripts don't see, more what else must hold."""
+    return f"""WITH log AS (SELECT event_id AS at, CASE WHEN event_id % 5 = 2 THEN 'site.example' ELSE {_ORIGIN} END AS domain, 'c' || event_id % 4 AS name, 'v' || event_id AS value, CASE WHEN event_id % 5 = 1 THEN '/a' ELSE '/' END AS cookie_path, event_id % 5 <> 2 AS host_only, event_id % 5 = 1 AS secure, {hidden} AS http_only,
 CASE event_id % 5 WHEN 0 THEN 0 WHEN 2 THEN CASE WHEN event_id % 50 = 0 THEN 0 ELSE floor(epoch(ts))::BIGINT + 3600 * (event_id % 50) END WHEN 3 THEN floor(epoch(ts))::BIGINT + 86400 END AS expires FROM events WHERE event_id % 3 <> 0),
 q AS (SELECT {_ASK}, floor(epoch(ts))::BIGINT AS now FROM events WHERE event_id % 3 = 0), k AS (SELECT DISTINCT domain, name, cookie_path FROM log),
 a AS (SELECT q.*, k.* FROM q JOIN k ON (lower(host) = domain OR ends_with(lower(host), '.' || domain)) WHERE cookie_path = '/' OR path = cookie_path OR starts_with(path, cookie_path || '/')),
-r AS (SELECT a.event_id, now, scheme, host, a.domain, a.name, value, host_only, secure, expires FROM a ASOF JOIN log ON a.domain = log.domain AND a.name = log.name AND a.cookie_path = log.cookie_path AND a.event_id >= log.at)
-SELECT event_id, string_agg(name || '=' || value, '; ' ORDER BY name || '=' || value) AS header FROM r WHERE (expires IS NULL OR expires > now) AND (lower(host) = domain OR NOT host_only) AND (NOT secure OR lower(scheme) = 'https') GROUP BY event_id""")
+r AS (SELECT a.event_id, now, scheme, host, a.domain, a.name, value, host_only, secure, http_only, expires FROM a ASOF JOIN log ON a.domain = log.domain AND a.name = log.name AND a.cookie_path = log.cookie_path AND a.event_id >= log.at)
+SELECT event_id, string_agg(name || '=' || value, '; ' ORDER BY name || '=' || value) AS header FROM r WHERE (expires IS NULL OR expires > now) AND (lower(host) = domain OR NOT host_only) AND (NOT secure OR lower(scheme) = 'https') {more} GROUP BY event_id"""
+
+
+@query(cookie_sql("event_id % 5 = 2"))
 def cookie_header_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each request sends of the cookies set before it."""
     events = _events(spark, sf_dir).withColumn("now", _since_epoch("SECOND"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import charset, classify, policy
-from tessella.operators import cookies, dom, resources, search, serp, state
+from tessella.operators import cookies, dom, resources, serp, state
 from tessella.plans.web import _SUFFICIENT, SHELL_VARIANT, C, _events, _jar, _pages, _since_epoch, query
 from tessella.sources import captures
 
@@ -156,11 +156,6 @@ def credentials_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select(_ID, policy.credentials_sent(mode, C("url"), target).alias("sent"))
 
 
-@query("SELECT name FROM (VALUES ('sogou_wechat'), ('bing_images'), ('baidu_images')) v(name)")
-def engine_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.eligible(serp.engines_frame(spark), "images, news").select("name")
-
-
 _LABELS = {"latin1": "windows-1252", " GB2312 ": "gbk", "UTF8": "utf-8", "x-sjis": "shift_jis", "ks_c_5601-1987": "euc-kr", "big5": "big5", "nonsense": None}
 
 
