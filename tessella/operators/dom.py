@@ -263,6 +263,12 @@ def first_of(nodes: DataFrame, doc: str) -> DataFrame:
     return nodes.groupBy(doc).agg(F.min_by(F.struct(*(c for c in nodes.columns if c != doc)), "node_id").alias("n")).select(doc, "n.*")
 
 
+def id_index(nodes: DataFrame, doc: str) -> DataFrame:
+    """(doc, id, node_id, n_elements): the first element of each id in document order, templates aside; one partial aggregate."""
+    named = nodes.where(element() & (F.coalesce(attribute("id"), F.lit("")) != "")).select(doc, attribute("id").alias("id"), "node_id")
+    return named.groupBy(doc, "id").agg(F.min("node_id").alias("node_id"), F.count("*").alias("n_elements"))
+
+
 def page_texts(nodes: DataFrame, doc: str, drop: tuple[str, ...] = ()) -> DataFrame:
     """(doc, page_text, spans): each document's text once, without that in templates and in dropped tags, and where in it
     the text of each node starts and stops, by number. nodes: all nodes of the documents.

@@ -193,10 +193,10 @@ def page_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dom.page_state(_pages(spark, sf_dir), _ID)
 
 
-_FORM = "concat('<form action=\"/s\"><input name=q value=\"a b', cast(page_id AS VARCHAR(20)), '\"><input name=off value=x disabled><input type=checkbox name=c', CASE WHEN page_id % 2 = 0 THEN ' checked' ELSE '' END, '><select name=s><option value=1>one<option', CASE WHEN page_id % 3 = 0 THEN ' selected' ELSE '' END, '>two</select><textarea name=t>x&amp;y</textarea><input type=submit name=go value=Go></form>')"
+_FORM = "concat('<form action=\"/s\"><input name=q value=\"a b', regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), '\"><input name=off value=x disabled><input type=checkbox name=c', CASE WHEN length(html) % 2 = 0 THEN ' checked' ELSE '' END, '><select name=s><option value=1>one<option', CASE WHEN length(url) % 3 = 0 THEN ' selected' ELSE '' END, '>two</select><textarea name=t>x&amp;y</textarea><input type=submit name=go value=Go></form>')"
 
 
-@query("SELECT page_id, '/s' AS action, 'q=a+b' || page_id || CASE WHEN page_id % 2 = 0 THEN '&c=on' ELSE '' END || CASE WHEN page_id % 3 = 0 THEN '&s=two' ELSE '&s=1' END || '&t=x%26y' AS query FROM pages")
+@query("SELECT page_id, '/s' AS action, 'q=a+b' || regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) || CASE WHEN length(html) % 2 = 0 THEN '&c=on' ELSE '' END || CASE WHEN length(url) % 3 = 0 THEN '&s=two' ELSE '&s=1' END || '&t=x%26y' AS query FROM pages")
 def form_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _pages(spark, sf_dir).selectExpr(_ID, f"{_FORM} AS html")
     return dom.form_query(dom.parse_dom(pages, _ID, "html"), _ID).drop("form")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import charset, classify, policy
 from tessella.operators import cookies, dom, resources, serp, state
+from tessella.plans.documents import _H1, _decoded
 from tessella.plans.web import _SUFFICIENT, SHELL_VARIANT, C, _events, _jar, _pages, _since_epoch, query
 from tessella.sources import captures
 
@@ -14,9 +15,10 @@ _ID = "page_id"
 _ORIGIN = "regexp_extract(url, '^[a-z]+://[^/?#]+')"
 
 
-def _with(spark: SparkSession, sf_dir: str, extra: str) -> DataFrame:
+def _with(spark: SparkSession, sf_dir: str, extra: str | Column) -> DataFrame:
     """Pages with more markup before the article."""
-    return _pages(spark, sf_dir).select(_ID, "url", F.replace("html", F.lit("<article>"), F.lit(extra + "<article>")).alias("html"))
+    more = F.lit(extra) if isinstance(extra, str) else extra
+    return _pages(spark, sf_dir).select(_ID, "url", F.replace("html", F.lit("<article>"), F.concat(more, F.lit("<article>"))).alias("html"))
 
 
 @query(f"SELECT page_id, rank, {_ORIGIN} || path AS resource_url FROM pages, (VALUES (1, '/i.png'), (2, '/j.png'), (3, '/a.css')) v(rank, path)")
@@ -25,10 +27,10 @@ def sub_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resources.sub_resources(pages, _ID)
 
 
-@query(f"SELECT page_id, {_ORIGIN} || '/a.css' AS resource_url FROM pages")
+@query(f"SELECT page_id, {_ORIGIN} || '/' || regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) || '.css' AS resource_url FROM pages")
 def style_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _with(spark, sf_dir, "<link rel=StyleSheet href=/a.css><link rel='alternate stylesheet' href=/b.css><link rel=stylesheet href='file:///c.css'>")
-    return resources.stylesheets(pages, _ID).drop("at")
+    own = F.concat(F.lit("<link rel=StyleSheet href=/"), F.regexp_extract("html", '<html lang="([a-z]+)"', 1), F.lit(".css><link rel='alternate stylesheet' href=/b.css><link rel=stylesheet href='file:///c.css'>"))
+    return resources.stylesheets(_with(spark, sf_dir, own), _ID).drop("at")
 
 
 @query(r"""SELECT page_id, phase, src, CASE phase WHEN 0 THEN regexp_extract(html, '(?s)<script>(.*?)</script>', 1) ELSE '' END AS body FROM pages, (VALUES (0, NULL), (1, '/d.js'), (2, '/a.js'), (3, '/m.js')) v(phase, src)""")
@@ -43,17 +45,18 @@ def base_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resources.base_urls(pages, _ID)
 
 
-@query("SELECT page_id, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, 'c' AS class, 'b' AS id FROM pages")
+@query("SELECT page_id, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, 'c' || length(url) AS class, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS id FROM pages")
 def attribute_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _with(spark, sf_dir, "<html lang=xx class=c><body id=b><body id=no>")
+    pages = _with(spark, sf_dir, F.concat(F.lit("<html lang=xx class=c"), F.length("url"), F.lit("><body id="), F.regexp_extract("url", "^[a-z]+://([^/?#:]+)", 1), F.lit("><body id=no>")))
     return dom.project(pages, _ID, "html", {"lang": ("attr", ":root", "lang"), "class": ("attr", "html", "class"), "id": ("attr", "body", "id")})
 
 
-@query("SELECT page_id, len(regexp_extract_all(html, '<p>')) AS p, 1 AS templates, 2 AS inside FROM pages")
+@query("SELECT page_id, len(regexp_extract_all(html, '<li>')) AS li, 1 AS templates, 2 * len(regexp_extract_all(html, '<li>')) AS inside FROM pages")
 def template_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = dom.parse_dom(_with(spark, sf_dir, "<template><p>a<p>b</template>"), _ID, "html")
+    items = F.regexp_extract("html", "(?s)<ul>(.*?)</ul>", 1)
+    nodes = dom.parse_dom(_with(spark, sf_dir, F.concat(F.lit("<template><ul>"), items, F.lit("</ul><ol>"), items, F.lit("</template>"))), _ID, "html")
     n = lambda c: F.count(F.when(c, 1)).alias
-    return nodes.groupBy(_ID).agg(n(dom.element("p"))("p"), n(dom.element("template"))("templates"), n((C("tag") == "p") & C("in_template"))("inside"))
+    return nodes.groupBy(_ID).agg(n(dom.element("li"))("li"), n(dom.element("template"))("templates"), n((C("tag") == "li") & C("in_template"))("inside"))
 
 
 @query("SELECT page_id, html FROM pages")
@@ -69,10 +72,11 @@ def drop_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dom.drop_subtrees(nodes, nodes.where(dom.element("nav")), _ID).groupBy(_ID).agg(n("li"), n("p"))
 
 
-@query("SELECT page_id, 1 AS texts FROM pages")
+@query(f"SELECT page_id, 1 AS texts, {_decoded(_H1)} || ' & b < c' AS text FROM pages")
 def text_coalescing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = dom.parse_dom(_with(spark, sf_dir, "<h6>a &amp; b &lt; c<!-- --></h6>"), _ID, "html")
-    return dom.children_of(nodes.where("node_type = 3"), nodes.where(dom.element("h6")), _ID).groupBy(_ID).agg(F.count("*").alias("texts"))
+    heading = F.concat(F.lit("<h6>"), F.regexp_extract("html", "<h1>(.*?)</h1>", 1), F.lit(" &amp; b &lt; c<!-- --></h6>"))
+    nodes = dom.parse_dom(_with(spark, sf_dir, heading), _ID, "html")
+    return dom.children_of(nodes.where("node_type = 3"), nodes.where(dom.element("h6")), _ID).groupBy(_ID).agg(F.count("*").alias("texts"), F.max("text").alias("text"))
 
 
 @query("SELECT page_id, 1 + 2 * len(regexp_extract_all(html, '<li>')) AS inside, len(regexp_extract_all(html, '<li>')) AS shown, 'ul' AS next_tag, 'nav' AS previous_tag FROM pages")
@@ -96,9 +100,11 @@ def attribute_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changed.groupBy(_ID).agg(F.count(F.when(dom.attr_is("data-x", "=", "1"), 1)).alias("marked"), F.count(F.when(dom.attr_is("href"), 1)).alias("links"))
 
 
-@query("SELECT page_id, 2 + page_id % 2 AS enabled, 1 AS disabled, 2 AS checked FROM pages")
+@query("""SELECT page_id, len(regexp_extract_all(html, '<a href="/[^a-e"]')) AS enabled, len(regexp_extract_all(html, '<a href="/[a-e]')) AS disabled, len(regexp_extract_all(html, '<a href="/[^a-e"]')) + len(regexp_extract_all(html, '<p>')) AS checked FROM pages""")
 def form_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    form = F.concat(F.lit("<input name=a><input disabled><div disabled></div><option selected>o"), F.when(C(_ID) % 2 == 1, "<textarea checked></textarea>").otherwise("<i checked></i>"))
+    """Pages whose links are fields, off for some first letters and checked for the others, and whose paragraphs are marked too."""
+    off = F.regexp_replace("html", '<a href="/([a-e][^"]*)">', '<input disabled name="$1">')
+    form = F.regexp_replace(F.regexp_replace(off, '<a href="/([^a-e"][^"]*)">', '<input checked name="$1">'), "<p>", "<p disabled selected>")
     return dom.project(_pages(spark, sf_dir).select(_ID, form.alias("html")), _ID, "html", {"enabled": ("count", ":enabled"), "disabled": ("count", ":disabled"), "checked": ("count", ":checked")})
 
 
@@ -108,9 +114,9 @@ def json_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serp.embedded_json(_pages(spark, sf_dir).select(_ID, page.alias("html")), _ID, "js-initialData", "$.a.b[0].url")
 
 
-@query("SELECT page_id, CASE WHEN page_id % 4 < 3 THEN 'GET' ELSE 'POST' END AS method FROM pages")
+@query("SELECT page_id, CASE WHEN length(html) % 5 < 3 THEN 'GET' ELSE CASE WHEN length(url) % 2 = 0 THEN 'POST' ELSE 'PUT' END END AS method FROM pages")
 def redirected_method(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pages(spark, sf_dir).select(_ID, policy.redirected_method(F.element_at(F.array(*map(F.lit, (301, 302, 303, 307))), (C(_ID) % 4 + 1).cast("int")), F.lit("POST")).alias("method"))
+    return _pages(spark, sf_dir).select(_ID, policy.redirected_method(F.element_at(F.array(*map(F.lit, (301, 302, 303, 307, 308))), F.length("html") % 5 + 1), F.when(F.length("url") % 2 == 0, "POST").otherwise("PUT")).alias("method"))
 
 
 @query("SELECT page_id, page_id % 3 = 1 AS blocked FROM pages")
@@ -159,9 +165,9 @@ def credentials_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LABELS = {"latin1": "windows-1252", " GB2312 ": "gbk", "UTF8": "utf-8", "x-sjis": "shift_jis", "ks_c_5601-1987": "euc-kr", "big5": "big5", "nonsense": None}
 
 
-@query(f"SELECT page_id, {' '.join(['CASE page_id % 7', *(f'WHEN {i} THEN ' + repr(v) for i, v in enumerate(_LABELS.values()) if v), 'END'])} AS encoding FROM pages")
+@query(f"SELECT page_id, {' '.join(['CASE length(html) % 7', *(f'WHEN {i} THEN ' + repr(v) for i, v in enumerate(_LABELS.values()) if v), 'END'])} AS encoding FROM pages")
 def charset_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = F.element_at(F.array(*map(F.lit, _LABELS)), (C(_ID) % 7 + 1).cast("int"))
+    label = F.element_at(F.array(*map(F.lit, _LABELS)), F.length("html") % 7 + 1)
     return _pages(spark, sf_dir).select(_ID, charset.encoding_for(label).alias("encoding"))
 
 
@@ -179,10 +185,10 @@ def query_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select(_ID, F.replace(coded, F.lit("&"), F.lit("%26")).alias("query"))
 
 
-@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Strict' WHEN 1 THEN 'None' ELSE 'Lax' END AS same_site, CASE page_id % 3 WHEN 0 THEN '/' WHEN 1 THEN '/a/b' ELSE '/' END AS path, NOT (page_id % 4 = 3) AS http_only FROM pages")
+@query("SELECT page_id, CASE length(html) % 4 WHEN 0 THEN 'Strict' WHEN 1 THEN 'None' ELSE 'Lax' END AS same_site, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)/[^/?#]*', 1), ''), '/') AS path, NOT (length(html) % 4 = 3) AS http_only FROM pages")
 def cookie_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    header = F.element_at(F.array(*map(F.lit, ("n=v; SameSite=STRICT; HttpOnly", "n=v; samesite=none; httponly", "n=v; SameSite=odd; HttpOnly", "n=v"))), (C(_ID) % 4 + 1).cast("int"))
-    at = F.element_at(F.array(*map(F.lit, ("/", "/a/b/c", "/x"))), (C(_ID) % 3 + 1).cast("int"))
+    header = F.element_at(F.array(*map(F.lit, ("n=v; SameSite=STRICT; HttpOnly", "n=v; samesite=none; httponly", "n=v; SameSite=odd; HttpOnly", "n=v"))), F.length("html") % 4 + 1)
+    at = F.regexp_extract("url", "^[a-z]+://[^/?#]+([^?#]*)", 1)
     log = _pages(spark, sf_dir).select(_ID, header.alias("header"), F.lit("h.example").alias("host"), at.alias("origin_path"), F.lit(1).cast("long").alias("now"))
     return cookies.parse_set_cookie(log, "header", C("host"), "origin_path", "now").select(_ID, "same_site", "path", "http_only")
 
@@ -192,9 +198,16 @@ def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select(_ID, policy.cache_key(C("url"), C(_ID), F.lit(None)).alias("key"))
 
 
-@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'text/html' WHEN 1 THEN 'image/svg+xml' WHEN 2 THEN 'application/octet-stream' ELSE 'application/javascript' END AS content_type FROM pages")
+_EXTENSIONS = list(captures.CONTENT_TYPES)
+_EXTENSION_VALUES = ", ".join(f"({i}, '{captures.CONTENT_TYPES[x]}')" for i, x in enumerate(_EXTENSIONS))
+
+
+@query(f"SELECT page_id, coalesce(kind, 'application/octet-stream') AS content_type FROM pages LEFT JOIN (VALUES {_EXTENSION_VALUES}) v(i, kind) ON i = length(html) % {len(_EXTENSIONS) + 2}")
 def file_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.element_at(F.array(*map(F.lit, ("/a.HTM", "/b.c.svg", "/noext", "/m.mjs"))), (C(_ID) % 4 + 1).cast("int"))
+    """Files named after the pages' paths, with every known extension, an unknown one and none."""
+    ends = [*(f".{x}" for x in _EXTENSIONS), ".odd", ""]
+    end = F.element_at(F.array(*map(F.lit, ends)), F.length("html") % len(ends) + 1)
+    name = F.concat(F.translate(F.regexp_extract("url", "^[a-z]+://[^/?#]+([^?#]*)", 1), ".", "_"), F.when(F.length("url") % 2 == 0, F.upper(end)).otherwise(end))
     return _pages(spark, sf_dir).select(_ID, captures.content_type(name).alias("content_type"))
 
 

@@ -60,3 +60,14 @@ def fragment_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = spark.sql("SELECT r.page_id, count_if(d.tag = 'td') AS n_cells FROM {rows} r, LATERAL parse_dom(r.part, 'tbody') d GROUP BY r.page_id", rows=rows)
     made = dom.fragments(rows, _ID, "part", "tbody")
     return made.join(count, _ID).select(_ID, "n_cells", "html")
+
+
+@query("""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="/([^"]*)"', 1)) AS id, generate_subscripts(regexp_extract_all(html, '<a href="/([^"]*)"', 1), 1) AS i FROM pages)
+SELECT page_id, left(id, 1) AS id, min(i) - 1 AS idx, count(*) AS n_elements FROM t WHERE id <> '' GROUP BY page_id, left(id, 1)""")
+def first_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items named by the first letter of their link: the first of each name in document order, and how many share it."""
+    named = F.regexp_replace("html", '<li><a href="/([^"])([^"]*)"', '<li id="$1"><a href="/$1$2"')
+    nodes = dom.parse_dom(_pages(spark, sf_dir).select(_ID, named.alias("html")), _ID, "html")
+    found = dom.id_index(nodes, _ID)
+    items = nodes.where(dom.element("li")).select(_ID, "node_id", C("sibling_idx").alias("idx"))
+    return found.join(items, [_ID, "node_id"]).select(_ID, "id", C("idx").cast("long").alias("idx"), "n_elements")

@@ -214,7 +214,8 @@ def url_pattern_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", policy.pattern_blocks(C("url"), C("p")).alias("page_blocks"), policy.pattern_blocks(C("url"), C("p"), True).alias("glob_matches"))
 
 
-_CORS = "page_id % 2 = 0 AS include, 'https://a.example' AS page, CASE page_id % 3 WHEN 0 THEN '*' WHEN 1 THEN 'https://a.example' END AS allow, CASE WHEN page_id % 5 < 3 THEN 'true' WHEN page_id % 5 = 3 THEN 'false' END AS creds"
+_OWN = "regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)"
+_CORS = f"length(html) % 2 = 0 AS include, {_OWN} AS page, CASE length(html) % 5 WHEN 0 THEN '*' WHEN 1 THEN {_OWN} WHEN 2 THEN concat({_OWN}, '/') WHEN 3 THEN replace({_OWN}, 'https:', 'http:') END AS allow, CASE length(url) % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' END AS creds"
 
 
 @query(f"SELECT page_id, CASE WHEN include THEN coalesce(allow = page, false) AND coalesce(creds = 'true', false) ELSE coalesce(allow = page OR allow = '*', false) END AS allowed FROM (SELECT page_id, {_CORS} FROM pages)")
@@ -233,16 +234,17 @@ def referrer_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", urls.referrer(C("url"), C("t")).alias("referrer"))
 
 
-_SCHEMES = "CASE page_id % 5 WHEN 0 THEN 'http' WHEN 1 THEN 'data' WHEN 2 THEN 'file' WHEN 3 THEN 'ftp' ELSE 'https' END"
+_SCHEMES = "CASE length(html) % 5 WHEN 0 THEN regexp_extract(url, '^([a-z]+):', 1) WHEN 1 THEN 'data' WHEN 2 THEN 'file' WHEN 3 THEN 'ftp' ELSE 'https' END"
+_PAGE_SCHEME = "CASE WHEN length(url) % 2 = 0 THEN 'file' ELSE regexp_extract(url, '^([a-z]+):', 1) END AS p"
 
 
-@query(f"SELECT page_id, t IN ('http', 'https', 'data') OR (t = 'file' AND p = 'file') AS allowed FROM (SELECT page_id, {_SCHEMES} AS t, CASE WHEN page_id % 2 = 0 THEN 'file' ELSE 'https' END AS p FROM pages)")
+@query(f"SELECT page_id, t IN ('http', 'https', 'data') OR (t = 'file' AND p = 'file') AS allowed FROM (SELECT page_id, {_SCHEMES} AS t, {_PAGE_SCHEME} FROM pages)")
 def subresource_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pages(spark, sf_dir).selectExpr("page_id", f"{_SCHEMES} AS t", "CASE WHEN page_id % 2 = 0 THEN 'file' ELSE 'https' END AS p")
+    rows = _pages(spark, sf_dir).selectExpr("page_id", f"{_SCHEMES} AS t", _PAGE_SCHEME)
     return rows.select("page_id", policy.subresource_allowed(C("t"), C("p")).alias("allowed"))
 
 
-_ADDRESS = "concat(cast(CASE page_id % 8 WHEN 0 THEN 127 WHEN 1 THEN 10 WHEN 2 THEN 172 WHEN 3 THEN 192 WHEN 4 THEN 169 WHEN 5 THEN 203 WHEN 6 THEN 8 ELSE 300 END AS VARCHAR(9)), '.', cast(CASE page_id % 3 WHEN 0 THEN 16 + page_id % 20 WHEN 1 THEN 168 ELSE 254 * (page_id % 2) END AS VARCHAR(9)), '.', cast(113 * (page_id % 2) AS VARCHAR(9)), '.1')"
+_ADDRESS = "concat(cast(CASE length(html) % 8 WHEN 0 THEN 127 WHEN 1 THEN 10 WHEN 2 THEN 172 WHEN 3 THEN 192 WHEN 4 THEN 169 WHEN 5 THEN 203 WHEN 6 THEN 8 ELSE 300 END AS VARCHAR(9)), '.', cast(CASE length(url) % 3 WHEN 0 THEN 16 + length(url) % 20 WHEN 1 THEN 168 ELSE 254 * (length(html) % 2) END AS VARCHAR(9)), '.', cast(113 * (length(url) % 2) AS VARCHAR(9)), '.1')"
 
 
 @query(f"""SELECT page_id, ip, CASE WHEN a <= 255 THEN a IN (10, 127) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) OR (a = 203 AND b = 0 AND c = 113) END AS forbidden
@@ -251,7 +253,7 @@ def ssrf_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).selectExpr("page_id", f"{_ADDRESS} AS ip").withColumn("forbidden", policy.forbidden_address(C("ip")))
 
 
-_AGENT = "concat('Mozilla/5.0 (', CASE page_id % 4 WHEN 0 THEN 'Macintosh; Intel Mac OS X 10_15' WHEN 1 THEN 'Windows NT 10.0' WHEN 2 THEN 'X11; Linux x86_64' ELSE 'Linux; Android 14' END, ') ', CASE WHEN page_id % 5 = 0 THEN 'Safari' ELSE concat('Chrome/', cast(100 + page_id % 40 AS VARCHAR(9)), '.0') END)"
+_AGENT = "concat('Mozilla/5.0 (', CASE length(html) % 4 WHEN 0 THEN 'Macintosh; Intel Mac OS X 10_15' WHEN 1 THEN 'Windows NT 10.0' WHEN 2 THEN 'X11; Linux x86_64' ELSE 'Linux; Android 14' END, ') ', CASE WHEN length(url) % 5 = 0 THEN 'Safari' ELSE concat('Chrome/', cast(100 + length(html) % 40 AS VARCHAR(9)), '.0') END)"
 
 
 @query(f"SELECT page_id, coalesce(nullif(regexp_extract(a, 'Chrome/([0-9]+)', 1), ''), '145') AS version, CASE WHEN contains(a, 'Mac') THEN 'macOS' WHEN contains(a, 'Windows') THEN 'Windows' WHEN contains(a, 'Android') THEN 'Android' ELSE 'Linux' END AS platform FROM (SELECT page_id, {_AGENT} AS a FROM pages)")
