@@ -2,69 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable, Iterable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.sources.staging import discard, materialize, shared_dir, sweep  # noqa: F401  the corpus operators take them from here
+
 #: A word: a longest run without ASCII white space. bytes.split() cuts at the same six characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents that a Python task holds at once, so that its memory does not follow Spark's batch size.
 CHUNK = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Local sessions without one use their warehouse."""
-    path = spark.conf.get("spark.checkpoint.dir", "")
-    if not path and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return (path or spark.conf.get("spark.sql.warehouse.dir") + "/_work").rstrip("/") + "/" + spark.sparkContext.applicationId
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def sweep(spark: SparkSession) -> None:
-    """Deletes all that materialize() wrote in this application; results that read it must be written by then.
-
-    Runs by itself when Python ends while Spark is still up."""
-    if spark.sparkContext._jsc is not None:
-        _delete(spark, shared_dir(spark))
-
-
-@cache
-def _sweep_at_end(application: str) -> None:
-    def end() -> None:
-        spark = SparkSession.getActiveSession()
-        if spark is not None and spark.sparkContext._jsc is not None and spark.sparkContext.applicationId == application:
-            sweep(spark)
-
-    atexit.register(end)
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cuts lineage: writes df as Parquet into the shared folder and reads it back with its true size known."""
-    spark = df.sparkSession
-    _sweep_at_end(spark.sparkContext.applicationId)
-    path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_to = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes what materialize() wrote, once nothing reads it any more."""
-    _delete(df.sparkSession, df._written_to)
-
-
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -262,9 +262,11 @@ def _merge(shards: DataFrame) -> DataFrame:
     blocks = runs.groupBy("prefix").agg(F.sum("n").alias("size")).where("size > 1").select("prefix")
     live = materialize(runs.join(blocks, "prefix"))
     each = live.groupBy("prefix", "whole").agg(F.sum("n").alias("n"))
-    least = each.groupBy("prefix").agg((F.min("n") == 1).alias("open"))
+    # Written down, so that the join below is one of two plain exchanges, of which Spark splits a block with very many runs.
+    least = materialize(each.groupBy("prefix").agg((F.min("n") == 1).alias("open")))
     marks = materialize(live.select("shard", "prefix", "whole").join(each, ["prefix", "whole"]).join(least, "prefix").select("shard", "prefix", "whole", (F.col("n") > 1).alias("twin"), "open"))
     discard(live)
+    discard(least)
     return marks
 
 
