@@ -7,7 +7,8 @@ its language from the product over its words, letters in lower case.
 
 Bytes are scaled alike for all languages, so nothing underflows; a run of letters over LONGEST bytes is cut into
 words of that length. Training takes at most SAMPLE documents of each language and about ALL of all languages together,
-both parameters: with very many languages each gives fewer, but every language gives some and can be predicted.
+both parameters: with very many languages each gives fewer, but every language gives some and can be predicted. Their words
+are counted where they are read; one task learns from the counts, and the driver gets the model alone.
 
 Defined results: null text, or text without a letter: und with score 0. Where nothing can be learned every text is
 und. Equal posteriors: the language first by code point. Repeated ids are scored row by row; in training one text of an
@@ -17,14 +18,16 @@ columns named like a new one give way to it.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WordRows, bounded_sample, map_texts
+from tessella.llm.common import WordRows, bounded_sample, chunks, map_texts
 
 SAMPLE, ALL, LONGEST, LONGEST_PIECE, ROUNDS = 400, 40_000, 48, 16, 3
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -147,10 +150,15 @@ def _expected(words: list[bytes], times: np.ndarray, lattice: Lattice, p: np.nda
 
 def fit(rows: list[tuple[str | None, str]], pieces: list[bytes]) -> tuple[list[str], np.ndarray] | None:
     """(languages, piece probabilities) from (text, language) rows; None without a word to learn from."""
-    langs = sorted({lang for _, lang in rows})
-    seen = {lang: Counter() for lang in langs}
+    seen: dict[str, Counter] = {}
     for text, lang in rows:
-        seen[lang].update(words_of((text or "").encode("utf-8", "ignore")))
+        seen.setdefault(lang, Counter()).update(words_of((text or "").encode("utf-8", "ignore")))
+    return fit_counts(seen, pieces)
+
+
+def fit_counts(seen: dict[str, Counter], pieces: list[bytes]) -> tuple[list[str], np.ndarray] | None:
+    """fit() from how often each language's texts hold each word."""
+    langs = sorted(seen)
     langs = [lang for lang in langs if seen[lang]]
     if not langs:
         return None
@@ -202,8 +210,23 @@ def learn(docs: DataFrame, usable: Column, pieces: list[bytes], id_col: str = "d
         return None
     drawn = bounded_sample(rows, id_col, lang_col, max(1, min(sample, most // languages))).select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"))
     held = rows.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text")).join(F.broadcast(drawn.distinct()), ["__id", "__lang"])
-    found = held.groupBy("__id", "__lang").agg(F.min("__text")).collect()  # one text of an id, however often it repeats
-    return fit([(r[2], r[1]) for r in sorted(found, key=lambda r: (r[0], r[1]))], pieces)
+    texts = held.groupBy("__id", "__lang").agg(F.min("__text").alias("__text"))  # one text of an id, however often it repeats
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            seen = Counter((lang, w) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in words_of((text or "").encode("utf-8", "ignore")))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.binary()), pa.array(seen.values(), pa.int64())], ["lang", "word", "n"])
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, Counter] = {}
+        for batch in batches:
+            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                seen.setdefault(lang, Counter())[word] += n
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_counts(seen, pieces))], pa.binary())], ["model"])
+
+    counts = texts.select(F.col("__lang").cast("string"), F.col("__text").cast("string")).mapInArrow(count, "lang string, word binary, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    made = counts.repartition(1).mapInArrow(train, "model binary").collect()
+    return pickle.loads(made[0][0]) if made else None
 
 
 def predict_language(docs: DataFrame, model, pieces: list[bytes], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
