@@ -16,8 +16,8 @@ NEVER = frozenset("hover active focus visited".split())
 
 _NAME = r"(?:[\w-]|[^\x00-\x7f]|\\.)+"
 _TOKEN = re.compile(
-    rf"(?P<comb>\s*[>+~]\s*|\s+)|#(?P<id>{_NAME})|\.(?P<cls>{_NAME})|:(?P<pseudo>[\w-]+)(?P<args>\()?|(?P<tag>\*|{_NAME})"
-    rf"|\[\s*(?P<attr>{_NAME})\s*(?:(?P<op>[~|^$*]?=)\s*(?P<value>\"[^\"]*\"|'[^']*'|{_NAME})\s*(?P<case>[iI]\b|[sS]\b)?\s*)?\]"
+    rf"(?P<comb>\s*[>+~]\s*|\s+)|#(?P<id>{_NAME})|\.(?P<cls>{_NAME})|:(?P<pseudo>[\w-]+)(?P<args>\()?|(?:\*\|)?(?P<tag>\*|{_NAME})"
+    rf"|\[\s*(?:\*?\|)?(?P<attr>{_NAME})\s*(?:(?P<op>[~|^$*]?=)\s*(?P<value>\"[^\"]*\"|'[^']*'|{_NAME})\s*(?P<case>[iI]\b|[sS]\b)?\s*)?\]"
 )
 _NTH = re.compile(r"\s*(?:(?P<word>odd|even)|(?P<a>[+-]?\d*)n(?:\s*(?P<sign>[+-])\s*(?P<b>\d+))?|(?P<only>[+-]?\d+))\s*", re.I)
 Test = Callable[["Page", int], bool]

@@ -111,20 +111,28 @@ def cookie_headers(requests: DataFrame, jar: DataFrame, key: str, as_of: Column,
     return rows.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(F.concat("name", F.lit("="), "value"))), "; ").alias("header"))
 
 
-def headers_as_of(requests: DataFrame, parsed: DataFrame, key: str, at: str, now: str, script: bool = False) -> DataFrame:
+def headers_as_of(requests: DataFrame, parsed: DataFrame, key: str, at: str, now: str, script: bool = False, jar: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
     """(key, header) for requests(key, scheme, host, path, at, now): what the jar held when each was made.
 
     parsed is the log of parse_set_cookie with the same `at`, by which both are in order; of cookies set at a request's own
     place it sees them. Each request meets the names and paths that its domains ever had, and of each the last one set before it
     counts, unless that one deletes, has expired by `now` or doesn't fit. Histories are cut into ranges, so a domain of any
-    share of the log is many tasks' work. Requests without a fitting cookie have no row.
+    share of the log is many tasks' work. Requests without a fitting cookie have no row. jar names columns of both that say
+    whose jar a row is about; without them there is one.
     """
-    names = parsed.select(F.col("domain").alias("__domain"), F.col("name").alias("__name"), F.col("path").alias("__path")).distinct()
-    asked = requests.select(key, F.col(at).alias("__when"), F.col(now).alias("__now"), F.lower("scheme").alias("__scheme"), F.lower("host").alias("__host"), F.col("path").alias("__asked"), F.explode(suffixes(F.lower("host"))).alias("domain"))
-    asked = asked.join(names, F.col("domain") == F.col("__domain")).where(path_matches(F.col("__asked"), F.col("__path")))
-    asked = asked.select(key, "__when", "__now", "__scheme", "__host", "domain", F.col("__name").alias("name"), F.col("__path").alias("path"))
-    rows = as_of(asked, parsed.withColumn("__when", F.col(at)), ["domain", "name", "path"], "__when", ["value", "host_only", "secure", "http_only", "expires"])
+    own = [f"__jar{i}" for i in range(len(jar))]
+    mine = lambda: [F.col(c).alias(n) for c, n in zip(jar, own, strict=True)]
+    names = parsed.select(*(F.col(c).alias(f"{n}_of") for c, n in zip(jar, own, strict=True)), F.col("domain").alias("__domain"), F.col("name").alias("__name"), F.col("path").alias("__path")).distinct()
+    asked = requests.select(F.col(key).alias("__key"), *mine(), F.col(at).alias("__when"), F.col(now).alias("__now"), F.lower("scheme").alias("__scheme"), F.lower("host").alias("__host"), F.col("path").alias("__asked"), F.explode(suffixes(F.lower("host"))).alias("domain"))
+    same = F.col("domain") == F.col("__domain")
+    for n in own:
+        same = same & F.col(n).eqNullSafe(F.col(f"{n}_of"))
+    asked = asked.join(names, same).where(path_matches(F.col("__asked"), F.col("__path")))
+    asked = asked.select("__key", *own, "__when", "__now", "__scheme", "__host", "domain", F.col("__name").alias("name"), F.col("__path").alias("path"))
+    fields = ["value", "host_only", "secure", "http_only", "expires"]
+    log = parsed.select(*mine(), "domain", "name", "path", F.col(at).alias("__when"), *fields)
+    rows = as_of(asked, log, [*own, "domain", "name", "path"], "__when", fields, ranges)
     rows = rows.where("value IS NOT NULL AND (expires IS NULL OR expires > __now)").where("domain = __host OR NOT host_only").where("NOT secure OR __scheme = 'https'")
     if script:
         rows = rows.where("NOT http_only")
-    return rows.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(F.concat("name", F.lit("="), "value"))), "; ").alias("header"))
+    return rows.groupBy(F.col("__key").alias(key)).agg(F.array_join(F.array_sort(F.collect_list(F.concat("name", F.lit("="), "value"))), "; ").alias("header"))

@@ -341,6 +341,16 @@ def resolve(href: Column, base: Column) -> Column:
     return join(href, base)
 
 
+def resolve_module(specifier: Column, referrer: Column, base: Column) -> Column:
+    """A module's address: an absolute URL as it is, one that starts with /, ./ or ../ against the script that asks for it, or
+    against the page where that has no address of its own; null for a bare name."""
+    no_address = F.coalesce(referrer, F.lit("")).isin("", ".", "about:blank") | F.startswith(referrer, F.lit("<"))
+    from_ = F.when(no_address, base).otherwise(referrer)
+    near = specifier.rlike(r"^(/|\./|\.\./)")
+    absolute = specifier.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
+    return F.when(near, resolve(specifier, from_)).when(absolute, specifier)
+
+
 # The attributes a page's state names.
 STATE_ATTRS = ("id", "class", "href", "type", "name", "value", "placeholder", "aria-label", "title", "src", "alt", "role")
 

@@ -40,8 +40,10 @@ def as_of(asks: DataFrame, log: DataFrame, by: list[str], at: str, values: list[
     """
     if ranges is None:
         ranges = int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spots = F.percentile_approx(F.col(at), [k / ranges for k in range(1, ranges)] or [0.5], 1000)
-    edges = sorted(set(log.select(at).unionByName(asks.select(at)).agg(spots).collect()[0][0] or []))
+    edges: list = []
+    if ranges > 1:
+        spots = F.percentile_approx(F.col(at), [k / ranges for k in range(1, ranges)], 1000)
+        edges = sorted(set(log.select(at).unionByName(asks.select(at)).agg(spots).collect()[0][0] or []))
     cut = F.size(F.filter(F.array(*map(F.lit, edges)), lambda x: x <= F.col(at))) if edges else F.lit(0)
     names = [c for c in asks.columns if c not in by]
     held = F.struct(*values)

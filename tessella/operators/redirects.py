@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.policy import url_forbidden
+from tessella.functions.urls import host, path, scheme
+from tessella.operators.cookies import headers_as_of, parse_set_cookie
 from tessella.operators.dom import resolve
 from tessella.operators.joins import join_unique
 from tessella.sources.staging import discard, materialize
@@ -99,3 +101,22 @@ def redirect_hops(requests: DataFrame, captures: DataFrame, key: str, most: int
     far = chains.follow(requests, key).where("url IS NOT NULL").select(key, "url", F.least("hops", F.lit(most)).alias("hops"))
     steps = materialize(far.select(key, F.explode(F.sequence(F.lit(0), F.col("hops"))).alias("step"), F.col("url").alias("hop_url")))
     return chains.exactly(steps, "hop_url", F.col("step"), F.xxhash64(key, "step")).select(key, "step", "hop_url")
+
+
+def redirect_cookies(requests: DataFrame, captures: DataFrame, key: str, now: Column, most: int = MOST) -> DataFrame:
+    """(key, step, header): what each hop of each request sends of the cookies that the hops before it set; each request has a jar
+    of its own. captures have set_cookie too, an array of headers, of which those of the smallest (status, location) count.
+
+    A hop's answer is seen by later hops only, so cookies take effect one step on. Hops that send nothing have no row.
+    """
+    hops = materialize(redirect_hops(requests, captures, key, most))
+    answers = captures.where("url IS NOT NULL").groupBy("url").agg(F.min_by("set_cookie", F.struct("status", "location")).alias("set_cookie"))
+    said = join_unique(hops, answers.select(F.col("url").alias("hop_url"), "set_cookie"), "hop_url", F.xxhash64(key, "step"))
+    log = said.select(key, "step", "hop_url", F.posexplode("set_cookie").alias("at", "header"))
+    log = log.select(key, F.struct((F.col("step") + 1).alias("step"), F.col("at").alias("at")).alias("when"), "header", host(F.col("hop_url")).alias("host"), path(F.col("hop_url")).alias("origin_path"), now.alias("now"))
+    parsed = parse_set_cookie(log.withColumn("way", F.col("origin_path")), "header", F.col("host"), "way", "now")
+    last = F.struct(F.col("step").alias("step"), F.lit((1 << 31) - 1).alias("at"))
+    asked = hops.select(key, "step", F.struct(key, "step").alias("ask"), last.alias("when"), scheme(F.col("hop_url")).alias("scheme"), host(F.col("hop_url")).alias("host"), path(F.col("hop_url")).alias("path"), now.alias("now"))
+    # A chain has some twenty hops: few rows to a jar, so histories need no ranges.
+    sent = headers_as_of(asked, parsed, "ask", "when", "now", jar=(key,), ranges=1)
+    return sent.select(F.col(f"ask.{key}").alias(key), F.col("ask.step").alias("step"), "header")

@@ -108,6 +108,18 @@ def own_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dom.apply_to_pages(_pages(spark, sf_dir), lambda url, html: {"links": html.count("<a href="), "host": url.split("/")[2]}, "links bigint, host string", _ID)
 
 
+_OWN = "regexp_extract(url, '^[a-z]+://[^/?#]+', 0)"
+_SPECIFIER = "CASE length(html) % 6 WHEN 0 THEN concat('/m/', cast(page_id AS VARCHAR(20)), '.js') WHEN 1 THEN './m.js' WHEN 2 THEN '../up.js' WHEN 3 THEN 'react' WHEN 4 THEN concat(url, '&m') ELSE '//cdn.example/x.js' END"
+
+
+@query(f"""SELECT page_id, CASE length(html) % 6 WHEN 0 THEN o || '/m/' || page_id || '.js' WHEN 1 THEN o || CASE WHEN length(url) % 2 = 0 THEN '/a/b/m.js' ELSE regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '[^/]*$', '') || 'm.js' END
+WHEN 2 THEN o || CASE WHEN length(url) % 2 = 0 THEN '/a/up.js' ELSE regexp_replace(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '[^/]*$', ''), '[^/]+/$', '') || 'up.js' END WHEN 4 THEN url || '&m' WHEN 5 THEN regexp_extract(url, '^[a-z]+:') || '//cdn.example/x.js' END AS module FROM (SELECT *, {_OWN.replace(", 0)", ")")} AS o FROM pages)""")
+def module_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modules asked for by a script in a folder or by the page itself, bare names among them."""
+    rows = _pages(spark, sf_dir).selectExpr(_ID, "url", f"{_SPECIFIER} AS m", f"CASE WHEN length(url) % 2 = 0 THEN concat({_OWN}, '/a/b/main.js') ELSE '<inline>' END AS script")
+    return rows.select(_ID, dom.resolve_module(C("m"), C("script"), C("url")).alias("module"))
+
+
 _ENGINES = ", ".join(f"('{n}', '{c}')" for n, (_, cs) in serp.ENGINES.items() for c in cs)
 _WANTED = "CASE length(html) % 4 WHEN 0 THEN 'images' WHEN 1 THEN ' news , images' WHEN 2 THEN 'general' ELSE 'music' END"
 

@@ -41,6 +41,20 @@ def redirect_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redirects.redirect_hops(held.select("page_id", "url", F.lit("POST").alias("method")), held, "page_id")
 
 
+_COOKIE = "concat('c', cast(page_id % 5 AS VARCHAR(9)), '=v', cast(page_id AS VARCHAR(20)), CASE h % 6 WHEN 0 THEN '; Max-Age=0' WHEN 1 THEN '; Path=/q' WHEN 2 THEN '; Path=/; Secure' WHEN 3 THEN '; Domain=other.example' ELSE '' END)"
+
+
+@query(f"""WITH RECURSIVE {_WALK}, s AS (SELECT w.page_id, step, spot, regexp_extract(spot, '^https?://([^/]+)', 1) AS host, regexp_extract(spot, '^https?://[^/]+(.*)$', 1) AS path FROM w),
+log AS (SELECT s.page_id, step, host, 'c' || p.page_id % 5 AS name, 'v' || p.page_id AS value, CASE WHEN length(html) % 6 = 1 THEN '/q' WHEN length(html) % 6 = 2 THEN '/' ELSE '/p' END AS cookie_path, length(html) % 6 = 0 AS gone FROM s JOIN c ON c.url = spot JOIN pages p ON p.page_id = c.page_id),
+m AS (SELECT s.page_id, s.step, log.name, cookie_path, arg_max(value, log.step) AS value, arg_max(gone, log.step) AS gone FROM s JOIN log ON s.page_id = log.page_id AND log.step < s.step AND s.host = log.host
+WHERE cookie_path = '/' OR s.path = cookie_path OR starts_with(s.path, cookie_path || '/') GROUP BY ALL)
+SELECT page_id, step, string_agg(name || '=' || value, '; ' ORDER BY name || '=' || value) AS header FROM m WHERE NOT gone GROUP BY page_id, step""")
+def redirect_cookies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every hop of the same chains sends of the cookies that its earlier hops set."""
+    held = _captures(spark, sf_dir).withColumn("set_cookie", F.array(F.expr(_COOKIE)))
+    return redirects.redirect_cookies(held.select("page_id", "url", F.lit("POST").alias("method")), held, "page_id", F.lit(1000).cast("long"))
+
+
 # Events as one history: two of three set a cookie, the others ask; both by event_id.
 _SET = "concat('c', cast(event_id % 4 AS VARCHAR(9)), '=v', cast(event_id AS VARCHAR(20)), CASE event_id % 5 WHEN 0 THEN '; Max-Age=0' WHEN 1 THEN '; Path=/a; Secure' WHEN 2 THEN concat('; Domain=.site.example; HttpOnly; Max-Age=', cast(3600 * (event_id % 50) AS VARCHAR(9))) WHEN 3 THEN '; Max-Age=86400' ELSE '' END)"
 _ASK = "event_id, CASE WHEN user_id % 2 = 0 THEN 'HTTPS' ELSE 'http' END AS scheme, concat('U', cast(user_id % 50 AS VARCHAR(9)), '.Site.example') AS host, CASE event_id % 4 WHEN 0 THEN '/a/b' WHEN 1 THEN '/' ELSE '/ab' END AS path"

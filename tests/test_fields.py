@@ -85,3 +85,13 @@ def test_tier_one_and_own_functions(spark):
     failed = spark.createDataFrame([(1, "u", "<p>x", None), (2, "v", None, "no route")], "id long, url string, html string, why string")
     rows = {r.id: (r.success, r.markdown, r.status_code, r.error, r.source_url) for r in dom.scrape_record(failed, "id", selector="p", error_col="why").collect()}
     assert rows == {1: (True, "x", 200, None, "u"), 2: (False, None, 500, "no route", "v")}
+
+
+def test_selectors_of_any_namespace():
+    from tessella.functions.selectors import Page, Selector
+
+    page = Page("<div lang=en-GB x=1><svg><path d=1></path></svg></div>")
+    tags = lambda s: [page.tag[i] for i in page.find(Selector(s))]
+    assert tags("*|div") == ["div"] and tags("svg *|path, *|b") == ["path"] and tags("[*|x], [|d]") == ["div", "path"] and tags("[lang|=en]") == ["div"] and len(tags("*|*")) == len(tags("*"))
+    with pytest.raises(ValueError):
+        Selector("svg|path")

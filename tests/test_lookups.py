@@ -182,3 +182,13 @@ def test_one_page_a_result(spark):
     pages = spark.createDataFrame([("u1", "short"), ("u1", "longer"), ("u1", None), ("u3", None), (None, "x")], "url string, text string")
     got = {r.rank: (r.content, r.content_truncated, r.fetch_error) for r in search.fetch_top(ranked, pages, 3, 5).collect()}
     assert got == {1: ("longe", True, None), 2: (None, False, "not captured"), 3: (None, False, None), 4: (None, False, None)}
+
+
+def test_cookies_of_each_hop(spark):
+    u = lambda x: f"https://{x}"
+    rows = [(u("a.example/1"), 302, u("b.example/2"), ["x=1", "y=1; Path=/z"]), (u("b.example/2"), 307, u("a.example/3"), ["b=1"]), (u("a.example/3"), 302, u("a.example/4"), ["x=2; Max-Age=9", "w=1; Secure"]),
+            (u("a.example/4"), 302, "http://a.example/z/5", ["x=; Max-Age=0"]), ("http://a.example/z/5", 200, None, ["n=1"]), ("http://a.example/z/5", 204, None, ["other=1"])]
+    captures = spark.createDataFrame(rows, "url string, status int, location string, set_cookie array<string>")
+    requests = spark.createDataFrame([(1, rows[0][0], "GET"), (2, rows[2][0], "GET"), (None, u("none.example/"), "GET")], "id long, url string, method string")
+    got = {(r.id, r.step): r.header for r in redirects.redirect_cookies(requests, captures, "id", F.lit(50).cast("long")).collect()}
+    assert got == {(1, 2): "x=1", (1, 3): "w=1; x=2", (1, 4): "y=1", (2, 1): "w=1; x=2"}
