@@ -11,8 +11,8 @@ over that bounded sample, so the driver holds only the finished model. Texts of
 training picks the windows to learn from in rounds: the highest-scoring one of a toxic document, the highest ones and
 others of a clean document.
 
-Defined results: null text and text without words score as an empty window does; without labels of both kinds, or where no
-score tells them apart, every score is 0; windows of words that training never saw are clean. Repeated ids are scored row by row; in training one text of an id counts, the least. A null id is never
+Defined results: null text and text without words score as an empty window does; without labels of both kinds every
+score is 0, and next to 0 where no score tells them apart; windows of words that training never saw are clean. Repeated ids are scored row by row; in training one text of an id counts, the least. A null id is never
 learned from. Very long texts are scored in all their windows. An empty table gives an empty table. Ties at 1/2 are
 toxic to a reader of scores, but the filter keeps them. A kept column named like the score gives way to it; the filter keeps all columns as they were.
 """
@@ -286,9 +286,9 @@ def fit(rows: Iterable[tuple[str | None, int]], rounds: int = 3, steps: int = 15
     f1 = 2 * hits / (np.arange(1, len(top) + 1) + label.sum())
     best = int(np.argmax(f1))
     under = top[order[min(best + 1, len(top) - 1)]]
-    if under >= top[order[best]]:
-        return None  # no score tells the labels apart
     edge = 0.6 * top[order[best]] + 0.4 * under
+    if under >= top[order[best]]:
+        edge = top.max() + 30  # no score tells the labels apart
     strange = np.arange(WINDOW) < np.arange(1, WINDOW + 1)[:, None]
     known_nothing = net.forward(gates, np.full((WINDOW, WINDOW), len(vocab) + 1, np.int32), strange).max()
     edge = max(edge, float(known_nothing) + 1e-3)  # words that nothing is known of are no sign of toxicity
