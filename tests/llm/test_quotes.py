@@ -96,3 +96,49 @@ def test_turn_before_spans_gaps_of_any_size(spark):
     for c in (1, 2):
         mine = turns[c - 1 :]
         assert {r.turn: r.before for r in got if r.conv == c} == dict(zip(mine, [None, *mine], strict=False))
+
+
+def counted(rows):
+    """(conv, turn) -> (body, passages, linked passages), by going through the conversation."""
+    norm = lambda t: re.sub(r"[^\w]+|_", " ", t.lower()).strip()
+    intro = re.compile(r"(?i)^.{0,200}\b(?:wrote|writes|schrieb|a écrit|escribió)[ \t]*:[ \t\r]*$")
+    out = {}
+    for conv in {r[0] for r in rows}:
+        posted = set()
+        for _, turn, _, text in sorted((r for r in rows if r[0] == conv), key=lambda r: r[1]):
+            lines = [(len(m.group(1).replace(" ", "").replace("\t", "")), m.group(2)) for m in (re.match(r"((?:[ \t]*>)*)[ \t]?(.*)", x) for x in text.split("\n"))]
+            lines = [(level, line if level else raw) for (level, line), raw in zip(lines, text.split("\n"), strict=True)]
+            passages = []
+            for i, (level, line) in enumerate(lines):
+                if level and i and lines[i - 1][0] == level:
+                    passages[-1].append(line)
+                elif level:
+                    passages.append([line])
+            own = [line for i, (level, line) in enumerate(lines) if level == 0 and not (i + 1 < len(lines) and lines[i + 1][0] > 0 and intro.match(line))]
+            linked = sum(norm("\n".join(p)) in posted or any(norm(x) in posted for x in p if norm(x)) for p in passages)
+            body = "\n".join(own).strip()
+            out[conv, turn] = (body, len(passages), linked)
+            posted |= {norm(u) for u in [body, *re.split(r"\n[ \t\r]*\n", body), *body.split("\n"), *re.split(r"(?<=[.!?])\s+", body)] if norm(u)}
+    return out
+
+
+def test_thousands_of_quotes_match_a_walk(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for conv in range(30):
+        said = []
+        for turn in range(80):
+            lines = [" ".join(rng.choices(words, k=rng.randint(1, 6))) + rng.choice([".", "!", "", ", Ünd mehr?"]) for _ in range(rng.randint(0, 4))]
+            for _ in range(rng.choice([0, 1, 2, 3]) if said else 0):
+                level = rng.randint(1, 3)
+                part = [rng.choice(said) if rng.random() < 0.7 else " ".join(rng.choices(words, k=4)) for _ in range(rng.randint(1, 3))]
+                quote = [rng.choice(["> " * level, ">" * level + " ", " >" * level]) + rng.choice([x, x.upper(), x.replace(" ", "  ")]) for x in part]
+                at = rng.randint(0, len(lines))
+                lines[at:at] = rng.choice([[], ["On Friday Zoë wrote: "], ["not an introduction"]]) + quote
+            rows.append((conv, turn, "u", "\n".join(lines)))
+            said += [x for x in lines if x and not x.lstrip().startswith(">")][:2]
+    got = link_quotes(spark.createDataFrame([(*r, "") for r in rows], SCHEMA)).collect()
+    want = counted(rows)
+    assert {(r.conv_id, r.turn): (r.body, r.n_quotes, r.n_linked) for r in got} == want
+    assert sum(w[1] for w in want.values()) > 3000 and sum(w[2] for w in want.values()) > 1500
