@@ -24,7 +24,9 @@ def first_within(events: DataFrame, keys: list[str], ts: str, ttl: str = "10 min
 
 
 def suspension_stream(events: DataFrame, key: str, second: str, challenged: str, base: int = 300) -> DataFrame:
-    """(key, second, outcome, captcha_count, resume_at) with a count and a time as the state of each key."""
+    """(key, second, outcome, captcha_count, resume_at) in order of arrival, with a count and a time as the state of each key.
+
+    State stays for every key; ordered.backoff_stream() takes rows in order of time and lets go of what has ended."""
     kind = events.schema[key].dataType.simpleString()
 
     def work(name: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
