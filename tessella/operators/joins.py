@@ -57,6 +57,8 @@ def as_of(asks: DataFrame, log: DataFrame, by: list[str], at: str, values: list[
     carried = every.withColumn("__held", ahead["__held"]).where("__held IS NOT NULL").select(*by, "__range", F.lit(None).cast(told.schema["__at"].dataType).alias("__at"), F.lit(0).alias("__ask"), "__held")
     none = F.lit(None).cast(asked.schema["__asked"].dataType)
     rows = told.unionByName(carried).withColumn("__asked", none).unionByName(asked.select(*by, "__range", F.col(f"__asked.{at}").alias("__at"), F.lit(1).alias("__ask"), F.lit(None).cast(told.schema["__held"].dataType).alias("__held"), "__asked"))
+    # Dealt out by range as well: rows that lie together by a part of the keys would else stay so.
+    rows = rows.repartition(*by, "__range")
     w = Window.partitionBy(*by, "__range").orderBy(F.asc_nulls_first("__at"), "__ask", "__held").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = rows.withColumn("__now", F.last("__held", ignorenulls=True).over(w)).where("__ask = 1")
     out = found.select(*by, "__asked.*", *(F.col(f"__now.{v}").alias(v) for v in values))
