@@ -9,6 +9,7 @@ from tessella.functions import tables
 from tessella.operators import dom
 from tessella.plans.documents import _decoded
 from tessella.plans.web import C, _pages, query
+from tessella.sources.staging import materialize
 
 _ID = "page_id"
 _ITEMS = "SELECT page_id, i, " + _decoded("said") + " AS said, href FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href=\"([^\"]*)\">(.*?)</a></li>', 2)) AS said, unnest(regexp_extract_all(html, '<li><a href=\"([^\"]*)\">(.*?)</a></li>', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<li><a href=\"([^\"]*)\">(.*?)</a></li>', 1), 1) AS i FROM pages)"
@@ -30,7 +31,8 @@ def text_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nested_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every element around each link of a page's list, the nearest first."""
     nodes = dom.parse_dom(_pages(spark, sf_dir), _ID, "html")
-    elements = nodes.where(dom.element()).select(_ID, "node_id", "subtree_end", "parent_id", "tag", "sibling_idx")
+    # Written down, as both sides and the names read them: pages are parsed once.
+    elements = materialize(nodes.where(dom.element()).select(_ID, "node_id", "subtree_end", "parent_id", "tag", "sibling_idx"))
     pairs = dom.nested(elements.where("tag = 'a'"), elements, _ID)
     named = elements.select(C(_ID).alias("__id"), C("node_id").alias("outer_id"), "tag", "sibling_idx")
     held = pairs.withColumnRenamed(_ID, "__id").join(named, ["__id", "outer_id"])
