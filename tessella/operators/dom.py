@@ -28,9 +28,11 @@ from tessella.functions.tables import NODES
 _KINDS = [pa.int32()] * 7 + [pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.bool_(), pa.bool_()]
 
 
-def parse_dom(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """A row for each node of each page, in document order; node 0 is the document."""
+def parse_dom(pages: DataFrame, id_col: str, html_col: str, columns: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each node of each page, in document order; node 0 is the document. Of its columns only those named are made, if any are."""
     fields = pages.sparkSession.createDataFrame([], NODES).schema
+    chosen = [k for k, f in enumerate(fields) if not columns or f.name in columns]
+    fields, kinds = [fields[k] for k in chosen], [_KINDS[k] for k in chosen]
     held = pages.select(F.col(id_col), F.col(html_col).cast("string").alias("__html"))
     schema = T.StructType([held.schema[id_col], *fields])
 
@@ -40,8 +42,8 @@ def parse_dom(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
                 part = batch.slice(i, 64)
                 made = [Tree(html).rows() for html in part.column(1).to_pylist()]
                 at = pa.array([k for k, rows in enumerate(made) for _ in rows], pa.int32())
-                columns = [pa.array(list(c), kind) for c, kind in zip(zip(*(r for rows in made for r in rows), strict=True), _KINDS, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), *columns], [id_col, *(f.name for f in fields)])
+                values = [pa.array([r[k] for rows in made for r in rows], kind) for k, kind in zip(chosen, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), *values], [id_col, *(f.name for f in fields)])
 
     return held.mapInArrow(run, schema)
 
@@ -197,34 +199,52 @@ def nested(inner: DataFrame, outer: DataFrame, doc: str, nearest: bool = False,
     of the sort and of the pairs that come out; nearest gives at most one of them. A task holds one stack and `most` pairs.
     """
     ends = [x.select(F.col(doc).alias("__doc"), F.col("node_id").alias("at"), F.col("subtree_end").alias("stop"), F.lit(k).alias("turn")) for k, x in enumerate((inner, outer))]
-    rows = ends[0].unionByName(ends[1]).repartition("__doc").sortWithinPartitions("__doc", "at", "turn")
-    schema = T.StructType([rows.schema["__doc"], *T.StructType().fromDDL("node_id int, outer_id int, rank int")])
-    names = schema.names
+    return _stacked(ends[0].unionByName(ends[1]), doc, [], nearest, most)
+
+
+def nested_among(nodes: DataFrame, inner: Column, outer: Column, doc: str, keep: tuple[str, ...] = (), nearest: bool = False, most: int = 10_000) -> DataFrame:
+    """nested() of nodes chosen by two conditions, with the kept columns of the outer ones: nodes are read once, and nothing is
+    joined to tell what the outer ones are."""
+    turns = F.array_compact(F.array(F.when(inner, 0), F.when(outer, 1)))
+    return _stacked(nodes.select(F.col(doc).alias("__doc"), F.col("node_id").alias("at"), F.col("subtree_end").alias("stop"), F.explode(turns).alias("turn"), *keep), doc, list(keep), nearest, most)
+
+
+def _stacked(ends: DataFrame, doc: str, keep: list[str], nearest: bool, most: int) -> DataFrame:
+    """Pairs of (__doc, at, stop, turn, kept columns): nodes of turn 0 with those of turn 1 that hold them."""
+    rows = ends.repartition("__doc").sortWithinPartitions("__doc", "at", "turn")
+    schema = T.StructType([rows.schema["__doc"], *T.StructType().fromDDL("node_id int, outer_id int, rank int"), *(rows.schema[c] for c in keep)])
+    names, kinds = schema.names, [pa.int32()] * 3 + [to_arrow_type(rows.schema[c].dataType) for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, stops = object(), [], []
+        def pairs(column: pa.Array, out: tuple) -> pa.RecordBatch:
+            kept = zip(*out[4], strict=True) if out[4] else [()] * len(keep)
+            return pa.RecordBatch.from_arrays([column.take(pa.array(out[0], pa.int32())), *(pa.array(list(c), t) for c, t in zip((*out[1:4], *kept), kinds, strict=True))], names)
+
+        now, ids, stops, held = object(), [], [], []
         for batch in batches:
-            column, out = batch.column(0), ([], [], [], [])
-            for k, (at, stop, turn) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
-                name = column[k]
+            column, out = batch.column(0), ([], [], [], [], [])
+            for k, (name, at, stop, turn, *row) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
                 if name != now:
-                    now, ids, stops = name, [], []
+                    now, ids, stops, held = name, [], [], []
                 while stops and stops[-1] < at:
                     ids.pop()
                     stops.pop()
+                    held.pop()
                 if turn:
                     ids.append(at)
                     stops.append(stop)
+                    held.append(row)
                     continue
-                held = ids[: -2 if nearest else None : -1]
-                for a in range(0, len(held), most):
-                    part = held[a : a + most]
-                    for c, made in zip(out, ([k] * len(part), [at] * len(part), part, range(a, a + len(part))), strict=True):
+                around = slice(None, -2 if nearest else None, -1)
+                found, rows_of = ids[around], held[around]
+                for a in range(0, len(found), most):
+                    part = found[a : a + most]
+                    for c, made in zip(out, ([k] * len(part), [at] * len(part), part, range(a, a + len(part)), rows_of[a : a + most] if keep else ()), strict=True):
                         c.extend(made)
                     if len(out[0]) >= most:
-                        yield pa.RecordBatch.from_arrays([column.take(pa.array(out[0])), *(pa.array(c, pa.int32()) for c in out[1:])], names)
-                        out = ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([column.take(pa.array(out[0], pa.int32())), *(pa.array(c, pa.int32()) for c in out[1:])], names)
+                        yield pairs(column, out)
+                        out = ([], [], [], [], [])
+            yield pairs(column, out)
 
     return rows.mapInArrow(run, schema).withColumnRenamed("__doc", doc)
 

@@ -138,3 +138,31 @@ def test_wide_pages_take_linear_time(spark):
     found = [next(page.find(link, at)) for at in page.find(Selector("li.r"))]
     assert len(found) == 12_000
     assert time.perf_counter() - began < 30
+
+
+def test_links_with_what_is_around_them_need_no_join(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["nested_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan  # a broadcast node table outgrew the driver
+    assert plan.count("FileScan") == 1
+
+
+@pytest.mark.parametrize("most", [1, 3, 10_000])
+@pytest.mark.parametrize("nearest", [False, True])
+def test_nested_among_is_nested_with_names(spark, most, nearest):
+    pages = spark.createDataFrame([(k, "<ul><li>a<ul><li><a href=x>b</a><li><i><a>c</a></i></ul><li><a>d</a></ul>" * k) for k in range(1, 6)] + [(9, None)], "id long, html string").repartition(3)
+    nodes = dom.parse_dom(pages, "id", "html").where(dom.element()).localCheckpoint()
+    inner, outer = F.col("tag").isin("a", "li"), F.col("tag") != "body"
+    got = dom.nested_among(nodes, inner, outer, "id", ("tag", "attrs"), nearest, most)
+    named = nodes.select("id", F.col("node_id").alias("outer_id"), "tag", F.to_json("attrs").alias("attrs"))
+    want = dom.nested(nodes.where(inner), nodes.where(outer), "id", nearest).join(named, ["id", "outer_id"])
+    columns = ["id", "node_id", "outer_id", "rank", "tag", "attrs"]
+    assert sorted(map(str, got.withColumn("attrs", F.to_json("attrs")).select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+    assert got.count() > 50
+
+
+def test_nodes_with_chosen_columns(spark):
+    pages = spark.createDataFrame([(1, "<p id=x>a<b>c</b>")], "id long, html string")
+    whole = dom.parse_dom(pages, "id", "html")
+    assert dom.parse_dom(pages, "id", "html", ("tag", "node_id")).collect() == whole.select("id", "node_id", "tag").collect()
