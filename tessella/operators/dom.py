@@ -414,15 +414,18 @@ def challenge_pages(pages: DataFrame, doc: str, html_col: str = "html") -> DataF
     return read.select(doc, ((F.col("__frames") > 0) | F.contains(said, F.lit(CHALLENGES[0])) | F.contains(said, F.lit(CHALLENGES[1]))).alias("challenge"))
 
 
-def scrape_record(pages: DataFrame, doc: str, html_col: str = "html", url_col: str = "url", selector: str = "", error_col: str | None = None) -> DataFrame:
+def scrape_record(pages: DataFrame, doc: str, html_col: str = "html", url_col: str = "url", selector: str = "", error_col: str | None = None, spelled: bool = False) -> DataFrame:
     """(doc, markdown, html, title, source_url, description, status_code): what a scrape returns for each page.
 
     With an error column, which holds why a fetch failed, there are success and error too: a failed row has status 500, its
-    URL and its error, and nothing else."""
-    from tessella.functions.text import description, page_title
+    URL and its error, and nothing else. spelled: a selected part keeps its references as the source spells them, closed ones alone."""
+    from tessella.functions.text import as_read, as_spelled, description, page_title, with_spelling
 
     keep = [url_col, html_col, *([error_col] if error_col else [])]
-    read = project(pages, doc, html_col, {"markdown": ("markdown", selector or "body"), **({"__part": ("html", selector)} if selector else {})}, keep)
+    asked = pages.withColumn("__marked", with_spelling(F.col(html_col)) if spelled else F.col(html_col))
+    read = project(asked, doc, "__marked", {"markdown": ("markdown", selector or "body"), **({"__part": ("html", selector)} if selector else {})}, keep)
+    if spelled:
+        read = read.withColumns({"markdown": as_read(F.col("markdown")), **({"__part": as_spelled(F.col("__part"))} if selector else {})})
     html = F.col("__part") if selector else F.col(html_col)
     made = {"markdown": F.col("markdown"), "html": html, "title": page_title(F.col(html_col)), "description": description(F.col(html_col))}
     if not error_col:
@@ -431,18 +434,19 @@ def scrape_record(pages: DataFrame, doc: str, html_col: str = "html", url_col: s
     return read.select(doc, ok.alias("success"), *(F.when(ok, c).alias(n) for n, c in made.items()), F.col(url_col).alias("source_url"), F.when(ok, 200).otherwise(500).alias("status_code"), F.col(error_col).alias("error"))
 
 
-def tier_one(pages: DataFrame, doc: str, selector: str, html_col: str = "html") -> DataFrame:
+def tier_one(pages: DataFrame, doc: str, selector: str, html_col: str = "html", spelled: bool = False) -> DataFrame:
     """(doc, content): the first element that a selector chooses in a page without its head, scripts and styles, as HTML.
 
-    A selector that is none gives the whole page without those, one that finds nothing empty text."""
-    from tessella.functions.text import strip_non_content
+    A selector that is none gives the whole page without those, one that finds nothing empty text. spelled: as in scrape_record()."""
+    from tessella.functions.text import as_spelled, strip_non_content, with_spelling
 
     bare = pages.select(doc, strip_non_content(F.col(html_col)).alias("__bare"))
     try:
         Selector(selector)
     except ValueError:
         return bare.select(doc, F.col("__bare").alias("content"))
-    return project(bare, doc, "__bare", {"__found": ("html", selector)}).select(doc, F.coalesce("__found", F.lit("")).alias("content"))
+    found = project(bare.withColumn("__bare", with_spelling(F.col("__bare"))) if spelled else bare, doc, "__bare", {"__found": ("html", selector)})
+    return found.select(doc, F.coalesce(as_spelled(F.col("__found")) if spelled else "__found", F.lit("")).alias("content"))
 
 
 def apply_to_pages(pages: DataFrame, make, out: str, doc: str, url_col: str = "url", html_col: str = "html") -> DataFrame:

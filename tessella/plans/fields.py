@@ -67,16 +67,16 @@ CASE WHEN error IS NULL THEN 200 ELSE 500 END AS status_code, error FROM (SELECT
 def scrape_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scrape results of the pages' headings where every seventh or so could not be fetched."""
     rows = _pages(spark, sf_dir).selectExpr(_ID, "url", "html", f"{_FAILED} AS error")
-    return dom.scrape_record(rows, _ID, selector="h1", error_col="error")
+    return dom.scrape_record(rows, _ID, selector="h1", error_col="error", spelled=True)
 
 
 @query(f"""SELECT page_id, '<h1>' || {_H1} || '</h1>' AS heading, '' AS title, CASE WHEN contains(html, '<li>') THEN regexp_extract(html, '(?s)<li>.*?</li>') ELSE '' END AS item, {_no_content('html')} AS whole FROM pages""")
 def tier_one_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What selectors find in pages without their heads: a heading, no title, the first item; one that is none leaves the page."""
     pages = _pages(spark, sf_dir)
-    out = dom.tier_one(pages, _ID, "article > h1").withColumnRenamed("content", "heading")
+    out = dom.tier_one(pages, _ID, "article > h1", spelled=True).withColumnRenamed("content", "heading")
     for name, selector in (("title", "title"), ("item", "li"), ("whole", "h1[")):
-        out = out.join(dom.tier_one(pages, _ID, selector).withColumnRenamed("content", name), _ID)
+        out = out.join(dom.tier_one(pages, _ID, selector, spelled=True).withColumnRenamed("content", name), _ID)
     return out
 
 
