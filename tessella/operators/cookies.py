@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessella.functions.urls import suffixes
-from tessella.operators.joins import as_of
+from tessella.operators.joins import time_ranges
+from tessella.sources.staging import materialize
 
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
@@ -111,28 +117,71 @@ def cookie_headers(requests: DataFrame, jar: DataFrame, key: str, as_of: Column,
     return rows.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(F.concat("name", F.lit("="), "value"))), "; ").alias("header"))
 
 
+#: What of a cookie decides whether a request gets it, in the order by which the greater of two set at one place counts.
+FIELDS = ("value", "host_only", "secure", "http_only", "expires")
+
+
+def _fits(cookie: tuple, cookie_path: str | None, domain: str, now: int | None, scheme: str | None, host: str, path: str | None, script: bool) -> bool:
+    value, host_only, secure, http_only, expires = cookie
+    if value is None or path is None or cookie_path is None or (expires is not None and (now is None or expires <= now)):
+        return False
+    if (host_only and domain != host) or (secure and scheme != "https") or (script and http_only):
+        return False
+    return path == cookie_path or (path.startswith(cookie_path) and (cookie_path.endswith("/") or path[len(cookie_path) : len(cookie_path) + 1] == "/"))
+
+
 def headers_as_of(requests: DataFrame, parsed: DataFrame, key: str, at: str, now: str, script: bool = False, jar: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
     """(key, header) for requests(key, scheme, host, path, at, now): what the jar held when each was made.
 
     parsed is the log of parse_set_cookie with the same `at`, by which both are in order; of cookies set at a request's own
-    place it sees them. Each request meets the names and paths that its domains ever had, and of each the last one set before it
-    counts, unless that one deletes, has expired by `now` or doesn't fit. Histories are cut into ranges, so a domain of any
-    share of the log is many tasks' work. Requests without a fitting cookie have no row. jar names columns of both that say
-    whose jar a row is about; without them there is one.
+    place it sees them. Each request meets the last cookie of each name and path that its domains had before it, which
+    counts unless it deletes, has expired by `now` or doesn't fit. Histories are cut into ranges, so a domain of any
+    share of the log is many tasks' work: a range starts from what the ranges before it leave, and its rows pass once in
+    order by the domain's last cookies, so a request is a row for each of its domains, whatever they hold. Requests
+    without a fitting cookie have no row. jar names columns of both that say whose jar a row is about; without them there is one.
     """
     own = [f"__jar{i}" for i in range(len(jar))]
-    mine = lambda: [F.col(c).alias(n) for c, n in zip(jar, own, strict=True)]
-    names = parsed.select(*(F.col(c).alias(f"{n}_of") for c, n in zip(jar, own, strict=True)), F.col("domain").alias("__domain"), F.col("name").alias("__name"), F.col("path").alias("__path")).distinct()
-    asked = requests.select(F.col(key).alias("__key"), *mine(), F.col(at).alias("__when"), F.col(now).alias("__now"), F.lower("scheme").alias("__scheme"), F.lower("host").alias("__host"), F.col("path").alias("__asked"), F.explode(suffixes(F.lower("host"))).alias("domain"))
+    mine = [F.col(c).alias(n) for c, n in zip(jar, own, strict=True)]
+    # Written down, as its ranges, what they leave and its rows are read each by itself: headers are parsed once.
+    log = materialize(parsed.where(F.col(at).isNotNull()).select(*mine, "domain", "name", "path", F.col(at).alias("__at"), *FIELDS))
+    asked = requests.where(F.col(at).isNotNull()).select(
+        *mine, F.explode(suffixes(F.lower("host"))).alias("domain"), F.col(at).alias("__at"), F.col(key).alias("__key"), F.col(now).alias("__now"), F.lower("scheme").alias("__scheme"), F.lower("host").alias("__host"), F.col("path").alias("__asked"),
+    ).where("contains(domain, '.') OR domain = __host")
+    cut = time_ranges(log, requests.select(F.col(at).alias("__at")), "__at", ranges)
+    log, asked = log.withColumn("__range", cut), asked.withColumn("__range", cut)
+    last = log.groupBy(*own, "domain", "name", "path", "__range").agg(F.max(F.struct("__at", F.struct(*FIELDS).alias("c"))).alias("__last"))
+    # Of each name and path what it has in the ranges before: at most as many rows as a domain has names and ranges.
+    spots = asked.select(*own, "domain", "__range").distinct()
+    names = last.select(*(F.col(c).alias(f"{c}_of") for c in own), F.col("domain").alias("__domain"), "name", "path").distinct()
     same = F.col("domain") == F.col("__domain")
-    for n in own:
-        same = same & F.col(n).eqNullSafe(F.col(f"{n}_of"))
-    asked = asked.join(names, same).where(path_matches(F.col("__asked"), F.col("__path")))
-    asked = asked.select("__key", *own, "__when", "__now", "__scheme", "__host", "domain", F.col("__name").alias("name"), F.col("__path").alias("path"))
-    fields = ["value", "host_only", "secure", "http_only", "expires"]
-    log = parsed.select(*mine(), "domain", "name", "path", F.col(at).alias("__when"), *fields)
-    rows = as_of(asked, log, [*own, "domain", "name", "path"], "__when", fields, ranges)
-    rows = rows.where("value IS NOT NULL AND (expires IS NULL OR expires > __now)").where("domain = __host OR NOT host_only").where("NOT secure OR __scheme = 'https'")
-    if script:
-        rows = rows.where("NOT http_only")
-    return rows.groupBy(F.col("__key").alias(key)).agg(F.array_join(F.array_sort(F.collect_list(F.concat("name", F.lit("="), "value"))), "; ").alias("header"))
+    for c in own:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_of"))
+    met = spots.join(names.hint("merge"), same).select(*own, "domain", "name", "path", "__range", F.lit(None).cast(last.schema["__last"].dataType).alias("__last"))
+    every = last.select(*met.columns).unionByName(met).groupBy(*own, "domain", "name", "path", "__range").agg(F.max("__last").alias("__last"))
+    ahead = F.last("__last", ignorenulls=True).over(Window.partitionBy(*own, "domain", "name", "path").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    carried = every.withColumn("__c", ahead["c"]).where("__c IS NOT NULL").select(*own, "domain", "name", "path", "__range", *(F.col(f"__c.{f}").alias(f) for f in FIELDS))
+    rows = carried.withColumns({"__at": F.lit(None).cast(log.schema["__at"].dataType), "__ask": F.lit(0)}).unionByName(log.withColumn("__ask", F.lit(0))).unionByName(asked.withColumn("__ask", F.lit(1)), allowMissingColumns=True)
+    spot = [*own, "domain", "__range"]
+    fields = ["__ask", "name", "path", *FIELDS, "__key", "__now", "__scheme", "__host", "__asked"]
+    rows = rows.select(*spot, "__at", *fields).repartition(*spot).sortWithinPartitions(*spot, F.asc_nulls_first("__at"), "__ask", *FIELDS).select(*spot, *fields)
+    schema = T.StructType([T.StructField(key, requests.schema[key].dataType), T.StructField("__pairs", T.ArrayType(T.StringType()))])
+    kind = to_arrow_type(schema[0].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, held, n = object(), {}, len(spot)
+        for batch in batches:
+            keys, made = [], []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:n] != where:
+                    where, held = row[:n], {}
+                if not row[n]:
+                    held[row[n + 1 : n + 3]] = row[n + 3 : n + 8]
+                    continue
+                name, time, scheme, host, path = row[n + 8 :]
+                said = [f"{k}={c[0]}" for (k, of), c in held.items() if _fits(c, of, where[-2], time, scheme, host, path, script)]
+                if said:
+                    keys.append(name)
+                    made.append(said)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(made, pa.list_(pa.string()))], schema.names)
+
+    return rows.mapInArrow(run, schema).groupBy(key).agg(F.array_join(F.array_sort(F.flatten(F.collect_list("__pairs"))), "; ").alias("header"))

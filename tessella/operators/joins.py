@@ -31,6 +31,17 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, spread: Column) ->
     return mine.join(theirs, (F.col(key) == F.col("__key")) & (F.col("__salt") == F.col("__of")), "left").drop("__key", "__salt", "__of")
 
 
+def time_ranges(log: DataFrame, asks: DataFrame, at: str, ranges: int | None = None) -> Column:
+    """Which of so many ranges of about equal numbers of rows of both a row's `at` lies in; one for each shuffle partition if not said."""
+    if ranges is None:
+        ranges = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges: list = []
+    if ranges > 1:
+        spots = F.percentile_approx(F.col(at), [k / ranges for k in range(1, ranges)], 1000)
+        edges = sorted(set(log.select(at).unionByName(asks.select(at)).agg(spots).collect()[0][0] or []))
+    return F.size(F.filter(F.array(*map(F.lit, edges)), lambda x: x <= F.col(at))) if edges else F.lit(0)
+
+
 def as_of(asks: DataFrame, log: DataFrame, by: list[str], at: str, values: list[str], ranges: int | None = None) -> DataFrame:
     """asks with the values of the last log row of the same `by` whose `at` is no later than theirs; null where there is none.
 
@@ -38,13 +49,7 @@ def as_of(asks: DataFrame, log: DataFrame, by: list[str], at: str, values: list[
     starts from the last row of the ranges before it, which a partial aggregate finds, and is walked in order once. Of log
     rows equal in `by` and `at` the one with the largest values counts. Rows with a null `at` find nothing and are not found.
     """
-    if ranges is None:
-        ranges = int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges: list = []
-    if ranges > 1:
-        spots = F.percentile_approx(F.col(at), [k / ranges for k in range(1, ranges)], 1000)
-        edges = sorted(set(log.select(at).unionByName(asks.select(at)).agg(spots).collect()[0][0] or []))
-    cut = F.size(F.filter(F.array(*map(F.lit, edges)), lambda x: x <= F.col(at))) if edges else F.lit(0)
+    cut = time_ranges(log, asks, at, ranges)
     names = [c for c in asks.columns if c not in by]
     held = F.struct(*values)
     told = log.where(F.col(at).isNotNull()).select(*by, cut.alias("__range"), F.col(at).alias("__at"), F.lit(0).alias("__ask"), held.alias("__held"))

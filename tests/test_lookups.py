@@ -192,3 +192,33 @@ def test_cookies_of_each_hop(spark):
     requests = spark.createDataFrame([(1, rows[0][0], "GET"), (2, rows[2][0], "GET"), (None, u("none.example/"), "GET")], "id long, url string, method string")
     got = {(r.id, r.step): r.header for r in redirects.redirect_cookies(requests, captures, "id", F.lit(50).cast("long")).collect()}
     assert got == {(1, 2): "x=1", (1, 3): "w=1; x=2", (1, 4): "y=1", (2, 1): "w=1; x=2"}
+
+
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_cookies_as_of_by_a_plain_walk(spark, ranges):
+    rng = random.Random(5)
+    pick = rng.choice
+    log = [(pick([None, "x", "y"]), pick([None, *range(60)]), pick(["a.b.c", "b.c", "local"]), pick("pq"), pick(["/", "/d", "/d/", ""]), pick([None, "1", "2"]), rng.random() < 0.5, rng.random() < 0.3, rng.random() < 0.3, pick([None, 0, 30, 60])) for _ in range(400)]
+    asks = [(k, pick([None, "x", "y"]), pick([None, *range(60)]), pick([None, "http", "HTTPS"]), pick([None, "A.b.c", "b.c", "z.b.c", "local", "c"]), pick([None, "/", "/d", "/d/e", "/de"]), pick([None, 10, 40])) for k in range(300)]
+    parsed = spark.createDataFrame(log, "jar string, n int, domain string, name string, path string, value string, host_only boolean, secure boolean, http_only boolean, expires long")
+    requests = spark.createDataFrame(asks, "id int, jar string, n int, scheme string, host string, path string, now long")
+    for script in (False, True):
+        made = cookies.headers_as_of(requests, parsed, "id", "n", "now", script, ("jar",), ranges)
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "StartsWith" not in plan  # requests were joined with every name and path of their domains
+        want = {}
+        for key, jar, at, scheme, host, path, now in asks:
+            held, host = {}, (host or "").lower()
+            for row in sorted((r for r in log if r[0] == jar and None not in (r[1], at) and r[1] <= at), key=lambda r: (r[1], *((x is not None, x or 0) for x in (int(r[5]) if r[5] else None, *r[6:])))):
+                held[row[2:5]] = row[5:]
+            said = []
+            for (domain, name, of), (value, host_only, secure, http_only, expires) in held.items():
+                near = domain == host or (host.endswith("." + domain) and not host_only)
+                below = path is not None and (path == of or (path.startswith(of) and (of.endswith("/") or path[len(of) : len(of) + 1] == "/")))
+                alive = value is not None and (expires is None or (now is not None and expires > now))
+                if near and below and alive and (not secure or (scheme or "").lower() == "https") and not (script and http_only):
+                    said.append(f"{name}={value}")
+            if said:
+                want[key] = "; ".join(sorted(said))
+        assert {r.id: r.header for r in made.collect()} == want
+        assert len(want) > 40
