@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -88,15 +89,19 @@ def bounded_cache(requests: DataFrame, cache: str, key: str, second: str, order:
 
     def step(state: dict, values: tuple) -> tuple[bool]:
         name, at = values
-        if name in state and at - state[name] < ttl:
+        held = state.setdefault("held", {})
+        if name in held and at - held[name] < ttl:
             return (True,)
-        state.pop(name, None)
-        if len(state) >= most:
-            for old in [k for k, since in state.items() if at - since >= ttl]:
-                del state[old]
-            if len(state) >= most:
-                del state[min(state, key=lambda k: state[k])]
-        state[name] = at
+        held.pop(name, None)
+        # Keys stand in order of coming in. While seconds never fall that is the order of age, so the oldest are at the front.
+        state["aged"] = state.get("aged", True) and at >= state.get("at", at)
+        state["at"] = at
+        if len(held) >= most:
+            front = iter(held.items()) if state["aged"] else iter(sorted(held.items(), key=lambda x: x[1]))
+            gone = [old for old, _ in takewhile(lambda x: at - x[1] >= ttl, front)] or [next(iter(held)) if state["aged"] else min(held, key=held.get)]
+            for old in gone:
+                del held[old]
+        held[name] = at
         return (False,)
 
     return by_key_in_order(requests, cache, order, step, [key, second], "hit boolean")

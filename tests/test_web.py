@@ -209,3 +209,36 @@ def test_steps_and_walks(spark):
     assert at[0].after_id is None and at[max(at)].next_id is None
     shown = dom.walk(nodes, "d", dom.element(), dom.element("div")).orderBy("step").collect()
     assert [r.tag for r in shown] == ["html", "head", "body", "i"]
+
+
+def _plain_cache(rows, most, ttl):
+    held, out = {}, {}
+    for i, k, s in rows:
+        out[i] = k in held and s - held[k] < ttl
+        if not out[i]:
+            held.pop(k, None)
+            if len(held) >= most:
+                held = {x: at for x, at in held.items() if s - at < ttl}
+                if len(held) >= most:
+                    del held[min(held, key=lambda x: held[x])]
+            held[k] = s
+    return out
+
+
+def test_bounded_cache_with_seconds_that_fall(spark):
+    import random
+
+    rng = random.Random(11)
+    rows = [(i, f"k{rng.randrange(14)}", rng.randrange(200) if i % 50 > 30 else i) for i in range(600)]
+    frame = spark.createDataFrame([(i, "c", k, s) for i, k, s in rows], "i long, c string, k string, s long")
+    assert {r.i: r.hit for r in state.bounded_cache(frame, "c", "k", "s", ["i"], ttl=30, most=6).collect()} == _plain_cache(rows, 6, 30)
+
+
+def test_bounded_cache_does_not_scan_what_it_holds(spark):
+    import time
+
+    frame = spark.range(60_000).selectExpr("id AS i", "'c' AS c", "cast(id % 50000 AS string) AS k", "id AS s")
+    began = time.perf_counter()
+    hits = state.bounded_cache(frame, "c", "k", "s", ["i"], ttl=10**9, most=20_000).where("hit").count()
+    assert hits == 0
+    assert time.perf_counter() - began < 20  # a scan of all keys for each of 40,000 evictions took minutes
