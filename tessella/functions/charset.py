@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import codecs
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.functions import arrow_udf, pandas_udf
+from pyspark.sql.types import StringType, StructField, StructType
 
 # The web's names of character sets with their labels beside the name itself; repeated forms are made by rule.
 _LABELS = {
@@ -122,9 +124,19 @@ def decoded(body: bytes, label: str | None, fatal: bool = False, ignore_bom: boo
         return None
 
 
-@pandas_udf(StringType())
-def _decode(body: pd.Series, encoding: pd.Series, fatal: pd.Series, ignore_bom: pd.Series) -> pd.Series:
-    return pd.Series([None if b is None else decoded(bytes(b), e or "utf-8", bool(f), bool(i)) for b, e, f, i in zip(body, encoding, fatal, ignore_bom, strict=True)], dtype=object)
+#: Bodies that are decoded at a time: Python holds an Arrow batch and the texts of so many.
+AT_A_TIME = 64
+
+
+def _texts(columns: list[pa.Array]) -> pa.Array:
+    return pa.array([None if b is None else decoded(b, e or "utf-8", bool(f), bool(i)) for b, e, f, i in zip(*(c.to_pylist() for c in columns), strict=True)], pa.string())
+
+
+@arrow_udf(StringType())
+def _decode(body: pa.Array, encoding: pa.Array, fatal: pa.Array, ignore_bom: pa.Array) -> pa.Array:
+    columns = [body, encoding, fatal, ignore_bom]
+    parts = [_texts([c.slice(i, AT_A_TIME) for c in columns]) for i in range(0, len(body), AT_A_TIME)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 def decode(body: Column, encoding: Column, fatal: Column | None = None, ignore_bom: Column | None = None) -> Column:
@@ -133,6 +145,22 @@ def decode(body: Column, encoding: Column, fatal: Column | None = None, ignore_b
     return _decode(body, encoding, no if fatal is None else fatal, no if ignore_bom is None else ignore_bom)
 
 
+def with_text(rows: DataFrame, body: Column, encoding: Column, fatal: Column | None = None, ignore_bom: Column | None = None, text: str = "text") -> DataFrame:
+    """rows with the text of decode(); a task hands on some texts at a time, so it holds one batch of bodies and those, however many there are."""
+    no = F.lit(False)
+    asked = [body, encoding, no if fatal is None else fatal, no if ignore_bom is None else ignore_bom]
+    held = rows.select("*", *(c.alias(f"__{k}") for k, c in enumerate(asked)))
+    schema = StructType([*rows.schema, StructField(text, StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, AT_A_TIME):
+                part = batch.slice(i, AT_A_TIME)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-4], _texts(part.columns[-4:])], schema.names)
+
+    return held.mapInArrow(run, schema)
+
+
 @pandas_udf(StringType())
 def encode_query(query: pd.Series, encoding: pd.Series, special: pd.Series) -> pd.Series:
     """A query in percent escapes of an encoding; characters it lacks become escaped numeric references."""

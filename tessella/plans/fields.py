@@ -30,7 +30,8 @@ def decode_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     h, mark, plain = F.length("html") % 6, F.lit(b"\xef\xbb\xbf"), F.to_binary("html", F.lit("utf-8"))
     body = F.when(h == 1, F.concat(F.lit(b"\xff\xfe"), F.encode("html", "UTF-16LE"))).when(h == 5, F.encode("html", "UTF-16BE")).when(h.isin(2, 3), F.concat(plain, F.lit(b"\xff"))).otherwise(F.concat(mark, plain))
     label = F.when(h == 0, "Windows-1252").when(h == 5, "unicodeFFFE").otherwise("utf8")
-    return _pages(spark, sf_dir).select(_ID, charset.decode(body, label, h == 2, h == 4).alias("text"))
+    rows = _pages(spark, sf_dir)
+    return charset.with_text(rows.select(_ID, body.alias("body"), label.alias("label"), h.alias("h")), C("body"), C("label"), C("h") == 2, C("h") == 4).select(_ID, "text")
 
 
 _ASKED = "concat('?n=', cast(page_id AS VARCHAR(20)), '&k=', cast(length(html) % 10 AS VARCHAR(9)), '&n=a+b%26&bad=%zz&=none&flag&', regexp_extract(url, '[?]([^#]*)', 1))"

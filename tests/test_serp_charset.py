@@ -70,3 +70,20 @@ def test_charsets(spark):
     assert [r[0] for r in text.select(charset.decode("b", "e")).collect()] == ["你好", "x�", None]
     asked = spark.createDataFrame([("脈", "euc-jp", True), ("㐂", "shift_jis", True), ("一", "big5", True), ("a b", "utf-8", True)], "q string, e string, s boolean")
     assert [r[0] for r in asked.select(charset.encode_query("q", "e", "s")).collect()] == ["%CC%AE", "%26%2313314%3B", "%A4%40", "a%20b"]
+
+
+def test_texts_are_made_some_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    rows = [(k, None if k % 7 == 0 else f"é{k}".encode("utf-16-le" if k % 3 == 0 else "utf-8"), None if k % 5 == 0 else "utf-16le" if k % 3 == 0 else "utf8", k % 2 == 0) for k in range(300)]
+    frame = spark.createDataFrame(rows, "k int, b binary, e string, f boolean").coalesce(1)
+    want = {k: None if b is None else charset.decoded(b, e or "utf-8", f) for k, b, e, f in rows}
+    got = charset.with_text(frame, F.col("b"), F.col("e"), F.col("f"))
+    assert got.columns == ["k", "b", "e", "f", "text"]
+    assert {r.k: r.text for r in got.collect()} == want
+    assert {r.k: r.t for r in frame.select("k", charset.decode(F.col("b"), F.col("e"), F.col("f")).alias("t")).collect()} == want
+    sizes, texts = [], charset._texts
+    monkeypatch.setattr(charset, "_texts", lambda columns: sizes.append(len(columns[0])) or texts(columns))
+    made = charset._decode.func(pa.array([b for _, b, _, _ in rows]), pa.array([e for _, _, e, _ in rows]), pa.array([f for *_, f in rows]), pa.array([False] * 300))
+    assert made.to_pylist() == list(want.values())
+    assert max(sizes) == charset.AT_A_TIME
